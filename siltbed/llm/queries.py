@@ -12,6 +12,7 @@ from siltbed.llm.media_columns import media_columns
 from siltbed.llm.packing import pack
 from siltbed.llm.secret_scan import scan_secrets
 from siltbed.llm.source_mixing import mix
+from siltbed.llm.substring_dedup import dedup_substrings
 from siltbed.llm.url_filter import filter_urls, url_host
 
 
@@ -70,6 +71,24 @@ FROM p LEFT JOIN m ON p.page_id IS NOT DISTINCT FROM m.page_id AND p.url IS NOT
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w WHERE len(words) >= 13),
+k AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS window_words FROM g),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY window_words) AS first_doc FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM m WHERE first_doc < doc_id),
+a AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+o AS (SELECT w.doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w),
+s AS (SELECT o.doc_id, string_agg(o.words[o.p], ' ' ORDER BY o.p) AS kept FROM o ANTI JOIN c ON o.doc_id = c.doc_id AND o.p = c.p GROUP BY o.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(a.gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM w LEFT JOIN a ON w.doc_id = a.doc_id LEFT JOIN s ON w.doc_id = s.doc_id
+"""
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media_columns(documents(spark, sf_dir))
     return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
@@ -85,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
