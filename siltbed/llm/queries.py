@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from siltbed.llm.common import documents
 from siltbed.llm.jaccard_join import link_documents
+from siltbed.llm.line_dedup import dedup_lines
 from siltbed.llm.media_columns import media_columns
 from siltbed.llm.packing import pack
+from siltbed.llm.quality_rules import score_documents
 from siltbed.llm.secret_scan import scan_secrets
 from siltbed.llm.source_mixing import mix
 from siltbed.llm.substring_dedup import dedup_substrings
@@ -27,6 +29,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(documents(spark, sf_dir))
 
@@ -45,6 +51,11 @@ FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(documents(spark, sf_dir))
+    return out.select("row.doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir))
 
