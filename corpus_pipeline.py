@@ -1,6 +1,68 @@
-STAGES = []
+"""From raw documents to packed sequences: five stages, each on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; docs must be read from files, as a stage's
+output is once it is written. All stages but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from siltbed.llm.common import cut, documents
+from siltbed.llm.jaccard_join import link_documents
+from siltbed.llm.line_dedup import dedup_rows
+from siltbed.llm.packing import pack
+from siltbed.llm.quality_classifier import accepted_rows
+from siltbed.llm.queries import tokenizer_path
+from siltbed.llm.source_mixing import mixed_rows
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return accepted_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of lines go; documents stay, even if nothing of their text is left."""
+    return dedup_rows(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays; rows without a doc_id stay."""
+    linked = link_documents(docs)
+    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
+    of_id = W.partitionBy("id").orderBy(F.xxhash64("row"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    named = d.where("id is not null").join(gone.select(F.col("doc_id").alias("id")).hint("shuffle_hash"), "id", "left_anti")
+    one = named.withColumn("k", F.row_number().over(of_id)).where("k = 1").select("row.*")
+    return one.union(d.where("id is null").select("row.*"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, interleaved within output shards."""
+    return mixed_rows(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("near duplicates", near_duplicates),
+    ("source mixing", source_mixing),
+    ("packing", packing),
+]
+
+#: Tokenizer ids and hashed choices are not SQL: tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,6 +12,7 @@ from siltbed.llm.jaccard_join import link_documents
 from siltbed.llm.line_dedup import dedup_lines
 from siltbed.llm.media_columns import media_columns
 from siltbed.llm.packing import pack
+from siltbed.llm.quality_classifier import classify
 from siltbed.llm.quality_rules import score_documents
 from siltbed.llm.secret_scan import scan_secrets
 from siltbed.llm.source_mixing import mix
@@ -33,6 +34,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("th")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(documents(spark, sf_dir))
 
