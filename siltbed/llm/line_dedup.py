@@ -26,29 +26,31 @@ from siltbed.llm.common import WORD, count_words, text_hash
 
 
 def _fingerprints(docs: DataFrame, lines: int, words: int) -> DataFrame:
-    """(id, th, fp, spans): every selected position's hash with the windows around it (start, length, hash)."""
+    """(id, th, fp, spans): every selected line's hash, with the windows around it (start s, hash wh, line indexes at)."""
     numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    d = docs.select("id", "th", "text").distinct().select("id", "th", F.filter(numbered, lambda x: x["line"].rlike(WORD)).alias("found"))
-    d = d.where(F.size("found") > 0).select(
+    d = docs.select("id", "th", F.filter(numbered, lambda x: x["line"].rlike(WORD)).alias("found"))
+    d = d.select(
         "id",
         "th",
         F.transform("found", lambda x: x["at"]).alias("at"),
         F.transform("found", lambda x: F.xxhash64(x["line"])).alias("h"),
         F.transform("found", lambda x: count_words(x["line"]) >= words).alias("long"),
     )
-    n = F.size("h")
-    starts = F.when(n >= lines, F.sequence(F.lit(1), n - lines + 1)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("windows", F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(lines).alias("n"), F.xxhash64(F.slice("h", s, F.lit(lines)), F.lit(lines)).alias("wh"))))
-    least = lambda s: F.array_min(F.transform(F.slice("h", s, F.lit(lines)), lambda x, i: F.struct(x.alias("x"), (-(s + i)).alias("p"))))
-    chosen = F.array_distinct(F.transform(starts, lambda s: -least(s)["p"]))
-    alone = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("long", i))
-    d = d.withColumn("chosen", F.array_distinct(F.concat(chosen, alone)))
-    d = d.select("id", "th", "at", "h", "long", "windows", F.explode("chosen").alias("p"))
-    around = F.slice("windows", F.greatest(F.col("p") - lines + 1, F.lit(1)), F.lit(lines))
-    around = F.filter(around, lambda w: w["s"] <= F.col("p"))
-    own = F.when(F.element_at("long", F.col("p")), F.array(F.struct(F.col("p").alias("s"), F.lit(1).alias("n"), F.xxhash64(F.element_at("h", F.col("p")), F.lit(1)).alias("wh")))).otherwise(F.slice("windows", 1, 0))
-    spans = F.transform(F.concat(around, own), lambda w: F.struct(w["s"].alias("s"), w["wh"].alias("wh"), F.slice("at", w["s"], w["n"]).alias("at")))
-    return d.select("id", "th", F.element_at("h", F.col("p")).alias("fp"), spans.alias("spans"))
+    last = F.size("h") - lines  # of the windows' starts
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    least = lambda s: F.least(*[F.struct(F.get("h", s + k).alias("x"), (-(s + k)).alias("p")) for k in range(lines)])
+    alone = F.filter(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0))), lambda i: F.coalesce(F.get("long", i), F.lit(False)))
+    d = d.withColumn("chosen", F.array_distinct(F.concat(F.transform(starts, lambda s: -least(s)["p"]), alone)))
+    span = lambda s, n: F.struct(s.alias("s"), F.xxhash64(F.lit(n), *[F.get("h", s + k) for k in range(n)]).alias("wh"), F.array(*[F.get("at", s + k) for k in range(n)]).alias("at"))
+    none = F.array().cast("array<struct<s:int,wh:bigint,at:array<int>>>")
+
+    def around(p):
+        low, high = F.greatest(p - lines + 1, F.lit(0)), F.least(p, last)
+        return F.concat(F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), lambda s: span(s, lines))).otherwise(none), F.when(F.get("long", p), F.array(span(p, 1))).otherwise(none))
+
+    # explode_outer: the filter that Spark infers from explode would compute every array once more
+    rows = d.select("id", "th", F.explode_outer(F.transform("chosen", lambda p: F.struct(F.get("h", p).alias("fp"), around(p).alias("spans")))).alias("x"))
+    return rows.where("x is not null").select("id", "th", "x.fp", "x.spans")
 
 
 def deleted_lines(docs: DataFrame, lines: int = 3, words: int = 25) -> DataFrame:
