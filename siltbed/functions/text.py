@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Letters and digits that are unified, stop words, aliases, named entities, term and token classes.
 LETTERS_FROM, LETTERS_TO = "يىكةؤإأ", "ییکهواا"
@@ -28,7 +29,7 @@ def literal_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _normal_form(values: pd.Series) -> pd.Series:
     import re
     import unicodedata

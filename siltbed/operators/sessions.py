@@ -6,19 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from siltbed.functions.text import ENTITIES, any_marker, literal_array, search_terms
 from siltbed.operators.policy import FAILURES, FOLLOW_UPS, TOPICS
 
-BY_TURN = W.partitionBy("session").orderBy("turn")
-BEFORE = BY_TURN.rowsBetween(W.unboundedPreceding, -1)
-LAST_12 = BY_TURN.rowsBetween(-12, -1)
 
+def by_turn() -> WindowSpec:
+    return W.partitionBy("session").orderBy("turn")
 
-def previous(value: Column, condition: Column, frame=BEFORE) -> Column:
+
+def before() -> WindowSpec:
+    return by_turn().rowsBetween(W.unboundedPreceding, -1)
+
+
+def last_12() -> WindowSpec:
+    return by_turn().rowsBetween(-12, -1)
+
+
+def previous(value: Column, condition: Column) -> Column:
     """The value of the last earlier turn that meets the condition."""
-    return F.last(F.when(condition, value), ignorenulls=True).over(frame)
+    return F.last(F.when(condition, value), ignorenulls=True).over(before())
 
 
 def previous_assistant(turns: DataFrame) -> DataFrame:
@@ -27,7 +36,7 @@ def previous_assistant(turns: DataFrame) -> DataFrame:
 
 
 def recent_user_texts() -> Column:
-    return F.array_compact(F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(LAST_12))
+    return F.array_compact(F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(last_12()))
 
 
 def follow_ups(turns: DataFrame, topics: Sequence[str] = TOPICS, prefixes: Sequence[str] = FOLLOW_UPS, short: int = 4) -> DataFrame:
@@ -36,9 +45,9 @@ def follow_ups(turns: DataFrame, topics: Sequence[str] = TOPICS, prefixes: Seque
     said = turns.withColumn("terms", search_terms(F.col("text"))).withColumn("topics", F.array_intersect("terms", known))
     earlier = said.select(
         "*",
-        F.count(F.lit(1)).over(BEFORE).alias("n_before"),
+        F.count(F.lit(1)).over(before()).alias("n_before"),
         previous(F.coalesce("outcome", F.lit("")), F.col("role") == "assistant").alias("outcome_before"),
-        F.flatten(F.collect_list(F.when(F.col("role") == "user", F.col("topics"))).over(LAST_12)).alias("recent"),
+        F.flatten(F.collect_list(F.when(F.col("role") == "user", F.col("topics"))).over(last_12())).alias("recent"),
     )
     plain = F.replace(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), F.lit("ß"), F.lit("ss"))
     begun = F.exists(literal_array(prefixes), lambda p: F.startswith(plain, p))
@@ -74,7 +83,7 @@ def issue_failures(turns: DataFrame, markers: Sequence[str] = FAILURES, most: in
     issue = previous(F.col("text"), (F.col("role") == "user") & ~F.col("failed"))
     reports = said.withColumn("issue", F.coalesce(issue, "text")).where("role = 'user' and failed")
     keyed = reports.withColumn("issue_key", F.substring(F.sha2("issue", 256), 1, 20))
-    run = keyed.withColumn("new", (~F.lag("issue_key").over(BY_TURN).eqNullSafe(F.col("issue_key"))).cast("int")).withColumn("run", F.sum("new").over(BY_TURN))
+    run = keyed.withColumn("new", (~F.lag("issue_key").over(by_turn()).eqNullSafe(F.col("issue_key"))).cast("int")).withColumn("run", F.sum("new").over(by_turn()))
     count = F.row_number().over(W.partitionBy("session", "run").orderBy("turn"))
     return run.select("session", "turn", "issue_key", F.least(F.lit(most), count).alias("failure_count"))
 

@@ -34,13 +34,10 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataF
 def first_seen(events: DataFrame, keys: list[str], columns: str) -> DataFrame:
     """Idempotency: whether a message is the first of its key; later ones are duplicates whatever batch they come in.
 
-    State is one flag for each key; it is dropped two hours of processing time after the key's last message.
+    State is one flag for each key that was ever seen.
     """
 
     def mark(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         known = state.exists
         for frame in frames:
             fresh = [False] * len(frame)
@@ -48,9 +45,8 @@ def first_seen(events: DataFrame, keys: list[str], columns: str) -> DataFrame:
                 fresh[0], known = True, True
             yield frame.assign(first=fresh)
         state.update((True,))
-        state.setTimeoutDuration(7_200_000)
 
-    return events.groupBy(*keys).applyInPandasWithState(mark, f"{columns}, first boolean", "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(*keys).applyInPandasWithState(mark, f"{columns}, first boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def failure_counts(reports: DataFrame, most: int = 20) -> DataFrame:
