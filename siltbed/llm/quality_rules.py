@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,11 +28,12 @@ SMOOTHING = 0.5
 
 
 def hashed_ngrams(df: DataFrame) -> DataFrame:
-    """Adds ngrams: the bucket of every unigram and bigram of text."""
+    """Adds ngrams: the bucket of every token and of every two consecutive tokens of text."""
     df = df.withColumn("tokens", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)))
-    one = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
-    two = F.zip_with(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", F.lit(2), F.size("tokens")), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    return df.withColumn("ngrams", F.when(F.size("tokens") > 0, F.concat(one, two)).otherwise(one)).drop("tokens")
+    one = F.transform("tokens", lambda t: F.xxhash64(t).bitwiseAND(BUCKETS - 1).cast("int"))
+    pair = lambda t, i: F.xxhash64(t, F.get("tokens", i + 1)).bitwiseAND(BUCKETS - 1).cast("int")
+    two = F.transform(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))), pair)
+    return df.withColumn("ngrams", F.concat(one, two)).drop("tokens")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row, one column: array of log(p_target / p_raw) by bucket."""
     ids = trusted_ids(labels).select("doc_id", F.lit(1).alias("trusted")).hint("shuffle_hash")
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    seen = hashed_ngrams(marked).select("trusted", F.explode("ngrams").alias("bucket"))
-    counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
+    # explode_outer: the filter that Spark infers from explode would hash every text once more below the join
+    seen = hashed_ngrams(marked).select("trusted", F.explode_outer("ngrams").alias("bucket"))
+    counts = seen.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     counts = counts.select("*", F.sum("raw").over(everything).alias("n_raw"), F.sum("target").over(everything).alias("n_target"))
     share = lambda n, total: F.log((F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * BUCKETS))
@@ -53,17 +55,20 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("ratio")))), lambda x: x["ratio"]).alias("ratios"))
 
 
-def repeated_words(w: Column) -> Column:
-    """Words of array w that lie in a three-word window found twice or more in it.
+def with_repeated_words(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: words that lie in a three-word window found twice or more. df has the words, w.
 
-    Windows are named by 64-bit hashes of their words and sorted with their places: equal ones are neighbours.
+    Windows are named by 64-bit hashes. Texts without an equal pair are told apart first; in the others,
+    windows are sorted with their places, so that equal ones are neighbours.
     """
-    n = F.size(w)
-    names = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("p")))
-    order = F.array_sort(names)
-    same = F.zip_with(order, F.concat(F.array(F.lit(None).cast("struct<h:bigint,p:int>")), F.slice(order, F.lit(1), n - 3)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
-    starts = F.array_distinct(F.flatten(F.array_compact(same)))
-    return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.array(p, p + 1, p + 2)))))
+    window = lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2))
+    df = df.withColumn("windows", F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), window))
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    df = df.withColumn("sorted", F.when(repeats, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
+    equal = F.zip_with("sorted", F.slice("sorted", F.lit(2), F.size("sorted")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
+    df = df.withColumn("starts", F.array_distinct(F.flatten(F.array_compact(equal))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(p, p + 1, p + 2)))))
+    return df.withColumn("n_repeat_words", F.coalesce(F.when(F.col("starts").isNotNull(), covered), F.lit(0)).cast("long")).drop("windows", "sorted", "starts")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.8, keep: Sequence[str] = ()) -> DataFrame:
@@ -74,13 +79,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.8,
     d = docs.select("doc_id", "text", *([F.struct(*keep).alias("row")] if keep else [])).withColumn("w", words(F.col("text")))
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    d = d.withColumn("lines", lines).withColumn("n_words", F.size("w").cast("long"))
+    d = with_repeated_words(d).withColumn("lines", lines).withColumn("n_words", F.size("w").cast("long"))
     d = d.select(
         "*",
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.aggregate("w", F.lit(0), lambda s, x: s + F.length(x)).cast("long").alias("word_chars"),
         F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("n_words") >= 4, repeated_words(F.col("w"))).otherwise(0).cast("long").alias("n_repeat_words"),
     ).drop("w", "lines")
     d = hashed_ngrams(d).withColumn("ratios", log_ratios(docs, labels).scalar())
     total = F.aggregate("ngrams", F.lit(0.0), lambda s, b: s + F.get("ratios", b))
