@@ -15,8 +15,8 @@ twice the segments of two shingles or more exceed d, one of them differs by one
 even these are too few, it goes on with further partitions until there are enough; a pair is safe as
 soon as one of its two has enough.
 
-Equal signatures meet in sorted runs. A run of up to SMALL documents gives all its pairs; a longer one
-gives pairs with its first document, and is kept. Pairs are verified on whole sets: first the most
+Equal signatures meet in sorted runs. A run of two documents gives a pair; a longer one gives pairs with
+its first document, and is kept. Pairs are verified on whole sets: first the most
 frequent partner of each document, then, once these links have joined components, only what lies between
 components, in long runs after a filter by parity sketches (their difference never exceeds d). No
 copies are expanded into pairs: equal sets are joined by their hash.
@@ -38,23 +38,29 @@ from pyspark.sql import functions as F
 
 from siltbed.llm.common import cut
 from siltbed.llm.components import components
-from siltbed.llm.tokens import WordHashes, runs_of, scramble
+from siltbed.llm.tokens import WordHashes, chunks, runs_of, scramble
 
 LAST = (1 << 63) - 1
-SMALL = 16
+SMALL = 2
+IDS_TO_BROADCAST = 2_000_000
 SHARE, HOT_TIMES, HOT_MOST = 32, 3, 1 << 17  # hotness: counted in 1/32 of the documents, three times, at most so many
 
 
-def shingle_set(text, hashes, n):
-    """Sorted distinct 64-bit hashes of the text's n-word shingles, A-Z in lower case."""
+def shingle_sets(texts, n: int, hashes: WordHashes):
+    """For each text (bytes or None) the sorted distinct 64-bit hashes of its n-word shingles, A-Z in lower case."""
     import numpy as np
 
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < n:
-        return scramble(runs_of(hashes.of(words), len(words)) + np.uint64(len(words)))
-    return np.unique(runs_of(hashes.of(words), n))
+    for some in chunks(((t or b"") for t in texts), len):
+        words, first = hashes.of([t.lower() for t in some])
+        runs = runs_of(words, n)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a >= n:
+                s = np.sort(runs[a : b - n + 1])
+                yield s[np.r_[True, s[1:] != s[:-1]]]
+            elif b > a:
+                yield scramble(runs_of(words[a:b], b - a) + np.uint64(b - a))
+            else:
+                yield words[:0]
 
 
 def top_of_band(n: int) -> int:
@@ -122,25 +128,20 @@ def sketch(hashes, bits: int) -> bytes:
     """Parities of how many shingles fall on each of `bits` places."""
     import numpy as np
 
+    bits = bits + 7 & ~7
     return np.packbits((np.bincount((scramble(hashes) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, n_shingles, set): the set as sorted little-endian 64-bit hashes."""
+def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The pairs (u, v) whose sets are similar. pairs is read twice. Sets are made for the documents of pairs only."""
 
     def read(batches):
         import pyarrow as pa
 
         hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(t.as_py(), hashes, n) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["doc", "n_shingles", "set"])
-
-    return docs.select("doc", "text").mapInArrow(read, "doc long, n_shingles long, set binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+            found = [x.tobytes() for x in shingle_sets((t.as_py() for t in batch.column(1)), n, hashes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc", "set"])
 
     def test(batches):
         import numpy as np
@@ -154,8 +155,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= 75 * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    wanted = pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct()
+    if wanted.count() <= IDS_TO_BROADCAST:
+        wanted = F.broadcast(wanted)
+    sets = rows.select("doc", "text").join(wanted, "doc", "left_semi").mapInArrow(read, "doc long, set binary")
     left, right = sets.select(F.col("doc").alias("u"), F.col("set").alias("a")), sets.select(F.col("doc").alias("v"), F.col("set").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(test, "u long, v long")
+    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(test, "u long, v long")
 
 
 def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -167,15 +172,16 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
         import pyarrow as pa
 
         hashes = WordHashes()
+        types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.binary())]
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = shingle_set(text.as_py(), hashes, n)
+            for doc, found in zip(batch.column(0).to_pylist(), shingle_sets((t.as_py() for t in batch.column(1)), n, hashes)):
                 names = (int(scramble(found).sum(dtype=np.uint64).view(np.int64)), int(scramble(found * np.uint64(3)).sum(dtype=np.uint64).view(np.int64)))
-                out.append((doc, len(found), *names))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["doc", "n_shingles", "name1", "name2"])
+                tops = [top for top, most in bands_of(len(found)) if most] if len(found) else []
+                out.append((doc, len(found), *names, tops, [sketch(found, 2 * top) for top in tops]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], ["doc", "n_shingles", "name1", "name2", "tops", "sketches"])
 
-    summary = cut(rows.select("doc", "text").mapInArrow(summarise, "doc long, n_shingles long, name1 long, name2 long"), "summary")
+    summary = cut(rows.select("doc", "text").mapInArrow(summarise, "doc long, n_shingles long, name1 long, name2 long, tops array<long>, sketches array<binary>"), "summary")
     named = summary.where("n_shingles > 0")
     first = named.groupBy("name1", "name2").agg(F.min("doc").alias("v"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     equal = named.join(first, ["name1", "name2"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
@@ -186,7 +192,7 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
 
         hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(t.as_py(), hashes, n) for t in batch.column(0)]
+            found = list(shingle_sets((t.as_py() for t in batch.column(0)), n, hashes))
             if found:
                 names, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times)], ["name", "times"])
@@ -203,8 +209,7 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
         hot = np.sort(np.array(hot_names, np.int64).view(np.uint64))
         for batch in batches:
             docs_, found = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingle_set(text.as_py(), hashes, n)
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets((t.as_py() for t in batch.column(1)), n, hashes)):
                 name = (len(s), int(scramble(s).sum(dtype=np.uint64)))
                 if not len(s) or name in seen:  # an equal set of this task stands for it
                     continue
@@ -218,14 +223,14 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 200_000]), pa.array(docs_[i : i + 200_000])], ["sig", "doc"])
 
     def meet(batches):
-        """From rows sorted by (sig, doc): pairs (0, u, v), and long runs as members (1, sig, doc)."""
+        """From rows sorted by (sig, doc): pairs (0, u, v, 0), and long runs as members (1, sig, doc, first doc)."""
         import numpy as np
         import pyarrow as pa
 
         told: set = set()
 
-        def out(kind, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
+        def out(kind, a, b, lead):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lead, pa.int64())], ["kind", "a", "b", "lead"])
 
         def runs(sig, doc):
             keep = np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]
@@ -248,9 +253,10 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
             if len(told) > 1_000_000:
                 told.clear()
             if us:
-                yield out(0, us, vs)
-            for s, m in member:
-                yield out(1, sig[s : s + m], doc[s : s + m])
+                yield out(0, us, vs, np.zeros(len(us), np.int64))
+            if member:
+                at = np.concatenate([np.arange(s, s + m) for s, m in member])
+                yield out(1, sig[at], doc[at], np.repeat(doc[[s for s, _ in member]], [m for _, m in member]))
 
         rest_s, rest_d = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
@@ -263,13 +269,30 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
             yield from runs(rest_s, rest_d)
 
     signed = rows.select("doc", "text").mapInArrow(sign, "sig long, doc long")
-    met = cut(signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(meet, "kind int, a long, b long"), "met")
-    pairs = cut(met.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("times")), "pairs")
-    wanted = pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct()
-    sets = cut(_sets(rows.join(wanted, "doc", "left_semi"), n), "sets")
+    met = cut(signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(meet, "kind int, a long, b long, lead long"), "met")
+    def apart(batches):
+        """Drops pairs whose sketches rule them out, and pairs of equal sets. Columns: u, v, times, then two summaries."""
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                tops = [top for top in a["tops"] if top in b["tops"]]
+                if not tops or (a["name1"], a["name2"]) == (b["name1"], b["name2"]):
+                    keep.append(False)
+                    continue
+                x, y = (np.frombuffer(r["sketches"][r["tops"].index(tops[-1])], np.uint8) for r in (a, b))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= (a["n_shingles"] + b["n_shingles"]) // 7)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    about = lambda name, key: summary.select(F.col("doc").alias(key), F.struct("n_shingles", "name1", "name2", "tops", "sketches").alias(name))
+    pairs = met.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    pairs = pairs.join(about("au", "u"), "u").join(about("av", "v"), "v").select("u", "v", "times", "au", "av").mapInArrow(apart, "u long, v long, times long")
+    pairs = cut(pairs, "pairs")
 
     best = pairs.groupBy("u").agg(F.max(F.struct("times", -F.col("v"))).alias("best")).select("u", (-F.col("best.col2")).alias("v"))
-    links = cut(_verified(best, sets).union(equal), "links")
+    links = cut(_verified(cut(best, "best"), rows, n).union(equal), "links")
     joined = components(links)
     of = joined.select(F.col("node").alias("doc"), "component")
 
@@ -279,27 +302,21 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
 
     between = across(across(pairs.select("u", "v"), "u"), "v").where("u_of <> v_of").select("u", "v")
 
-    def sketched(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = np.frombuffer(data.as_py(), np.uint64)
-                out += [(doc, len(s), top, sketch(s, 2 * (top + 8) // 8 * 8)) for top in sorted({top for top, most in bands_of(len(s)) if most})]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "n_shingles", "top", "sketch"])
-
     def compare(batches):
         """Pairs of one long run that lie in different components and whose sketches do not rule them out."""
         import numpy as np
         import pyarrow as pa
 
         told: set = set()
+        seen: set = set()
 
         def pairs_of(group):
             group.sort(key=lambda r: r["doc"])
             doc = np.array([r["doc"] for r in group])
+            name = hash((group[0]["top"], doc.tobytes()))
+            if name in seen:  # the same documents met on another signature
+                return
+            seen.add(name)
             of_ = np.array([r["doc_of"] for r in group])
             size = np.array([r["n_shingles"] for r in group])
             bits = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint8).reshape(len(group), -1)
@@ -331,12 +348,12 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
         if group:
             yield from pairs_of(group)
 
-    members = across(met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc")), "doc")
+    members = across(met.where("kind = 1").select("lead", F.col("a").alias("sig"), F.col("b").alias("doc")), "doc")
     mixed = members.groupBy("sig").agg(F.min("doc_of").alias("least"), F.max("doc_of").alias("most")).where("least <> most").select("sig")
     open_runs = members.join(mixed, "sig", "left_semi")
-    sketches = sets.select("doc", "set").mapInArrow(sketched, "doc long, n_shingles long, top long, sketch binary")
-    candidates = open_runs.join(sketches, "doc").repartition("sig").sortWithinPartitions("sig", "top").mapInArrow(compare, "u long, v long")
-    more = _verified(between.union(candidates).distinct(), sets)
+    sketches = summary.select("doc", "n_shingles", F.explode(F.arrays_zip("tops", "sketches")).alias("x")).select("doc", "n_shingles", F.col("x.tops").alias("top"), F.col("x.sketches").alias("sketch"))
+    candidates = open_runs.join(sketches, "doc").repartition("lead").sortWithinPartitions("lead", "sig", "top").mapInArrow(compare, "u long, v long")
+    more = _verified(cut(between.union(candidates).distinct(), "candidates"), rows, n)
     last = components(reduce(DataFrame.union, [joined.select(F.col("node").alias("u"), F.col("component").alias("v")), more]))
     out = summary.join(last.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     null = lambda c: F.when(F.col(c) != LAST, F.col(c))

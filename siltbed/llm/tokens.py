@@ -2,25 +2,8 @@
 
 from __future__ import annotations
 
-
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; forgets everything when it holds `most` words, which costs time only."""
-
-    def __init__(self, most: int = 500_000):
-        import xxhash
-
-        self.most, self.hash = most, xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = self.hash(word)
-        return h
-
-    def of(self, words: list):
-        import numpy as np
-
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes that are hashed together; longer texts are taken alone.
+CHUNK = 1 << 20
 
 
 def scramble(x):
@@ -43,3 +26,64 @@ def runs_of(hashes, n: int):
     for k in range(n):
         total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + m]
     return scramble(total)
+
+
+class WordHashes:
+    """64-bit hashes of all words of many texts at once.
+
+    A word's hash is a polynomial in its scrambled bytes: differences of one running sum over the
+    text, brought to the word's start by the inverse power. Powers are kept for the longest text seen.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        import numpy as np
+
+        self.table = scramble(np.arange(1, 257, dtype=np.uint64))
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        import numpy as np
+
+        if len(self.powers) < n:
+            ones = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)])
+            self.powers, self.inverse = ones(np.uint64(self.BASE)), ones(np.uint64(pow(self.BASE, -1, 1 << 64)))
+
+    def of(self, texts: list):
+        """(hashes of all words in order, index of each text's first word and, last, their number)."""
+        return self.placed(texts)[:2]
+
+    def placed(self, texts: list):
+        """As of(), with the texts joined by blanks and where each word starts and ends there."""
+        import numpy as np
+
+        joined = b" ".join(texts) + b" "
+        b = np.frombuffer(joined, np.uint8)
+        self._grow(max(len(b), CHUNK))
+        gap = self.space[b]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.r_[0, edge]
+        start, end = edge[0::2], edge[1::2]
+        start = start[: len(end)]
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.table[b] * self.powers[: len(b)], out=total[1:])
+        hashes = scramble((total[end] - total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        at = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        return hashes, np.searchsorted(start, at), joined, start, end
+
+
+def chunks(rows, size_of, most: int = CHUNK):
+    """Lists of consecutive rows whose sizes add up to about `most`."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += size_of(row)
+        if held >= most:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
