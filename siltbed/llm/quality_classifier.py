@@ -29,9 +29,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import cut, text_hash
+from siltbed.llm.tokens import chunks
 
 ORDER = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 SHORT = 8.0
 IDS_TO_BROADCAST = 2_000_000
 PACK = "block long, ids array<long>, hashes array<long>, langs array<string>, lengths array<int>, texts binary"
@@ -81,11 +82,8 @@ def trusted_counts(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
 
         parts = []
         for batch in batches:
-            held = []
-            for text in batch.column(0):
-                held.append(ngrams_of(text.as_py() or b"", n))
-            if held:
-                parts.append(np.unique(np.concatenate(held), return_counts=True))
+            for some in chunks((x.as_py() or b"" for x in batch.column(0)), len, 4 << 20):
+                parts.append(np.unique(np.concatenate([ngrams_of(text, n) for text in some]), return_counts=True))
             if sum(len(g) for g, _ in parts) > 4_000_000:
                 parts = [table(parts)]
                 if len(parts[0][0]) > 2_000_000:
@@ -137,7 +135,9 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
         import pyarrow as pa
 
         for number, rows in _blocks(batches, block_bytes):
-            grams = np.unique(np.concatenate([ngrams_of(text, n) for *_, text in rows]))
+            grams = np.empty(0, np.int64)
+            for some in chunks((text for *_, text in rows), len, 4 << 20):
+                grams = np.union1d(grams, np.unique(np.concatenate([ngrams_of(text, n) for text in some])))
             for i in range(0, len(grams), 100_000):
                 some = grams[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number, np.int64)), pa.array(some)], ["block", "gram"])
@@ -163,10 +163,10 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
             for k in range(batch.num_rows):
                 ids, hashes, langs, lengths = (batch.column(c)[k].values for c in range(4))
                 data = z.decompress(batch.column(4)[k].as_py()) if sum(lengths.to_pylist()) else b""
-                answers = batch.column(5)[k].values
-                grams = answers.field(0).to_numpy() if answers is not None else np.empty(0, np.int64)
+                grams, logp = (batch.column(c)[k].values for c in (5, 6))
+                grams, logp = (x.to_numpy() if x is not None else np.empty(0, np.int64) for x in (grams, logp))
                 order = np.argsort(grams)
-                grams, logp = grams[order], (answers.field(1).to_numpy()[order].astype(float) if len(order) else None)
+                grams, logp = grams[order], logp[order].astype(float)
                 at, bits = 0, []
                 for m in lengths.to_pylist():
                     if not m:
@@ -184,9 +184,9 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
     counts = cut(trusted_counts(docs, labels, n), "counts")
     asked = cut(rows.mapInArrow(ask, "block long, gram long"), "asked")
     known = probabilities(counts, asked.select("gram").distinct(), n)
-    answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("answers"))
+    answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
     packed = rows.mapInArrow(pack, PACK)
-    return packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "answers").mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double")
+    return packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "grams", "logps").mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double")
 
 
 def thresholds(scores: DataFrame, reach: float) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Every document is cut into runs of consecutive windows that share a minimiser (the least hash among the
 window's word triples). A run travels to its minimiser's bucket as one packed string, so equal windows
-meet there. Within an Arrow batch equal runs are stored once and only the smallest document's place goes
+meet there. Within a batch of BATCH_BYTES of text equal runs are stored once and only the smallest document's place goes
 along: for the others the answer is known at once. In a bucket the windows are sorted by hash, and those
 that meet in several documents are compared word for word; the answers, as word intervals, go back to
 their documents. A passage with any number of copies costs a bucket one run for each batch that has it.
 
-A bucket's memory follows the input divided by `buckets`, which by default is twice the session's number
-of shuffle partitions.
+A bucket's memory follows the input divided by `buckets`, which by default is four times the session's
+number of shuffle partitions. A text is told from others with the same doc_id by 31 bits of its hash.
 
 Defined cases: a null text has no words; documents with fewer than `size` words keep all; rows with the
 same doc_id count as one document, so they do not remove each other's words; a null doc_id ranks after all
@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import text_hash
-from siltbed.llm.tokens import WordHashes, runs_of
+from siltbed.llm.tokens import WordHashes, chunks, runs_of
 
 LAST = (1 << 63) - 1
 TRIPLE = 3
-PACKED = "bucket long, docs array<long>, hashes array<long>, starts array<int>, ends array<int>, texts binary"
-ANSWER = "id long, th long, starts array<int>, ends array<int>"
+BATCH_BYTES = 12 << 20
+PACKED = "bucket long, places binary, texts binary"
+ANSWER = "id long, th int, starts array<int>, ends array<int>"
 
 
 def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None) -> DataFrame:
@@ -36,71 +37,81 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
     a smaller doc_id.
     """
     spark = docs.sparkSession
-    n_buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def squeezed(z, found):
+        """Places of runs [(doc, [(th, start)])] as one compressed string: number of places of each run, then their columns."""
+        import numpy as np
+
+        counts = np.array([len(places) for _, places in found], np.int32)
+        docs_ = np.repeat(np.array([doc for doc, _ in found], np.int64), counts)
+        th, start = np.array([p for _, places in found for p in places], np.int32).reshape(-1, 2).T
+        return z.compress(np.int32(len(counts)).tobytes() + counts.tobytes() + np.diff(docs_, prepend=np.int64(0)).tobytes() + th.tobytes() + start.tobytes())
+
+    def spread(z, data):
+        """The reverse: (run of each place, doc, th, start)."""
+        import numpy as np
+
+        data = z.decompress(data)
+        n = int(np.frombuffer(data, np.int32, 1)[0])
+        counts = np.frombuffer(data, np.int32, n, 4)
+        m, at = int(counts.sum()), 4 + 4 * n
+        docs_ = np.cumsum(np.frombuffer(data, np.int64, m, at))
+        return np.repeat(np.arange(n), counts), docs_, np.frombuffer(data, np.int32, m, at + 8 * m), np.frombuffer(data, np.int32, m, at + 12 * m)
 
     def packed(rows):
         import pyarrow as pa
 
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-        names = ["bucket", "docs", "hashes", "starts", "ends", "texts"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.binary(), pa.binary()])], ["bucket", "places", "texts"])
 
     def cut_runs(batches):
         import numpy as np
         import zstandard
 
         hashes = WordHashes()
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        z = zstandard.ZstdCompressor(level=3)
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (b" ".join((t.as_py() or b"").split()) for t in b.column(2))))
+        for batch in chunks(rows, lambda r: len(r[2]), BATCH_BYTES):
             runs: dict[bytes, list] = {}  # text -> [bucket, doc, [(th, start)]] of the smallest doc
             known: dict[tuple, list] = {}  # (doc, th) -> [(start, end)]
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = (text.as_py() or b"").split()
-                if len(words) < size:
-                    continue
-                doc = LAST if doc is None else doc
-                joined = b" ".join(words)
-                at = np.zeros(len(words) + 1, np.int64)
-                np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-                triples = runs_of(hashes.of(words), TRIPLE)
-                seen = np.lib.stride_tricks.sliding_window_view(triples, size - TRIPLE + 1)
-                least = seen.argmin(axis=1) + np.arange(len(seen))
-                first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                ends = np.r_[first[1:], len(least)] + size - 1
-                for a, b, s, e, bucket in zip(first.tolist(), ends.tolist(), at[first].tolist(), (at[ends] - 1).tolist(), (triples[least[first]] % np.uint64(n_buckets)).tolist()):
-                    run = joined[s:e]
-                    was = runs.get(run)
-                    if was is None:
-                        runs[run] = [bucket, doc, [(th, a)]]
-                    elif was[1] == doc:
-                        was[2].append((th, a))
-                    elif was[1] < doc:
-                        known.setdefault((doc, th), []).append((a, b))
-                    else:
-                        for th_, a_ in was[2]:
-                            known.setdefault((was[1], th_), []).append((a_, a_ + b - a))
-                        was[1:] = [doc, [(th, a)]]
+            for some in chunks(batch, lambda r: len(r[2])):
+                words, first, joined, start, end = hashes.placed([r[2] for r in some])
+                triples = runs_of(words, TRIPLE)
+                for (doc, th, _), w0, w1 in zip(some, first[:-1].tolist(), first[1:].tolist()):
+                    if w1 - w0 < size:
+                        continue
+                    doc = LAST if doc is None else doc
+                    mine = triples[w0 : w1 - TRIPLE + 1]
+                    seen = np.lib.stride_tricks.sliding_window_view(mine, size - TRIPLE + 1)
+                    least = seen.argmin(axis=1) + np.arange(len(seen))
+                    a_ = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                    b_ = np.r_[a_[1:], len(least)] + size - 1
+                    for a, b, s, e, bucket in zip(a_.tolist(), b_.tolist(), start[w0 + a_].tolist(), end[w0 + b_ - 1].tolist(), (mine[least[a_]] % np.uint64(n_buckets)).tolist()):
+                        run = joined[s:e]
+                        was = runs.get(run)
+                        if was is None:
+                            runs[run] = [bucket, doc, [(th, a)]]
+                        elif was[1] == doc:
+                            was[2].append((th, a))
+                        elif was[1] < doc:
+                            known.setdefault((doc, th), []).append((a, b))
+                        else:
+                            for th_, at in was[2]:
+                                known.setdefault((was[1], th_), []).append((at, at + b - a))
+                            was[1:] = [doc, [(th, a)]]
             by_bucket: dict[int, list] = {}
             for run, (bucket, doc, places) in runs.items():
                 by_bucket.setdefault(bucket, []).append((run, doc, places))
             rows = []
             for bucket, found in by_bucket.items():
-                row = (bucket, [], [], [], [], pack.compress(b"\n".join(x[0] for x in found)))
-                for k, (_, doc, places) in enumerate(found):
-                    for th, a in places:
-                        row[1].append(doc)
-                        row[2].append(th)
-                        row[3].append(a)
-                        row[4].append(k)
-                rows.append(row)
+                rows.append((bucket, squeezed(z, [x[1:] for x in found]), z.compress(b"\n".join(x[0] for x in found))))
                 if len(rows) >= 64:
                     yield packed(rows)
                     rows = []
-            for k, ((doc, th), places) in enumerate(known.items()):
-                rows.append((-1 - k % n_buckets, [doc], [th], [a for a, _ in places], [b for _, b in places], None))
-                if len(rows) >= 5000:
-                    yield packed(rows)
-                    rows = []
+            known_rows = list(known.items())
+            for i in range(0, len(known_rows), 5000):  # starts and ends of one document travel as the places of two runs
+                some = known_rows[i : i + 5000]
+                rows.append((-1 - i // 5000 % n_buckets, squeezed(z, [(doc, [(th, x) for span in spans for x in span]) for (doc, th), spans in some]), None))
             if rows:
                 yield packed(rows)
 
@@ -110,79 +121,70 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
         import zstandard
 
         hashes = WordHashes()
-        unpack = zstandard.ZstdDecompressor()
+        z = zstandard.ZstdDecompressor()
 
         def answers(rows):
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["id", "th", "starts", "ends"])
-
-        def solve(texts, run_doc, places):
-            """texts: runs; run_doc: the document of each; places: (run, th, start)."""
-            words, owner = [], []
-            for k, run in enumerate(texts):
-                w = run.split(b" ")
-                words += w
-                owner.append(len(w))
-            owner = np.repeat(np.arange(len(texts)), owner)
-            windows = runs_of(hashes.of(words), size)
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            for i in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000]), types)], ["id", "th", "starts", "ends"])
+
+        def solve(texts, places):
+            """texts: strings of newline-separated runs; places: (run, doc, th, start) arrays of each string."""
+            base = np.cumsum([0, *(t.count(b"\n") + 1 for t in texts)])
+            run = np.concatenate([p[0] + b for p, b in zip(places, base)])
+            doc, th, begin = (np.concatenate([p[k] for p in places]) for k in (1, 2, 3))
+            first_place = np.searchsorted(run, np.arange(base[-1]))
+            run_doc = doc[first_place]
+            words, _, joined, start, end = hashes.placed([b"\n".join(texts)])
+            breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+            owner = np.searchsorted(breaks, start)
+            windows = runs_of(words, size)
             inside = np.flatnonzero(owner[: len(windows)] == owner[size - 1 :])
-            docs_of = np.array(run_doc, np.int64)[owner[inside]]
+            docs_of = run_doc[owner[inside]]
             order = np.lexsort((docs_of, windows[inside]))
             h, d = windows[inside][order], docs_of[order]
-            head = np.r_[True, h[1:] != h[:-1]]
-            group = np.cumsum(head) - 1
-            differs = d != d[np.flatnonzero(head)][group]
-            shared = np.zeros(group[-1] + 1, bool)
-            shared[group[differs]] = True
-            picked = np.flatnonzero(shared[group])
+            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            count = np.diff(np.r_[head, len(h)])
+            shared = np.repeat(np.maximum.reduceat(d, head) != d[head], count)
+            at = inside[order[shared]]
+            del windows, inside, docs_of, order, h, d, shared
             least: dict[bytes, int] = {}
-            keys = []
-            for i in inside[order[picked]].tolist():
-                key = b" ".join(words[i : i + size])
-                keys.append(key)
-                doc = run_doc[owner[i]]
-                if least.setdefault(key, doc) > doc:
-                    least[key] = doc
-            gone = [i for i, key in zip(inside[order[picked]].tolist(), keys) if least[key] < run_doc[owner[i]]]
-            if not gone:
+            keys = [joined[s:e] for s, e in zip(start[at].tolist(), end[at + size - 1].tolist())]
+            its = run_doc[owner[at]].tolist()
+            for key, doc_ in zip(keys, its):
+                if least.setdefault(key, doc_) > doc_:
+                    least[key] = doc_
+            gone = np.sort(at[np.fromiter((least[key] < doc_ for key, doc_ in zip(keys, its)), bool, len(keys))])
+            if not len(gone):
                 return
-            gone = np.sort(np.array(gone))
             cuts = np.flatnonzero(np.r_[True, (np.diff(gone) != 1) | (owner[gone[1:]] != owner[gone[:-1]])])
-            start_of = np.searchsorted(owner, np.arange(len(texts)))
+            a, b = gone[cuts], gone[np.r_[cuts[1:] - 1, len(gone) - 1]]
+            run_start = np.searchsorted(owner, np.arange(base[-1]))
             spans: dict[int, list] = {}
-            for a, b in zip(gone[cuts].tolist(), gone[np.r_[cuts[1:] - 1, len(gone) - 1]].tolist()):
-                k = int(owner[a])
-                spans.setdefault(k, []).append((a - int(start_of[k]), b - int(start_of[k]) + size))
+            for k, x, y in zip(owner[a].tolist(), (a - run_start[owner[a]]).tolist(), (b - run_start[owner[a]] + size).tolist()):
+                spans.setdefault(k, []).append((x, y))
             found: dict[tuple, list] = {}
-            for k, th, start in places:
-                for a, b in spans.get(k, ()):
-                    found.setdefault((run_doc[k], th), []).append((start + a, start + b))
-            rows = [(doc, th, [a for a, _ in x], [b for _, b in x]) for (doc, th), x in found.items()]
-            for i in range(0, len(rows), 5000):
-                yield answers(rows[i : i + 5000])
+            for p in np.flatnonzero(np.isin(run, np.fromiter(spans, np.int64))).tolist():
+                found.setdefault((int(doc[p]), int(th[p])), []).extend((int(begin[p]) + x, int(begin[p]) + y) for x, y in spans[int(run[p])])
+            yield from answers([(*key, [x for x, _ in s], [y for _, y in s]) for key, s in found.items()])
 
-        now, texts, run_doc, places = None, [], [], []
+        now, texts, places = None, [], []
         for batch in batches:
-            passed = []
-            for r in batch.to_pylist():
-                if r["bucket"] < 0:
-                    passed.append((r["docs"][0], r["hashes"][0], r["starts"], r["ends"]))
+            for bucket, where, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if bucket < 0:
+                    known: dict[tuple, list] = {}
+                    for _, doc, th, x in zip(*(c.tolist() for c in spread(z, where.as_py()))):
+                        known.setdefault((doc, th), []).append(x)
+                    yield from answers([(*key, x[0::2], x[1::2]) for key, x in known.items()])
                     continue
-                if r["bucket"] != now:
+                if bucket != now:
                     if texts:
-                        yield from solve(texts, run_doc, places)
-                    now, texts, run_doc, places = r["bucket"], [], [], []
-                base = len(texts)
-                new = unpack.decompress(r["texts"]).split(b"\n")
-                texts += new
-                run_doc += [0] * len(new)
-                for doc, th, start, k in zip(r["docs"], r["hashes"], r["starts"], r["ends"]):
-                    run_doc[base + k] = doc
-                    places.append((base + k, th, start))
-            if passed:
-                yield answers(passed)
+                        yield from solve(texts, places)
+                    now, texts, places = bucket, [], []
+                texts.append(z.decompress(text.as_py()))
+                places.append(spread(z, where.as_py()))
         if texts:
-            yield from solve(texts, run_doc, places)
+            yield from solve(texts, places)
 
     def digest(batches):
         import hashlib
@@ -204,9 +206,9 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("th"), F.col("text").cast("binary").alias("text"))
-    packed_runs = rows.select("doc_id", "th", "text").mapInArrow(cut_runs, PACKED)
-    found = packed_runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_windows, ANSWER)
+    th = text_hash(F.col("text")).bitwiseAND(0x7FFFFFFF).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long"), th.alias("th"), F.col("text").cast("binary").alias("text"))
+    found = rows.mapInArrow(cut_runs, PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_windows, ANSWER)
     by_row = found.groupBy("id", "th").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     whole = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).join(by_row.hint("shuffle_hash"), ["id", "th"], "left")
     return whole.select("doc_id", "text", "starts", "ends").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
