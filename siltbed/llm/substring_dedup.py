@@ -135,10 +135,16 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
             doc, th, begin = (np.concatenate([p[k] for p in places]) for k in (1, 2, 3))
             first_place = np.searchsorted(run, np.arange(base[-1]))
             run_doc = doc[first_place]
-            words, _, joined, start, end = hashes.placed([b"\n".join(texts)])
-            breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
-            owner = np.searchsorted(breaks, start)
+            parts, offset = [], 0
+            for some in chunks(zip(texts, base.tolist()), lambda x: len(x[0])):  # what hashing needs is many times the text
+                words, _, joined, start, end = hashes.placed([b"\n".join(text for text, _ in some)])
+                breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+                parts.append((words, np.searchsorted(breaks, start) + some[0][1], start + offset, end + offset))
+                offset += len(joined)
+            words, owner, start, end = (np.concatenate(c) for c in zip(*parts))
+            joined = b"\n".join(texts)
             windows = runs_of(words, size)
+            del parts, words
             inside = np.flatnonzero(owner[: len(windows)] == owner[size - 1 :])
             docs_of = run_doc[owner[inside]]
             order = np.lexsort((docs_of, windows[inside]))
