@@ -11,12 +11,14 @@ block's texts, packed, meet them. What moves is thus the packed text, once, and
 n-grams. Blocks are made twice, from the same scan: docs must be read from files (a block whose
 answers do not fit stops the job).
 
-A language's threshold comes from its quantiles over all documents: the third quartile of bits a byte,
-plus `reach` times its distance from the median. A text of m bytes is allowed SHORT / sqrt(m) bits
+A language's threshold comes from trusted documents only, so junk cannot move it however much there is:
+the trusted texts with a hash of one in HELD_OUT are kept out of the model, and the third quartile of their bits
+a byte, plus `reach` times its distance from the median, is the limit. A language with fewer than FEW of
+them takes the limit of all languages' together. A text of m bytes is allowed SHORT / sqrt(m) bits
 more, since a short text's mean is noisy; so nothing is rejected for being short.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a null lang is a
-language of its own; without trusted text nothing is rejected for its perplexity; labels with null or
+language of its own; with fewer than LEAST trusted texts held out nothing is rejected for its perplexity; labels with null or
 repeated ids count once; a null doc_id is kept and never trusted; rows equal in doc_id and text get
 equal results; an empty table gives no rows; further columns are ignored by classify and returned by
 accepted_rows as they are.
@@ -35,6 +37,7 @@ ORDER = 5
 BLOCK_BYTES = 32 << 20
 SHORT = 8.0
 IDS_TO_BROADCAST = 2_000_000
+HELD_OUT, FEW, LEAST = 4, 50, 8
 PACK = "block long, ids array<long>, hashes array<long>, langs array<string>, lengths array<int>, texts binary"
 
 
@@ -66,11 +69,18 @@ def _blocks(batches, block_bytes: int):
         yield number, rows
 
 
-def trusted_counts(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """(gram, c): n-gram counts over all trusted documents."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    if ids.count() <= IDS_TO_BROADCAST:
-        ids = F.broadcast(ids)
+    return F.broadcast(ids) if ids.count() <= IDS_TO_BROADCAST else ids
+
+
+def held_out(th: str, one_in: int):
+    """Whether a text, and so all its copies, stays out of the model; one_in = 0: none does."""
+    return F.pmod(F.col(th), F.lit(one_in)) == 0 if one_in else F.lit(False)
+
+
+def trusted_counts(docs: DataFrame, labels: DataFrame, n: int, one_in: int = 0) -> DataFrame:
+    """(gram, c): n-gram counts over all trusted documents but those held out."""
 
     def count(batches):
         import numpy as np
@@ -93,7 +103,7 @@ def trusted_counts(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
             grams, counts = table(parts)
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts)], ["gram", "c"])
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi").select("text")
+    texts = docs.select("doc_id", text_hash(F.col("text")).alias("th"), F.col("text").cast("binary").alias("text")).where(~held_out("th", one_in)).join(trusted_ids(labels), "doc_id", "left_semi").select("text")
     return texts.mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
@@ -127,7 +137,7 @@ def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.select(F.col("shorter").alias("gram"), F.log2("p").cast("float").alias("logp"))
 
 
-def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_bytes: int = BLOCK_BYTES, one_in: int = 0) -> DataFrame:
     """(doc_id, th, lang, n_bytes, bits): bits a byte under the trusted model; null for empty texts."""
 
     def ask(batches):
@@ -181,7 +191,7 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), hashes, langs, lengths.cast(pa.int64()), pa.array(bits, pa.float64())], ["doc_id", "th", "lang", "n_bytes", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
-    counts = cut(trusted_counts(docs, labels, n), "counts")
+    counts = cut(trusted_counts(docs, labels, n, one_in), "counts")
     asked = cut(rows.mapInArrow(ask, "block long, gram long"), "asked")
     known = probabilities(counts, asked.select("gram").distinct(), n)
     answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
@@ -189,26 +199,40 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
     return packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "grams", "logps").mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double")
 
 
+def language():
+    """The name of a row's language, which differs for null and any text."""
+    return F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("language")
+
+
 def thresholds(scores: DataFrame, reach: float) -> DataFrame:
-    """(language, most): the bits a byte that a document of the language may need.
+    """(language, most): the bits a byte that a document of the language may need; language null: of any other language.
 
+    scores are those of the trusted texts held out; copies of a text count once.
     Quantiles are exact on a grid of 1/1000 bit: the grid points of a language are few whatever the input.
     """
-    language = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("language")
-    grid = scores.where("bits is not null").groupBy(language, F.round(F.col("bits") * 1000).cast("long").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    one = scores.where("bits is not null").select(language(), "th", F.round(F.col("bits") * 1000).cast("long").alias("g")).distinct()
+    grid = one.groupBy("language", "g").agg(F.count(F.lit(1)).alias("n"))
+    grid = grid.union(grid.groupBy(F.lit(None).cast("string").alias("language"), "g").agg(F.sum("n").alias("n")))
     all_of = W.partitionBy("language")
     run = grid.select("language", "g", F.sum("n").over(all_of.orderBy("g")).alias("upto"), F.sum("n").over(all_of).alias("total"))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("g")))
-    q = run.groupBy("language").agg(at(0.5).alias("q2"), at(0.75).alias("q3"))
+    q = run.groupBy("language").agg(at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("total").alias("total"))
+    q = q.where(F.col("total") >= F.when(F.col("language").isNull(), LEAST).otherwise(FEW))
     return q.select("language", ((F.col("q3") + reach * (F.col("q3") - F.col("q2")) + 50) / 1000).alias("most"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, reach: float = 6.0, n: int = ORDER) -> DataFrame:
     """A row for each document: doc_id, th (hash of its text), lang, n_bytes, perplexity (a byte), threshold, kept."""
-    scores = cut(log_perplexities(docs, labels, n), "scores")
-    out = scores.withColumn("language", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).join(thresholds(scores, reach), "language", "left")
-    most = F.col("most") + SHORT / F.sqrt("n_bytes")
-    kept = F.coalesce(F.col("bits") <= most, F.lit(False))
+    scores = cut(log_perplexities(docs, labels, n, one_in=HELD_OUT), "scores")
+    limits = {r.language: r.most for r in thresholds(scores.where(held_out("th", HELD_OUT)).join(trusted_ids(labels), "doc_id", "left_semi"), reach).collect()}  # a row for each language
+    most = F.lit(limits.pop(None, None)).cast("double")
+    out = scores
+    if limits:
+        own = docs.sparkSession.createDataFrame(list(limits.items()), "language string, own double")
+        out = scores.withColumn("language", language()).join(F.broadcast(own), "language", "left")
+        most = F.coalesce("own", most)
+    most = most + SHORT / F.sqrt("n_bytes")
+    kept = F.col("bits").isNotNull() & F.coalesce(F.col("bits") <= most, F.lit(True))
     power = lambda c: F.round(F.pow(F.lit(2.0), c), 6)
     return out.select("doc_id", "th", "lang", "n_bytes", power("bits").alias("perplexity"), power(F.when(F.col("n_bytes") > 0, most)).alias("threshold"), kept.alias("kept"))
 

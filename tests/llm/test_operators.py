@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import fixtures
 import pytest
+from pyspark.sql import functions as F
 
 from siltbed.llm import jaccard_join, line_dedup, media_columns, packing, quality_classifier, quality_rules, queries, secret_scan, source_mixing, substring_dedup, url_filter
 
@@ -172,6 +173,26 @@ def test_classifier_holds_out(spark):
     assert sum(r.kept for r in junk) <= 0.05 * len(junk) and sum(r.kept for r in clean) >= 0.97 * len(clean)
 
 
+def test_classifier_is_not_swamped_by_junk(spark, tmp_path):
+    """More than a third of a language, and all but 3 documents of another, are junk."""
+    import random
+
+    rnd = random.Random(3)
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{folder}/labels.parquet")
+    planted = [(100_000 + i, " ".join("".join(rnd.choice("#*$%&~^|=") for _ in range(6)) for _ in range(100)), "de" if i % 2 else "xx") for i in range(300)]
+    clean = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    small = clean.where("length(text) > 500 and lang = 'en'").orderBy("doc_id").limit(3).select(F.col("doc_id") + 200_000, "text", F.lit("xx"))
+    docs.union(small).union(spark.createDataFrame(planted, docs.schema)).repartition(3, "doc_id").write.parquet(f"{tmp_path}/d")
+    out = quality_classifier.classify(spark.read.parquet(f"{tmp_path}/d"), labels)
+    kept = {(r.doc_id): r.kept for r in out.collect()}
+    share = sum(kept[d] for d, *_ in planted) / len(planted)
+    assert share == 0, share
+    good = [r.doc_id for r in clean.select("doc_id").distinct().collect()]
+    assert sum(kept[d] for d in good) >= 0.97 * len(good)
+    assert all(kept[d] for d in kept if d >= 200_000)
+
+
 # 4
 
 
