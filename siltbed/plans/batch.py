@@ -561,7 +561,7 @@ def _streamed(spark, d, plan, schema: str, mode: str, name: str) -> DataFrame:
 
     from siltbed.streaming import live
 
-    events = live.event_stream(spark, f"{d}/events.parquet*", spark.read.parquet(f"{d}/events.parquet").schema)
+    events = live.event_stream(spark, f"{d}/events.parquet*", spark.read.parquet(f"{d}/events.parquet").schema, None)
     sink = f"stream_{name}_{uuid.uuid4().hex[:8]}"
     run = plan(events).writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True).start()
     run.awaitTermination()
@@ -579,11 +579,11 @@ def stream_counters(spark, d):
 def stream_rate_limit(spark, d):
     from siltbed.streaming import live
 
-    return _streamed(spark, d, lambda e: live.per_window(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 hour", "1 hour", 1), "", "append", "limit")
+    return _streamed(spark, d, lambda e: live.per_window(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 hour", None, 1), "", "complete", "limit")
 
 
 @query
 def stream_sessions(spark, d):
     from siltbed.streaming import live
 
-    return _streamed(spark, d, lambda e: live.sessions(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "7200 seconds", "1 hour"), "", "append", "sessions")
+    return _streamed(spark, d, lambda e: live.sessions(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "7200 seconds", None), "", "complete", "sessions")

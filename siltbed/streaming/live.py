@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, folder: str, schema, files_at_once: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, schema, files_at_once: int | None = 1) -> DataFrame:
+    """files_at_once None: all files that there are, in one trigger."""
+    stream = spark.readStream.schema(schema)
+    return (stream.option("maxFilesPerTrigger", files_at_once) if files_at_once else stream).parquet(folder)
+
+
+def _bounded(events: DataFrame, ts: str, late: str | None) -> DataFrame:
+    return events.withWatermark(ts, late) if late else events
 
 
 def counters(events: DataFrame, *labels: str, value: str) -> DataFrame:
@@ -19,15 +25,19 @@ def counters(events: DataFrame, *labels: str, value: str) -> DataFrame:
     return events.groupBy(*labels).agg(F.count(F.lit(1)).alias("events"), F.sum(value).alias("total"))
 
 
-def per_window(events: DataFrame, key: str, ts: str, width: str, late: str, limit: int) -> DataFrame:
-    """Calls of each key in fixed windows, and how many are over the limit; append mode, late events bounded by a watermark."""
-    calls = events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("calls"))
+def per_window(events: DataFrame, key: str, ts: str, width: str, late: str | None, limit: int) -> DataFrame:
+    """Calls of each key in fixed windows, and how many are over the limit.
+
+    Append mode gives the windows that the watermark has closed, and drops later events; with late None no event
+    is dropped and no window left open: write that in complete mode.
+    """
+    calls = _bounded(events, ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("calls"))
     return calls.select(key, F.col("window.start").alias("start"), "calls", F.greatest(F.col("calls") - limit, F.lit(0)).alias("rejected"))
 
 
-def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
-    """Sessions that end after `gap` without an event; append mode."""
-    grouped = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("events"))
+def sessions(events: DataFrame, key: str, ts: str, gap: str, late: str | None) -> DataFrame:
+    """Sessions that end after `gap` without an event; late and modes as in per_window."""
+    grouped = _bounded(events, ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("events"))
     return grouped.select(key, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "events")
 
 
