@@ -11,9 +11,11 @@ block's texts, packed, meet them. What moves is thus the packed text, once, and
 n-grams. Blocks are made twice, from the same scan: docs must be read from files (a block whose
 answers do not fit stops the job).
 
+Text that repeats itself is cheap under the model, so what is judged is a text's cost: its bits a byte over
+the share of its windows of WINDOW bytes that are distinct (1 for a text that never repeats so much).
+
 A language's threshold comes from trusted documents only, so junk cannot move it however much there is:
-the trusted texts with a hash of one in HELD_OUT are kept out of the model, and the third quartile of their bits
-a byte, plus `reach` times its distance from the median, is the limit. A language with fewer than FEW of
+the trusted texts with a hash of one in HELD_OUT are kept out of the model, and the third quartile of their costs, plus `reach` times its distance from the median, is the limit. A language with fewer than FEW of
 them takes the limit of all languages' together. A text of m bytes is allowed SHORT / sqrt(m) bits
 more, since a short text's mean is noisy; so nothing is rejected for being short.
 
@@ -31,13 +33,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import cut, text_hash
-from siltbed.llm.tokens import chunks
+from siltbed.llm.tokens import chunks, scramble
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20
 SHORT = 8.0
 IDS_TO_BROADCAST = 2_000_000
 HELD_OUT, FEW, LEAST = 4, 50, 8
+WINDOW = 16
 PACK = "block long, ids array<long>, hashes array<long>, langs array<string>, lengths array<int>, texts binary"
 
 
@@ -52,6 +55,14 @@ def ngrams_of(data, n: int):
     return out
 
 
+def fresh_share(eights) -> float:
+    """Share of distinct ones among a text's windows of WINDOW bytes, from the 8-grams that end at its bytes; 1 if it has none."""
+    import numpy as np
+
+    windows = np.sort(scramble(eights[WINDOW - 1 :].view(np.uint64)) + eights[WINDOW - 9 : -8].view(np.uint64))
+    return (1 + int((windows[1:] != windows[:-1]).sum())) / len(windows) if len(windows) else 1.0
+
+
 def _blocks(batches, block_bytes: int):
     """Lists of (id, th, lang, text) of block_bytes or more of text, each with its block's number."""
     from pyspark import TaskContext
@@ -138,7 +149,7 @@ def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_bytes: int = BLOCK_BYTES, one_in: int = 0) -> DataFrame:
-    """(doc_id, th, lang, n_bytes, bits): bits a byte under the trusted model; null for empty texts."""
+    """(doc_id, th, lang, n_bytes, bits, fresh): bits a byte under the trusted model, and fresh_share; null for empty texts."""
 
     def ask(batches):
         import numpy as np
@@ -177,18 +188,20 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
                 grams, logp = (x.to_numpy() if x is not None else np.empty(0, np.int64) for x in (grams, logp))
                 order = np.argsort(grams)
                 grams, logp = grams[order], logp[order].astype(float)
-                at, bits = 0, []
+                at, bits, fresh = 0, [], []
                 for m in lengths.to_pylist():
                     if not m:
                         bits.append(None)
+                        fresh.append(None)
                         continue
                     mine = ngrams_of(data[at : at + m], n)
                     place = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
                     if not (grams[place] == mine).all():
                         raise ValueError("a block's answers do not fit its texts: read docs from files")
                     bits.append(-float(logp[place].mean()))
+                    fresh.append(fresh_share(ngrams_of(data[at : at + m], 8)))
                     at += m
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), hashes, langs, lengths.cast(pa.int64()), pa.array(bits, pa.float64())], ["doc_id", "th", "lang", "n_bytes", "bits"])
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), hashes, langs, lengths.cast(pa.int64()), pa.array(bits, pa.float64()), pa.array(fresh, pa.float64())], ["doc_id", "th", "lang", "n_bytes", "bits", "fresh"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
     counts = cut(trusted_counts(docs, labels, n, one_in), "counts")
@@ -196,7 +209,7 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
     known = probabilities(counts, asked.select("gram").distinct(), n)
     answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
     packed = rows.mapInArrow(pack, PACK)
-    return packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "grams", "logps").mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double")
+    return packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "grams", "logps").mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double, fresh double")
 
 
 def language():
@@ -205,12 +218,12 @@ def language():
 
 
 def thresholds(scores: DataFrame, reach: float) -> DataFrame:
-    """(language, most): the bits a byte that a document of the language may need; language null: of any other language.
+    """(language, most): the cost that a document of the language may have; language null: of any other language.
 
     scores are those of the trusted texts held out; copies of a text count once.
     Quantiles are exact on a grid of 1/1000 bit: the grid points of a language are few whatever the input.
     """
-    one = scores.where("bits is not null").select(language(), "th", F.round(F.col("bits") * 1000).cast("long").alias("g")).distinct()
+    one = scores.where("bits is not null").select(language(), "th", F.round(F.col("bits") / F.col("fresh") * 1000).cast("long").alias("g")).distinct()
     grid = one.groupBy("language", "g").agg(F.count(F.lit(1)).alias("n"))
     grid = grid.union(grid.groupBy(F.lit(None).cast("string").alias("language"), "g").agg(F.sum("n").alias("n")))
     all_of = W.partitionBy("language")
@@ -222,7 +235,10 @@ def thresholds(scores: DataFrame, reach: float) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, reach: float = 6.0, n: int = ORDER) -> DataFrame:
-    """A row for each document: doc_id, th (hash of its text), lang, n_bytes, perplexity (a byte), threshold, kept."""
+    """A row for each document: doc_id, th (hash of its text), lang, n_bytes, perplexity (a byte), threshold, kept.
+
+    The threshold is the perplexity that the document may have, given how much of it repeats.
+    """
     scores = cut(log_perplexities(docs, labels, n, one_in=HELD_OUT), "scores")
     limits = {r.language: r.most for r in thresholds(scores.where(held_out("th", HELD_OUT)).join(trusted_ids(labels), "doc_id", "left_semi"), reach).collect()}  # a row for each language
     most = F.lit(limits.pop(None, None)).cast("double")
@@ -231,7 +247,7 @@ def classify(docs: DataFrame, labels: DataFrame, reach: float = 6.0, n: int = OR
         own = docs.sparkSession.createDataFrame(list(limits.items()), "language string, own double")
         out = scores.withColumn("language", language()).join(F.broadcast(own), "language", "left")
         most = F.coalesce("own", most)
-    most = most + SHORT / F.sqrt("n_bytes")
+    most = (most + SHORT / F.sqrt("n_bytes")) * F.col("fresh")
     kept = F.col("bits").isNotNull() & F.coalesce(F.col("bits") <= most, F.lit(True))
     power = lambda c: F.round(F.pow(F.lit(2.0), c), 6)
     return out.select("doc_id", "th", "lang", "n_bytes", power("bits").alias("perplexity"), power(F.when(F.col("n_bytes") > 0, most)).alias("threshold"), kept.alias("kept"))

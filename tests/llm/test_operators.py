@@ -173,6 +173,19 @@ def test_classifier_holds_out(spark):
     assert sum(r.kept for r in junk) <= 0.05 * len(junk) and sum(r.kept for r in clean) >= 0.97 * len(clean)
 
 
+def test_classifier_rejects_bad_and_repeating_text(spark, tmp_path):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    planted = [(100_000 + i, " ".join([w] * k), "en") for i, (w, k) in enumerate((w, k) for w in ("The", "Thsh", "the and") for k in (30, 100, 400))]
+    docs.union(spark.createDataFrame(planted, docs.schema)).repartition(3, "doc_id").write.parquet(f"{tmp_path}/d")
+    kept = {r.doc_id: r.kept for r in quality_classifier.classify(spark.read.parquet(f"{tmp_path}/d"), labels).collect()}
+    assert sum(kept[d] for d, *_ in planted) == 0
+    of = lambda where: [kept[r.doc_id] for r in labels.where(where).select("doc_id").distinct().collect() if r.doc_id in kept]
+    bad, good = of("quality = 0"), of("quality = 1")
+    assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.99 * len(good), (sum(bad), len(bad), sum(good), len(good))
+
+
 def test_classifier_is_not_swamped_by_junk(spark, tmp_path):
     """More than a third of a language, and all but 3 documents of another, are junk."""
     import random
