@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import cut, documents
-from siltbed.llm.jaccard_join import link_documents
+from siltbed.llm.common import WORD, cut, documents
+from siltbed.llm.jaccard_join import link_texts, node
 from siltbed.llm.line_dedup import dedup_rows
 from siltbed.llm.packing import pack
 from siltbed.llm.quality_classifier import accepted_rows
@@ -30,14 +30,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without a doc_id stay."""
-    linked = link_documents(docs)
-    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    of_id = W.partitionBy("id").orderBy(F.xxhash64("row"))
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
-    named = d.where("id is not null").join(gone.select(F.col("doc_id").alias("id")).hint("shuffle_hash"), "id", "left_anti")
-    one = named.withColumn("k", F.row_number().over(of_id)).where("k = 1").select("row.*")
-    return one.union(d.where("id is null").select("row.*"))
+    """Of each group of linked rows the one with the smallest doc_id stays, null last; of rows equal in doc_id and text one.
+
+    Rows with a null doc_id and no words stay: nothing links them.
+    """
+    summary, linked = link_texts(docs)
+    named = cut(linked.join(summary.select(F.col("doc").alias("node"), "doc_id").distinct(), "node"), "linked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
+    best = named.groupBy("component").agg(first).select(F.col("first.node").alias("node"))
+    gone = named.select("node").join(best, "node", "left_anti").hint("shuffle_hash")
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    d = docs.select(F.struct(*docs.columns).alias("row"), node().alias("node"), loose.alias("loose"))
+    of_node = W.partitionBy("node").orderBy(F.xxhash64("row"))
+    one = d.where("not loose").join(gone, "node", "left_anti").withColumn("k", F.row_number().over(of_node)).where("k = 1").select("row.*")
+    return one.union(d.where("loose").select("row.*"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,8 +24,9 @@ copies are expanded into pairs: equal sets are joined by their hash.
 A shingle is named by a 64-bit hash; sets are compared by these.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no links; fewer words
-than n are one shingle; a null doc_id ranks last and its component is null unless a link gives it one;
-rows that share a doc_id are one document with several texts, which links if one of them does; an empty
+than n are one shingle; each distinct (doc_id, text) is a node of its own, by a 64-bit hash. link_documents joins the nodes
+of a doc_id that is not null: these are one document with several texts, which links if one of them does. Rows
+with a null doc_id are joined by their texts only, and their component is null unless a link gives it one. An empty
 table gives no rows; columns beyond doc_id and text are ignored.
 """
 
@@ -40,7 +41,6 @@ from siltbed.llm.common import cut
 from siltbed.llm.components import components
 from siltbed.llm.tokens import WordHashes, chunks, runs_of, scramble
 
-LAST = (1 << 63) - 1
 SMALL = 2
 IDS_TO_BROADCAST = 2_000_000
 SHARE, HOT_TIMES, HOT_MOST = 32, 3, 1 << 17  # hotness: counted in 1/32 of the documents, three times, at most so many
@@ -163,25 +163,35 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(test, "u long, v long")
 
 
-def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
-    """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("text"))
+def node():
+    """The node of a row of docs."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def _with_roots(linked: DataFrame) -> DataFrame:
+    """(node, component), with each component's smallest node too."""
+    return linked.union(linked.select("component", "component").distinct())
+
+
+def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc, doc_id, n_shingles, ...) for each row, doc being its node, and (node, component) for the nodes that have links."""
+    rows = docs.select(F.col("doc_id").cast("long"), node().alias("doc"), F.col("text").cast("binary").alias("text"))
 
     def summarise(batches):
         import numpy as np
         import pyarrow as pa
 
         hashes = WordHashes()
-        types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.binary())]
+        types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.binary())]
         for batch in batches:
             out = []
-            for doc, found in zip(batch.column(0).to_pylist(), shingle_sets((t.as_py() for t in batch.column(1)), n, hashes)):
+            for doc, doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets((t.as_py() for t in batch.column(2)), n, hashes)):
                 names = (int(scramble(found).sum(dtype=np.uint64).view(np.int64)), int(scramble(found * np.uint64(3)).sum(dtype=np.uint64).view(np.int64)))
                 tops = [top for top, most in bands_of(len(found)) if most] if len(found) else []
-                out.append((doc, len(found), *names, tops, [sketch(found, 2 * top) for top in tops]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], ["doc", "n_shingles", "name1", "name2", "tops", "sketches"])
+                out.append((doc, doc_id, len(found), *names, tops, [sketch(found, 2 * top) for top in tops]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], ["doc", "doc_id", "n_shingles", "name1", "name2", "tops", "sketches"])
 
-    summary = cut(rows.select("doc", "text").mapInArrow(summarise, "doc long, n_shingles long, name1 long, name2 long, tops array<long>, sketches array<binary>"), "summary")
+    summary = cut(rows.select("doc", "doc_id", "text").mapInArrow(summarise, "doc long, doc_id long, n_shingles long, name1 long, name2 long, tops array<long>, sketches array<binary>"), "summary")
     named = summary.where("n_shingles > 0")
     first = named.groupBy("name1", "name2").agg(F.min("doc").alias("v"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     equal = named.join(first, ["name1", "name2"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
@@ -355,6 +365,19 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
     candidates = open_runs.join(sketches, "doc").repartition("lead").sortWithinPartitions("lead", "sig", "top").mapInArrow(compare, "u long, v long")
     more = _verified(cut(between.union(candidates).distinct(), "candidates"), rows, n)
     last = components(reduce(DataFrame.union, [joined.select(F.col("node").alias("u"), F.col("component").alias("v")), more]))
-    out = summary.join(last.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    null = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return out.select(null("doc").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
+    return summary, _with_roots(last)
+
+
+def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
+    """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    summary, linked = link_texts(docs, n)
+    several = summary.where("doc_id is not null").groupBy("doc_id").agg(F.min("doc").alias("v"), F.max("doc").alias("most")).where("v <> most").select("doc_id", "v")
+    several = cut(several, "several")
+    if not several.isEmpty():
+        same = summary.join(several, "doc_id").where("doc <> v").select(F.col("doc").alias("u"), "v")
+        linked = _with_roots(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(same)))
+    out = summary.select("doc", "doc_id", "n_shingles").join(linked.withColumnRenamed("node", "doc"), "doc", "left")
+    least = cut(out.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    if least.count() <= IDS_TO_BROADCAST:
+        least = F.broadcast(least)
+    return out.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

@@ -1,6 +1,6 @@
 import corpus_pipeline
 import fixtures
-from siltbed.llm import queries
+from siltbed.llm import jaccard_join, queries
 
 
 def test_stages_and_columns(spark, tmp_path):
@@ -25,3 +25,21 @@ def test_clean_documents_stay_and_copies_go(spark):
     linked = queries.op4_jaccard_join(spark, folder)
     assert kept.count() == linked.select("component_id").distinct().count()
     assert kept.select("text").distinct().count() == kept.count()
+
+
+def test_only_rows_linked_by_text_go(spark, tmp_path):
+    """Null ids that equal documents 2 and 9, near copies without ids, an id with two texts, rows without words."""
+    import random
+
+    rnd = random.Random(4)
+    prose = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    two, nine, other, late, alone = (prose() for _ in range(5))
+    rows = [(2, two), (9, nine), (None, two), (None, nine), (None, other), (None, other + " more"), (5, late), (5, alone), (7, late), (None, None), (None, ""), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sum(r in ((None, other), (None, other + " more")) for r in kept) == 1
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted((r for r in kept if not (r[1] or "").startswith(other)), key=key) == sorted([(2, two), (9, nine), (5, late), (5, alone), (None, None), (None, ""), (None, "")], key=key)
+    of = {r.doc_id: r.component_id for r in jaccard_join.link_documents(docs).where("doc_id is not null").collect()}
+    assert of == {2: 2, 9: 9, 5: 5, 7: 5}
