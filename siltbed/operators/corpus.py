@@ -20,19 +20,48 @@ def occurrences(chunks: DataFrame, group: str, content: str, order: str) -> Data
     return chunks.withColumn("occurrence", F.row_number().over(W.partitionBy(group, content).orderBy(order)) - 1)
 
 
-def manifest(docs: DataFrame, path: str, content_hash: str, parts: int = 256) -> DataFrame:
-    """One row: digest over all (path, hash) in path-component order.
+def manifest(docs: DataFrame, path: str, content_hash: str, piece_bytes: int = 1 << 20) -> DataFrame:
+    """One row: SHA-256 of all (path, hash) joined in path-component order, and the number of documents.
 
-    Documents are first digested in `parts` ranges of the ordered corpus, so that no task gathers it
-    whole: the result is the SHA-256 over the ranges' digests. With parts=1 it is the digest of the concatenation.
+    Ranges of the order are sorted and joined in parallel, into pieces of piece_bytes. SHA-256 is sequential, so one
+    task reads all pieces in their order, each once, and holds one batch of a few: as many rows as there are pieces.
     """
-    ordered = docs.select(F.split(F.col(path), "/").alias("k"), F.concat(F.col(path), F.col(content_hash)).alias("v"))
-    ordered = ordered.withColumn("part", F.lit(0) if parts == 1 else F.pmod(F.xxhash64("k"), F.lit(parts)))
-    of_part = ordered.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), "").alias("text"), F.count(F.lit(1)).alias("n"))
-    if parts == 1:
-        return of_part.select(F.sha2("text", 256).alias("manifest_hash"), F.col("n").alias("documents"))
-    digests = of_part.select("part", F.sha2("text", 256).alias("d"), "n")
-    return digests.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("manifest_hash"), F.sum("n").alias("documents"))
+
+    def join(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, k, held, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([k], pa.int64()), pa.array([b"".join(held)], pa.binary()), pa.array([n], pa.int64())], ["part", "k", "piece", "n"])
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                n += 1
+                if v is None:
+                    continue
+                held.append(v)
+                size += len(v)
+                if size >= piece_bytes:
+                    yield row()
+                    k, held, size, n = k + 1, [], 0, 0
+        if n:
+            yield row()
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        h, n, some = hashlib.sha256(), 0, False
+        for batch in batches:
+            for piece, count in zip(batch.column(2), batch.column(3).to_pylist()):
+                h.update(piece.as_buffer())
+                n, some = n + count, True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()]), pa.array([n], pa.int64())], ["manifest_hash", "documents"])
+
+    ordered = docs.select(F.split(F.col(path), "/").alias("at"), F.concat(F.col(path), F.col(content_hash)).cast("binary").alias("v"))
+    pieces = ordered.repartitionByRange("at", "v").sortWithinPartitions("at", "v").select("v").mapInArrow(join, "part long, k long, piece binary, n long")
+    return pieces.repartition(1).sortWithinPartitions("part", "k").mapInArrow(digest, "manifest_hash string, documents long")
 
 
 def pending(chunks: DataFrame, embeddings: DataFrame, key: str, vector_key: str) -> DataFrame:

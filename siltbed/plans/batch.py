@@ -118,7 +118,7 @@ def duplicate_occurrence(spark, d):
 @query
 def manifest_hash(spark, d):
     docs = table(spark, d, "documents").select(F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), F.sha2("text", 256).alias("h"))
-    return corpus.manifest(docs, "path", "h", parts=1)
+    return corpus.manifest(docs, "path", "h")
 
 
 @query
