@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,18 +33,44 @@ def text_hash(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("siltbed.scratch", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a single local process may do without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siltbed.scratch", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="siltbed-")
         spark.conf.set("siltbed.scratch", found)
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's tables are cut."""
+    return f"{shared_dir(spark)}/siltbed-{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the shared storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application has cut: call it once results have been written."""
+    remove(spark, scratch_dir(spark))
+
+
+def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As cut, with the path of what was written, which the caller may remove."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_at(df, name)[0]
+
+
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has no more than `most` rows by count; else the join is left to Spark."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
