@@ -4,12 +4,12 @@ The model's symbols are UTF-8 bytes, n of them to an n-gram, so an n-gram is one
 and no vocabulary has to be built. Counts of trusted text (labels with quality 1, not toxic), the lower orders'
 continuation counts, discounts and back-off weights are tables keyed by n-gram, spread over the shuffle's shards.
 
-Documents are scored by blocks of a scan task's texts. A block asks once for each n-gram that it
-contains; the distinct n-grams of all blocks are joined with the count tables order by order, from
-single bytes up, each order interpolating with the one below; the answers go back by block, where the
-block's texts, packed, meet them. What moves is thus the packed text, once, and each block's distinct
-n-grams. Blocks are made twice, from the same scan: docs must be read from files (a block whose
-answers do not fit stops the job).
+Documents are scored by blocks of a scan task's texts. Blocks are dealt once and written, with their texts
+packed; a block then asks once for each n-gram that it contains. The distinct n-grams of all blocks are
+joined with the count tables order by order, from single bytes up, each order interpolating with the one
+below; the answers go back by block, where the block's texts meet them. What moves is thus the packed
+text, once, and each block's distinct n-grams. As the deal is read and not made again, executors may come
+and go between the steps.
 
 Text that repeats itself is cheap under the model, so what is judged is a text's cost: its bits a byte over
 the share of its windows of WINDOW bytes that are distinct (1 for a text that never repeats so much).
@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import cut, text_hash
+from siltbed.llm.common import broadcast_if, cut, text_hash
 from siltbed.llm.tokens import chunks, scramble
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20
 SHORT = 8.0
-IDS_TO_BROADCAST = 2_000_000
+IDS_TO_BROADCAST, LANGUAGES_TO_BROADCAST = 2_000_000, 100_000
 HELD_OUT, FEW, LEAST = 4, 50, 8
 WINDOW = 16
 PACK = "block long, ids array<long>, hashes array<long>, langs array<string>, lengths array<int>, texts binary"
@@ -82,7 +82,7 @@ def _blocks(batches, block_bytes: int):
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     ids = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return F.broadcast(ids) if ids.count() <= IDS_TO_BROADCAST else ids
+    return broadcast_if(ids, IDS_TO_BROADCAST)
 
 
 def held_out(th: str, one_in: int):
@@ -148,20 +148,8 @@ def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.select(F.col("shorter").alias("gram"), F.log2("p").cast("float").alias("logp"))
 
 
-def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_bytes: int = BLOCK_BYTES, one_in: int = 0) -> DataFrame:
-    """(doc_id, th, lang, n_bytes, bits, fresh): bits a byte under the trusted model, and fresh_share; null for empty texts."""
-
-    def ask(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for number, rows in _blocks(batches, block_bytes):
-            grams = np.empty(0, np.int64)
-            for some in chunks((text for *_, text in rows), len, 4 << 20):
-                grams = np.union1d(grams, np.unique(np.concatenate([ngrams_of(text, n) for text in some])))
-            for i in range(0, len(grams), 100_000):
-                some = grams[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number, np.int64)), pa.array(some)], ["block", "gram"])
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of docs dealt to blocks, once and for all: block, ids, hashes, langs, lengths and the texts, compressed together."""
 
     def pack(batches):
         import pyarrow as pa
@@ -174,6 +162,48 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
             row = [[number], [ids], [hashes], [langs], [[len(x) for x in texts]], [z.compress(b"".join(texts))]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], ["block", "ids", "hashes", "langs", "lengths", "texts"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(pack, PACK)
+
+
+def block_grams(packed: DataFrame, n: int) -> DataFrame:
+    """(block, gram): the distinct n-grams of each block."""
+
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for number, lengths, texts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                ends = np.cumsum(lengths.values.to_numpy())
+                data, grams, at = z.decompress(texts.as_py()) if len(ends) and ends[-1] else b"", np.empty(0, np.int64), 0
+                for some in _slices(ends, 4 << 20):
+                    found = np.concatenate([ngrams_of(data[a:b], n) for a, b in zip(np.r_[at, some[:-1]].tolist(), some.tolist())])
+                    at = int(some[-1])
+                    grams = np.union1d(grams, np.unique(found))
+                for i in range(0, len(grams), 100_000):
+                    part = grams[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int64)), pa.array(part)], ["block", "gram"])
+
+    return packed.select("block", "lengths", "texts").mapInArrow(ask, "block long, gram long")
+
+
+def _slices(ends, most: int):
+    """Parts of a sorted array of places that each span about `most`."""
+    import numpy as np
+
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield ends[at:to]
+        at = to
+
+
+def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_bytes: int = BLOCK_BYTES, one_in: int = 0) -> DataFrame:
+    """(doc_id, th, lang, n_bytes, bits, fresh): bits a byte under the trusted model, and fresh_share; null for empty texts."""
+
     def score(batches):
         import numpy as np
         import pyarrow as pa
@@ -195,21 +225,18 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
                         fresh.append(None)
                         continue
                     mine = ngrams_of(data[at : at + m], n)
-                    place = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
-                    if not (grams[place] == mine).all():
-                        raise ValueError("a block's answers do not fit its texts: read docs from files")
-                    bits.append(-float(logp[place].mean()))
+                    bits.append(-float(logp[np.searchsorted(grams, mine)].mean()))
                     fresh.append(fresh_share(ngrams_of(data[at : at + m], 8)))
                     at += m
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), hashes, langs, lengths.cast(pa.int64()), pa.array(bits, pa.float64()), pa.array(fresh, pa.float64())], ["doc_id", "th", "lang", "n_bytes", "bits", "fresh"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
+    packed = cut(blocks(docs, block_bytes), "blocks")
     counts = cut(trusted_counts(docs, labels, n, one_in), "counts")
-    asked = cut(rows.mapInArrow(ask, "block long, gram long"), "asked")
+    asked = cut(block_grams(packed, n), "asked")
     known = probabilities(counts, asked.select("gram").distinct(), n)
     answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
-    packed = rows.mapInArrow(pack, PACK)
-    return packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "grams", "logps").mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double, fresh double")
+    met = packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "grams", "logps")
+    return met.mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double, fresh double")
 
 
 def language():
@@ -240,13 +267,11 @@ def classify(docs: DataFrame, labels: DataFrame, reach: float = 6.0, n: int = OR
     The threshold is the perplexity that the document may have, given how much of it repeats.
     """
     scores = cut(log_perplexities(docs, labels, n, one_in=HELD_OUT), "scores")
-    limits = {r.language: r.most for r in thresholds(scores.where(held_out("th", HELD_OUT)).join(trusted_ids(labels), "doc_id", "left_semi"), reach).collect()}  # a row for each language
-    most = F.lit(limits.pop(None, None)).cast("double")
-    out = scores
-    if limits:
-        own = docs.sparkSession.createDataFrame(list(limits.items()), "language string, own double")
-        out = scores.withColumn("language", language()).join(F.broadcast(own), "language", "left")
-        most = F.coalesce("own", most)
+    limits = cut(thresholds(scores.where(held_out("th", HELD_OUT)).join(trusted_ids(labels), "doc_id", "left_semi"), reach), "limits")
+    common = limits.where("language is null").first()
+    own = limits.where("language is not null").withColumnRenamed("most", "own")
+    out = scores.withColumn("language", language()).join(broadcast_if(own, LANGUAGES_TO_BROADCAST), "language", "left")
+    most = F.coalesce("own", F.lit(common.most if common else None).cast("double"))
     most = (most + SHORT / F.sqrt("n_bytes")) * F.col("fresh")
     kept = F.col("bits").isNotNull() & F.coalesce(F.col("bits") <= most, F.lit(True))
     power = lambda c: F.round(F.pow(F.lit(2.0), c), 6)

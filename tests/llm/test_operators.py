@@ -165,6 +165,53 @@ def test_kneser_ney_perplexity(spark, tmp_path):
     assert quality_classifier.accepted_rows(docs, labels).columns == docs.columns
 
 
+def test_thresholds_and_verdicts_by_definition(spark):
+    """Quartiles of the costs of trusted texts held out, by language, and every verdict from them."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    scores = quality_classifier.log_perplexities(docs, labels, one_in=4).collect()
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    costs = defaultdict(set)
+    for r in scores:
+        if r.doc_id in good and r.th % 4 == 0 and r.bits is not None:
+            costs[r.lang].add((r.th, round(r.bits / r.fresh * 1000)))
+
+    def most(some, least):
+        g = sorted(x for _, x in some)
+        at = lambda q: g[math.ceil(len(g) * q) - 1]
+        return (at(0.75) + 6 * (at(0.75) - at(0.5)) + 50) / 1000 if len(g) >= least else None
+
+    every = most([x for v in costs.values() for x in v], 8)
+    limit = {k: most(v, 50) or every for k, v in costs.items()}
+    out = {(r.doc_id, r.th): r.kept for r in quality_classifier.classify(docs, labels).collect()}
+    near = 0
+    for r in scores:
+        want = None if r.bits is None else limit.get(r.lang, every)
+        if r.bits is None:
+            assert not out[r.doc_id, r.th]
+        elif want is not None:
+            gap = (want + 8 / math.sqrt(r.n_bytes)) * r.fresh - r.bits
+            near += abs(gap) < 0.02  # rounding to the grid
+            assert abs(gap) < 0.02 or out[r.doc_id, r.th] == (gap > 0)
+    assert every and near <= 0.05 * len(scores) and quality_classifier.classify(fixtures.empty(spark), labels).count() == 0
+
+
+def test_blocks_outlive_a_change_of_parallelism(spark, tmp_path):
+    """The deal into blocks is read back: what Spark would deal anew after an executor has gone does not matter."""
+    folder = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{folder}/documents.parquet").repartition(12).write.parquet(f"{tmp_path}/d")
+    docs, labels = spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{folder}/labels.parquet")
+    before = {(r.doc_id, r.kept) for r in quality_classifier.classify(docs, labels).collect()}
+    out = quality_classifier.log_perplexities(docs, labels, block_bytes=100_000)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        scores = {r.doc_id: r.bits for r in out.collect()}
+        again = {(r.doc_id, r.kept) for r in quality_classifier.classify(docs, labels).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert len(scores) == docs.count() and before == again
+
+
 def test_classifier_holds_out(spark):
     folder = "/root/testdata/sf0.01"
     out = queries.op3_quality_classifier(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
