@@ -1,16 +1,22 @@
 """Mixing sources to target weights by a splitting tree over block quotas. DataFrame functions only.
 
-Every source is cut into blocks by hash. A source's target says how many words the mix takes; whole
-passes and a permuted prefix of its blocks supply them, and only the block at the edge is decided
-document by document. The resulting block draws are dealt to 2**depth output shards by a splitting
-tree: each node sends an exact half of its draws, in a random order, to the left. The number that a
-source sends left is then multivariate-hypergeometric given the node's quotas. As one random order
-serves all levels, a draw's path down the tree is the binary form of floor(rank * shards / draws),
-and the rank comes from counts per range of the order, not from one sorted task.
+A source's target says how many words the mix takes. The source is cut into BLOCKS blocks by hash; whole
+passes over all blocks and, in a last pass, the first blocks of a permutation supply the words. The block at
+the edge of the last pass is cut again, into PARTS parts of which a permuted prefix is taken, and the part at
+the edge is taken up to one document. What a source gives is thus an exact quota of block draws, the edge
+block being the last of them.
+
+The quotas are dealt to 2**depth output shards by a splitting tree. A node holds an exact quota for each
+source; it sends an exact half of its draws to the left, and how many of these are a source's is
+multivariate-hypergeometric: the draws of a node, which have no identity but their source, are put into a
+random order and the first half is counted by source. That order is found by counted ranges, never in one
+sorted task. A leaf's quota of a source is then filled with the next blocks of the source's permutation, so
+the blocks of leaves are disjoint. Within a shard rows stand in hashed order.
 
 Defined cases: a null text has size 0; a null source is a source of its own, sorted last; a null
-doc_id is kept; an empty table gives no rows; rows that are equal in every column used are
-exchangeable; columns beyond doc_id, text and source are ignored, or returned as they are by mixed_rows.
+doc_id is kept; an empty table gives no rows; rows that are equal in doc_id, text and source are taken
+alike; columns beyond doc_id, text and source are ignored, or returned as they are by mixed_rows, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,10 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import count_words, text_hash
+from siltbed.llm.common import broadcast_if, count_words, cut, text_hash
 
-BLOCKS = 4096
-RANGES = 1024
+BLOCKS, PARTS = 1024, 1024
+RANGES = 256
+PLAN_TO_BROADCAST = 500_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit: float) -> DataFrame:
@@ -56,17 +63,37 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
     return level.select("sk", "source_size", F.when(full, F.col("most")).otherwise(F.col("rest_level") * F.col("w")).alias("target"))
 
 
-def _rank(draws: DataFrame, order: Column) -> DataFrame:
-    """Adds rank (from 0) in the given 64-bit order and the number of draws, without one sorted task."""
+def _ranked(draws: DataFrame, order: Column) -> DataFrame:
+    """Adds rank (from 0) within the node in the given 64-bit order, and the node's number of draws."""
     draws = draws.withColumn("order", order).withColumn("range", F.shiftrightunsigned(F.col("order"), 64 - RANGES.bit_length() + 1))
-    counts = draws.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    counts = draws.groupBy("node", "range").agg(F.count(F.lit(1)).alias("n"))
+    of_node = W.partitionBy("node")
     counts = counts.select(
+        "node",
         "range",
-        F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"),
-        F.sum("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("draws"),
+        F.coalesce(F.sum("n").over(of_node.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"),
+        F.sum("n").over(of_node).alias("draws"),
     )
-    inside = W.partitionBy("range").orderBy("order", "sk", "block", "copy")
-    return draws.join(counts, "range").withColumn("rank", F.col("first") + F.row_number().over(inside) - 1)
+    inside = W.partitionBy("node", "range").orderBy("order", "sk", "draw")
+    return draws.join(counts, ["node", "range"]).withColumn("rank", F.col("first") + F.row_number().over(inside) - 1).drop("order", "range", "first")
+
+
+def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
+    """(sk, quota) -> (sk, shard, quota): the tree's leaves, each with its exact quota of every source."""
+    draws = quotas.select("sk", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))).alias("draw"), F.lit(0).alias("node"))
+    for level in range(depth):
+        ranked = _ranked(draws, F.xxhash64(F.lit(seed + level), "sk", "draw", "node"))
+        odd = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(2)).cast("int")  # which child an odd node favours
+        right = (F.col("rank") >= F.floor((F.col("draws") + odd) / 2)).cast("int")
+        draws = ranked.select("sk", "draw", (F.col("node") * 2 + right).alias("node"))
+    return draws.groupBy("sk", F.col("node").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
+
+
+def _last_pass(units: DataFrame, keys: Sequence[str], unit: str, seed: int) -> DataFrame:
+    """units: keys, unit, unit_size, rest. Adds at (place in a permutation, from 1), rest before it, and whole: whether the last pass has all of it."""
+    permuted = W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, unit), unit)
+    left = F.col("rest") - (F.sum("unit_size").over(permuted) - F.col("unit_size"))
+    return units.withColumn("at", F.row_number().over(permuted)).withColumn("left", left).withColumn("whole", (F.col("unit_size") > 0) & (F.col("left") >= F.col("unit_size")))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, depth: int = 4, seed: int = 20, keep: Sequence[str] = ()) -> DataFrame:
@@ -75,40 +102,59 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     copies is how often the document is in the mix (0, 1 or 2), taken = copies * size, shards the
     output shard of each copy, place its random position among its shard's rows. keep names columns
     of docs to return in a struct `row`; the sum over a source differs from its target by at most
-    half of one document.
+    half of one document (or of a set of equal rows).
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("th"))
     d = docs.select(
         "doc_id",
         count_words(F.col("text")).alias("size"),
         text_hash(F.col("text")).alias("th"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("sk"),
         *([F.struct(*keep).alias("row")] if keep else []),
-    ).withColumn("h", h)
-    d = d.withColumn("block", F.pmod(F.col("h"), F.lit(BLOCKS)))
-    blocks = d.groupBy("sk", "block").agg(F.sum("size").alias("block_size"))
-    targets = source_targets(blocks.groupBy("sk").agg(F.sum("block_size").alias("source_size")), weights, share, limit)
-    permuted = W.partitionBy("sk").orderBy(F.xxhash64(F.lit(seed + 1), "sk", "block"), "block")
-    passes = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
-    plan = blocks.join(targets, "sk").select(
-        "*",
-        F.when(F.col("source_size") == 0, F.lit(1)).otherwise(passes).cast("int").alias("passes"),
-        F.sum("block_size").over(permuted).alias("upto"),
-    )
-    rest = F.col("target") - F.col("passes") * F.col("source_size") - (F.col("upto") - F.col("block_size"))
-    plan = plan.withColumn("rest", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(rest))
-    plan = plan.withColumn("whole", (F.col("rest") >= F.col("block_size")) & (F.col("block_size") > 0))
-    draws = plan.select("sk", "block", F.explode(F.sequence(F.lit(1), F.col("passes") + F.when(F.col("rest") > 0, 1).otherwise(0))).alias("copy")).where(F.col("copy") > 0)
-    ranked = _rank(draws, F.xxhash64(F.lit(seed + 2), "sk", "block", "copy"))
-    shard = F.floor(F.col("rank") * (2**depth) / F.col("draws")).cast("int")
-    shards = ranked.groupBy("sk", "block").agg(F.array_sort(F.collect_list(F.struct("copy", shard.alias("shard")))).alias("dealt"))
-    plan = plan.join(shards, ["sk", "block"], "left")
-    inside = W.partitionBy("sk", "block").orderBy(F.xxhash64(F.lit(seed + 3), "h"), "doc_id", "th")
-    out = d.join(plan, ["sk", "block"]).withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    edge = ~F.col("whole") & (F.col("rest") > 0) & (F.col("upto") - F.col("size") / 2 <= F.col("rest"))
-    copies = F.col("passes") + F.when(F.col("whole") | (edge & (F.col("size") > 0)), 1).otherwise(0)
-    copies = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.least(copies, F.lit(int(limit)))).otherwise(F.least(F.col("passes"), F.lit(1)))
-    out = out.withColumn("copies", copies.cast("int"))
+    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "th"))
+    d = d.withColumn("block", F.pmod(F.col("h"), F.lit(BLOCKS)).cast("int")).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(PARTS)).cast("int"))
+    light = cut(d.select("doc_id", "sk", "block", "part", "h", "size"), "sizes")
+    blocks = cut(light.groupBy("sk", "block").agg(F.sum("size").alias("unit_size")), "mix-blocks")
+    targets = source_targets(blocks.groupBy("sk").agg(F.sum("unit_size").alias("source_size")), weights, share, limit)
+    passes = F.when(F.col("source_size") == 0, F.lit(1)).otherwise(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))).cast("int")
+    targets = targets.withColumn("passes", passes).withColumn("rest", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") - F.col("passes") * F.col("source_size")))
+    plan = cut(_last_pass(blocks.join(targets, "sk"), ["sk"], "block", seed + 2), "plan")
+
+    # the edge: the block, and in it the part, that the last pass has not whole
+    edge = plan.where("not whole and left > 0 and unit_size > 0").groupBy("sk").agg(F.min_by(F.struct("block", "left"), "at").alias("e")).select("sk", F.col("e.block").alias("block"), F.col("e.left").alias("rest"))
+    edge = broadcast_if(cut(edge, "edge"), PLAN_TO_BROADCAST)
+    of_edge = light.join(edge, ["sk", "block"])
+    parts = cut(_last_pass(of_edge.groupBy("sk", "block", "rest", "part").agg(F.sum("size").alias("unit_size")), ["sk"], "part", seed + 3), "parts")
+    last = parts.where("not whole and left > 0 and unit_size > 0").groupBy("sk").agg(F.min_by(F.struct("at", "part", "left"), "at").alias("e")).select("sk", F.col("e.at").alias("edge_at"), F.col("e.part").alias("edge_part"), F.col("e.left").alias("left"))
+    inside = W.partitionBy("sk").orderBy(F.xxhash64(F.lit(seed + 4), "h"))
+    taken = F.sum("n").over(inside) - F.col("n") / 2 <= F.col("left")
+    of_part = of_edge.join(broadcast_if(cut(last, "last"), PLAN_TO_BROADCAST), "sk").where("part = edge_part").groupBy("sk", "left", "h").agg(F.sum("size").alias("n"))
+    upto = of_part.withColumn("taken", taken).where("taken").groupBy("sk").agg(F.max(F.xxhash64(F.lit(seed + 4), "h")).alias("last_h"))
+    whole_parts = parts.where("whole").groupBy("sk").agg(F.collect_set("part").alias("whole_parts"))  # PARTS at most
+    cuts = edge.select("sk", F.col("block").alias("edge_block")).join(last, "sk", "left").join(upto, "sk", "left").join(whole_parts, "sk", "left").drop("edge_at", "left")
+
+    # quotas, the tree, and the leaves' runs of the sources' block draws
+    in_last = F.col("whole") | F.coalesce(F.col("block") == F.col("edge_block"), F.lit(False))
+    drawn = plan.join(cuts.select("sk", "edge_block"), "sk", "left").withColumn("in_last", in_last)
+    n_blocks = drawn.groupBy("sk").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("passes").alias("n_passes"), F.count_if("in_last").alias("n_last"))
+    quota = (F.col("n_blocks") * F.col("n_passes") + F.col("n_last")).alias("quota")
+    leaves = split_quotas(n_blocks.select("sk", quota).where("quota > 0"), depth, seed + 10)
+    upto_leaf = F.sum("quota").over(W.partitionBy("sk").orderBy(F.xxhash64(F.lit(seed + 5), "sk", "shard"), "shard"))
+    runs = leaves.withColumn("to", upto_leaf).groupBy("sk").agg(F.array_sort(F.collect_list(F.struct("to", "shard"))).alias("runs"))  # one for each shard
+    of_source = n_blocks.select("sk", "n_blocks").join(runs, "sk", "left")
+    copies = F.col("passes") + F.col("in_last").cast("int")
+    nth = lambda c: (c - 1) * F.col("n_blocks") + F.col("at")
+    shard_of = lambda c: F.get(F.filter("runs", lambda r: r["to"] >= nth(c)), F.lit(0))["shard"]
+    dealt = F.when(copies > 0, F.transform(F.sequence(F.lit(1), copies), shard_of)).otherwise(F.array().cast("array<int>"))
+    wanted = drawn.join(of_source, "sk").select("sk", "block", "source_size", "target", "passes", "whole", dealt.alias("dealt"))
+    wanted = broadcast_if(cut(wanted, "wanted"), PLAN_TO_BROADCAST)
+    cuts = broadcast_if(cut(cuts, "cuts"), PLAN_TO_BROADCAST)
+
+    out = (d if keep else light).join(wanted, ["sk", "block"]).join(cuts, "sk", "left")
+    in_part = F.array_contains("whole_parts", F.col("part")) | ((F.col("part") == F.col("edge_part")) & (F.xxhash64(F.lit(seed + 4), "h") <= F.col("last_h")))
+    more = F.col("whole") | ((F.col("block") == F.col("edge_block")) & F.coalesce(in_part, F.lit(False)))
+    n = F.col("passes") + (F.coalesce(more, F.lit(False)) & (F.col("size") > 0)).cast("int")
+    n = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.least(n, F.lit(int(limit)))).otherwise(F.least(F.col("passes"), F.lit(1)))
+    out = out.withColumn("copies", n.cast("int"))
     return out.select(
         "doc_id",
         "size",
@@ -116,8 +162,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
         "target",
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         "copies",
-        F.coalesce(F.slice(F.col("dealt.shard"), F.lit(1), F.col("copies")), F.array().cast("array<int>")).alias("shards"),
-        F.xxhash64(F.lit(seed + 4), "h").alias("place"),
+        F.slice("dealt", F.lit(1), F.col("copies")).alias("shards"),
+        F.xxhash64(F.lit(seed + 6), "h").alias("place"),
         *(["row"] if keep else []),
     )
 

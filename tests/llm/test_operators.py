@@ -556,3 +556,31 @@ def test_source_mixing(spark, docs):
     mixed = source_mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
     assert source_mixing.mix(fixtures.empty(spark)).count() == 0
+
+
+def test_splitting_tree_keeps_quotas(spark):
+    """Every leaf has an exact share of all draws, every source's quotas add up, and their spread is hypergeometric."""
+    quotas = {"a": 1000, "b": 300, "c": 7, "": 1}
+    frame = spark.createDataFrame(list(quotas.items()), "sk string, quota long")
+    first = []
+    for seed in range(12):
+        leaves = source_mixing.split_quotas(frame, 2, seed).collect()
+        total = Counter()
+        for r in leaves:
+            total[r.shard] += r.quota
+        assert sorted(total) == [0, 1, 2, 3] and max(total.values()) - min(total.values()) <= 1
+        assert {k: sum(r.quota for r in leaves if r.sk == k) for k in quotas} == quotas
+        first += [r.quota for r in leaves if r.sk == "b"]
+    n, k, m = 1308, 300, 327
+    deviation = math.sqrt(m * k / n * (1 - k / n) * (n - m) / (n - 1))
+    assert abs(np.mean(first) - 75) < 1e-9 and 0.6 * deviation < np.std(first) < 1.4 * deviation
+    assert source_mixing.split_quotas(frame.where("false"), 2, 1).count() == 0
+
+
+def test_leaves_take_disjoint_blocks_in_exact_shares(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7 + 1).cast("int"))).alias("text"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.pmod(F.xxhash64("id"), F.lit(10)) / 5 + 1).cast("int")).alias("source"))
+    out = source_mixing.mix(docs, depth=3).collect()
+    draws = Counter(s for r in out for s in r.shards)
+    assert len(draws) == 8 and max(draws.values()) < 1.25 * min(draws.values())
+    for r in out:
+        assert len(r.shards) == r.copies
