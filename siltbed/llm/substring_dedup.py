@@ -2,17 +2,22 @@
 
 Every document is cut into runs of consecutive windows that share a minimiser (the least hash among the
 window's word triples). A run travels to its minimiser's bucket as one packed string, so equal windows
-meet there. Within a batch of BATCH_BYTES of text equal runs are stored once and only the smallest document's place goes
+meet there. A minimiser that a sample of the documents shows to hold too much for one bucket (a passage that
+very many documents share, each with its own words around it) is split: its windows travel one by one, to
+buckets by the hash of the whole window. The table of these minimisers is bounded and only steers cost.
+
+Within a batch of BATCH_BYTES of text equal runs are stored once and only the smallest document's place goes
 along: for the others the answer is known at once. In a bucket the windows are sorted by hash, and those
 that meet in several documents are compared word for word; the answers, as word intervals, go back to
 their documents. A passage with any number of copies costs a bucket one run for each batch that has it.
 
-A bucket's memory follows the input divided by `buckets`, which by default is four times the session's
-number of shuffle partitions. A text is told from others with the same doc_id by 31 bits of its hash.
+The numbers of buckets and of tasks follow the bytes of text, so a bucket, which is held whole, does not grow
+with the input.
 
 Defined cases: a null text has no words; documents with fewer than `size` words keep all; rows with the
-same doc_id count as one document, so they do not remove each other's words; a null doc_id ranks after all
-others; repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
+same doc_id count as one document, so they do not remove each other's words, and are told apart by 64 bits of
+their text's hash; a null doc_id ranks after all others; repeated rows give repeated results; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,32 +26,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import text_hash
-from siltbed.llm.tokens import WordHashes, chunks, runs_of
+from siltbed.llm.tokens import WordHashes, chunks, runs_of, scramble
 
 LAST = (1 << 63) - 1
 TRIPLE = 3
 BATCH_BYTES = 12 << 20
+BUCKET_BYTES, TASK_BYTES = 12 << 20, 64 << 20
+SHARE, HOT_MOST = 64, 1 << 16  # hot minimisers: looked for in 1/64 of the documents, at most so many
 PACKED = "bucket long, places binary, texts binary"
-ANSWER = "id long, th int, starts array<int>, ends array<int>"
+ANSWER = "id long, th long, starts array<int>, ends array<int>"
+
+
+def runs_in(hashes: WordHashes, texts: list, size: int):
+    """Runs of windows that share a minimiser, over texts of blank-separated words.
+
+    Returns (words, joined, start, end, first) as WordHashes.placed has them, then for each run its text, first
+    word, word after its last, and minimiser.
+    """
+    import numpy as np
+
+    words, first, joined, start, end = hashes.placed(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    m = len(words) - size + 1
+    none = np.empty(0, np.int64)
+    if m <= 0:
+        return words, joined, start, end, first, none, none, none, np.empty(0, np.uint64)
+    triples = runs_of(words, TRIPLE)
+    windows = np.flatnonzero(owner[:m] == owner[size - 1 :])
+    least = np.lib.stride_tricks.sliding_window_view(triples, size - TRIPLE + 1)[windows].argmin(axis=1) + windows
+    if not len(windows):
+        return words, joined, start, end, first, none, none, none, np.empty(0, np.uint64)
+    head = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (owner[windows[1:]] != owner[windows[:-1]])])
+    a = windows[head]
+    b = windows[np.r_[head[1:] - 1, len(windows) - 1]] + size
+    return words, joined, start, end, first, owner[a], a, b, triples[least[head]]
 
 
-def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None) -> DataFrame:
+def hot_minimisers(rows: DataFrame, size: int, most_bytes: float, share: int = SHARE) -> list[int]:
+    """Minimisers whose runs, by a sample, hold more than most_bytes; HOT_MOST at most, the largest."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = WordHashes()
+        for batch in batches:
+            for some in chunks((b" ".join((t.as_py() or b"").split()) for t in batch.column(0)), len):
+                _, _, start, end, _, _, a, b, minimiser = runs_in(hashes, some, size)
+                if len(a):
+                    names, at = np.unique(minimiser, return_inverse=True)
+                    held = np.bincount(at, (end[b - 1] - start[a]).astype(float)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(held)], ["name", "held"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(share)) == 0).select("text")
+    found = some.mapInArrow(count, "name long, held long").groupBy("name").agg(F.sum("held").alias("held")).where(F.col("held") * share > most_bytes)
+    return sorted(r.name for r in found.orderBy(F.desc("held"), "name").limit(HOT_MOST).select("name").toLocalIterator())
+
+
+def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None, share: int = SHARE) -> DataFrame:
     """A row for each document: doc_id, n_words, n_removed and kept_sha256 of the words that stay.
 
     A word goes if a window of `size` words covers it whose word sequence also starts in a document with
-    a smaller doc_id.
+    a smaller doc_id. buckets: as many as the text needs if None.
     """
-    spark = docs.sparkSession
-    n_buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    th = text_hash(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), th.alias("th"), F.col("text").cast("binary").alias("text"))
+    n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    n_tasks = max(n_tasks, -(-held // TASK_BYTES))
+    n_buckets = buckets or max(4 * n_tasks, -(-held // BUCKET_BYTES))
+    hot_names = hot_minimisers(rows, size, held / n_buckets / 4, share)
 
-    def squeezed(z, found):
-        """Places of runs [(doc, [(th, start)])] as one compressed string: number of places of each run, then their columns."""
+    def squeezed(z, counts, docs_, th, start):
+        """Places of runs as one compressed string: the number of places of each run, then the places' columns."""
         import numpy as np
 
-        counts = np.array([len(places) for _, places in found], np.int32)
-        docs_ = np.repeat(np.array([doc for doc, _ in found], np.int64), counts)
-        th, start = np.array([p for _, places in found for p in places], np.int32).reshape(-1, 2).T
-        return z.compress(np.int32(len(counts)).tobytes() + counts.tobytes() + np.diff(docs_, prepend=np.int64(0)).tobytes() + th.tobytes() + start.tobytes())
+        parts = [np.int32(len(counts)), np.asarray(counts, np.int32), np.diff(np.asarray(docs_, np.int64), prepend=np.int64(0)), np.asarray(th, np.int64), np.asarray(start, np.int32)]
+        return z.compress(b"".join(x.tobytes() for x in parts))
 
     def spread(z, data):
         """The reverse: (run of each place, doc, th, start)."""
@@ -57,7 +113,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
         counts = np.frombuffer(data, np.int32, n, 4)
         m, at = int(counts.sum()), 4 + 4 * n
         docs_ = np.cumsum(np.frombuffer(data, np.int64, m, at))
-        return np.repeat(np.arange(n), counts), docs_, np.frombuffer(data, np.int32, m, at + 8 * m), np.frombuffer(data, np.int32, m, at + 12 * m)
+        return np.repeat(np.arange(n), counts), docs_, np.frombuffer(data, np.int64, m, at + 8 * m), np.frombuffer(data, np.int32, m, at + 16 * m)
 
     def packed(rows):
         import pyarrow as pa
@@ -70,50 +126,82 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
 
         hashes = WordHashes()
         z = zstandard.ZstdCompressor(level=3)
+        hot = np.array(hot_names, np.int64).view(np.uint64)
+        hot.sort()
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (b" ".join((t.as_py() or b"").split()) for t in b.column(2))))
+
+        def one_chunk(some):
+            """Columns of the chunk's runs: key, bucket, doc, th, first word in the document, number of words, bytes from and to; and its text."""
+            words, joined, start, end, first, owner, a, b, name = runs_in(hashes, [r[2] for r in some], size)
+            windows = runs_of(words, size)
+            if len(hot) and len(a):
+                is_hot = hot[np.minimum(np.searchsorted(hot, name), len(hot) - 1)] == name
+                n = np.where(is_hot, b - a - size + 1, 1)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                owner, name, is_hot = np.repeat(owner, n), np.repeat(name, n), np.repeat(is_hot, n)
+                a, b = np.repeat(a, n) + np.where(is_hot, step, 0), np.repeat(b, n)
+                b = np.where(is_hot, a + size, b)
+                name = np.where(is_hot, windows[a], name)
+            # a run has fewer than 2 * size words, so its first and last window name it
+            key = scramble(windows[a] + scramble(windows[b - size] + (b - a).astype(np.uint64))) if len(a) else np.empty(0, np.uint64)
+            doc = np.array([LAST if r[0] is None else r[0] for r in some], np.int64)
+            th = np.array([r[1] for r in some], np.int64)
+            return (key, (name % np.uint64(n_buckets)).astype(np.int64), doc[owner], th[owner], a - first[owner], b - a, start[a], end[b - 1]), joined
+
         for batch in chunks(rows, lambda r: len(r[2]), BATCH_BYTES):
-            runs: dict[bytes, list] = {}  # text -> [bucket, doc, [(th, start)]] of the smallest doc
-            known: dict[tuple, list] = {}  # (doc, th) -> [(start, end)]
+            parts, texts, base = [], [], 0
             for some in chunks(batch, lambda r: len(r[2])):
-                words, first, joined, start, end = hashes.placed([r[2] for r in some])
-                triples = runs_of(words, TRIPLE)
-                for (doc, th, _), w0, w1 in zip(some, first[:-1].tolist(), first[1:].tolist()):
-                    if w1 - w0 < size:
-                        continue
-                    doc = LAST if doc is None else doc
-                    mine = triples[w0 : w1 - TRIPLE + 1]
-                    seen = np.lib.stride_tricks.sliding_window_view(mine, size - TRIPLE + 1)
-                    least = seen.argmin(axis=1) + np.arange(len(seen))
-                    a_ = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                    b_ = np.r_[a_[1:], len(least)] + size - 1
-                    for a, b, s, e, bucket in zip(a_.tolist(), b_.tolist(), start[w0 + a_].tolist(), end[w0 + b_ - 1].tolist(), (mine[least[a_]] % np.uint64(n_buckets)).tolist()):
-                        run = joined[s:e]
-                        was = runs.get(run)
-                        if was is None:
-                            runs[run] = [bucket, doc, [(th, a)]]
-                        elif was[1] == doc:
-                            was[2].append((th, a))
-                        elif was[1] < doc:
-                            known.setdefault((doc, th), []).append((a, b))
-                        else:
-                            for th_, at in was[2]:
-                                known.setdefault((was[1], th_), []).append((at, at + b - a))
-                            was[1:] = [doc, [(th, a)]]
+                columns, joined = one_chunk(some)
+                parts.append((*columns[:6], columns[6] + base, columns[7] + base))
+                texts.append(joined)
+                base += len(joined)
+            joined = b"".join(texts)
+            key, bucket, doc, th, at, n, s, e = (np.concatenate(c) for c in zip(*parts))
+            del parts, texts
+            order = np.argsort(key, kind="stable")
+            alone = np.ones(len(key), bool)
+            if len(key) > 1:
+                same = key[order[1:]] == key[order[:-1]]
+                alone[order[1:][same]] = alone[order[:-1][same]] = False
+            runs: dict[bytes, list] = {}  # repeated runs: text -> [bucket, doc, [(th, first word)]] of the smallest doc
+            known: dict[tuple, list] = {}  # (doc, th) -> [start, end, ...]
+            again = np.flatnonzero(~alone)
+            for k_bucket, k_doc, k_th, k_at, k_n, k_s, k_e in zip(*(c[again].tolist() for c in (bucket, doc, th, at, n, s, e))):
+                was = runs.setdefault(joined[k_s:k_e], [k_bucket, k_doc, []])
+                if was[1] == k_doc:
+                    was[2].append((k_th, k_at))
+                elif was[1] < k_doc:
+                    known.setdefault((k_doc, k_th), []).extend((k_at, k_at + k_n))
+                else:
+                    for th_, at_ in was[2]:
+                        known.setdefault((was[1], th_), []).extend((at_, at_ + k_n))
+                    was[1:] = [k_doc, [(k_th, k_at)]]
             by_bucket: dict[int, list] = {}
-            for run, (bucket, doc, places) in runs.items():
-                by_bucket.setdefault(bucket, []).append((run, doc, places))
-            rows = []
-            for bucket, found in by_bucket.items():
-                rows.append((bucket, squeezed(z, [x[1:] for x in found]), z.compress(b"\n".join(x[0] for x in found))))
-                if len(rows) >= 64:
-                    yield packed(rows)
-                    rows = []
+            for run, (k_bucket, k_doc, places) in runs.items():
+                by_bucket.setdefault(k_bucket, []).append((run, k_doc, places))
+            one = np.flatnonzero(alone)
+            one = one[np.argsort(bucket[one], kind="stable")]
+            numbers, begin = np.unique(bucket[one], return_index=True)
+            own = dict(zip(numbers.tolist(), np.split(one, begin[1:]))) if len(one) else {}
+            out = []
+            for k_bucket in {**own, **by_bucket}:
+                mine, found = own.get(k_bucket, one[:0]), by_bucket.get(k_bucket, [])
+                counts = np.r_[np.ones(len(mine), np.int32), np.array([len(x[2]) for x in found], np.int32)]
+                docs_ = np.r_[doc[mine], np.array([x[1] for x in found for _ in x[2]], np.int64)]
+                places = np.array([p for x in found for p in x[2]], np.int64).reshape(-1, 2)
+                runs_text = [joined[x:y] for x, y in zip(s[mine].tolist(), e[mine].tolist())] + [x[0] for x in found]
+                out.append((k_bucket, squeezed(z, counts, docs_, np.r_[th[mine], places[:, 0]], np.r_[at[mine], places[:, 1]]), z.compress(b"\n".join(runs_text))))
+                if len(out) >= 64:
+                    yield packed(out)
+                    out = []
             known_rows = list(known.items())
-            for i in range(0, len(known_rows), 5000):  # starts and ends of one document travel as the places of two runs
+            for i in range(0, len(known_rows), 5000):  # a document's starts and ends travel as the places of one run
                 some = known_rows[i : i + 5000]
-                rows.append((-1 - i // 5000 % n_buckets, squeezed(z, [(doc, [(th, x) for span in spans for x in span]) for (doc, th), spans in some]), None))
-            if rows:
-                yield packed(rows)
+                counts = np.array([len(x) for _, x in some])
+                docs_, ths = (np.repeat(np.array([k[c] for k, _ in some], np.int64), counts) for c in (0, 1))
+                out.append((-1 - int(some[0][0][1] % n_buckets), squeezed(z, counts, docs_, ths, [p for _, x in some for p in x]), None))
+            if out:
+                yield packed(out)
 
     def count_windows(batches):
         import numpy as np
@@ -124,7 +212,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
         z = zstandard.ZstdDecompressor()
 
         def answers(rows):
-            types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000]), types)], ["id", "th", "starts", "ends"])
 
@@ -212,9 +300,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, buckets: int | None = None
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    th = text_hash(F.col("text")).bitwiseAND(0x7FFFFFFF).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long"), th.alias("th"), F.col("text").cast("binary").alias("text"))
-    found = rows.mapInArrow(cut_runs, PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count_windows, ANSWER)
+    found = rows.mapInArrow(cut_runs, PACKED).repartition(n_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(count_windows, ANSWER)
     by_row = found.groupBy("id", "th").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     whole = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).join(by_row.hint("shuffle_hash"), ["id", "th"], "left")
     return whole.select("doc_id", "text", "starts", "ends").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

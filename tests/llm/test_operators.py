@@ -479,9 +479,8 @@ def test_url_filter(spark):
 # 8
 
 
-def test_substring_dedup(spark, docs):
-    out = substring_dedup.dedup_substrings(docs).collect()
-    rows = [(r.doc_id, words(r.text)) for r in docs.select("doc_id", "text").collect()]
+def without_repeats(rows):
+    rows = [(d, words(t)) for d, t in rows]
     last = 1 << 70
     first = {}
     for d, w in rows:
@@ -496,10 +495,30 @@ def test_substring_dedup(spark, docs):
                 gone |= set(range(i, i + 13))
         kept = [x for i, x in enumerate(w) if i not in gone]
         want.append((d, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
-    assert sorted(map(key, out)) == sorted(map(key, want))
+    return sorted(map(key, want))
+
+
+def test_substring_dedup(spark, docs):
+    want = without_repeats([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert sorted(map(key, substring_dedup.dedup_substrings(docs).collect())) == want
+    assert sorted(map(key, substring_dedup.dedup_substrings(docs, buckets=3, share=1).collect())) == want
     assert substring_dedup.dedup_substrings(fixtures.empty(spark)).count() == 0
 
 
+def test_substring_dedup_splits_a_common_passage(spark):
+    """A passage in every document, each with its own words around it, so that its minimisers are hot."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 5)))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i % 190, " ".join([*(word() for _ in range(rnd.randint(0, 30))), passage, *(word() for _ in range(rnd.randint(0, 30)))])) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hot = substring_dedup.hot_minimisers(frame.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text")), 13, 5000, 1)
+    assert hot
+    assert sorted(map(key, substring_dedup.dedup_substrings(frame, buckets=40, share=1).collect())) == without_repeats(rows)
+
+
 # 9
 
 
