@@ -9,7 +9,9 @@ occurrence, by (doc_id, position), stays; the lines that later ones cover are de
 
 So a line goes exactly if it is part of a run of `lines` consecutive non-blank lines, or is a line of
 `words` words, that also occurs at an earlier place. Each key is reduced to its earliest place before
-it is joined, so a line in every document costs rows in proportion to its occurrences, never pairs.
+it is joined, so a line in every document costs rows in proportion to its occurrences, never pairs. Both
+reductions are map-side combined and written; each is then one side of a plain join whose other side are
+the occurrences, so where one line has very many, adaptive execution deals these to several tasks.
 
 Defined cases: a null text stays null with no lines; blank lines stay; documents with fewer lines than
 a window lose long lines only; a text may become empty, its row stays; a null doc_id ranks first; rows
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import WORD, count_words, text_hash
+from siltbed.llm.common import WORD, count_words, cut, text_hash
 
 
 def _fingerprints(docs: DataFrame, lines: int, words: int) -> DataFrame:
@@ -55,11 +57,11 @@ def _fingerprints(docs: DataFrame, lines: int, words: int) -> DataFrame:
 
 def deleted_lines(docs: DataFrame, lines: int = 3, words: int = 25) -> DataFrame:
     """(id, th, gone): indexes of the \\n-split lines that go, for documents that lose any. docs: id, th, text."""
-    fps = _fingerprints(docs, lines, words)
-    shared = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("fp")
+    fps = cut(_fingerprints(docs, lines, words), "fingerprints")
+    shared = cut(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("fp"), "shared")
     spans = fps.join(shared, "fp").select("id", "th", F.explode("spans").alias("w")).select("id", "th", "w.s", "w.wh", "w.at")
     place = F.struct("id", "th", "s")
-    first = spans.groupBy("wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("wh", "first")
+    first = cut(spans.groupBy("wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("wh", "first"), "first")
     later = spans.join(first, "wh").where(place > F.col("first"))
     return later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
