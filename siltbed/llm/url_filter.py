@@ -3,8 +3,10 @@
 A pattern is a host, a parent domain, or host/first-path-segment. Of the events of one pattern and
 category the last one on or before a date decides: `add` lists, `remove` unlists; on one date a
 removal wins. A capture meets every pattern that its URL has; the interval join is an equality join
-on (pattern, salt) with a range condition, so one host with a third of all captures spreads over SALTS
-tasks; the list, not the captures, is replicated.
+on (pattern, salt) with a range condition. Patterns are counted over all captures first: one with more than
+a share of 1/HOT_SHARE of them (and than `least` captures) is salted by as many numbers as it has such
+shares, and only its list entries are repeated, once for each; all others have salt 0. There are no more than
+HOT_SHARE times a URL's patterns of such patterns.
 
 Defined cases: events with a null pattern, date or action are ignored; captures without a URL or a
 fetch date match nothing and are returned unblocked; rows equal in page_id, url and fetched are one
@@ -18,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 8
+from siltbed.llm.common import broadcast_if, cut
+
+HOT_SHARE, LEAST = 4096, 2000
+HOT_TO_BROADCAST = 200_000
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -43,11 +48,18 @@ def url_patterns(url: Column) -> Column:
     return F.when(F.coalesce(host, F.lit("")) != "", F.array_distinct(known)).otherwise(F.array().cast("array<string>"))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, fetched, blocked, n_hits (active list entries) and categories (sorted, comma-joined)."""
-    listed = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     one = captures.select("page_id", "url", "fetched").distinct()
-    keys = one.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).withColumn("pattern", F.explode_outer(url_patterns(F.col("url"))))
+    listed = intervals(entries)
+    keys = one.withColumn("pattern", F.explode_outer(url_patterns(F.col("url"))))
+    counts = keys.where("pattern is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.join(listed.select("pattern").distinct(), "pattern", "left_semi"), "patterns")
+    share = max(least, captures.count() // HOT_SHARE)
+    hot = broadcast_if(counts.where(F.col("n") > share).select("pattern", F.ceil(F.col("n") / share).cast("int").alias("salts")), HOT_TO_BROADCAST)
+    salts = F.coalesce("salts", F.lit(1))
+    keys = keys.join(hot, "pattern", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), salts).cast("int")).drop("salts")
+    listed = listed.join(hot, "pattern", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     active = (F.col("c.fetched") >= F.col("l.since")) & (F.col("l.until").isNull() | (F.col("c.fetched") < F.col("l.until")))
     met = keys.alias("c").join(listed.alias("l"), (F.col("c.pattern") == F.col("l.pattern")) & (F.col("c.salt") == F.col("l.salt")) & active, "left")
     hits = met.groupBy("c.page_id", "c.url", "c.fetched").agg(F.count("l.pattern").alias("n_hits"), F.array_sort(F.collect_set("l.category")).alias("found"))
