@@ -4,7 +4,9 @@ Tokens are runs of letters and digits or runs of other visible characters. Unigr
 hashed into BUCKETS buckets; the target multinomial counts the documents that labels call trusted
 (quality 1, not toxic), the raw one all documents. A document's score is the mean over its n-grams of
 log(p_target / p_raw), so its length does not count; it is kept if the score is not below a fixed
-threshold. The ratios form one array of BUCKETS numbers, whatever the input, which every task reads.
+threshold. The ratios form one array of BUCKETS numbers, whatever the input, which every task reads. Texts
+are read twice, for the counts and for the scores, and do not move; only with more than IDS_TO_BROADCAST
+trusted documents, by count, are they joined with these.
 
 Defined cases: a null text has no words; documents without n-grams score 0; without any trusted text all
 ratios are 0; labels with null or repeated ids count once, as trusted if any row says so; a null doc_id
@@ -20,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import WORD, words
+from siltbed.llm.common import WORD, broadcast_if, words
 
 BUCKETS = 1 << 16
+IDS_TO_BROADCAST = 2_000_000
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SMOOTHING = 0.5
 
@@ -42,8 +45,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row, one column: array of log(p_target / p_raw) by bucket."""
-    ids = trusted_ids(labels).select("doc_id", F.lit(1).alias("trusted")).hint("shuffle_hash")
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    ids = broadcast_if(trusted_ids(labels).select(F.col("doc_id").alias("id"), F.lit(1).alias("trusted")), IDS_TO_BROADCAST)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))  # rows without doc_id are spread by their text
+    marked = docs.select("text", own.alias("id"), F.col("doc_id").isNotNull().cast("int").alias("has_id")).join(ids, "id", "left")
+    marked = marked.select("text", F.coalesce(F.col("trusted") * F.col("has_id"), F.lit(0)).alias("trusted"))
     # explode_outer: the filter that Spark infers from explode would hash every text once more below the join
     seen = hashed_ngrams(marked).select("trusted", F.explode_outer("ngrams").alias("bucket"))
     counts = seen.where("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import fixtures
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from siltbed.llm import jaccard_join, line_dedup, media_columns, packing, quality_classifier, quality_rules, queries, secret_scan, source_mixing, substring_dedup, url_filter
@@ -96,21 +97,24 @@ def test_quality_rules(spark, docs, labels):
 
     def grams(t):
         found = []
-        for x in re.findall(r"\w+|[^\w\s]+", t or ""):
+        for x in regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\t-\r]+", t or ""):
             found.append(x)
         two = [spark_hash(a, b) for a, b in zip(found, found[1:])]
         return [h % quality_rules.BUCKETS for h in [*map(spark_hash, found), *two]]
 
-    plain = [r for r in rows if (r.text or "").isascii() or re.fullmatch(r"[\x20-\x7eé\n\t]*", r.text or "")]
-    if len(plain) == len(rows) - 1:  # all but the row of odd characters
-        raw = Counter(g for r in rows for g in grams(r.text))
-        target = Counter(g for r in rows if r.doc_id in good for g in grams(r.text))
-        share = lambda c, g: math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * quality_rules.BUCKETS))
-        scores = {r.doc_id: r.score for r in out}
-        for r in plain[:20]:
-            g = grams(r.text)
-            if g:
-                assert abs(scores[r.doc_id] - sum(share(target, x) - share(raw, x) for x in g) / len(g)) < 0.02
+    raw = Counter(g for r in rows for g in grams(r.text))
+    target = Counter(g for r in rows if r.doc_id in good for g in grams(r.text))
+    share = lambda c, g: math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * quality_rules.BUCKETS))
+    want = defaultdict(list)
+    for r in rows:
+        g = grams(r.text)
+        want[r.doc_id].append(sum(share(target, x) - share(raw, x) for x in g) / len(g) if g else 0.0)
+    got = defaultdict(list)
+    for r in out:
+        got[r.doc_id].append(r.score)
+        assert r.kept == (not r.base_failed and r.score >= -0.8)
+    for d, scores in want.items():
+        assert np.allclose(sorted(got[d]), sorted(scores), atol=1e-6), d
     assert quality_rules.score_documents(fixtures.empty(spark), labels).count() == 0
     none = quality_rules.score_documents(docs, labels.where("false")).select("score").distinct().collect()
     assert [r.score for r in none] == [0.0]
@@ -471,7 +475,14 @@ def test_url_filter(spark):
     day = lambda k: datetime.date(2024, 1, k)
     entries = spark.createDataFrame([("bad.example.com", "x", day(5), "add"), ("bad.example.com", "x", day(10), "remove"), ("example.org", None, day(3), "add"), ("a.example.net/p", "y", day(1), "add"), (None, "z", day(1), "add"), ("bad.example.com", "x", day(20), "add"), ("bad.example.com", "x", day(20), "remove")], "pattern string, category string, listed date, action string")
     captures = [(1, "https://BAD.example.com/q", day(4)), (2, "https://bad.example.com/q", day(5)), (3, "https://bad.example.com/q", day(10)), (4, "http://u@w.v.example.org:80/", day(9)), (5, "http://a.example.net/p/q", day(2)), (6, None, day(2)), (7, "https://bad.example.com", None), (8, "https://bad.example.com", day(25)), (2, "https://bad.example.com/q", day(5))]
-    out = url_filter.filter_urls(spark.createDataFrame(captures, "page_id long, url string, fetched date"), entries).collect()
+    out = url_filter.filter_urls(spark.createDataFrame([(*c, 'p', 3) for c in captures], "page_id long, url string, fetched date, pattern string, salt int"), entries).collect()
+    hot = spark.createDataFrame([(100 + i, f"https://bad.example.com/{i}", day(1 + i % 28)) for i in range(90)] + captures, "page_id long, url string, fetched date")
+    salted = url_filter.filter_urls(hot, entries, least=10).collect()
+    assert sum(r.blocked for r in salted if r.page_id >= 100) == sum(5 <= 1 + i % 28 < 10 for i in range(90))
+    assert sorted(map(str, (r for r in salted if r.page_id < 100))) == sorted(map(str, out))
+    nothing = spark.createDataFrame([], "page_id long, url string, fetched date, pattern string, salt int")
+    assert url_filter.filter_urls(nothing, entries).count() == 0
+    assert url_filter.filter_urls(hot, entries.where("false")).where("blocked").count() == 0
     assert {r.page_id: (r.blocked, r.categories) for r in out} == {1: (False, ""), 2: (True, "x"), 3: (False, ""), 4: (True, ""), 5: (True, "y"), 6: (False, ""), 7: (False, ""), 8: (False, "")}
     assert len(out) == 8
 
