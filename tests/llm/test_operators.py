@@ -533,25 +533,64 @@ def test_substring_dedup_splits_a_common_passage(spark):
 # 9
 
 
+def plain_feature(payload):
+    n = len(payload)
+    p = [payload.count(bytes([k])) / n for k in range(256)]
+    mean = sum(k * x for k, x in enumerate(p))
+    deviation = math.sqrt(sum(x * (k - mean) ** 2 for k, x in enumerate(p)))
+    entropy = -sum(x * math.log2(x) for x in p if x)
+    parts = [round(sum(p[16 * k : 16 * k + 16]) * 255) for k in range(16)]
+    return mean, deviation, entropy, parts
+
+
 def test_media_columns(spark, docs, tmp_path):
+    import os
     import tarfile
 
-    out = media_columns.media_columns(docs, f"file://{tmp_path}/media").collect()
-    by_text = {}
-    rows = sorted(key((r.doc_id, r.text)) for r in docs.select("doc_id", "text").collect())
-    assert len(out) == len(rows)
+    folder = f"{tmp_path}/media"
+    frame = media_columns.media_columns(docs, f"file://{folder}")
+    out, again = frame.collect(), frame.collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))  # reading stores nothing
+    members = []
+    for name in os.listdir(f"{folder}/shards"):
+        if name.endswith(".tar"):
+            with tarfile.open(f"{folder}/shards/{name}") as tar:
+                members += [(m.name, f"{folder}/shards/{name}", m.offset_data, tar.extractfile(m).read()) for m in tar]
+    assert len({m[0] for m in members}) == len(members)  # no payload twice
+    place = {(m[1], m[2]): m for m in members}
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = []
+    for d, t in rows:
+        data = (t or "").encode()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        want.append((d, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
+    assert sorted(key((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32)) for r in out) == sorted(map(key, want))
+    payloads = {}
+    for d, t in rows:
+        data = (t or "").encode()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        payloads[hashlib.sha256(payload).hexdigest()] = payload
     for r in out:
-        with tarfile.open(r.shard) as tar:
-            member = next(m for m in tar if m.offset_data == r.offset)
-            image = tar.extractfile(member).read()
-        assert member.name == f"{r.digest}.png" and len(image) == r.length == r.media_bytes
+        name, _, _, image = place[r.shard, r.offset]
+        assert name == f"{r.digest}.png" and len(image) == r.length == r.media_bytes and r.digest == r.payload_sha256
         assert hashlib.sha256(image).hexdigest() == r.media_sha256 and (r.width, r.depth) == (192, 8) and r.width * r.height == r.payload_bytes
-        by_text.setdefault(r.digest, set()).add((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature))
-    for r in docs.select("text").collect():
-        data = (r.text or "").encode()
-        payload = data + b" " * (-len(data) % 192 if data else 192)
-        found = [v for v in by_text[hashlib.sha256(payload).hexdigest()] if v[0] == len(data)]
-        assert len(found) == 1 and found[0][1:4] == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        mean, deviation, entropy, parts = plain_feature(payloads[r.digest])
+        *said, shares = r.feature.split(";")
+        assert np.allclose([float(x) for x in said], [mean, deviation, entropy], atol=6e-4)
+        assert max(abs(a - b) for a, b in zip(bytes.fromhex(shares), parts)) <= 1
+    assert media_columns.media_columns(fixtures.empty(spark), f"file://{tmp_path}/none").count() == 0
+
+
+def test_orphan_shards_go(spark, docs, tmp_path):
+    import os
+
+    folder = f"{tmp_path}/media"
+    media_columns.store(docs, f"file://{folder}")
+    before = {x for x in os.listdir(f"{folder}/shards") if x.endswith(".tar")}
+    with open(f"{folder}/shards/lost.tar", "wb") as f:
+        f.write(bytes(2048))
+    assert media_columns.sweep(spark, f"file://{folder}") == 1
+    assert {x for x in os.listdir(f"{folder}/shards") if x.endswith(".tar")} == before
 
 
 # 10
