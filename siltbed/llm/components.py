@@ -24,8 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
         before, done = now, path
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least, minima = cut_at(least, "minima")  # a plain table, so that a hot node's edges can be split in the join
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges, path = cut_at(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         remove(spark, done)
+        remove(spark, minima)

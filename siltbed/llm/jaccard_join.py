@@ -4,21 +4,33 @@ Sets with Jaccard similarity of 3/4 or more differ in at most (|r| + |s|) / 7 sh
 third. Documents are grouped into size bands (of the smaller set; a document is also indexed in the band
 below if a partner may lie there). A band hashes the universe of shingles into segments.
 
-Exact scheme. A document lists its non-empty segments in order. Of two similar documents the first
-segment that both have alike stands behind at most d others in either list, d being what they differ in;
-so it is enough to index the first d + 1 segments of each list. Where a shingle lies in no segment, the
-argument still holds: the shingles that a small share of the documents shows to be very frequent (a
-bounded table; it steers cost only) lie in none, so a common passage brings no documents together.
-One-deletion scheme. A document with too few non-empty segments for that (short, or made of frequent
-shingles) is also indexed with larger segments, each whole and with any one shingle left out: if
-twice the segments of two shingles or more exceed d, one of them differs by one shingle at most. If
-even these are too few, it goes on with further partitions until there are enough; a pair is safe as
-soon as one of its two has enough.
+Allocation. For each band a sample of the documents tells what a segment would cost: how many rows an index
+of it has and how many pairs meet there, with its whole subset alone (one unit of the pigeonhole budget) or
+with its one-deletion neighbourhood too (two units, where a document has two shingles or more there).
+The cheapest units are taken until they cover the budget that documents of the band need; these
+segments come first, in order of cost, with one unit or two as chosen; the others come after them and are not
+indexed unless a document falls short. The table is bounded (segments are told apart up to CLASSES) and
+steers cost only.
+
+Exact scheme. A document lists its non-empty segments in that order and indexes them up to its budget: as
+long as the units before one are at most d, the number of shingles that it may differ in. Take the first
+segment that two similar documents have alike, or, if it counts for two units, that differs by one
+shingle and is empty in neither. Every segment before it differs by at least as many shingles as the
+units it counts for in either document, so it lies within both budgets; and there is one if either document's
+units exceed d. Where a shingle lies in no segment, the argument still holds: the shingles
+that a small share of the documents shows to be very frequent (a bounded table, for cost only) lie in none, so
+a common passage brings no documents together.
+A document whose units do not exceed d (short, or made of frequent shingles) is also indexed with larger
+segments, each whole and with any one shingle left out: if twice the segments of two shingles or more
+exceed d, one of them differs by one shingle at most. If even these are too few, it goes on with further
+partitions until there are enough; a pair is safe as soon as one of its two has enough.
 
 Equal signatures meet in sorted runs. A run of two documents gives a pair; a longer one gives pairs with
 its first document, and is kept. Pairs are verified on whole sets: first the most
 frequent partner of each document, then, once these links have joined components, only what lies between
-components, in long runs after a filter by parity sketches (their difference never exceeds d). No
+components. In a long run that is: documents outside the run's largest component against the others, after a
+filter by parity sketches (their difference never exceeds d). Runs of the same documents are compared once, and
+a run is cut into pieces of at most PIECE documents, piece against piece, so no task holds it whole. No
 copies are expanded into pairs: equal sets are joined by their hash.
 
 A shingle is named by a 64-bit hash; sets are compared by these.
@@ -37,12 +49,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import cut
+from siltbed.llm.common import broadcast_if, cut
 from siltbed.llm.components import components
 from siltbed.llm.tokens import WordHashes, chunks, runs_of, scramble
 
 SMALL = 2
 IDS_TO_BROADCAST = 2_000_000
+SIGNATURE_BITS = 56  # of which the lowest 5 are the band's number
+CLASSES = 1024
+PIECE, RUNS_TO_BROADCAST = 4096, 500_000
 SHARE, HOT_TIMES, HOT_MOST = 32, 3, 1 << 17  # hotness: counted in 1/32 of the documents, three times, at most so many
 
 
@@ -63,23 +78,25 @@ def shingle_sets(texts, n: int, hashes: WordHashes):
                 yield words[:0]
 
 
-def top_of_band(n: int) -> int:
-    """Largest size in the band of a set of n shingles; bands grow by 16/9."""
-    top = 3
-    while top < n:
-        top = top * 16 // 9
-    return top
+def _tops() -> list[int]:
+    """Largest size in each band; bands grow by 16/9."""
+    tops = [3]
+    while len(tops) < 32:
+        tops.append(tops[-1] * 16 // 9)
+    return tops
+
+
+TOPS = _tops()
 
 
 def bands_of(n: int):
-    """(top of the band, most shingles a partner there differs in) for a set of n: its own and perhaps the one below."""
-    top = top_of_band(n)
-    yield top, (n + n * 4 // 3) // 7
-    below = 3
-    while below * 16 // 9 < top:
-        below = below * 16 // 9
-    if below < top and n <= below * 4 // 3:
-        yield below, (n + below) // 7
+    """(number of the band, most shingles a partner there differs in) for a set of n: its own and perhaps the one below."""
+    from bisect import bisect_left
+
+    band = bisect_left(TOPS, n)
+    yield band, (n + n * 4 // 3) // 7
+    if band and n <= TOPS[band - 1] * 4 // 3:
+        yield band - 1, (n + TOPS[band - 1]) // 7
 
 
 def _by_segment(hashes, salt: int, segments: int):
@@ -93,37 +110,98 @@ def _by_segment(hashes, salt: int, segments: int):
     return scramble(hashes[order]), first, segment[first]
 
 
-def signatures(hashes, hot):
-    """48-bit signatures of a set, over its bands and schemes."""
+def segments_of(band: int) -> int:
+    return max(2, -(-TOPS[band] * 5 // 11))
+
+
+def _cold(hashes, hot):
+    import numpy as np
+
+    return hashes[hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes] if len(hot) else hashes
+
+
+def _segment_signatures(parts, first, salt):
+    """Of each segment the whole subset's signature, and those with one shingle left out with their segment's index."""
+    import numpy as np
+
+    sums, sizes = np.add.reduceat(parts, first), np.diff(np.r_[first, len(parts)])
+    owner = np.repeat(np.arange(len(first)), sizes)
+    several = sizes[owner] > 1
+    return scramble(sums + salt), scramble((sums[owner] - parts)[several] + salt[owner[several]]), owner[several]
+
+
+def signatures(hashes, hot, plan: dict | None = None):
+    """Signatures of a set, over its bands and schemes. plan: band -> (rank, units) of each class of segments."""
     import numpy as np
 
     out = []
-    mask = np.uint64((1 << 48) - 1)
-    cold = hashes[hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] != hashes] if len(hot) else hashes
-    for top, most in bands_of(len(hashes)):
+    mask = np.uint64((1 << SIGNATURE_BITS) - 32)
+    cold = _cold(hashes, hot)
+    for band, most in bands_of(len(hashes)):
         if not most:
             continue  # only equal sets are similar
-        enough = False
+        mine, enough = [], False
         if len(cold):
-            parts, first, segment = _by_segment(cold, top * 64, max(2, -(-top * 5 // 11)))
-            enough = len(first) > most
-            sums = np.add.reduceat(parts, first)[: most + 1]
-            out.append(scramble(sums + scramble(segment[: most + 1] + np.uint64(top << 20))) & mask)
+            parts, first, segment = _by_segment(cold, TOPS[band] * 64, segments_of(band))
+            whole, without, owner = _segment_signatures(parts, first, scramble(segment + np.uint64(TOPS[band] << 20)))
+            kind = (segment % np.uint64(CLASSES)).astype(np.int64)
+            rank, units = (plan or {}).get(band, (None, None))
+            if rank is None:
+                order, mode = np.arange(len(first)), np.ones(len(first), np.int64)
+            else:
+                order = np.lexsort((segment, rank[kind]))
+                mode = np.minimum(units[kind], np.minimum(np.diff(np.r_[first, len(parts)]), 2))
+            enough = mode.sum() > most
+            before = np.empty(len(first), np.int64)
+            before[order] = np.cumsum(mode[order]) - mode[order]
+            taken = before <= most
+            mine += [whole[taken], without[(taken & (mode == 2))[owner]]]
         scheme = 1
         while not enough:
-            segments = max(1, top // 4)
-            parts, first, segment = _by_segment(hashes, top * 64 + scheme, segments)
-            sums, sizes = np.add.reduceat(parts, first), np.diff(np.r_[first, len(parts)])
-            enough = 2 * int((sizes >= 2).sum()) > most
-            salt = scramble(segment + np.uint64((top << 20) + (scheme << 50)))
-            out.append(scramble(sums + salt) & mask)
-            owner = np.repeat(np.arange(len(first)), sizes)
-            without = (sums[owner] - parts)[sizes[owner] > 1]
-            out.append(scramble(without + salt[owner[sizes[owner] > 1]]) & mask)
+            parts, first, segment = _by_segment(hashes, TOPS[band] * 64 + scheme, max(1, TOPS[band] // 4))
+            whole, without, _ = _segment_signatures(parts, first, scramble(segment + np.uint64((TOPS[band] << 20) + (scheme << 50))))
+            enough = 2 * int((np.diff(np.r_[first, len(parts)]) >= 2).sum()) > most
+            mine += [whole, without]
             scheme += 1
+        out.append((np.concatenate(mine) & mask) | np.uint64(band))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def allocate(costs: list, share: int) -> dict:
+    """band -> (rank, units) of each class of segments, from a sample of 1/share of the documents.
+
+    costs: (band, class, units, rows, met, pairs, need) by band, class and units: index rows of the sample, (document,
+    segment) cases that count for so many units, pairs that meet, and the sum of the budgets of the
+    band's sampled documents (the same in all rows of a band).
+    """
+    import numpy as np
+
+    bands: dict[int, list] = {}
+    for row in costs:
+        bands.setdefault(row[0], []).append(row[1:])
+    plan = {}
+    for band, rows in bands.items():
+        price, cases = np.full((2, CLASSES), np.inf), np.zeros((2, CLASSES))
+        for kind, units, n_rows, met, pairs, _ in rows:
+            price[units - 1, kind] = n_rows + share * pairs
+            cases[units - 1, kind] = met
+        one = price[0] / np.maximum(cases[0], 1)
+        more = np.where(cases[1] > 0, (price[1] - np.where(np.isfinite(price[0]), price[0], 0)) / np.maximum(cases[1], 1), np.inf)
+        each = np.r_[one, np.maximum(more, one)]  # the second unit of a segment is not taken before its first
+        gain = np.r_[cases[0], cases[1]]
+        order = np.argsort(each, kind="stable")
+        order = order[np.isfinite(each[order])]
+        upto = np.cumsum(gain[order])
+        chosen = np.zeros(2 * CLASSES, bool)
+        chosen[order[upto - gain[order] < 1.25 * rows[0][5]]] = True
+        units = np.where(chosen[CLASSES:], 2, 1)
+        last = np.where(chosen[:CLASSES], 0, 1)
+        rank = np.empty(CLASSES, np.int64)
+        rank[np.lexsort((one, last))] = np.arange(CLASSES)
+        plan[band] = (rank, units)
+    return plan
+
+
 def sketch(hashes, bits: int) -> bytes:
     """Parities of how many shingles fall on each of `bits` places."""
     import numpy as np
@@ -144,23 +222,31 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc", "set"])
 
     def test(batches):
+        """Rows in order of (v, piece, u): first v's own set, with u null, then those of its partners."""
         import numpy as np
         import pyarrow as pa
 
+        now, own = None, None
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= 75 * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            for v, piece, u, x in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
+                a = np.frombuffer(x.as_py(), np.uint64)
+                if u is None:
+                    now, own = (v, piece), a
+                    good.append(False)
+                    continue
+                if now != (v, piece):
+                    raise ValueError("a set is missing")
+                both = len(np.intersect1d(a, own, assume_unique=True))
+                good.append(100 * both >= 75 * (len(a) + len(own) - both))
+            yield batch.select([2, 0]).filter(pa.array(good, pa.bool_())).rename_columns(["u", "v"])
 
-    wanted = pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct()
-    if wanted.count() <= IDS_TO_BROADCAST:
-        wanted = F.broadcast(wanted)
-    sets = rows.select("doc", "text").join(wanted, "doc", "left_semi").mapInArrow(read, "doc long, set binary")
-    left, right = sets.select(F.col("doc").alias("u"), F.col("set").alias("a")), sets.select(F.col("doc").alias("v"), F.col("set").alias("b"))
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(test, "u long, v long")
+    wanted = broadcast_if(cut(pairs.select(F.col("u").alias("doc")).union(pairs.select("v")).distinct(), "wanted"), IDS_TO_BROADCAST)
+    sets = rows.select("doc", "text").join(wanted, "doc", "left_semi").mapInArrow(read, "doc long, set binary").dropDuplicates(["doc"])
+    dealt = pairs.select("u", "v", F.pmod(F.xxhash64("u"), F.lit(64)).cast("int").alias("piece"))  # a hot v is sent to 64 tasks at most
+    partners = dealt.join(sets.withColumnRenamed("doc", "u"), "u").select("v", "piece", "u", "set")
+    own = dealt.select("v", "piece").distinct().join(sets.withColumnRenamed("doc", "v"), "v").select("v", "piece", F.lit(None).cast("long").alias("u"), "set")
+    return partners.union(own).repartition("v", "piece").sortWithinPartitions("v", "piece", "u").mapInArrow(test, "u long, v long")
 
 
 def node():
@@ -187,13 +273,13 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
             out = []
             for doc, doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets((t.as_py() for t in batch.column(2)), n, hashes)):
                 names = (int(scramble(found).sum(dtype=np.uint64).view(np.int64)), int(scramble(found * np.uint64(3)).sum(dtype=np.uint64).view(np.int64)))
-                tops = [top for top, most in bands_of(len(found)) if most] if len(found) else []
-                out.append((doc, doc_id, len(found), *names, tops, [sketch(found, 2 * top) for top in tops]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], ["doc", "doc_id", "n_shingles", "name1", "name2", "tops", "sketches"])
+                bands = [band for band, most in bands_of(len(found)) if most] if len(found) else []
+                out.append((doc, doc_id, len(found), *names, bands, [sketch(found, 2 * TOPS[band]) for band in bands]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], ["doc", "doc_id", "n_shingles", "name1", "name2", "bands", "sketches"])
 
-    summary = cut(rows.select("doc", "doc_id", "text").mapInArrow(summarise, "doc long, doc_id long, n_shingles long, name1 long, name2 long, tops array<long>, sketches array<binary>"), "summary")
+    summary = cut(rows.select("doc", "doc_id", "text").mapInArrow(summarise, "doc long, doc_id long, n_shingles long, name1 long, name2 long, bands array<long>, sketches array<binary>"), "summary")
     named = summary.where("n_shingles > 0")
-    first = named.groupBy("name1", "name2").agg(F.min("doc").alias("v"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = cut(named.groupBy("name1", "name2").agg(F.min("doc").alias("v"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied")
     equal = named.join(first, ["name1", "name2"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
 
     def frequent(batches):
@@ -211,6 +297,42 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     times = some.mapInArrow(frequent, "name long, times long").groupBy("name").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_TIMES)
     hot_names = sorted(r[0] for r in times.orderBy(F.desc("times"), "name").limit(HOT_MOST).select("name").toLocalIterator())
 
+    def weigh(batches):
+        """(band, kind, units, sig, cases) of every segment of the sampled documents, and (band, null, ..., budget)."""
+        import numpy as np
+        import pyarrow as pa
+
+        hashes, seen = WordHashes(), set()
+        hot = np.sort(np.array(hot_names, np.int64).view(np.uint64))
+        for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            for s in shingle_sets((t.as_py() for t in batch.column(0)), n, hashes):
+                name = (len(s), int(scramble(s).sum(dtype=np.uint64)))
+                cold = _cold(s, hot)
+                if not len(cold) or name in seen:
+                    continue
+                seen.add(name)
+                for band, most in bands_of(len(s)):
+                    if not most:
+                        continue
+                    parts, first, segment = _by_segment(cold, TOPS[band] * 64, segments_of(band))
+                    whole, without, owner = _segment_signatures(parts, first, scramble(segment))
+                    kind = (segment % np.uint64(CLASSES)).astype(np.int32)
+                    two = np.diff(np.r_[first, len(parts)]) > 1
+                    for units, sig, of, cases in ((1, whole, kind, np.ones(len(kind), np.int64)), (2, whole[two], kind[two], np.ones(int(two.sum()), np.int64)), (2, without, kind[owner], np.zeros(len(owner), np.int64))):
+                        for column, values in zip(columns, (np.full(len(of), band, np.int32), of, np.full(len(of), units, np.int32), sig.view(np.int64), cases)):
+                            column.append(values)
+                    for column, value in zip(columns, (band, -1, 0, 0, most + 1)):
+                        column.append(np.array([value]))
+            if columns[0]:
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(columns, types)], ["band", "kind", "units", "sig", "cases"])
+
+    weighed = some.mapInArrow(weigh, "band int, kind int, units int, sig long, cases long").groupBy("band", "kind", "units", "sig").agg(F.count(F.lit(1)).alias("rows"), F.sum("cases").alias("cases"))
+    weighed = weighed.groupBy("band", "kind", "units").agg(F.sum("rows").alias("rows"), F.sum("cases").alias("cases"), F.sum(F.col("rows") * (F.col("rows") - 1) / 2).alias("pairs")).collect()  # 2 * CLASSES for each band at most
+    need = {r.band: r.cases for r in weighed if r.kind < 0}
+    plan = allocate([(r.band, r.kind, r.units, r.rows, r.cases, r.pairs, need[r.band]) for r in weighed if r.kind >= 0], SHARE)
+
     def sign(batches):
         import numpy as np
         import pyarrow as pa
@@ -224,7 +346,7 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
                 if not len(s) or name in seen:  # an equal set of this task stands for it
                     continue
                 seen.add(name)
-                mine = signatures(s, hot)
+                mine = signatures(s, hot, plan)
                 docs_.append(np.full(len(mine), doc, np.int64))
                 found.append(mine.view(np.int64))
             if found:
@@ -288,15 +410,15 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                tops = [top for top in a["tops"] if top in b["tops"]]
-                if not tops or (a["name1"], a["name2"]) == (b["name1"], b["name2"]):
+                bands = [band for band in a["bands"] if band in b["bands"]]
+                if not bands or (a["name1"], a["name2"]) == (b["name1"], b["name2"]):
                     keep.append(False)
                     continue
-                x, y = (np.frombuffer(r["sketches"][r["tops"].index(tops[-1])], np.uint8) for r in (a, b))
+                x, y = (np.frombuffer(r["sketches"][r["bands"].index(bands[-1])], np.uint8) for r in (a, b))
                 keep.append(int(np.bitwise_count(x ^ y).sum()) <= (a["n_shingles"] + b["n_shingles"]) // 7)
             yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
 
-    about = lambda name, key: summary.select(F.col("doc").alias(key), F.struct("n_shingles", "name1", "name2", "tops", "sketches").alias(name))
+    about = lambda name, key: summary.select(F.col("doc").alias(key), F.struct("n_shingles", "name1", "name2", "bands", "sketches").alias(name))
     pairs = met.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("times"))
     pairs = pairs.join(about("au", "u"), "u").join(about("av", "v"), "v").select("u", "v", "times", "au", "av").mapInArrow(apart, "u long, v long, times long")
     pairs = cut(pairs, "pairs")
@@ -313,28 +435,20 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     between = across(across(pairs.select("u", "v"), "u"), "v").where("u_of <> v_of").select("u", "v")
 
     def compare(batches):
-        """Pairs of one long run that lie in different components and whose sketches do not rule them out."""
+        """Pairs of a piece's documents outside the run's largest component with those of other components, if their sketches do not rule them out."""
         import numpy as np
         import pyarrow as pa
 
         told: set = set()
-        seen: set = set()
 
         def pairs_of(group):
-            group.sort(key=lambda r: r["doc"])
-            doc = np.array([r["doc"] for r in group])
-            name = hash((group[0]["top"], doc.tobytes()))
-            if name in seen:  # the same documents met on another signature
-                return
-            seen.add(name)
-            of_ = np.array([r["doc_of"] for r in group])
-            size = np.array([r["n_shingles"] for r in group])
             bits = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint8).reshape(len(group), -1)
-            kinds, counts = np.unique(of_, return_counts=True)
-            largest = kinds[counts.argmax()]
+            doc, of_, size, largest = (np.array([r[c] for r in group]) for c in ("doc", "doc_of", "n_shingles", "largest"))
+            stray = np.array([r["stray"] for r in group])
+            rest = np.flatnonzero(~stray)
             us, vs = [], []
-            for i in np.flatnonzero(of_ != largest).tolist():
-                other = np.flatnonzero((of_ != of_[i]) & ((of_ == largest) | (np.arange(len(group)) > i)))
+            for i in np.flatnonzero(stray).tolist():
+                other = rest[(of_[rest] != of_[i]) & ((of_[rest] == largest[i]) | (doc[rest] > doc[i]))]
                 apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
                 for j in other[apart <= (size[other] + size[i]) // 7].tolist():
                     p = (max(doc[i], doc[j]), min(doc[i], doc[j]))
@@ -350,19 +464,28 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
         now, group = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["sig"], r["top"]) != now:
+                if (r["sig"], r["i"], r["j"]) != now:
                     if group:
                         yield from pairs_of(group)
-                    now, group = (r["sig"], r["top"]), []
+                    now, group = (r["sig"], r["i"], r["j"]), []
                 group.append(r)
         if group:
             yield from pairs_of(group)
 
-    members = across(met.where("kind = 1").select("lead", F.col("a").alias("sig"), F.col("b").alias("doc")), "doc")
-    mixed = members.groupBy("sig").agg(F.min("doc_of").alias("least"), F.max("doc_of").alias("most")).where("least <> most").select("sig")
-    open_runs = members.join(mixed, "sig", "left_semi")
-    sketches = summary.select("doc", "n_shingles", F.explode(F.arrays_zip("tops", "sketches")).alias("x")).select("doc", "n_shingles", F.col("x.tops").alias("top"), F.col("x.sketches").alias("sketch"))
-    candidates = open_runs.join(sketches, "doc").repartition("lead").sortWithinPartitions("lead", "sig", "top").mapInArrow(compare, "u long, v long")
+    members = across(met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc")), "doc")
+    of_run = members.groupBy("sig", "doc_of").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"))
+    runs = of_run.groupBy("sig").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max(F.struct("n", "doc_of")).alias("most")).where("most.n < n")
+    runs = runs.groupBy("n", "x", F.col("sig").bitwiseAND(31).alias("band")).agg(F.min("sig").alias("sig"), F.first("most").alias("most"))  # runs of the same documents once
+    pieces = lambda n: F.ceil(n / PIECE).cast("int")
+    runs = cut(runs.select("sig", "band", F.col("most.doc_of").alias("largest"), pieces(F.col("n")).alias("all_pieces"), pieces(F.col("n") - F.col("most.n")).alias("stray_pieces")), "runs")
+    there = members.join(broadcast_if(runs, RUNS_TO_BROADCAST), "sig")
+    number = lambda n: F.array(F.pmod(F.xxhash64("doc"), n).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    grid = lambda stray, i, j: there.select("sig", "band", "doc", "doc_of", "largest", F.lit(stray).alias("stray"), F.explode(i).alias("i"), j.alias("js")).withColumn("j", F.explode("js")).drop("js")
+    strays = grid(True, number(F.col("stray_pieces")), all_of(F.col("all_pieces"))).where("doc_of <> largest")
+    dealt = strays.union(grid(False, all_of(F.col("stray_pieces")), number(F.col("all_pieces"))))
+    sketches = summary.select("doc", "n_shingles", F.explode(F.arrays_zip("bands", "sketches")).alias("x")).select("doc", "n_shingles", F.col("x.bands").alias("band"), F.col("x.sketches").alias("sketch")).dropDuplicates(["doc", "band"])
+    candidates = dealt.join(sketches, ["doc", "band"]).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "u long, v long")
     more = _verified(cut(between.union(candidates).distinct(), "candidates"), rows, n)
     last = components(reduce(DataFrame.union, [joined.select(F.col("node").alias("u"), F.col("component").alias("v")), more]))
     return summary, _with_roots(last)
@@ -377,7 +500,5 @@ def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
         same = summary.join(several, "doc_id").where("doc <> v").select(F.col("doc").alias("u"), "v")
         linked = _with_roots(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(same)))
     out = summary.select("doc", "doc_id", "n_shingles").join(linked.withColumnRenamed("node", "doc"), "doc", "left")
-    least = cut(out.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
-    if least.count() <= IDS_TO_BROADCAST:
-        least = F.broadcast(least)
+    least = broadcast_if(cut(out.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least"), IDS_TO_BROADCAST)
     return out.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

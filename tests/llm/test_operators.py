@@ -326,8 +326,19 @@ def test_signatures_meet_for_every_similar_pair():
             if 100 * both < 75 * (len(a) + len(b) - both) or np.array_equal(a, b):
                 continue
             hot_all = np.sort(np.array(rnd.sample(a.tolist(), len(a) // 3 + 1), np.uint64))
+            ranks = np.random.default_rng(size)
+            plan = {band: (ranks.permutation(jaccard_join.CLASSES), ranks.integers(1, 3, jaccard_join.CLASSES)) for band in range(32)}
             for hot in (none, hot_all, a):
-                assert len(np.intersect1d(jaccard_join.signatures(a, hot), jaccard_join.signatures(b, hot)))
+                for p in (None, plan):
+                    assert len(np.intersect1d(jaccard_join.signatures(a, hot, p), jaccard_join.signatures(b, hot, p)))
+
+
+def test_allocation_takes_the_cheapest_units_that_cover_the_budget():
+    """Four classes: one where many documents meet, one cheap with pairs in it, one whose second unit is cheap, one plain."""
+    costs = [(5, k, u, rows, met, pairs, 220) for k, u, rows, met, pairs in [(0, 1, 100, 100, 900), (1, 1, 100, 100, 1), (2, 1, 100, 100, 0), (2, 2, 250, 90, 0), (3, 1, 100, 100, 0), (3, 2, 400, 90, 500)]]
+    rank, units = jaccard_join.allocate(costs, 32)[5]
+    assert rank[2] < rank[1] < rank[0] and rank[3] < rank[1] and rank[0] >= 3
+    assert units[3] == 1 and units[0] == 1
 
 
 # 5
