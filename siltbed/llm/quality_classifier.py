@@ -7,9 +7,9 @@ continuation counts, discounts and back-off weights are tables keyed by n-gram,
 Documents are scored by blocks of a scan task's texts. Blocks are dealt once and written, with their texts
 packed; a block then asks once for each n-gram that it contains. The distinct n-grams of all blocks are
 joined with the count tables order by order, from single bytes up, each order interpolating with the one
-below; the answers go back by block, where the block's texts meet them. What moves is thus the packed
-text, once, and each block's distinct n-grams. As the deal is read and not made again, executors may come
-and go between the steps.
+below; the answers go back by block, and the task that has a block's answers reads its texts. What moves is
+thus each block's distinct n-grams; texts lie packed in the shared folder, once, and are not shuffled. As
+the deal is read and not made again, executors may come and go between the steps.
 
 Text that repeats itself is cheap under the model, so what is judged is a text's cost: its bits a byte over
 the share of its windows of WINDOW bytes that are distinct (1 for a text that never repeats so much).
@@ -28,11 +28,13 @@ accepted_rows as they are.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import broadcast_if, cut, text_hash
+from siltbed.llm.common import broadcast_if, cut, scratch_dir, text_hash
 from siltbed.llm.tokens import chunks, scramble
 
 ORDER = 5
@@ -41,7 +43,7 @@ SHORT = 8.0
 IDS_TO_BROADCAST, LANGUAGES_TO_BROADCAST = 2_000_000, 100_000
 HELD_OUT, FEW, LEAST = 4, 50, 8
 WINDOW = 16
-PACK = "block long, ids array<long>, hashes array<long>, langs array<string>, lengths array<int>, texts binary"
+PACK = "block long, ids array<long>, hashes array<long>, langs array<string>, lengths array<int>, path string"
 
 
 def ngrams_of(data, n: int):
@@ -149,36 +151,53 @@ def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of docs dealt to blocks, once and for all: block, ids, hashes, langs, lengths and the texts, compressed together."""
+    """Rows of docs dealt to blocks: block, ids, hashes, langs, lengths, and the path of the block's texts, compressed together.
+
+    Files have names of their own, so an attempt that is repeated leaves the ones of the first alone.
+    """
+    folder = f"{scratch_dir(docs.sparkSession)}/texts-{uuid.uuid4().hex}"
 
     def pack(batches):
         import pyarrow as pa
         import zstandard
+        from pyarrow import fs
 
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
         z = zstandard.ZstdCompressor(level=3)
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string()]
         for number, rows in _blocks(batches, block_bytes):
             ids, hashes, langs, texts = zip(*rows)
-            row = [[number], [ids], [hashes], [langs], [[len(x) for x in texts]], [z.compress(b"".join(texts))]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], ["block", "ids", "hashes", "langs", "lengths", "texts"])
+            name = f"{uuid.uuid4().hex}.zst"
+            with files.open_output_stream(f"{root}/{name}") as out:
+                out.write(z.compress(b"".join(texts)))
+            row = [[number], [ids], [hashes], [langs], [[len(x) for x in texts]], [f"{folder}/{name}"]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], ["block", "ids", "hashes", "langs", "lengths", "path"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(pack, PACK)
 
 
+def _texts(path: str) -> bytes:
+    import zstandard
+    from pyarrow import fs
+
+    files, name = fs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as f:
+        return zstandard.ZstdDecompressor().decompress(f.read())
+
+
 def block_grams(packed: DataFrame, n: int) -> DataFrame:
     """(block, gram): the distinct n-grams of each block."""
 
     def ask(batches):
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        z = zstandard.ZstdDecompressor()
         for batch in batches:
-            for number, lengths, texts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for number, lengths, path in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ends = np.cumsum(lengths.values.to_numpy())
-                data, grams, at = z.decompress(texts.as_py()) if len(ends) and ends[-1] else b"", np.empty(0, np.int64), 0
+                data, grams, at = _texts(path), np.empty(0, np.int64), 0
                 for some in _slices(ends, 4 << 20):
                     found = np.concatenate([ngrams_of(data[a:b], n) for a, b in zip(np.r_[at, some[:-1]].tolist(), some.tolist())])
                     at = int(some[-1])
@@ -187,7 +206,7 @@ def block_grams(packed: DataFrame, n: int) -> DataFrame:
                     part = grams[i : i + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int64)), pa.array(part)], ["block", "gram"])
 
-    return packed.select("block", "lengths", "texts").mapInArrow(ask, "block long, gram long")
+    return packed.select("block", "lengths", "path").mapInArrow(ask, "block long, gram long")
 
 
 def _slices(ends, most: int):
@@ -207,13 +226,11 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
     def score(batches):
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
-        z = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, hashes, langs, lengths = (batch.column(c)[k].values for c in range(4))
-                data = z.decompress(batch.column(4)[k].as_py()) if sum(lengths.to_pylist()) else b""
+                data = _texts(batch.column(4)[k].as_py())
                 grams, logp = (batch.column(c)[k].values for c in (5, 6))
                 grams, logp = (x.to_numpy() if x is not None else np.empty(0, np.int64) for x in (grams, logp))
                 order = np.argsort(grams)
@@ -235,7 +252,7 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
     asked = cut(block_grams(packed, n), "asked")
     known = probabilities(counts, asked.select("gram").distinct(), n)
     answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
-    met = packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "texts", "grams", "logps")
+    met = packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "path", "grams", "logps")
     return met.mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double, fresh double")
 
 
