@@ -168,7 +168,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string()]
         for number, rows in _blocks(batches, block_bytes):
             ids, hashes, langs, texts = zip(*rows)
-            name = f"{uuid.uuid4().hex}.zst"
+            name = f"{uuid.uuid4().hex}.pack"
             with files.open_output_stream(f"{root}/{name}") as out:
                 out.write(z.compress(b"".join(texts)))
             row = [[number], [ids], [hashes], [langs], [[len(x) for x in texts]], [f"{folder}/{name}"]]
@@ -184,7 +184,7 @@ def _texts(path: str) -> bytes:
 
     files, name = fs.FileSystem.from_uri(path)
     with files.open_input_file(name) as f:
-        return zstandard.ZstdDecompressor().decompress(f.read())
+        return zstandard.ZstdDecompressor().decompressobj().decompress(f.read())
 
 
 def block_grams(packed: DataFrame, n: int) -> DataFrame:
