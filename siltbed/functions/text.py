@@ -11,9 +11,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # Letters and digits that are unified, stop words, aliases, named entities, term and token classes.
-LETTERS_FROM, LETTERS_TO = "يىكةؤإأ", "ییکهواا"
-TWO_LETTERS = ("ۀ", "هٔ")
-DIGITS_FROM, DIGITS_TO = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789"
+LETTERS = {"ي": "ی", "ى": "ی", "ك": "ک", "ة": "ه", "ؤ": "و", "إ": "ا", "أ": "ا", "ۀ": "هٔ"}
+PERSIAN_DIGITS, ARABIC_DIGITS = "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩"
 STOP_WORDS = ["از", "است", "با", "برای", "به", "چه", "چطور", "چطوریه", "چجوری", "چجوریه", "در", "را", "روی", "توی", "و", "یا", "دارد", "دارند", "کدام", "کنم", "کند", "می"]
 ALIASES = {"node": "nodejs", "node.js": "nodejs", "next": "nextjs", "next.js": "nextjs", "postgres": "postgresql", "پستگرس": "postgresql", "پستگرسکیوال": "postgresql", "پایتون": "python", "ردیس": "redis"}
 ENTITIES = ["django", "docker", "hnsw", "ivfflat", "kubernetes", "laravel", "mongodb", "mssql", "mysql", "nextjs", "nodejs", "pgvector", "php", "postgis", "postgresql", "python", "redis"]
@@ -25,6 +24,11 @@ WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 PLAIN = r"^[\x00-\x7f\xc0-\xff]*$"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+
+
 def literal_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
@@ -34,7 +38,8 @@ def _normal_form(values: pd.Series) -> pd.Series:
     import re
     import unicodedata
 
-    letters = str.maketrans(dict(zip(LETTERS_FROM + DIGITS_FROM, LETTERS_TO + DIGITS_TO)) | dict([TWO_LETTERS]))
+    digits = {c: str(k) for row in (PERSIAN_DIGITS, ARABIC_DIGITS) for k, c in enumerate(row)}
+    letters = str.maketrans(LETTERS | digits)
     gaps = re.compile("[\\s\u200c]+")
     one = lambda v: gaps.sub(" ", unicodedata.normalize("NFKC", v).translate(letters)).strip().casefold()
     return values.map(one, na_action="ignore")
@@ -126,7 +131,7 @@ def clean_sentence(text: Column) -> Column:
     text = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", "")
     text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
     text = F.regexp_replace(text, r"(?i)https?://\S+", "")
-    text = F.ltrim(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(">-* "))
+    text = F.ltrim(F.trim(F.regexp_replace(text, f"[{WHITE}]+", " ")), F.lit(">-* "))
     return F.trim(text)
 
 

@@ -8,54 +8,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltbed.functions.text import ENTITIES, any_marker, clean_sentence, literal_array, normalize, overlap, search_terms, snippet
+from siltbed.functions.text import ENTITIES, WHITE, any_marker, clean_sentence, literal_array, normalize, overlap, redact, search_terms, snippet, strip
 
 # Markers of an abstaining answer and of a fact that may be quoted, and the bounds of an answer.
 ABSTENTION = ["در evidence ارائه شده", "در evidence", "شاهد کافی", "اطلاعات کافی", "منبع کافی", "منابع کافی", "هیچ توضیحی درباره", "از روی این منابع", "پاسخ قابل اعتماد کافی"]
 QUOTABLE = ["پشتیبانی نمی کند", "امکان ندارد", "مجاز نیست", "در دسترس نیست"]
 ANSWER = "answer_markdown string, claims array<struct<text:string,source_ids:array<string>>>, suggestions array<string>, outcome string"
 POLICY = "grounding-v2-adaptive-audience"
+END = "end of the only answer"
 
 
 def url_allowed(url: Column, host: str) -> Column:
     return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & (F.lower(F.try_parse_url(url, F.lit("HOST"))) == host), F.lit(False))
 
 
+def _shape(value: Column, path: str) -> Column:
+    """The type of what stands at a path of a JSON value; null if nothing does."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
 def validated(answers: DataFrame) -> DataFrame:
-    """answers: answer_id, raw, allowed (array of source ids). Adds verdict, source_ids and suggestions (at most 3)."""
-    fenced = F.trim(F.regexp_replace(F.trim("raw"), r"(?i)^```(?:json)?\s*|\s*```$", ""))
-    read = answers.withColumn("a", F.from_json(fenced, ANSWER, {"mode": "PERMISSIVE"}))
-    claims = F.col("a.claims")
-    broken = (
-        F.col("a").isNull()
-        | F.coalesce(F.length("a.answer_markdown") < 1, F.lit(True))
-        | (F.length("a.answer_markdown") > 20000)
-        | F.coalesce((F.size(claims) < 1) | (F.size(claims) > 30), F.lit(True))
-        | F.coalesce(F.exists(claims, lambda c: c["text"].isNull() | (F.length(c["text"]) > 2000) | (F.size(c["source_ids"]) < 1) | (F.size(c["source_ids"]) > 8)), F.lit(True))
+    """answers: answer_id, raw, allowed (array of source ids). Adds verdict, source_ids and suggestions (at most 3).
+
+    A valid answer is one JSON object, perhaps fenced, with nothing behind it: answer_markdown of 1 to 20,000
+    characters, 1 to 30 claims with texts of 1 to 2,000 characters and 1 to 8 sources each, 3 suggestions
+    at most, and the outcome `answered`, each of its type.
+    """
+    fenced = strip(F.regexp_replace(strip(F.col("raw")), rf"(?i)^```(?:json)?[{WHITE}]*|[{WHITE}]*```$", ""))
+    # as the first of two elements, the text has to be one whole value
+    whole = F.from_json(F.concat(F.lit("["), fenced, F.lit(f',"{END}"]')), "array<string>")
+    alone = F.coalesce((F.size(whole) == 2) & (F.get(whole, F.lit(1)) == END) & F.startswith(fenced, F.lit("{")), F.lit(False))
+    read = answers.withColumn("v", F.when(alone, F.try_parse_json(fenced))).withColumn("a", F.from_json(F.when(alone, fenced), ANSWER, {"mode": "PERMISSIVE"}))
+    claims, hints = F.col("a.claims"), F.coalesce("a.suggestions", F.array().cast("array<string>"))
+    said = _shape(F.col("v"), "$.claims")
+    typed = (
+        (_shape(F.col("v"), "$.answer_markdown") == "STRING")
+        & (_shape(F.col("v"), "$.outcome") == "STRING")
+        & said.rlike(r"^ARRAY<OBJECT<.*\bsource_ids: ARRAY<STRING>") & said.rlike(r"\btext: STRING\b")
+        & F.coalesce(_shape(F.col("v"), "$.suggestions").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(True))
+    )
+    size = lambda x, most: F.coalesce(F.length(x).between(1, most), F.lit(False))
+    good_claim = lambda c: size(c["text"], 2000) & F.coalesce(F.size(c["source_ids"]).between(1, 8), F.lit(False)) & ~F.exists(c["source_ids"], lambda x: x.isNull())
+    well = (
+        typed
+        & size(F.col("a.answer_markdown"), 20000)
+        & F.size(claims).between(1, 30)
+        & F.forall(claims, lambda c: F.coalesce(good_claim(c), F.lit(False)))
+        & (F.size(hints) <= 3)
+        & ~F.exists(hints, lambda x: x.isNull())
+        & (F.col("a.outcome") == "answered")
     )
     cited = F.flatten(F.transform(claims, lambda c: c["source_ids"]))
     text = F.replace(normalize(F.col("a.answer_markdown")), F.lit("ٔ"), F.lit(""))
     verdict = (
-        F.when(broken, "invalid")
+        F.when(~F.coalesce(well, F.lit(False)), "invalid")
         .when(F.size(F.array_except(cited, "allowed")) > 0, "unknown_source")
-        .when(F.col("a.answer_markdown").rlike(r"(?i)https?://\S+"), "url")
+        .when(F.col("a.answer_markdown").rlike(rf"(?i)https?://[^{WHITE}]"), "url")
         .when(any_marker(text, ABSTENTION), "abstained")
-        .when(F.size(cited) == 0, "no_citations")
         .otherwise("valid")
     )
     good = verdict == "valid"
-    hints = F.slice(F.array_distinct(F.filter(F.transform(F.coalesce("a.suggestions", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")), 1, 3)
-    return read.select("answer_id", verdict.alias("verdict"), F.when(good, F.array_join(F.array_distinct(cited), ",")).alias("source_ids"), F.when(good, F.array_join(hints, ",")).alias("suggestions"))
+    kept = F.array_distinct(F.filter(F.transform(hints, strip), lambda x: x != ""))
+    return read.select("answer_id", verdict.alias("verdict"), F.when(good, F.array_join(F.array_distinct(cited), ",")).alias("source_ids"), F.when(good, F.array_join(kept, ",")).alias("suggestions"))
 
 
 def extractive_fallback(queries: DataFrame, evidence: DataFrame, markers: Sequence[str] = QUOTABLE, least: float = 0.35) -> DataFrame:
     """The best sentence of each query's evidence that states a quotable fact and covers the question.
 
-    evidence: query_id, place, chunk_id, title, content. Ties go to the earlier place, then the earlier sentence.
+    evidence: query_id, place, chunk_id, title, heading (array), content. What title and headings name counts as
+    covered. Ties go to the earlier place, then the earlier sentence.
     """
-    parts = evidence.select("query_id", "place", "chunk_id", "title", F.posexplode(F.split("content", r"(?<=[.!؟])\s+|\n+")).alias("k", "raw"))
+    named = F.concat_ws(" ", "title", F.array_join("heading", " ")).alias("named")
+    parts = evidence.select("query_id", "place", "chunk_id", named, F.posexplode(F.split("content", rf"(?<=[.!؟])[{WHITE}]+|\n+")).alias("k", "raw"))
     said = parts.withColumn("sentence", clean_sentence(F.col("raw"))).where("length(sentence) between 1 and 800")
-    said = said.where(any_marker(normalize(F.col("sentence")), markers)).withColumn("terms", F.array_union(search_terms(F.col("title")), search_terms(F.col("sentence"))))
+    said = said.where(any_marker(normalize(F.col("sentence")), markers)).withColumn("terms", F.array_union(search_terms(F.col("named")), search_terms(F.col("sentence"))))
     met = said.join(queries.select("query_id", search_terms(F.col("query")).alias("q")), "query_id").withColumn("e", F.array_intersect("q", literal_array(ENTITIES)))
     good = met.where((F.size(F.array_except("e", "terms")) == 0) & (overlap(F.col("q"), F.col("terms")) >= least))
     scored = good.withColumn("score", F.round(overlap(F.col("q"), F.col("terms")) + overlap(F.col("e"), F.col("terms")), 9))
@@ -93,3 +119,67 @@ def prompt(question: Column, intent: Column, sources: Column, context: Column) -
 
 def message_tokens(messages: Column) -> Column:
     return F.aggregate(messages, F.lit(0), lambda a, m: a + F.greatest(F.lit(1), F.floor(F.length(m) / 4).cast("int")))
+
+
+def decode_lines(bodies: DataFrame, key: str, body: str, schema: str) -> DataFrame:
+    """(key, place, event) of a provider's stream: its data lines up to [DONE]; lines that are not JSON are left out."""
+    lines = bodies.select(key, F.posexplode(F.split(body, r"\r?\n")).alias("place", "line")).where(F.startswith("line", F.lit("data:")))
+    data = lines.select(key, "place", strip(F.substring("line", F.lit(6), F.length("line"))).alias("data"))
+    done = data.where("data = '[DONE]'").groupBy(key).agg(F.min("place").alias("end"))
+    read = data.join(done, key, "left").where("end is null or place < end")
+    return read.select(key, "place", F.from_json("data", schema).alias("event")).where("event is not null")
+
+
+def cited_chunks(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """answers: answer_id, source_ids (array, in order). The chunks that are cited, in each answer's order of citation."""
+    wanted = answers.select("answer_id", F.posexplode("source_ids").alias("place", "chunk_id"))
+    return wanted.join(chunks, "chunk_id")
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of two tables that have the same place within a key; each side needs as many rows (see unpaired)."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
+    return left.withColumn("place", place).join(right.withColumn("place", place).drop(order), [key, "place"])
+
+
+def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys for which two tables have different numbers of rows."""
+    n = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    met = n(left, "n_left").join(n(right, "n_right"), key, "full").na.fill(0, ["n_left", "n_right"])
+    return met.where("n_left <> n_right")
+
+
+def in_index_order(replies: DataFrame, key: str, index: str, value: str) -> DataFrame:
+    """(key, values): a provider's reply put into the order of its own index."""
+    return replies.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(index, value))), lambda x: x[value]).alias("values"))
+
+
+def total_usage(calls: DataFrame, key: str) -> DataFrame:
+    """Sums of the tokens of a first call and its repairs; the provider of the last call that names one."""
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens", "cached_tokens")]
+    return calls.groupBy(key).agg(*sums, F.max_by(F.nullif("provider", F.lit("")), F.when(F.nullif("provider", F.lit("")).isNotNull(), F.col("attempt"))).alias("provider"))
+
+
+def support_summary(query: Column, titles: Column, goal: str, looked_at: str) -> Column:
+    """Redacted question (500 characters) and the distinct titles of the first three chunks that were looked at."""
+    first = F.array_join(F.array_distinct(F.slice(titles, 1, 3)), "، ")
+    return F.concat(F.lit(f"{goal}: "), F.substring(redact(query), 1, 500), F.when(first != "", F.concat(F.lit(f"\n{looked_at}: "), first)).otherwise(""))
+
+
+def cache_hits(lookups: DataFrame, writes: DataFrame, ttl_seconds: int) -> DataFrame:
+    """lookups and writes: cache_key, ts. Each lookup with the time of the last write that is not older than the time to live.
+
+    One pass over both sorted by key and time: no join of lookups with writes.
+    """
+    at = lambda df, kind: df.withColumn("kind", F.lit(kind)).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    both = at(lookups, 1).unionByName(at(writes, 0), allowMissingColumns=True)
+    earlier = W.partitionBy("cache_key").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, -1)
+    seen = both.withColumn("written", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(earlier)).where("kind = 1")
+    fresh = F.coalesce(F.col("at") - F.col("written") < ttl_seconds * 1_000_000, F.lit(False))
+    return seen.select(*lookups.columns, F.when(fresh, F.col("written")).alias("written"), F.when(fresh, "hit").otherwise("miss").alias("cache_status"))
+
+
+def cacheable(text: Column, n_turns: Column, ttl_seconds: int, markers: Sequence[str]) -> Column:
+    """Whether an answer may come from the cache: the first question of a session, not a report of failure."""
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.lit(ttl_seconds > 0) & (n_turns == 0) & ~any_marker(plain, markers)

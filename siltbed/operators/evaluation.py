@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,39 @@ def summary(ranks: DataFrame) -> DataFrame:
 
 def gate(totals: DataFrame, recall: float = 0.9, mrr: float = 0.75) -> DataFrame:
     return totals.withColumn("passed", (F.col("recall") >= recall) & (F.col("mrr") >= mrr))
+
+
+def golden_cases(spark: SparkSession, path: str) -> DataFrame:
+    """A golden set of JSON lines: id, query, expected_in_scope, expected_urls."""
+    return spark.read.schema("id string, query string, expected_in_scope boolean, expected_urls array<string>").json(path).where("id is not null")
+
+
+def canonical_urls(parsed: DataFrame) -> DataFrame:
+    return parsed.where("canonical_url is not null").select(F.col("canonical_url").alias("url")).distinct()
+
+
+def verified(cases: DataFrame, in_scope: Column, urls: DataFrame, least: float = 0.9) -> DataFrame:
+    """One row: cases, scope_accuracy, missing (expected URLs that the corpus has not) and passed."""
+    accuracy = cases.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((in_scope == F.col("expected_in_scope")).cast("double")), 9).alias("scope_accuracy"))
+    missing = cases.select(F.explode("expected_urls").alias("url")).join(urls, "url", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    return accuracy.withColumn("missing", missing.scalar()).withColumn("passed", F.coalesce((F.col("scope_accuracy") >= least) & (F.col("missing") == 0), F.lit(False)))
+
+
+def case_results(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """cases: id, expected_in_scope, expected_urls; answers: id, outcome, urls (in order). Adds passed and reciprocal_rank."""
+    met = cases.join(answers, "id", "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<string>"))).withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
+    passed = (
+        F.when(~F.col("expected_in_scope"), (F.col("outcome") == "out_of_scope") & (F.size("urls") == 0))
+        .when(F.size("expected_urls") > 0, (F.col("outcome") == "answered") & (F.size(F.array_except("expected_urls", "urls")) == 0))
+        .otherwise(F.col("outcome").isin("clarification", "support", "answered"))
+    )
+    places = F.filter(F.transform("expected_urls", lambda u: F.array_position("urls", u)), lambda k: k > 0)
+    return met.withColumn("passed", passed).withColumn("reciprocal_rank", F.coalesce(F.round(1.0 / F.array_min(places), 9), F.lit(0.0)))
+
+
+def release_report(results: DataFrame, pass_rate: float = 0.9, recall: float = 0.9, mrr: float = 0.75) -> DataFrame:
+    """One row: cases, pass_rate, source_recall and mrr (1 without cases that expect URLs), and whether the release passes."""
+    with_urls = F.size("expected_urls") > 0
+    share = lambda c, where: F.round(F.coalesce(F.avg(F.when(where, c.cast("double"))), F.lit(1.0)), 9)
+    out = results.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.col("passed").cast("double")), 9).alias("pass_rate"), share(F.col("passed"), with_urls).alias("source_recall"), share(F.col("reciprocal_rank"), with_urls).alias("mrr"))
+    return out.withColumn("released", (F.col("pass_rate") >= pass_rate) & (F.col("source_recall") >= recall) & (F.col("mrr") >= mrr))

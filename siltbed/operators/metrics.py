@@ -13,11 +13,23 @@ def counters(events: DataFrame, name: Column, labels: dict[str, Column], value:
     return events.select(name.alias("name"), entries.alias("labels"), value.alias("value")).groupBy("name", "labels").agg(F.sum("value").alias("value"))
 
 
+def general(value: Column) -> Column:
+    """A number as %g prints it: six significant digits, no trailing zeros, an exponent beyond 1e-5 and 1e6."""
+    shown = F.format_string("%.5e", value)
+    exponent = F.regexp_extract(shown, "e(.*)$", 1).cast("int")
+    bare = lambda x: F.regexp_replace(x, r"(\.\d*?)0+$", "$1")
+    clean = lambda x: F.regexp_replace(bare(x), r"\.$", "")
+    fixed = F.when(exponent == 5, F.format_string("%.0f", value))
+    for e in range(-4, 5):
+        fixed = fixed.when(exponent == e, clean(F.format_string(f"%.{5 - e}f", value)))
+    return F.when(value == 0, "0").otherwise(F.coalesce(fixed, F.concat(clean(F.regexp_extract(shown, "^(.*)e", 1)), F.regexp_extract(shown, "e.*$", 0))))
+
+
 def exposition(totals: DataFrame) -> DataFrame:
     """Lines in order: a TYPE line before a name's first counter. Of counters, not of events: few rows."""
     escape = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))
     text = F.array_join(F.transform("labels", lambda x: F.concat(x["k"], F.lit('="'), escape(x["v"]), F.lit('"'))), ",")
-    line = F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), text, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("long").cast("string"))
+    line = F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), text, F.lit("}"))).otherwise(""), F.lit(" "), general(F.col("value").cast("double")))
     lines = totals.select("name", text.alias("labels"), line.alias("line"))
     first = F.row_number().over(W.partitionBy("name").orderBy("labels")) == 1
     both = lines.withColumn("lines", F.when(first, F.array(F.struct(F.lit(0).alias("k"), F.concat(F.lit("# TYPE "), "name", F.lit(" counter")).alias("line")), F.struct(F.lit(1).alias("k"), F.col("line")))).otherwise(F.array(F.struct(F.lit(1).alias("k"), F.col("line")))))

@@ -58,22 +58,28 @@ def follow_ups(turns: DataFrame, topics: Sequence[str] = TOPICS, prefixes: Seque
 
 
 def rewritten_queries(turns: DataFrame, flags: DataFrame, anchors: Sequence[str] = ENTITIES) -> DataFrame:
-    """The retrieval query of each user turn: of a follow-up also the last user text of 5 terms or more and up to 4 new anchors."""
-    recent = turns.withColumn("recent", F.reverse(recent_user_texts())).where("role = 'user'")
+    """The retrieval query of each user turn: of a follow-up also the last user text of 5 terms or more and up to 4 new anchors.
+
+    Terms are computed for each turn, then gathered over the window.
+    """
+    said = turns.withColumn("terms", search_terms(F.col("text")))
+    user = F.when(F.col("role") == "user", F.struct(F.col("text").alias("t"), "terms"))
+    recent = said.withColumn("recent", F.reverse(F.array_compact(F.collect_list(user).over(last_12())))).where("role = 'user'")
     met = recent.join(flags, ["session", "turn"])
-    terms = F.transform("recent", lambda t: F.struct(t.alias("t"), search_terms_inline(t).alias("terms")))
-    substantive = F.get(F.filter(terms, lambda x: F.size(x["terms"]) >= 5), F.lit(0))["t"]
-    found = F.array_except(F.array_intersect(F.flatten(F.transform(terms, lambda x: x["terms"])), literal_array(anchors)), search_terms_inline(F.col("text")))
+    substantive = F.get(F.filter("recent", lambda x: F.size(x["terms"]) >= 5), F.lit(0))["t"]
+    found = F.array_except(F.array_intersect(F.flatten(F.transform("recent", lambda x: x["terms"])), literal_array(anchors)), "terms")
     extra = F.nullif(F.array_join(F.slice(found, 1, 4), " "), F.lit(""))
     query = F.substring(F.concat_ws(" ", "text", F.substring(substantive, 1, 500), extra), 1, 800)
     return met.select("session", "turn", F.when(F.col("follow_up") & (F.size("recent") > 0), query).otherwise(F.col("text")).alias("query"))
 
 
-def search_terms_inline(text: Column) -> Column:
-    """search_terms for use inside higher-order functions, where no Python can run: plain texts only."""
-    from siltbed.functions.text import terms_of_normal
-
-    return terms_of_normal(F.replace(F.lower(F.trim(F.regexp_replace(text, r"[\x09-\x0d\x1c-\x20]+", " "))), F.lit("ß"), F.lit("ss")))
+def after_support(turns: DataFrame, prefixes: Sequence[str] = FOLLOW_UPS, entities: Sequence[str] = ENTITIES) -> DataFrame:
+    """Whether each user turn goes on after a hand-over to support: begun like a follow-up and naming no entity."""
+    said = turns.withColumn("last_outcome", previous(F.coalesce("outcome", F.lit("")), F.col("role") == "assistant")).where("role = 'user'")
+    plain = F.replace(F.lower(F.trim(F.regexp_replace("text", r"[\x09-\x0d\x1c-\x20]+", " "))), F.lit("ß"), F.lit("ss"))
+    begun = F.exists(literal_array(prefixes), lambda p: F.startswith(plain, p))
+    named = F.arrays_overlap(search_terms(F.col("text")), literal_array(entities))
+    return said.select("session", "turn", (F.coalesce(F.col("last_outcome") == "support", F.lit(False)) & ~named & begun).alias("after_support"))
 
 
 def issue_failures(turns: DataFrame, markers: Sequence[str] = FAILURES, most: int = 20) -> DataFrame:

@@ -433,25 +433,32 @@ def cost_estimate(spark, d):
 
 @query
 def answer_validate(spark, d):
-    good = '{"answer_markdown":"Yes.","claims":[{"text":"t","source_ids":["a","b","a"]}],"suggestions":["x"," x ","y","z","w"],"outcome":"answered"}'
-    rows = [
-        (1, good),
-        (2, f"```json\n{good}\n```"),
-        (3, good.replace('"b"', '"q"')),
-        (4, good.replace("Yes.", "see https://x.example.com")),
-        (5, good.replace("Yes.", "اطلاعات کافی نیست")),
-        (6, good.replace('[{"text":"t","source_ids":["a","b","a"]}]', "[]")),
-        (7, "not json"),
-        (8, None),
-    ]
-    answered = spark.createDataFrame(rows, "answer_id long, raw string").withColumn("allowed", F.array(F.lit("a"), F.lit("b")))
+    """Answers made of the documents' hashes by a rule that plants every fault in turn."""
+    answered = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.expr(RAW_ANSWER).alias("raw"), F.expr("array(substr(md5(text), 1, 4), substr(md5(text), 5, 4))").alias("allowed"))
     return answers.validated(answered)
 
 
+#: The same expression in Spark and in DuckDB: an answer to each document, with the fault of its number.
+RAW_ANSWER = """
+CASE doc_id % 23 WHEN 1 THEN '```json' || chr(10) WHEN 2 THEN '```' || chr(10) WHEN 3 THEN 'so: ' WHEN 4 THEN '[' ELSE '  ' END
+|| '{"answer_markdown":' || CASE doc_id % 29 WHEN 1 THEN '""' WHEN 2 THEN '7' WHEN 3 THEN 'null' WHEN 4 THEN '"' || repeat('x', 20001) || '"' WHEN 5 THEN '"see HTTPS://x.example.com"'
+   WHEN 6 THEN '"we have ' || 'اطلاعات كافی' || ' not"' WHEN 7 THEN '"' || repeat('x', 20000) || '"' ELSE '"Yes ' || md5(text) || '."' END
+|| ',"claims":' || CASE doc_id % 31 WHEN 1 THEN '[]' WHEN 2 THEN 'null' WHEN 3 THEN '{}' WHEN 4 THEN '["a"]' WHEN 5 THEN '[{"text":"","source_ids":["' || substr(md5(text), 1, 4) || '"]}]'
+   WHEN 6 THEN '[{"text":"' || repeat('y', 2001) || '","source_ids":["' || substr(md5(text), 1, 4) || '"]}]' WHEN 7 THEN '[{"text":"t","source_ids":[]}]' WHEN 8 THEN '[{"text":"t"}]'
+   WHEN 9 THEN '[{"text":5,"source_ids":["' || substr(md5(text), 1, 4) || '"]}]' WHEN 10 THEN '[{"text":"t","source_ids":["' || substr(md5(text), 1, 4) || '"]},{"text":"u","source_ids":["zz"]}]'
+   WHEN 11 THEN '[{"text":"t","source_ids":["' || substr(md5(text), 1, 4) || '"' || repeat(',"' || substr(md5(text), 5, 4) || '"', 8) || ']}]'
+   WHEN 12 THEN '[{"text":"t","source_ids":["' || substr(md5(text), 1, 4) || '"]}' || repeat(',{"text":"t","source_ids":["' || substr(md5(text), 5, 4) || '"]}', 30) || ']'
+   ELSE '[{"text":"t","source_ids":["' || substr(md5(text), 5, 4) || '","' || substr(md5(text), 1, 4) || '","' || substr(md5(text), 5, 4) || '"]},{"text":"' || repeat('z', 2000) || '","source_ids":["' || substr(md5(text), 1, 4) || '"]}]' END
+|| CASE doc_id % 7 WHEN 1 THEN '' WHEN 2 THEN ',"suggestions":[]' WHEN 3 THEN ',"suggestions":["a"," b ","a"]' WHEN 4 THEN ',"suggestions":["a","b","c","d"]' WHEN 5 THEN ',"suggestions":["",3]' ELSE ',"suggestions":["  ","more"]' END
+|| CASE doc_id % 19 WHEN 1 THEN '' WHEN 2 THEN ',"outcome":"nonsense"' WHEN 3 THEN ',"outcome":5' WHEN 4 THEN ',"outcome":null' ELSE ',"outcome":"answered"' END || '}'
+|| CASE doc_id % 23 WHEN 1 THEN chr(10) || '```' WHEN 2 THEN '```  ' WHEN 4 THEN ']' WHEN 5 THEN ' and more' WHEN 6 THEN ',{}' WHEN 7 THEN '}' ELSE chr(10) END
+"""
+
+
 @query
 def extractive_fallback(spark, d):
-    questions = spark.createDataFrame([(1, "pgvector hnsw روی postgres"), (2, "redis cluster")], "query_id long, query string")
-    evidence = spark.createDataFrame([(1, 1, "c1", "Postgres", "سلام. افزونه pgvector از hnsw پشتیبانی نمی کند. پایان"), (1, 2, "c2", "Other", "hnsw امکان ندارد."), (2, 1, "c3", "Redis", "بدون نشانه.")], "query_id long, place int, chunk_id string, title string, content string")
+    questions = spark.createDataFrame([(1, "pgvector hnsw روی postgres"), (2, "redis cluster"), (3, "mysql backup")], "query_id long, query string")
+    evidence = spark.createDataFrame([(1, 1, "c1", "Postgres", ["a"], "سلام. افزونه pgvector از hnsw پشتیبانی نمی کند. پایان"), (1, 2, "c2", "Other", [], "hnsw امکان ندارد."), (2, 1, "c3", "Redis", [], "بدون نشانه."), (3, 1, "c4", "Guide", ["MySQL", "Backup"], "این کار امکان ندارد.")], "query_id long, place int, chunk_id string, title string, heading array<string>, content string")
     return answers.extractive_fallback(questions, evidence)
 
 
@@ -556,34 +563,31 @@ def case_status(spark, d):
 # Streams, read to the end of what there is
 
 
-def _streamed(spark, d, plan, schema: str, mode: str, name: str) -> DataFrame:
-    import uuid
-
+def _streamed(spark, d, plan) -> DataFrame:
     from siltbed.streaming import live
 
     events = live.event_stream(spark, f"{d}/events.parquet*", spark.read.parquet(f"{d}/events.parquet").schema, None)
-    sink = f"stream_{name}_{uuid.uuid4().hex[:8]}"
-    run = plan(events).writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(sink)
+    return live.replayed(plan(events), "complete")
 
 
 @query
 def stream_counters(spark, d):
     from siltbed.streaming import live
 
-    return _streamed(spark, d, lambda e: live.counters(e, "event_type", value="value").select("event_type", "events"), "", "complete", "counters")
+    return _streamed(spark, d, lambda e: live.counters(e, "event_type", value="value").select("event_type", "events"))
 
 
 @query
 def stream_rate_limit(spark, d):
     from siltbed.streaming import live
 
-    return _streamed(spark, d, lambda e: live.per_window(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 hour", None, 1), "", "complete", "limit")
+    out = _streamed(spark, d, lambda e: live.per_window(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 hour", None, 1))
+    return out.select("user_id", F.unix_micros("start").alias("start"), "calls", "rejected")
 
 
 @query
 def stream_sessions(spark, d):
     from siltbed.streaming import live
 
-    return _streamed(spark, d, lambda e: live.sessions(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "7200 seconds", None), "", "complete", "sessions")
+    out = _streamed(spark, d, lambda e: live.sessions(e.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "7200 seconds", None))
+    return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from siltbed.sources.shared import new_dir
+
 
 def event_stream(spark: SparkSession, folder: str, schema, files_at_once: int | None = 1) -> DataFrame:
     """files_at_once None: all files that there are, in one trigger."""
@@ -74,3 +76,19 @@ def failure_counts(reports: DataFrame, most: int = 20) -> DataFrame:
         yield pd.DataFrame(out, columns=["session", "turn", "issue_key", "failure_count"])
 
     return reports.groupBy("session").applyInPandasWithState(count, "session long, turn long, issue_key string, failure_count int", "issue string, n int", "append", GroupStateTimeout.NoTimeout)
+
+
+def replayed(stream: DataFrame, mode: str) -> DataFrame:
+    """The result of all that a stream has now, written by its tasks as Parquet into the shared folder and read from there.
+
+    In complete mode each trigger replaces the result; in append mode it adds to it, a trigger that runs again replacing its own part.
+    """
+    spark = stream.sparkSession
+    out = new_dir(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/part={0 if mode == 'complete' else number}")
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
