@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.functions import text as T
-from siltbed.operators import answers, corpus, evaluation, limits, metrics, policy, retrieval, sessions
+from siltbed.operators import answers, corpus, evaluation, limits, metrics, policy, retrieval, sessions, versions
 from siltbed.sources import markdown
 from siltbed.sources.tables import few, table
 
@@ -69,7 +69,7 @@ def search_query_text(spark, d):
 @query
 def term_frequency(spark, d):
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    postings, _, _ = retrieval.lexical_index(chunks)
+    postings, _ = retrieval.lexical_index(chunks)
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
 
 
@@ -147,10 +147,10 @@ def embedding_batches(spark, d):
 
 @query
 def version_activation(spark, d):
-    versions = spark.createDataFrame([("v1", "active", "2026-01-01"), ("v2", "embedded", None), ("v3", "parsed", None)], "id string, status string, activated_at string")
+    before = spark.createDataFrame([("v1", "active", "2026-01-01"), ("v2", "embedded", None), ("v3", "parsed", None)], "id string, status string, activated_at string")
     chunks = spark.createDataFrame([("v1", [0.5]), ("v2", [0.1]), ("v3", None)], "version_id string, embedding array<double>")
-    done = corpus.activate(versions, chunks, "v2", "2026-02-01").withColumn("tried", F.lit("v2"))
-    return done.union(corpus.activate(versions, chunks, "v3", "2026-02-01").withColumn("tried", F.lit("v3")))
+    done = corpus.activate(before, chunks, "v2", "2026-02-01").withColumn("tried", F.lit("v2"))
+    return done.union(corpus.activate(before, chunks, "v3", "2026-02-01").withColumn("tried", F.lit("v3")))
 
 
 @query
@@ -229,13 +229,13 @@ def trigram_similarity(spark, d):
 
 @query
 def lexical_topk(spark, d):
-    best = retrieval.ranked(retrieval.lexical_scores(asked(spark, d), text_chunks_of(spark, d)), "lexical_score")
+    best = retrieval.lexical_best(asked(spark, d), text_chunks_of(spark, d))
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "lexical_score")
 
 
 @query
 def vector_topk(spark, d):
-    best = retrieval.ranked(retrieval.vector_scores(asked(spark, d).where("embedding is not null"), text_chunks_of(spark, d)), "vector_score")
+    best = retrieval.vector_best(asked(spark, d), text_chunks_of(spark, d))
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "vector_score")
 
 
@@ -243,7 +243,7 @@ def vector_topk(spark, d):
 def vector_label_agreement(spark, d):
     """Share of each item's 10 nearest vectors that have its label."""
     vectors = table(spark, d, "embeddings")
-    near = retrieval.ranked(retrieval.vector_scores(asked(spark, d).where("embedding is not null"), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")), "vector_score", 10)
+    near = retrieval.vector_best(asked(spark, d), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
     labels = vectors.select("vec_id", "label")
     met = near.join(labels.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     return met.groupBy("query_id").agg(F.round(F.avg((F.col("label") == F.col("own")).cast("double")), 6).alias("agreement"))
@@ -251,9 +251,7 @@ def vector_label_agreement(spark, d):
 
 def fused(spark, d):
     chunks, q = text_chunks_of(spark, d), asked(spark, d)
-    lexical = retrieval.ranked(retrieval.lexical_scores(q, chunks), "lexical_score")
-    vector = retrieval.ranked(retrieval.vector_scores(q.where("embedding is not null"), chunks), "vector_score")
-    return retrieval.fuse(lexical, vector), q, chunks
+    return retrieval.fuse(retrieval.lexical_best(q, chunks), retrieval.vector_best(q, chunks)), q, chunks
 
 
 @query
@@ -560,6 +558,107 @@ def case_status(spark, d):
     return table(spark, d, "orders").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("orders"))
 
 
+# Versions, turns and releases, over tables by rule
+
+
+def _versioned(spark, d):
+    """Documents dealt to three versions, of which one is active; chunks are the documents themselves."""
+    docs = table(spark, d, "documents")
+    version = F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string"))
+    documents = docs.select(version.alias("version_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stable_id"), F.col("source").alias("title"), F.concat(F.lit(f"https://{HOST}/"), F.col("doc_id").cast("string")).alias("canonical_url"))
+    chunks = docs.select(version.alias("version_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    states = spark.createDataFrame([("v0", None), ("v1", "2026-02-01"), ("v2", None)], "id string, activated_at string")
+    return chunks, documents, states
+
+
+@query
+def active_version_topk(spark, d):
+    """Lexical retrieval that sees the active version only."""
+    chunks = versions.active_only(*_versioned(spark, d))
+    best = retrieval.lexical_best(asked(spark, d), chunks, 10).join(chunks.select("chunk_id", "title", "canonical_url"), "chunk_id")
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "lexical_score", "title", "canonical_url")
+
+
+@query
+def turn_outcomes(spark, d):
+    """What becomes of each user turn; what is known of it follows from its numbers by rule."""
+    t = turns(spark, d).where("role = 'user'")
+    k = (F.col("session") * 31 + F.col("turn") * 7) % 101
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n % len(values) + 1).cast("int"))
+    known = {
+        "in_scope": k % 13 != 0, "scope_reason": pick(5, "domain_unverified", "domain_keyword"), "failure_count": k % 4, "after_support": k % 11 == 0, "sufficient": k % 3 != 0,
+        "evidence_reason": pick(6, "no_results", "low_relevance", "contradictory_sources"), "clarified": k % 17 == 0, "follow_up": k % 2 == 0, "can_help": k % 5 > 1, "cache": pick(7, "hit", "miss", "bypass", "invalid"),
+        "input_tokens": k * 100, "max_input_tokens": F.lit(9000), "first": pick(10, "valid", "invalid", "abstained", "failed", "unknown_source"), "repair": pick(9, "valid", "failed", "url"), "fallback": k % 8 < 3,
+    }
+    return t.select("session", "turn", policy.turn_outcome(known).alias("o")).select("session", "turn", "o.outcome", "o.reason", "o.source")
+
+
+@query
+def request_checks(spark, d):
+    t = table(spark, d, "conversations")
+    k = F.col("conv_id") * 3 + F.col("turn")
+    name = F.md5(F.col("text"))
+    known = {
+        "protocol_version": F.when(k % 17 == 0, "2").otherwise("1"), "session_id": F.when(k % 13 == 0, F.substring(name, 1, 12)).when(k % 19 == 0, F.concat(name, F.lit("!"))).otherwise(name), "message_id": F.when(k % 11 == 0, F.substring(name, 1, 7)).otherwise(F.substring(name, 1, 8)),
+        "text": F.when(k % 23 == 0, "  ").otherwise(F.col("text")), "surface": F.when(k % 7 == 0, "mail").when(k % 2 == 0, "popup").otherwise("page"), "locale": F.when(k % 29 == 0, F.lit(None)).otherwise("fa-IR"),
+    }
+    return t.select("conv_id", "turn", policy.request_problem(known, 300).alias("problem"))
+
+
+def _cases(spark, d):
+    """Benchmark items as golden cases: URLs of the documents that hold the item, every fifth out of scope, and answers by rule."""
+    url = lambda c: F.concat(F.lit(f"https://{HOST}/"), c.cast("string"))
+    held = table(spark, d, "benchmark").join(table(spark, d, "documents"), "text").groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_set(url(F.col("doc_id")))).alias("expected_urls"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 5 != 4).alias("expected_in_scope")).join(held, "id", "left")
+    cases = items.withColumn("expected_urls", F.when(F.col("expected_in_scope"), F.col("expected_urls"))).withColumn("expected_urls", F.coalesce("expected_urls", F.array().cast("array<string>")))
+    outcome = F.when(~F.col("expected_in_scope"), "out_of_scope").when(F.col("id") % 7 == 3, "support").otherwise("answered")
+    urls = F.when(F.col("id") % 6 == 1, F.concat(F.array(F.lit("https://other.example.com/")), "expected_urls")).when(F.col("id") % 11 == 2, F.slice("expected_urls", 2, 100)).otherwise(F.col("expected_urls"))
+    return cases, cases.select("id", outcome.alias("outcome"), urls.alias("urls")).where("id % 13 <> 5")
+
+
+@query
+def release_report(spark, d):
+    return evaluation.release_report(evaluation.case_results(*_cases(spark, d)))
+
+
+@query
+def dataset_verification(spark, d):
+    cases, _ = _cases(spark, d)
+    urls = table(spark, d, "documents").where("doc_id % 40 <> 0").select(F.concat(F.lit(f"https://{HOST}/"), F.col("doc_id").cast("string")).alias("canonical_url"))
+    return evaluation.verified(cases, F.col("id") % 9 != 4, evaluation.canonical_urls(urls))
+
+
+@query
+def cache_lookups(spark, d):
+    """Each user's events of a type: clicks write, all others look up, with an hour to live."""
+    events = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("cache_key"), "ts", "event_type")
+    out = answers.cache_hits(events.where("event_type <> 'click'"), events.where("event_type = 'click'").select("cache_key", "ts"), 86400)
+    return out.select("event_id", "cache_status", "written")
+
+
+@query
+def cited_sources(spark, d):
+    """Chunks that each document's answer cites, in order of citation."""
+    docs = table(spark, d, "documents")
+    cites = F.array((F.col("doc_id") * 7) % 150, (F.col("doc_id") * 3) % 150, F.col("doc_id") + 1_000_000)
+    found = answers.cited_chunks(docs.select(F.col("doc_id").alias("answer_id"), F.array_distinct(cites).alias("source_ids")), docs.select(F.col("doc_id").alias("chunk_id"), "source"))
+    return found.select("answer_id", F.col("place").cast("long").alias("place"), "chunk_id", "source")
+
+
+@query
+def usage_totals(spark, d):
+    """Tokens of each request's calls; every third call is a repair of the one before."""
+    calls = table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("request"), (F.col("event_id") % 3).alias("attempt"), F.length("props").cast("long").alias("input_tokens"), F.floor("value").alias("output_tokens"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 10).alias("cached_tokens"), F.when(F.col("event_id") % 4 > 0, F.col("event_type")).otherwise("").alias("provider"))
+    return answers.total_usage(calls, "request")
+
+
+@query
+def reply_order(spark, d):
+    """A provider's embeddings come in any order and are put into that of their index."""
+    replies = table(spark, d, "events").select(F.floor(F.col("event_id") / 16).alias("batch"), ((F.col("event_id") * 5) % 16).alias("index"), "event_type")
+    return answers.in_index_order(replies, "batch", "index", "event_type").select("batch", F.array_join("values", ",").alias("values"))
+
+
 # Streams, read to the end of what there is
 
 

@@ -218,3 +218,37 @@ stream_counters = "SELECT event_type, count(*) AS events FROM events GROUP BY 1"
 stream_rate_limit = "SELECT user_id, epoch_us(ts) // 3600000000 * 3600000000 AS start, count(*) AS calls, greatest(count(*) - 1, 0) AS rejected FROM events GROUP BY 1, 2"
 stream_sessions = """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(epoch_us(ts)) AS started, max(epoch_us(ts)) + 7200000000 AS ended, count(*) AS events FROM s GROUP BY user_id, k"""
+_ACTIVE = _LEX.replace("AS n FROM documents)", "AS n FROM documents WHERE doc_id % 3 = 1)")
+active_version_topk = f"WITH {_ACTIVE} SELECT query_id, rank, chunk_id, lexical_score, d.source AS title, 'https://docs.example.com/' || chunk_id AS canonical_url FROM lr JOIN documents d ON d.doc_id = lr.chunk_id WHERE rank <= 10"
+turn_outcomes = """WITH k AS (SELECT conv_id AS session, turn, (conv_id * 31 + turn * 7) % 101 AS k FROM conversations WHERE role = 'user'),
+f AS (SELECT *, ['domain_unverified', 'domain_keyword'][k % 5 % 2 + 1] AS sr, ['no_results', 'low_relevance', 'contradictory_sources'][k % 6 % 3 + 1] AS er, ['hit', 'miss', 'bypass', 'invalid'][k % 7 % 4 + 1] AS cache,
+  ['valid', 'invalid', 'abstained', 'failed', 'unknown_source'][k % 10 % 5 + 1] AS one, ['valid', 'failed', 'url'][k % 9 % 3 + 1] AS two, k % 8 < 3 AS fb, k % 3 = 0 AS poor FROM k),
+o AS (SELECT session, turn, CASE WHEN k % 13 = 0 THEN ['out_of_scope', sr, NULL] WHEN k % 4 >= 2 THEN ['support', 'repeated_failure', NULL] WHEN k % 11 = 0 THEN ['support', 'support_continuation', NULL]
+  WHEN poor AND k % 17 = 0 THEN ['support', er, NULL] WHEN poor AND sr = 'domain_unverified' AND k % 2 = 1 THEN ['out_of_scope', sr, NULL] WHEN poor AND k % 5 > 1 THEN ['clarification', er, NULL] WHEN poor THEN ['support', er, NULL]
+  WHEN cache = 'hit' THEN ['answered', NULL, 'cache'] WHEN k * 100 > 9000 THEN ['support', 'token_budget_exceeded', NULL] WHEN one = 'valid' THEN ['answered', NULL, 'model']
+  WHEN one = 'failed' OR (one NOT IN ('abstained') AND two = 'failed') THEN CASE WHEN fb THEN ['answered', NULL, 'extractive_fallback'] ELSE ['error', 'provider_failed', NULL] END
+  WHEN one <> 'abstained' AND two = 'valid' THEN ['answered', NULL, 'repair'] WHEN fb THEN ['answered', NULL, 'extractive_fallback'] ELSE ['support', 'grounding_failed', NULL] END AS o FROM f)
+SELECT session, turn, o[1] AS outcome, o[2] AS reason, o[3] AS source FROM o"""
+request_checks = r"""WITH k AS (SELECT *, conv_id * 3 + turn AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN k % 17 = 0 THEN 'protocol_version' WHEN k % 13 = 0 OR k % 19 = 0 THEN 'session_id' WHEN k % 11 = 0 THEN 'message_id' WHEN k % 23 = 0 OR t = '' THEN 'text'
+  WHEN k % 7 = 0 THEN 'surface' WHEN k % 29 = 0 THEN 'locale' WHEN length(t) > 300 THEN 'input_too_long' END AS problem FROM k"""
+_CASES = """h AS (SELECT item_id, list_sort(list_distinct(list('https://docs.example.com/' || doc_id))) AS urls FROM benchmark JOIN documents USING (text) GROUP BY 1),
+c AS (SELECT b.item_id AS id, b.item_id % 5 <> 4 AS ok, CASE WHEN b.item_id % 5 <> 4 THEN coalesce(h.urls, []) ELSE [] END AS e FROM benchmark b LEFT JOIN h USING (item_id))"""
+release_report = f"""WITH {_CASES},
+a AS (SELECT *, CASE WHEN id % 13 = 5 THEN 'missing' WHEN NOT ok THEN 'out_of_scope' WHEN id % 7 = 3 THEN 'support' ELSE 'answered' END AS outcome,
+  CASE WHEN id % 13 = 5 THEN [] WHEN id % 6 = 1 THEN list_concat(['https://other.example.com/'], e) WHEN id % 11 = 2 THEN e[2:] ELSE e END AS u FROM c),
+r AS (SELECT *, CASE WHEN NOT ok THEN outcome = 'out_of_scope' AND len(u) = 0 WHEN len(e) > 0 THEN outcome = 'answered' AND len(list_filter(e, lambda x: NOT list_contains(u, x))) = 0 ELSE outcome IN ('clarification', 'support', 'answered') END AS passed,
+  coalesce(round(1.0 / list_min(list_filter(list_transform(e, lambda x: list_position(u, x)), lambda k: k > 0)), 9), 0) AS rr FROM a),
+t AS (SELECT count(*) AS cases, round(avg(CAST(passed AS DOUBLE)), 9) AS pass_rate, round(coalesce(avg(CAST(passed AS DOUBLE)) FILTER (len(e) > 0), 1), 9) AS source_recall, round(coalesce(avg(rr) FILTER (len(e) > 0), 1), 9) AS mrr FROM r)
+SELECT *, pass_rate >= 0.9 AND source_recall >= 0.9 AND mrr >= 0.75 AS released FROM t"""
+dataset_verification = f"""WITH {_CASES}, t AS (SELECT count(*) AS cases, round(avg(CAST((id % 9 <> 4) = ok AS DOUBLE)), 9) AS scope_accuracy,
+  (SELECT count(*) FROM (SELECT unnest(e) AS url FROM c) WHERE CAST(replace(url, 'https://docs.example.com/', '') AS BIGINT) % 40 = 0) AS missing FROM c)
+SELECT *, scope_accuracy >= 0.9 AND missing = 0 AS passed FROM t"""
+cache_lookups = """WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS kind FROM events),
+w AS (SELECT *, max(CASE WHEN kind = 0 THEN us END) OVER (PARTITION BY user_id ORDER BY us, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM e)
+SELECT event_id, CASE WHEN us - w < 86400000000 THEN 'hit' ELSE 'miss' END AS cache_status, CASE WHEN us - w < 86400000000 THEN w END AS written FROM w WHERE kind = 1"""
+cited_sources = """WITH c AS (SELECT doc_id AS answer_id, 0 AS place, doc_id * 7 % 150 AS chunk_id FROM documents UNION ALL SELECT doc_id, 1, doc_id * 3 % 150 FROM documents WHERE doc_id * 7 % 150 <> doc_id * 3 % 150)
+SELECT answer_id, CAST(place AS BIGINT) AS place, chunk_id, source FROM c JOIN documents d ON d.doc_id = c.chunk_id"""
+usage_totals = """SELECT event_id // 3 AS request, CAST(sum(length(props)) AS BIGINT) AS input_tokens, CAST(sum(floor(value)) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN event_id % 2 = 0 THEN event_id % 10 ELSE 0 END) AS BIGINT) AS cached_tokens,
+  arg_max(event_type, event_id % 3) FILTER (event_id % 4 > 0) AS provider FROM events GROUP BY 1"""
+reply_order = "SELECT event_id // 16 AS batch, string_agg(event_type, ',' ORDER BY event_id * 5 % 16) AS values FROM events GROUP BY 1"
