@@ -84,8 +84,8 @@ def invalid_vectors(embeddings: DataFrame, dimension: int) -> DataFrame:
 
 def activate(versions: DataFrame, chunks: DataFrame, version: str, at: str) -> DataFrame:
     """Versions after an attempt to activate one: refused (reason in `refused`) while one of its chunks has no embedding."""
-    missing = chunks.where((F.col("version_id") == version) & F.col("embedding").isNull()).select(F.lit(version).alias("id"), F.lit("missing embeddings").alias("refused")).distinct()
-    tried = versions.join(missing.select("refused"), F.lit(True), "left")
+    missing = chunks.where((F.col("version_id") == version) & F.col("embedding").isNull()).agg(F.max(F.lit("missing embeddings")).alias("refused"))
+    tried = versions.withColumn("refused", missing.scalar())
     ok = F.col("refused").isNull()
     chosen = F.col("id") == version
     status = F.when(ok & chosen, "active").when(ok & (F.col("status") == "active"), "indexed").otherwise(F.col("status"))

@@ -89,9 +89,15 @@ def credentials(spark) -> DataFrame:
     return spark.createDataFrame(rows, "id long, text string")
 
 
+#: The same expression in Spark and in DuckDB: credentials behind each document's text, by its number.
+PLANTED = """CASE doc_id % 6 WHEN 0 THEN ' DB_PASSWORD=ab12 MY_TOKEN="x"' WHEN 1 THEN ' authorization: bearer abcdefghijkl.mn' WHEN 2 THEN ' postgres://u:pw' || doc_id || '@h/db'
+WHEN 3 THEN ' data:image/png;base64,' || repeat('A', 1100) WHEN 4 THEN ' API_KEY = short redis://:x@h mysql://a:b@c' ELSE '' END"""
+
+
 @query
 def redaction_totals(spark, d):
-    counts = table(spark, d, "documents").select("lang", *T.redaction_counts(F.col("text")))
+    planted = F.expr(PLANTED)
+    counts = table(spark, d, "documents").select("lang", F.concat("text", planted).alias("text")).select("lang", *T.redaction_counts(F.col("text")))
     return counts.groupBy("lang").agg(*[F.sum(c).alias(c) for c in T.REDACTIONS])
 
 
@@ -542,7 +548,7 @@ def exists_orders(spark, d):
 
 @query
 def missing_children_anti(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltbed.plans.batch import RAW_ANSWER
+from siltbed.plans.batch import PLANTED, RAW_ANSWER
 
 
 def _norm(x):
@@ -56,7 +56,7 @@ r AS (SELECT {key}, t3 AS safe, CAST(len(regexp_extract_all(text, '{_ENV}')) AS
 
 
 redact_inline = f"WITH {_redacted(_CRED, 'id')} SELECT CAST(id AS BIGINT) AS id, safe, environment_value, bearer_token, connection_password, embedded_data_url FROM r"
-redaction_totals = f"WITH {_redacted('documents', 'lang')} SELECT lang, CAST(sum(environment_value) AS BIGINT) AS environment_value, CAST(sum(bearer_token) AS BIGINT) AS bearer_token, CAST(sum(connection_password) AS BIGINT) AS connection_password, CAST(sum(embedded_data_url) AS BIGINT) AS embedded_data_url FROM r GROUP BY lang"
+redaction_totals = f"WITH {_redacted(f'(SELECT lang, text || {PLANTED} AS text FROM documents)', 'lang')} SELECT lang, CAST(sum(environment_value) AS BIGINT) AS environment_value, CAST(sum(bearer_token) AS BIGINT) AS bearer_token, CAST(sum(connection_password) AS BIGINT) AS connection_password, CAST(sum(embedded_data_url) AS BIGINT) AS embedded_data_url FROM r GROUP BY lang"
 embedding_input_text = "SELECT doc_id, sha256(concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END, lang, text)) AS input_hash FROM documents"
 
 doc_identity = "SELECT doc_id, substr(sha256(source || '/' || doc_id), 1, 24) AS stable_id, sha256(text) AS content_hash FROM documents"
@@ -211,7 +211,7 @@ eval_label_accuracy = "SELECT lang, count(*) AS n, round(avg(CASE WHEN CAST(leng
 star_join_active = """SELECT n_name, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18, 4)) * (1 - CAST(l_discount AS DECIMAL(6, 4)))), 2) AS DOUBLE) AS revenue, count(*) AS lines
 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE r_name = 'EUROPE' OR r_regionkey = 3 GROUP BY 1"""
 exists_orders = "SELECT o_orderpriority, count(*) AS orders FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1"
-missing_children_anti = "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+missing_children_anti = "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)"
 topk_tiebreak = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 30"
 case_status = "SELECT CASE WHEN o_orderstatus = 'F' THEN 'indexed' WHEN o_totalprice > 200000 THEN 'active' ELSE lower(o_orderstatus) END AS status, count(*) AS orders FROM orders GROUP BY 1"
 stream_counters = "SELECT event_type, count(*) AS events FROM events GROUP BY 1"
