@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltbed.sources.shared import remove, shared_dir
+
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,28 +32,11 @@ def text_hash(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a single local process may do without one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siltbed.scratch", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="siltbed-")
-        spark.conf.set("siltbed.scratch", found)
-    return found.rstrip("/")
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """Where this application's tables are cut."""
     return f"{shared_dir(spark)}/siltbed-{spark.sparkContext.applicationId}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a file or folder of the shared storage."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes all that this application has cut: call it once results have been written."""
     remove(spark, scratch_dir(spark))
