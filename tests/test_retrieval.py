@@ -33,7 +33,7 @@ def test_vectors_in_blocks(spark):
     rng = np.random.default_rng(1)
     vector = lambda n=4: [float(x) for x in rng.integers(-2, 3, n)]
     c = [(k, vector(3 if k % 10 == 0 else 4)) for k in range(200)] + [(900, None), (901, [])]
-    q = [(k, vector()) for k in range(57)] + [(900, None)]
+    q = [(k, vector()) for k in range(25)] + [(900, None)]
     chunks = spark.createDataFrame(c, "chunk_id long, embedding array<double>").repartition(4)
     queries = spark.createDataFrame(q, "query_id long, embedding array<double>")
     got = rows(retrieval.vector_best(queries, chunks, 5, block=10), "query_id", "rank", "chunk_id", "vector_score")
