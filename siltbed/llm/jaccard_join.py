@@ -28,9 +28,10 @@ partitions until there are enough; a pair is safe as soon as one of its two has
 Equal signatures meet in sorted runs. A run of two documents gives a pair; a longer one gives pairs with
 its first document, and is kept. Pairs are verified on whole sets: first the most
 frequent partner of each document, then, once these links have joined components, only what lies between
-components. In a long run that is: documents outside the run's largest component against the others, after a
-filter by parity sketches (their difference never exceeds d). Runs of the same documents are compared once, and
-a run is cut into pieces of at most PIECE documents, piece against piece, so no task holds it whole. No
+components. For long runs that is: of all documents that met one first document, those outside the largest
+component against the others, after a filter by parity sketches (their difference never exceeds d). They are compared
+once, on however many signatures they met, and in pieces of about PIECE documents, piece against piece, so no
+task holds them whole. No
 copies are expanded into pairs: equal sets are joined by their hash.
 
 A shingle is named by a 64-bit hash; sets are compared by these.
@@ -464,28 +465,29 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
         now, group = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["sig"], r["i"], r["j"]) != now:
+                if (r["lead"], r["band"], r["i"], r["j"]) != now:
                     if group:
                         yield from pairs_of(group)
-                    now, group = (r["sig"], r["i"], r["j"]), []
+                    now, group = (r["lead"], r["band"], r["i"], r["j"]), []
                 group.append(r)
         if group:
             yield from pairs_of(group)
 
-    members = across(met.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("doc")), "doc")
-    of_run = members.groupBy("sig", "doc_of").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"))
-    runs = of_run.groupBy("sig").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.max(F.struct("n", "doc_of")).alias("most")).where("most.n < n")
-    runs = runs.groupBy("n", "x", F.col("sig").bitwiseAND(31).alias("band")).agg(F.min("sig").alias("sig"), F.first("most").alias("most"))  # runs of the same documents once
+    # all documents that met one first document in long runs of one band are compared once, on however many signatures they met
+    band = F.col("a").bitwiseAND(31).alias("band")
+    members = across(met.where("kind = 1").select("lead", band, F.col("b").alias("doc")).distinct(), "doc")
+    of_run = members.groupBy("lead", "band", "doc_of").agg(F.count(F.lit(1)).alias("n"))
+    runs = of_run.groupBy("lead", "band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "doc_of")).alias("most")).where("most.n < n")
     pieces = lambda n: F.ceil(n / PIECE).cast("int")
-    runs = cut(runs.select("sig", "band", F.col("most.doc_of").alias("largest"), pieces(F.col("n")).alias("all_pieces"), pieces(F.col("n") - F.col("most.n")).alias("stray_pieces")), "runs")
-    there = members.join(broadcast_if(runs, RUNS_TO_BROADCAST), "sig")
+    runs = cut(runs.select("lead", "band", F.col("most.doc_of").alias("largest"), pieces(F.col("n")).alias("all_pieces"), pieces(F.col("n") - F.col("most.n")).alias("stray_pieces")), "runs")
+    there = members.join(broadcast_if(runs, RUNS_TO_BROADCAST), ["lead", "band"])
     number = lambda n: F.array(F.pmod(F.xxhash64("doc"), n).cast("int"))
     all_of = lambda n: F.sequence(F.lit(0), n - 1)
-    grid = lambda stray, i, j: there.select("sig", "band", "doc", "doc_of", "largest", F.lit(stray).alias("stray"), F.explode(i).alias("i"), j.alias("js")).withColumn("j", F.explode("js")).drop("js")
+    grid = lambda stray, i, j: there.select("lead", "band", "doc", "doc_of", "largest", F.lit(stray).alias("stray"), F.explode(i).alias("i"), j.alias("js")).withColumn("j", F.explode("js")).drop("js")
     strays = grid(True, number(F.col("stray_pieces")), all_of(F.col("all_pieces"))).where("doc_of <> largest")
     dealt = strays.union(grid(False, all_of(F.col("stray_pieces")), number(F.col("all_pieces"))))
     sketches = summary.select("doc", "n_shingles", F.explode(F.arrays_zip("bands", "sketches")).alias("x")).select("doc", "n_shingles", F.col("x.bands").alias("band"), F.col("x.sketches").alias("sketch")).dropDuplicates(["doc", "band"])
-    candidates = dealt.join(sketches, ["doc", "band"]).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(compare, "u long, v long")
+    candidates = dealt.join(sketches, ["doc", "band"]).repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j").mapInArrow(compare, "u long, v long")
     more = _verified(cut(between.union(candidates).distinct(), "candidates"), rows, n)
     last = components(reduce(DataFrame.union, [joined.select(F.col("node").alias("u"), F.col("component").alias("v")), more]))
     return summary, _with_roots(last)
