@@ -45,18 +45,18 @@ def test_pieces(spark):
     assert one(spark, "", T.pieces) == []
 
 
-def test_units():
-    units = M.units_of("# A\n### C\ntext\n~~~py\nx\n~~~\n- ```sh\nls\n```\nend\n```\nopen")
+def test_units(spark):
+    rows = spark.createDataFrame([("# A\n### C\ntext\n~~~py\nx\n~~~\n- ```sh\nls\n```\nend\n```\nopen",), ("x\n```\n",)], "content string")
+    units, small = (r.units for r in M.with_units(rows).collect())
     assert [u["kind"] for u in units] == ["heading", "heading", "text", "code", "code", "text", "code"]
     assert units[2]["heading_path"] == ["A", "C"] and units[3]["code_language"] == "py"
     assert units[-1]["content"].endswith("```")
-    assert M.units_of("x\n```\n") == [{"heading_path": [], "content": "x", "kind": "text", "code_language": None}]
+    assert [(u.heading_path, u.content, u.kind, u.code_language) for u in small] == [([], "x", "text", None)]
 
 
-def test_chunks_hold_their_limits():
+def test_chunks_hold_their_limits(spark):
     text = "\n\n".join(f"paragraph {i} " + "word " * 60 for i in range(30)) + "\n```py\n" + "x = 1\n" * 400 + "```\n\n" + "z" * 9000
-    units = M.units_of(text)
-    chunks = M.chunks_of(units, 650, 120, 70)
+    chunks = M.chunked(spark.createDataFrame([("d", text)], "stable_id string, content string")).orderBy("ordinal").collect()
     code = [c for c in chunks if c["code_languages"]]
     assert len(code) == 1 and code[0]["content"].count("x = 1") == 400
     assert all(c["token_count"] <= 700 for c in chunks if not c["code_languages"])
