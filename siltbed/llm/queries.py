@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import documents
+from siltbed.llm.html_text import extract
 from siltbed.llm.jaccard_join import link_documents
+from siltbed.llm.lexical_search import search
 from siltbed.llm.line_dedup import dedup_lines
 from siltbed.llm.media_columns import media_columns
 from siltbed.llm.packing import pack
@@ -18,6 +20,7 @@ from siltbed.llm.secret_scan import ranked_words, scan_secrets
 from siltbed.llm.source_mixing import mix
 from siltbed.llm.substring_dedup import dedup_substrings
 from siltbed.llm.url_filter import filter_urls, url_host
+from siltbed.llm.whitening import whiten
 
 
 def tokenizer_path() -> str:
@@ -134,9 +137,34 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.array_join("shards", ",").alias("shards"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+p AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, s GROUP BY term, n_docs),
+c AS (SELECT f.r, f.doc_id, f.term, w.weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))) AS part FROM f JOIN w ON f.term = w.term, s),
+t AS (SELECT q.item_id, c.r, c.doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN c ON q.term = c.term GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM t WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op12_lexical_search": OP12_SQL}
