@@ -4,7 +4,11 @@ Sets with Jaccard similarity of 3/4 or more differ in at most (|r| + |s|) / 7 sh
 third. Documents are grouped into size bands (of the smaller set; a document is also indexed in the band
 below if a partner may lie there). A band hashes the universe of shingles into segments.
 
-Allocation. For each band a sample of the documents tells what a segment would cost: how many rows an index
+First links. Of each set the least shingle hash in every quarter of the hash range is kept. Documents that share one meet the
+first of their run, the partner that a document meets most often is verified, and these links, with those between equal sets, join
+components. They steer cost only: what follows finds every link again that lies between components, and nothing within them.
+
+Allocation. For each band a sample of the documents, one of each component, tells what a segment would cost: how many rows an index
 of it has and how many pairs meet there, with its whole subset alone (one unit of the pigeonhole budget) or
 with its one-deletion neighbourhood too (two units, where a document has two shingles or more there).
 The cheapest units are taken until they cover the budget that documents of the band need; these
@@ -25,19 +29,21 @@ segments, each whole and with any one shingle left out: if twice the segments of
 exceed d, one of them differs by one shingle at most. If even these are too few, it goes on with further
 partitions until there are enough; a pair is safe as soon as one of its two has enough.
 
-Equal signatures meet in sorted runs. A run of two documents gives a pair; a longer one gives pairs with
-its first document, and is kept. Pairs are verified on whole sets: first the most
-frequent partner of each document, then, once these links have joined components, only what lies between
+Equal signatures meet in sorted runs; of equal sets one is indexed. A run within one component gives nothing, and neither does one whose documents
+all belong to a higher band (guests): a pair of these meets in that band. A run of two documents gives a
+pair; in a longer one the documents outside the largest component are paired with the first of it, and the run is kept. Pairs are verified on
+whole sets: first the most frequent partner of each document, then, once these links have joined components, only what lies between
 components. For long runs that is: of all documents that met one first document, those outside the largest
-component against the others, after a filter by parity sketches (their difference never exceeds d). They are compared
-once, on however many signatures they met, and in pieces of about PIECE documents, piece against piece, so no
-task holds them whole. No
-copies are expanded into pairs: equal sets are joined by their hash.
+component against the others, guests against guests excepted, after a filter by parity sketches (their difference never exceeds d). They are
+compared once, on however many signatures they met, by longer sketches that are made for them alone, and in pieces of about PIECE_BYTES,
+piece against piece, so no task holds them whole: a family of variants that are not similar to each other costs a comparison of sketches
+for each two, and candidates only where sketches cannot tell. No copies are expanded into pairs: equal sets are joined by their hash.
 
 A shingle is named by a 64-bit hash; sets are compared by these.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no links; fewer words
-than n are one shingle; each distinct (doc_id, text) is a node of its own, by a 64-bit hash. link_documents joins the nodes
+than n are one shingle; each distinct (doc_id, text) is a node of its own: a 64-bit hash, and where a second hash tells that
+two of them share it, all but one are renamed by both. link_documents joins the nodes
 of a doc_id that is not null: these are one document with several texts, which links if one of them does. Rows
 with a null doc_id are joined by their texts only, and their component is null unless a link gives it one. An empty
 table gives no rows; columns beyond doc_id and text are ignored.
@@ -45,8 +51,6 @@ table gives no rows; columns beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +62,7 @@ SMALL = 2
 IDS_TO_BROADCAST = 2_000_000
 SIGNATURE_BITS = 56  # of which the lowest 5 are the band's number
 CLASSES = 1024
-PIECE, RUNS_TO_BROADCAST = 4096, 500_000
+PIECE_BYTES, RUNS_TO_BROADCAST = 1 << 24, 500_000
 SHARE, HOT_TIMES, HOT_MOST = 32, 3, 1 << 17  # hotness: counted in 1/32 of the documents, three times, at most so many
 
 
@@ -132,7 +136,7 @@ def _segment_signatures(parts, first, salt):
 
 
 def signatures(hashes, hot, plan: dict | None = None):
-    """Signatures of a set, over its bands and schemes. plan: band -> (rank, units) of each class of segments."""
+    """Signatures of a set, over its bands and schemes, twice each, and one more where it is a guest. plan: band -> (rank, units) of each class of segments."""
     import numpy as np
 
     out = []
@@ -164,7 +168,7 @@ def signatures(hashes, hot, plan: dict | None = None):
             enough = 2 * int((np.diff(np.r_[first, len(parts)]) >= 2).sum()) > most
             mine += [whole, without]
             scheme += 1
-        out.append((np.concatenate(mine) & mask) | np.uint64(band))
+        out.append((((np.concatenate(mine) & mask) | np.uint64(band)) << np.uint64(1)) | np.uint64(len(hashes) > TOPS[band]))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -251,37 +255,110 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 
 
 def node():
-    """The node of a row of docs."""
+    """The node of a row of docs, but for those that renamed() has."""
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
+def second_name():
+    return F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), "text")
+
+
+def renamed(names: DataFrame) -> tuple[DataFrame | None, bool]:
+    """(doc, second, own) for nodes that a different (doc_id, text) has too, all but one of each, none if there are no such
+    nodes; and whether rows repeat. names: doc, second."""
+    shared = names.groupBy("doc").agg(F.min("second").alias("stays"), F.max("second").alias("most"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = cut(shared, "shared-names")
+    if shared.isEmpty():
+        return None, False
+    two = shared.where("stays <> most").select("doc", "stays")
+    if two.isEmpty():
+        return None, True
+    own = names.join(two, "doc").where("second <> stays").select("doc", "second", F.xxhash64(F.lit(2), "doc", "second").alias("own")).distinct()
+    return cut(own, "renamed"), True
+
+
+def with_own_names(df: DataFrame, again: DataFrame | None) -> DataFrame:
+    """df with the nodes (doc) that renamed() gives; second is dropped."""
+    if again is None:
+        return df.drop("second")
+    return df.join(broadcast_if(again, IDS_TO_BROADCAST), ["doc", "second"], "left").withColumn("doc", F.coalesce("own", "doc")).drop("second", "own")
+
+
 def _with_roots(linked: DataFrame) -> DataFrame:
     """(node, component), with each component's smallest node too."""
     return linked.union(linked.select("component", "component").distinct())
 
 
-def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(doc, doc_id, n_shingles, ...) for each row, doc being its node, and (node, component) for the nodes that have links."""
-    rows = docs.select(F.col("doc_id").cast("long"), node().alias("doc"), F.col("text").cast("binary").alias("text"))
+def _summaries(rows: DataFrame, n: int) -> DataFrame:
+    """Of each row: size and name of its set, its least hashes, and a sketch for each band."""
 
     def summarise(batches):
         import numpy as np
         import pyarrow as pa
 
         hashes = WordHashes()
-        types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.binary())]
+        quarters = np.arange(4, dtype=np.uint64) << np.uint64(62)
+        names = ["doc", "second", "doc_id", "n_shingles", "name1", "name2", "least", "bands", "sketches"]
+        types = [pa.int64()] * 6 + [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
         for batch in batches:
             out = []
-            for doc, doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets((t.as_py() for t in batch.column(2)), n, hashes)):
-                names = (int(scramble(found).sum(dtype=np.uint64).view(np.int64)), int(scramble(found * np.uint64(3)).sum(dtype=np.uint64).view(np.int64)))
+            for doc, second, doc_id, found in zip(*(batch.column(c).to_pylist() for c in range(3)), shingle_sets((t.as_py() for t in batch.column(3)), n, hashes)):
+                name1, name2 = (int(scramble(x).sum(dtype=np.uint64).view(np.int64)) for x in (found, found * np.uint64(3)))
+                at = np.searchsorted(found, quarters)
+                least = found[at[at < np.r_[at[1:], len(found)]]].view(np.int64).tolist()
                 bands = [band for band, most in bands_of(len(found)) if most] if len(found) else []
-                out.append((doc, doc_id, len(found), *names, bands, [sketch(found, 2 * TOPS[band]) for band in bands]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], ["doc", "doc_id", "n_shingles", "name1", "name2", "bands", "sketches"])
+                out.append((doc, second, doc_id, len(found), name1, name2, least if bands else [], bands, [sketch(found, 2 * TOPS[band]) for band in bands]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, types)], names)
+
+    schema = "doc long, second long, doc_id long, n_shingles long, name1 long, name2 long, least array<long>, bands array<long>, sketches array<binary>"
+    return rows.select("doc", "second", "doc_id", "text").mapInArrow(summarise, schema)
+
+
+def _about(summary: DataFrame, name: str, key: str) -> DataFrame:
+    return summary.select(F.col("doc").alias(key), F.struct("n_shingles", "name1", "name2", "bands", "sketches").alias(name))
+
+
+def _not_ruled_out(pairs: DataFrame, summary: DataFrame) -> DataFrame:
+    """The pairs (u, v, times) that sketches do not rule out and whose sets are not equal."""
+
+    def apart(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                bands = [band for band in a["bands"] if band in b["bands"]]
+                if not bands or (a["name1"], a["name2"]) == (b["name1"], b["name2"]):
+                    keep.append(False)
+                    continue
+                x, y = (np.frombuffer(r["sketches"][r["bands"].index(bands[-1])], np.uint8) for r in (a, b))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= (a["n_shingles"] + b["n_shingles"]) // 7)
+            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(_about(summary, "au", "u"), "u").join(_about(summary, "av", "v"), "v")
+    return met.select("u", "v", "times", "au", "av").mapInArrow(apart, "u long, v long, times long")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("u").agg(F.max(F.struct("times", -F.col("v"))).alias("best")).select("u", (-F.col("best.col2")).alias("v"))
+
+
+def _first_links(named: DataFrame, summary: DataFrame, rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) of equal sets, and (node, component) from these and the verified links of documents that share a least hash."""
+    copied = cut(named.groupBy("name1", "name2").agg(F.min("doc").alias("v"), F.max("doc").alias("most")).where("v <> most").drop("most"), "copied")
+    marked = cut(named.select("doc", "name1", "name2", "least").join(copied, ["name1", "name2"], "left").select("doc", "v", "least"), "marked")
+    equal = marked.where("doc <> v").select(F.col("doc").alias("u"), "v").distinct()
+    least = marked.where("v is null or doc = v").select("doc", F.explode("least").alias("least"))
+    runs = cut(least.groupBy("least").agg(F.min("doc").alias("v"), F.max("doc").alias("most")).where("v <> most").drop("most"), "runs-of-least")
+    pairs = least.join(runs, "least").where("doc <> v").groupBy(F.col("doc").alias("u"), "v").agg(F.count(F.lit(1)).alias("times"))
+    best = cut(_best(_not_ruled_out(cut(pairs, "first-pairs"), summary)), "first-best")
+    links = cut(_verified(best, rows, n).union(equal), "first-links")
+    return equal, components(links)
+
 
-    summary = cut(rows.select("doc", "doc_id", "text").mapInArrow(summarise, "doc long, doc_id long, n_shingles long, name1 long, name2 long, bands array<long>, sketches array<binary>"), "summary")
-    named = summary.where("n_shingles > 0")
-    first = cut(named.groupBy("name1", "name2").agg(F.min("doc").alias("v"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied")
-    equal = named.join(first, ["name1", "name2"]).where("doc <> v").select(F.col("doc").alias("u"), "v")
+def _hot_names(some: DataFrame, n: int) -> list[int]:
+    """Hashes of the shingles that most documents of a sample have: a bounded table, for cost only."""
 
     def frequent(batches):
         import numpy as np
@@ -294,25 +371,26 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
                 names, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(times)], ["name", "times"])
 
-    some = rows.where(F.pmod(F.xxhash64("doc"), F.lit(SHARE)) == 0).select("text")
     times = some.mapInArrow(frequent, "name long, times long").groupBy("name").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_TIMES)
-    hot_names = sorted(r[0] for r in times.orderBy(F.desc("times"), "name").limit(HOT_MOST).select("name").toLocalIterator())
+    return sorted(r[0] for r in times.orderBy(F.desc("times"), "name").limit(HOT_MOST).select("name").toLocalIterator())
+
+
+def _plan(some: DataFrame, hot_names: list[int], n: int) -> dict:
+    """What allocate() makes of a sample's segments."""
 
     def weigh(batches):
         """(band, kind, units, sig, cases) of every segment of the sampled documents, and (band, null, ..., budget)."""
         import numpy as np
         import pyarrow as pa
 
-        hashes, seen = WordHashes(), set()
+        hashes = WordHashes()
         hot = np.sort(np.array(hot_names, np.int64).view(np.uint64))
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for s in shingle_sets((t.as_py() for t in batch.column(0)), n, hashes):
-                name = (len(s), int(scramble(s).sum(dtype=np.uint64)))
                 cold = _cold(s, hot)
-                if not len(cold) or name in seen:
+                if not len(cold):
                     continue
-                seen.add(name)
                 for band, most in bands_of(len(s)):
                     if not most:
                         continue
@@ -332,7 +410,11 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     weighed = some.mapInArrow(weigh, "band int, kind int, units int, sig long, cases long").groupBy("band", "kind", "units", "sig").agg(F.count(F.lit(1)).alias("rows"), F.sum("cases").alias("cases"))
     weighed = weighed.groupBy("band", "kind", "units").agg(F.sum("rows").alias("rows"), F.sum("cases").alias("cases"), F.sum(F.col("rows") * (F.col("rows") - 1) / 2).alias("pairs")).collect()  # 2 * CLASSES for each band at most
     need = {r.band: r.cases for r in weighed if r.kind < 0}
-    plan = allocate([(r.band, r.kind, r.units, r.rows, r.cases, r.pairs, need[r.band]) for r in weighed if r.kind >= 0], SHARE)
+    return allocate([(r.band, r.kind, r.units, r.rows, r.cases, r.pairs, need[r.band]) for r in weighed if r.kind >= 0], SHARE)
+
+
+def _met(known: DataFrame, hot_names: list[int], plan: dict, n: int) -> DataFrame:
+    """Pairs (0, u, v, 0, guest) and members of longer runs (1, sig, doc, first doc, guest), between components. known: doc, component, text."""
 
     def sign(batches):
         import numpy as np
@@ -341,44 +423,43 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
         hashes, seen = WordHashes(), set()
         hot = np.sort(np.array(hot_names, np.int64).view(np.uint64))
         for batch in batches:
-            docs_, found = [], []
-            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets((t.as_py() for t in batch.column(1)), n, hashes)):
-                name = (len(s), int(scramble(s).sum(dtype=np.uint64)))
-                if not len(s) or name in seen:  # an equal set of this task stands for it
-                    continue
-                seen.add(name)
-                mine = signatures(s, hot, plan)
-                docs_.append(np.full(len(mine), doc, np.int64))
-                found.append(mine.view(np.int64))
-            if found:
-                docs_, found = np.concatenate(docs_), np.concatenate(found)
-                for i in range(0, len(found), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 200_000]), pa.array(docs_[i : i + 200_000])], ["sig", "doc"])
+            columns: list[list] = [[], [], []]
+            for doc, of, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets((t.as_py() for t in batch.column(2)), n, hashes)):
+                if len(s) and doc not in seen:  # a repeated row
+                    seen.add(doc)
+                    mine = signatures(s, hot, plan)
+                    for column, values in zip(columns, (mine.view(np.int64), np.full(len(mine), doc, np.int64), np.full(len(mine), of, np.int64))):
+                        column.append(values)
+            if columns[0]:
+                whole = [np.concatenate(c) for c in columns]
+                for i in range(0, len(whole[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000]) for c in whole], ["sig", "doc", "component"])
 
     def meet(batches):
-        """From rows sorted by (sig, doc): pairs (0, u, v, 0), and long runs as members (1, sig, doc, first doc)."""
         import numpy as np
         import pyarrow as pa
 
         told: set = set()
 
-        def out(kind, a, b, lead):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lead, pa.int64())], ["kind", "a", "b", "lead"])
+        def out(kind, *columns):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.bool_())], ["kind", "a", "b", "lead", "guest"])
 
-        def runs(sig, doc):
-            keep = np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]
-            sig, doc = sig[keep], doc[keep]
+        def runs(key, doc, of):
+            keep = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+            key, doc, of = key[keep], doc[keep], of[keep]
+            sig, guest = key >> 1, (key & 1).astype(bool)
             first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[first, len(sig)])
+            several = (np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)) & ~np.logical_and.reduceat(guest, first)
             us, vs, member = [], [], []
-            for s, m in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-                ids = doc[s : s + m].tolist()
-                if m <= SMALL:
-                    pairs = [(y, x) for k, x in enumerate(ids) for y in ids[k + 1 :]]
-                else:
-                    pairs = [(y, ids[0]) for y in ids[1:]]
-                    member.append((s, m))
-                for p in pairs:
+            for s, m in zip(first[several].tolist(), size[several].tolist()):
+                ids, mine, away = doc[s : s + m], of[s : s + m], guest[s : s + m]
+                names, at, times = np.unique(mine, return_index=True, return_counts=True)
+                lead = int(at[times.argmax()])
+                if m > SMALL:
+                    member.append((s, m, int(ids[lead])))
+                for k in np.flatnonzero((mine != mine[lead]) & ~(away & away[lead])).tolist():
+                    p = (int(ids[k]), int(ids[lead]))
                     if p not in told:
                         told.add(p)
                         us.append(p[0])
@@ -386,57 +467,59 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
             if len(told) > 1_000_000:
                 told.clear()
             if us:
-                yield out(0, us, vs, np.zeros(len(us), np.int64))
+                yield out(0, us, vs, np.zeros(len(us), np.int64), np.zeros(len(us), bool))
             if member:
-                at = np.concatenate([np.arange(s, s + m) for s, m in member])
-                yield out(1, sig[at], doc[at], np.repeat(doc[[s for s, _ in member]], [m for _, m in member]))
+                at = np.concatenate([np.arange(s, s + m) for s, m, _ in member])
+                yield out(1, sig[at], doc[at], np.repeat([lead for *_, lead in member], [m for _, m, _ in member]), guest[at])
 
-        rest_s, rest_d = np.empty(0, np.int64), np.empty(0, np.int64)
+        rest = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            sig, doc = np.r_[rest_s, batch.column(0).to_numpy()], np.r_[rest_d, batch.column(1).to_numpy()]
-            last = int(np.searchsorted(sig, sig[-1]))
-            rest_s, rest_d = sig[last:], doc[last:]
+            rows = [np.r_[r, batch.column(c).to_numpy()] for c, r in enumerate(rest)]
+            last = int(np.searchsorted(rows[0], rows[0][-1] & ~1)) if len(rows[0]) else 0
+            rest = [r[last:] for r in rows]
             if last:
-                yield from runs(sig[:last], doc[:last])
-        if len(rest_s):
-            yield from runs(rest_s, rest_d)
+                yield from runs(*(r[:last] for r in rows))
+        if len(rest[0]):
+            yield from runs(*rest)
 
-    signed = rows.select("doc", "text").mapInArrow(sign, "sig long, doc long")
-    met = cut(signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(meet, "kind int, a long, b long, lead long"), "met")
-    def apart(batches):
-        """Drops pairs whose sketches rule them out, and pairs of equal sets. Columns: u, v, times, then two summaries."""
-        import numpy as np
+    signed = known.select("doc", "component", "text").mapInArrow(sign, "sig long, doc long, component long")
+    dealt = signed.repartition(F.shiftright("sig", 1)).sortWithinPartitions("sig", "doc")
+    return dealt.mapInArrow(meet, "kind int, a long, b long, lead long, guest boolean")
+
+
+def _across(frame: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """frame with the component of its column `name`: of has the nodes of components but the smallest ones."""
+    mine = of.select(F.col("node").alias(name), F.col("component").alias(f"{name}_of"))
+    return frame.join(mine, name, "left").withColumn(f"{name}_of", F.coalesce(f"{name}_of", name))
+
+
+def long_sketch_bits(band: int) -> int:
+    return max(2 * TOPS[band], min(16 * TOPS[band], 1 << 15))
+
+
+def _long_sketches(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc, band, n_shingles, sketch) of the documents in wanted, for each of their bands."""
+
+    def read(batches):
         import pyarrow as pa
 
+        hashes = WordHashes()
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                bands = [band for band in a["bands"] if band in b["bands"]]
-                if not bands or (a["name1"], a["name2"]) == (b["name1"], b["name2"]):
-                    keep.append(False)
-                    continue
-                x, y = (np.frombuffer(r["sketches"][r["bands"].index(bands[-1])], np.uint8) for r in (a, b))
-                keep.append(int(np.bitwise_count(x ^ y).sum()) <= (a["n_shingles"] + b["n_shingles"]) // 7)
-            yield batch.select([0, 1, 2]).filter(pa.array(keep, pa.bool_()))
-
-    about = lambda name, key: summary.select(F.col("doc").alias(key), F.struct("n_shingles", "name1", "name2", "bands", "sketches").alias(name))
-    pairs = met.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("times"))
-    pairs = pairs.join(about("au", "u"), "u").join(about("av", "v"), "v").select("u", "v", "times", "au", "av").mapInArrow(apart, "u long, v long, times long")
-    pairs = cut(pairs, "pairs")
+            out = []
+            for doc, found in zip(batch.column(0).to_pylist(), shingle_sets((t.as_py() for t in batch.column(1)), n, hashes)):
+                out += [(doc, band, len(found), sketch(found, long_sketch_bits(band))) for band, most in bands_of(len(found)) if most]
+            columns = zip(*out) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "band", "n_shingles", "sketch"])
 
-    best = pairs.groupBy("u").agg(F.max(F.struct("times", -F.col("v"))).alias("best")).select("u", (-F.col("best.col2")).alias("v"))
-    links = cut(_verified(cut(best, "best"), rows, n).union(equal), "links")
-    joined = components(links)
-    of = joined.select(F.col("node").alias("doc"), "component")
+    chosen = rows.select("doc", "text").join(broadcast_if(wanted, IDS_TO_BROADCAST), "doc", "left_semi")
+    return chosen.mapInArrow(read, "doc long, band long, n_shingles long, sketch binary").dropDuplicates(["doc", "band"])
 
-    def across(frame: DataFrame, name: str) -> DataFrame:
-        mine = of.select(F.col("doc").alias(name), F.col("component").alias(f"{name}_of"))
-        return frame.join(mine, name, "left").withColumn(f"{name}_of", F.coalesce(f"{name}_of", name))
 
-    between = across(across(pairs.select("u", "v"), "u"), "v").where("u_of <> v_of").select("u", "v")
+def _candidates(met: DataFrame, joined: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(u, v): pairs of documents of different components that met in long runs and that sketches do not rule out."""
 
     def compare(batches):
-        """Pairs of a piece's documents outside the run's largest component with those of other components, if their sketches do not rule them out."""
+        """Pairs of a piece's documents outside the run's largest component with those of other components."""
         import numpy as np
         import pyarrow as pa
 
@@ -444,12 +527,12 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
 
         def pairs_of(group):
             bits = np.frombuffer(b"".join(r["sketch"] for r in group), np.uint8).reshape(len(group), -1)
-            doc, of_, size, largest = (np.array([r[c] for r in group]) for c in ("doc", "doc_of", "n_shingles", "largest"))
-            stray = np.array([r["stray"] for r in group])
+            doc, of, size, largest = (np.array([r[c] for r in group]) for c in ("doc", "doc_of", "n_shingles", "largest"))
+            stray, guest = (np.array([r[c] for r in group]) for c in ("stray", "guest"))
             rest = np.flatnonzero(~stray)
             us, vs = [], []
             for i in np.flatnonzero(stray).tolist():
-                other = rest[(of_[rest] != of_[i]) & ((of_[rest] == largest[i]) | (doc[rest] > doc[i]))]
+                other = rest[(of[rest] != of[i]) & ~(guest[rest] & guest[i]) & ((of[rest] == largest[i]) | (doc[rest] > doc[i]))]
                 apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
                 for j in other[apart <= (size[other] + size[i]) // 7].tolist():
                     p = (max(doc[i], doc[j]), min(doc[i], doc[j]))
@@ -475,27 +558,53 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
 
     # all documents that met one first document in long runs of one band are compared once, on however many signatures they met
     band = F.col("a").bitwiseAND(31).alias("band")
-    members = across(met.where("kind = 1").select("lead", band, F.col("b").alias("doc")).distinct(), "doc")
+    members = _across(met.where("kind = 1").select("lead", band, F.col("b").alias("doc"), "guest").distinct(), joined, "doc")
     of_run = members.groupBy("lead", "band", "doc_of").agg(F.count(F.lit(1)).alias("n"))
     runs = of_run.groupBy("lead", "band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "doc_of")).alias("most")).where("most.n < n")
-    pieces = lambda n: F.ceil(n / PIECE).cast("int")
+    bytes_each = F.array(*[F.lit(long_sketch_bits(b) // 8) for b in range(32)])
+    pieces = lambda n: F.ceil(n * F.get(bytes_each, F.col("band").cast("int")) / PIECE_BYTES).cast("int")
     runs = cut(runs.select("lead", "band", F.col("most.doc_of").alias("largest"), pieces(F.col("n")).alias("all_pieces"), pieces(F.col("n") - F.col("most.n")).alias("stray_pieces")), "runs")
     there = members.join(broadcast_if(runs, RUNS_TO_BROADCAST), ["lead", "band"])
     number = lambda n: F.array(F.pmod(F.xxhash64("doc"), n).cast("int"))
     all_of = lambda n: F.sequence(F.lit(0), n - 1)
-    grid = lambda stray, i, j: there.select("lead", "band", "doc", "doc_of", "largest", F.lit(stray).alias("stray"), F.explode(i).alias("i"), j.alias("js")).withColumn("j", F.explode("js")).drop("js")
+    grid = lambda stray, i, j: there.select("lead", "band", "doc", "doc_of", "guest", "largest", F.lit(stray).alias("stray"), F.explode(i).alias("i"), j.alias("js")).withColumn("j", F.explode("js")).drop("js")
     strays = grid(True, number(F.col("stray_pieces")), all_of(F.col("all_pieces"))).where("doc_of <> largest")
     dealt = strays.union(grid(False, all_of(F.col("stray_pieces")), number(F.col("all_pieces"))))
-    sketches = summary.select("doc", "n_shingles", F.explode(F.arrays_zip("bands", "sketches")).alias("x")).select("doc", "n_shingles", F.col("x.bands").alias("band"), F.col("x.sketches").alias("sketch")).dropDuplicates(["doc", "band"])
-    candidates = dealt.join(sketches, ["doc", "band"]).repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j").mapInArrow(compare, "u long, v long")
-    more = _verified(cut(between.union(candidates).distinct(), "candidates"), rows, n)
-    last = components(reduce(DataFrame.union, [joined.select(F.col("node").alias("u"), F.col("component").alias("v")), more]))
-    return summary, _with_roots(last)
+    sketches = _long_sketches(rows, cut(there.select("doc").distinct(), "compared"), n)
+    met_there = dealt.join(sketches, ["doc", "band"]).repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j")
+    return met_there.mapInArrow(compare, "u long, v long")
+
+
+def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(doc, doc_id, n_shingles, ...) for each row, doc being its node; (node, component) for the nodes that have links; what renamed() gives."""
+    rows = docs.select(F.col("doc_id").cast("long"), node().alias("doc"), second_name().alias("second"), F.col("text").cast("binary").alias("text"))
+    summary = cut(_summaries(rows, n), "summary")
+    again, repeated = renamed(summary.select("doc", "second"))
+    summary, rows = with_own_names(summary, again), with_own_names(rows, again)
+    sets = cut(summary.dropDuplicates(["doc"]), "sets") if repeated else summary
+    equal, joined = _first_links(sets.where("n_shingles > 0"), sets, rows, n)
+
+    known = joined.join(equal.select(F.col("u").alias("node"), F.lit(True).alias("copy")), "node", "left").withColumnRenamed("node", "doc")
+    known = rows.select("doc", "text").join(broadcast_if(cut(known, "known"), IDS_TO_BROADCAST), "doc", "left").where("copy is null")
+    known = known.select("doc", F.coalesce("component", "doc").alias("component"), "text")
+    some = known.where((F.col("doc") == F.col("component")) & (F.pmod(F.xxhash64("doc"), F.lit(SHARE)) == 0))
+    some = (some.dropDuplicates(["doc"]) if repeated else some).select("text")
+    hot_names = _hot_names(some, n)
+    met = cut(_met(known, hot_names, _plan(some, hot_names, n), n), "met")
+
+    pairs = met.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("times"))
+    pairs = cut(_not_ruled_out(pairs, sets), "pairs")
+    earlier = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    joined = components(cut(_verified(cut(_best(pairs), "best"), rows, n).union(earlier), "links"))
+    between = _across(_across(pairs.select("u", "v"), joined, "u"), joined, "v").where("u_of <> v_of").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    more = _verified(cut(between.union(_candidates(met, joined, rows, n)).distinct(), "candidates"), rows, n)
+    last = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    return summary, _with_roots(last), again
 
 
 def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    summary, linked = link_texts(docs, n)
+    summary, linked, _ = link_texts(docs, n)
     several = summary.where("doc_id is not null").groupBy("doc_id").agg(F.min("doc").alias("v"), F.max("doc").alias("most")).where("v <> most").select("doc_id", "v")
     several = cut(several, "several")
     if not several.isEmpty():

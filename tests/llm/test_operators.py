@@ -310,6 +310,46 @@ def test_jaccard_join_of_near_copies(spark, tmp_path):
     assert got == linked(rows)
 
 
+def test_jaccard_join_with_colliding_names(spark, docs, monkeypatch):
+    """Forty names for all rows: a second hash tells them apart."""
+    monkeypatch.setattr(jaccard_join, "node", lambda: F.pmod(F.xxhash64("doc_id", "text"), F.lit(40)))
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()]
+    got = sorted(tuple(r) for r in jaccard_join.link_documents(docs.where("doc_id is not null")).collect())
+    assert got == linked(rows)
+
+
+def variants(n, seed=3):
+    """Copies of one text with six words changed in each: similar to it, and seldom to each other."""
+    import random
+
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    base, out = [word() for _ in range(300)], []
+    for i in range(n):
+        w = list(base)
+        for k in rnd.sample(range(300), 6):
+            w[k] = word()
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_candidates_of_a_family_of_variants(spark, tmp_path, monkeypatch):
+    """Candidates grow with the documents, not with their square, and the result is that of brute force."""
+    counts, real = {}, jaccard_join.cut
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    for n in (150, 300):
+        spark.createDataFrame(variants(n), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/{n}")
+        got = sorted(tuple(r) for r in jaccard_join.link_documents(spark.read.parquet(f"{tmp_path}/{n}")).collect())
+        assert got == linked(variants(n))
+        assert counts["candidates"] <= 12 * n
+
+
 def test_signatures_meet_for_every_similar_pair():
     import random
 
@@ -330,7 +370,8 @@ def test_signatures_meet_for_every_similar_pair():
             plan = {band: (ranks.permutation(jaccard_join.CLASSES), ranks.integers(1, 3, jaccard_join.CLASSES)) for band in range(32)}
             for hot in (none, hot_all, a):
                 for p in (None, plan):
-                    assert len(np.intersect1d(jaccard_join.signatures(a, hot, p), jaccard_join.signatures(b, hot, p)))
+                    x, y = (jaccard_join.signatures(s, hot, p) >> np.uint64(1) for s in (a, b))
+                    assert len(np.intersect1d(x, y))
 
 
 def test_allocation_takes_the_cheapest_units_that_cover_the_budget():
