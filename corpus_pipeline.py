@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.llm.common import WORD, broadcast_if, cut, cut_at, documents, remove
-from siltbed.llm.jaccard_join import IDS_TO_BROADCAST, link_texts, node
+from siltbed.llm.jaccard_join import IDS_TO_BROADCAST, link_texts, node, second_name, with_own_names
 from siltbed.llm.line_dedup import dedup_rows
 from siltbed.llm.packing import pack
 from siltbed.llm.quality_classifier import accepted_rows
@@ -36,14 +36,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     no words stay: nothing links them. Rows to be deleted are sent to the scan if they are few by count, else
     joined; texts are sorted only where rows are equal in doc_id and text.
     """
-    summary, linked = link_texts(docs)
+    summary, linked, again_named = link_texts(docs)
     named = cut(linked.join(summary.select(F.col("doc").alias("node"), "doc_id").distinct(), "node"), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("first")
     best = named.groupBy("component").agg(first).select(F.col("first.node").alias("node"))
     gone = cut(named.select("node").join(best, "node", "left_anti").distinct().withColumn("gone", F.lit(True)), "gone")
     again = cut(summary.groupBy(F.col("doc").alias("node")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("node", F.lit(True).alias("again")), "again")
     loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    d = docs.select(F.struct(*docs.columns).alias("row"), node().alias("node"), loose.alias("loose"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), node().alias("doc"), second_name().alias("second"), loose.alias("loose"))
+    d = with_own_names(d, again_named).withColumnRenamed("doc", "node")
     kept = d.join(broadcast_if(gone, IDS_TO_BROADCAST), "node", "left").where("loose or gone is null")
     if again.isEmpty():
         return kept.select("row.*")
