@@ -7,7 +7,8 @@ of fingerprints that occur once are dropped; around the others the match is exte
 window of `lines` lines that contains the position. Of each such window (or long line) the earliest
 occurrence, by (doc_id, position), stays; the lines that later ones cover are deleted.
 
-So a line goes exactly if it is part of a run of `lines` consecutive non-blank lines, or is a line of
+Windows are told apart by two 64-bit hashes of their lines, each from another hash of every line; a fingerprint, which only
+brings windows together, is one. So a line goes exactly if it is part of a run of `lines` consecutive non-blank lines, or is a line of
 `words` words, that also occurs at an earlier place. Each key is reduced to its earliest place before
 it is joined, so a line in every document costs rows in proportion to its occurrences, never pairs. Both
 reductions are map-side combined and written; each is then one side of a plain join whose other side are
@@ -27,15 +28,20 @@ from pyspark.sql import functions as F
 from siltbed.llm.common import WORD, count_words, cut, text_hash
 
 
+def line_hash(line):
+    return F.xxhash64(line)
+
+
 def _fingerprints(docs: DataFrame, lines: int, words: int) -> DataFrame:
-    """(id, th, fp, spans): every selected line's hash, with the windows around it (start s, hash wh, line indexes at)."""
+    """(id, th, fp, spans): every selected line's hash, with the windows around it (start s, hashes wh and wh2, line indexes at)."""
     numbered = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     d = docs.select("id", "th", F.filter(numbered, lambda x: x["line"].rlike(WORD)).alias("found"))
     d = d.select(
         "id",
         "th",
         F.transform("found", lambda x: x["at"]).alias("at"),
-        F.transform("found", lambda x: F.xxhash64(x["line"])).alias("h"),
+        F.transform("found", lambda x: line_hash(x["line"])).alias("h"),
+        F.transform("found", lambda x: F.xxhash64(F.lit(1), x["line"])).alias("h2"),
         F.transform("found", lambda x: count_words(x["line"]) >= words).alias("long"),
     )
     last = F.size("h") - lines  # of the windows' starts
@@ -43,8 +49,9 @@ def _fingerprints(docs: DataFrame, lines: int, words: int) -> DataFrame:
     least = lambda s: F.least(*[F.struct(F.get("h", s + k).alias("x"), (-(s + k)).alias("p")) for k in range(lines)])
     alone = F.filter(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0))), lambda i: F.coalesce(F.get("long", i), F.lit(False)))
     d = d.withColumn("chosen", F.array_distinct(F.concat(F.transform(starts, lambda s: -least(s)["p"]), alone)))
-    span = lambda s, n: F.struct(s.alias("s"), F.xxhash64(F.lit(n), *[F.get("h", s + k) for k in range(n)]).alias("wh"), F.array(*[F.get("at", s + k) for k in range(n)]).alias("at"))
-    none = F.array().cast("array<struct<s:int,wh:bigint,at:array<int>>>")
+    name = lambda h, s, n: F.xxhash64(F.lit(n), *[F.get(h, s + k) for k in range(n)])
+    span = lambda s, n: F.struct(s.alias("s"), name("h", s, n).alias("wh"), name("h2", s, n).alias("wh2"), F.array(*[F.get("at", s + k) for k in range(n)]).alias("at"))
+    none = F.array().cast("array<struct<s:int,wh:bigint,wh2:bigint,at:array<int>>>")
 
     def around(p):
         low, high = F.greatest(p - lines + 1, F.lit(0)), F.least(p, last)
@@ -59,10 +66,10 @@ def deleted_lines(docs: DataFrame, lines: int = 3, words: int = 25) -> DataFrame
     """(id, th, gone): indexes of the \\n-split lines that go, for documents that lose any. docs: id, th, text."""
     fps = cut(_fingerprints(docs, lines, words), "fingerprints")
     shared = cut(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("fp"), "shared")
-    spans = fps.join(shared, "fp").select("id", "th", F.explode("spans").alias("w")).select("id", "th", "w.s", "w.wh", "w.at")
+    spans = fps.join(shared, "fp").select("id", "th", F.explode("spans").alias("w")).select("id", "th", "w.s", "w.wh", "w.wh2", "w.at")
     place = F.struct("id", "th", "s")
-    first = cut(spans.groupBy("wh").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("wh", "first"), "first")
-    later = spans.join(first, "wh").where(place > F.col("first"))
+    first = cut(spans.groupBy("wh", "wh2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("wh", "wh2", "first"), "first")
+    later = spans.join(first, ["wh", "wh2"]).where(place > F.col("first"))
     return later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 

@@ -15,8 +15,11 @@ Text that repeats itself is cheap under the model, so what is judged is a text's
 the share of its windows of WINDOW bytes that are distinct (1 for a text that never repeats so much).
 
 A language's threshold comes from trusted documents only, so junk cannot move it however much there is:
-the trusted texts with a hash of one in HELD_OUT are kept out of the model, and the third quartile of their costs, plus `reach` times its distance from the median, is the limit. A language with fewer than FEW of
-them takes the limit of all languages' together. A text of m bytes is allowed SHORT / sqrt(m) bits
+the trusted texts with a hash of one in HELD_OUT are kept out of the model, and the third quartile of their costs, plus `reach` times its
+distance from the median, is the limit. With fewer than FEW of these texts it is not below that of all languages' together. The model cannot judge a
+language of which it has seen nothing: one with fewer than LEAST trusted texts in all takes the quantiles of all its own documents, if these
+are above the common limit, so that only what stands out in such a language is rejected (and junk that fills more than a quarter of it is
+not). A text of m bytes is allowed SHORT / sqrt(m) bits
 more, since a short text's mean is noisy; so nothing is rejected for being short.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a null lang is a
@@ -262,9 +265,9 @@ def language():
 
 
 def thresholds(scores: DataFrame, reach: float) -> DataFrame:
-    """(language, most): the cost that a document of the language may have; language null: of any other language.
+    """(language, most, texts): the cost that a document of the language may have, and of how many texts; language null: of all languages together.
 
-    scores are those of the trusted texts held out; copies of a text count once.
+    scores are those of the trusted texts held out, or of all texts; copies of a text count once.
     Quantiles are exact on a grid of 1/1000 bit: the grid points of a language are few whatever the input.
     """
     one = scores.where("bits is not null").select(language(), "th", F.round(F.col("bits") / F.col("fresh") * 1000).cast("long").alias("g")).distinct()
@@ -274,25 +277,41 @@ def thresholds(scores: DataFrame, reach: float) -> DataFrame:
     run = grid.select("language", "g", F.sum("n").over(all_of.orderBy("g")).alias("upto"), F.sum("n").over(all_of).alias("total"))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("g")))
     q = run.groupBy("language").agg(at(0.5).alias("q2"), at(0.75).alias("q3"), F.max("total").alias("total"))
-    q = q.where(F.col("total") >= F.when(F.col("language").isNull(), LEAST).otherwise(FEW))
-    return q.select("language", ((F.col("q3") + reach * (F.col("q3") - F.col("q2")) + 50) / 1000).alias("most"))
+    return q.select("language", ((F.col("q3") + reach * (F.col("q3") - F.col("q2")) + 50) / 1000).alias("most"), F.col("total").alias("texts"))
+
+
+def _limits(scores: DataFrame, labels: DataFrame, reach: float) -> tuple[DataFrame, float | None]:
+    """(language, own) for every language that has a limit of its own, and the limit of all others; none if too few trusted texts are held out."""
+    scores = scores.where("bits is not null")
+    trusted = cut(scores.join(trusted_ids(labels), "doc_id", "left_semi").select("lang", language(), "th", "bits", "fresh"), "trusted")
+    limits = cut(thresholds(trusted.where(held_out("th", HELD_OUT)), reach), "limits")
+    common = limits.where("language is null").first()
+    if not common or common.texts < LEAST:
+        return limits.where("false").select("language", F.col("most").alias("own")), None
+    seen = trusted.select("language", "th").distinct().groupBy("language").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).select("language")
+    seen = broadcast_if(cut(seen, "seen"), LANGUAGES_TO_BROADCAST)
+    least = F.lit(common.most)
+    own = F.when(F.col("texts") >= FEW, F.col("most")).otherwise(F.greatest("most", least))
+    known = seen.join(limits, "language", "left").select("language", F.coalesce(own, least).alias("own"))
+    rest = thresholds(scores.select("*", language()).join(seen, "language", "left_anti").drop("language"), reach)
+    rest = rest.where("language is not null").select("language", F.greatest("most", least))
+    return cut(known.union(rest), "own-limits"), common.most
 
 
 def classify(docs: DataFrame, labels: DataFrame, reach: float = 6.0, n: int = ORDER) -> DataFrame:
-    """A row for each document: doc_id, th (hash of its text), lang, n_bytes, perplexity (a byte), threshold, kept.
+    """A row for each document: doc_id, th (hash of its text), lang, n_bytes, perplexity (a byte), distinct_share, threshold, kept.
 
-    The threshold is the perplexity that the document may have, given how much of it repeats.
+    The threshold is the perplexity that the document may have, given how much of it repeats: the limit of its language times
+    distinct_share, the share of its windows that are distinct.
     """
     scores = cut(log_perplexities(docs, labels, n, one_in=HELD_OUT), "scores")
-    limits = cut(thresholds(scores.where(held_out("th", HELD_OUT)).join(trusted_ids(labels), "doc_id", "left_semi"), reach), "limits")
-    common = limits.where("language is null").first()
-    own = limits.where("language is not null").withColumnRenamed("most", "own")
+    own, common = _limits(scores, labels, reach)
     out = scores.withColumn("language", language()).join(broadcast_if(own, LANGUAGES_TO_BROADCAST), "language", "left")
-    most = F.coalesce("own", F.lit(common.most if common else None).cast("double"))
+    most = F.coalesce("own", F.lit(common).cast("double"))
     most = (most + SHORT / F.sqrt("n_bytes")) * F.col("fresh")
     kept = F.col("bits").isNotNull() & F.coalesce(F.col("bits") <= most, F.lit(True))
     power = lambda c: F.round(F.pow(F.lit(2.0), c), 6)
-    return out.select("doc_id", "th", "lang", "n_bytes", power("bits").alias("perplexity"), power(F.when(F.col("n_bytes") > 0, most)).alias("threshold"), kept.alias("kept"))
+    return out.select("doc_id", "th", "lang", "n_bytes", power("bits").alias("perplexity"), F.round("fresh", 6).alias("distinct_share"), power(F.when(F.col("n_bytes") > 0, most)).alias("threshold"), kept.alias("kept"))
 
 
 def accepted_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -238,7 +238,7 @@ def test_classifier_rejects_bad_and_repeating_text(spark, tmp_path):
 
 
 def test_classifier_is_not_swamped_by_junk(spark, tmp_path):
-    """More than a third of a language, and all but 3 documents of another, are junk."""
+    """More than a third of a language, and all but 10 documents of another, of which 8 are trusted, are junk."""
     import random
 
     rnd = random.Random(3)
@@ -246,7 +246,8 @@ def test_classifier_is_not_swamped_by_junk(spark, tmp_path):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet(f"{folder}/labels.parquet")
     planted = [(100_000 + i, " ".join("".join(rnd.choice("#*$%&~^|=") for _ in range(6)) for _ in range(100)), "de" if i % 2 else "xx") for i in range(300)]
     clean = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
-    small = clean.where("length(text) > 500 and lang = 'en'").orderBy("doc_id").limit(3).select(F.col("doc_id") + 200_000, "text", F.lit("xx"))
+    small = clean.where("length(text) > 500 and lang = 'en'").orderBy("doc_id").limit(10).select((F.col("doc_id") + 200_000).alias("doc_id"), "text", F.lit("xx"))
+    labels = labels.union(small.orderBy("doc_id").limit(8).select(F.col("doc_id"), F.lit(1), F.lit(0)))
     docs.union(small).union(spark.createDataFrame(planted, docs.schema)).repartition(3, "doc_id").write.parquet(f"{tmp_path}/d")
     out = quality_classifier.classify(spark.read.parquet(f"{tmp_path}/d"), labels)
     kept = {(r.doc_id): r.kept for r in out.collect()}
@@ -257,6 +258,18 @@ def test_classifier_is_not_swamped_by_junk(spark, tmp_path):
     assert all(kept[d] for d in kept if d >= 200_000)
 
 
+def test_classifier_keeps_a_language_without_labels(spark):
+    """The French labels are taken away: good French documents stay, and other languages are judged as before."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    told = labels.join(docs.select("doc_id", "lang"), "doc_id")
+    out = quality_classifier.classify(docs, told.where("lang <> 'fr'").select(labels.columns)).select("doc_id", "kept", "perplexity", "distinct_share")
+    found = out.join(told, "doc_id").where("coalesce(toxic, 0) = 0").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {(r.lang, r.quality): r.kept for r in found}
+    assert kept["fr", 1] > 0.97 and kept["en", 1] > 0.97
+    assert kept["en", 0] < 0.2
+
+
 # 4
 
 
@@ -415,6 +428,14 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_lines(fixtures.empty(spark)).count() == 0
 
 
+def test_line_dedup_with_colliding_hashes(spark, docs, monkeypatch):
+    """Three hashes for all lines: the second hash of a window decides."""
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.pmod(F.xxhash64(line), F.lit(3)))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = [(r["row"].doc_id, r["row"].text, r.text) for r in line_dedup.dedup_lines(docs, 2, 10).collect()]
+    assert sorted(map(key, out)) == sorted(map(key, [(d, t, x) for (d, t), x in zip(rows, line_runs(rows, 2, 10))]))
+
+
 # 6
 
 
