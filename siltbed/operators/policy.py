@@ -68,7 +68,7 @@ def turn_outcome(t: dict[str, Column]) -> Column:
     said = lambda outcome, reason, source=None: F.struct(F.lit(outcome).alias("outcome"), (reason if isinstance(reason, Column) else F.lit(reason)).cast("string").alias("reason"), F.lit(source).cast("string").alias("source"))
     quoted = F.when(t["fallback"], said("answered", None, "extractive_fallback"))
     provider_lost = quoted.otherwise(said("error", "provider_failed"))
-    not_grounded = quoted.otherwise(said("support", "grounding_failed"))
+    not_grounded = quoted.when(t["clarified"], said("support", "model_abstained")).when(t["can_help"], said("clarification", "model_abstained")).otherwise(said("support", "model_abstained"))
     unfit = ~F.coalesce(t["first"], F.lit("")).isin("valid", "abstained", "failed")
     return (
         F.when(~t["in_scope"], said("out_of_scope", t["scope_reason"]))

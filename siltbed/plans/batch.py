@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.functions import text as T
-from siltbed.operators import answers, corpus, evaluation, limits, metrics, policy, retrieval, sessions, versions
+from siltbed.operators import answers, corpus, evaluation, limits, metrics, policy, retrieval, sessions, turns as whole_turns, versions
 from siltbed.sources import markdown
 from siltbed.sources.tables import few, table
 
@@ -599,6 +599,53 @@ def turn_outcomes(spark, d):
     return t.select("session", "turn", policy.turn_outcome(known).alias("o")).select("session", "turn", "o.outcome", "o.reason", "o.source")
 
 
+#: Words of the tables' languages by which whole turns are judged; SQL has the same.
+TURN_WORDS = whole_turns.Words(["tion", "and", "de "], ["er"], {"troubleshoot": ["eren"], "compare": ["anre"]}, ["ste", "les"], ["the", "and", "of", "de"], ["the ", "is ", "of "], ["the", "and", "of", "de"])
+
+
+def user_turns(spark, d) -> DataFrame:
+    """User turns, a minute between conversations and ten seconds between turns; every third conversation begins with one of three common questions."""
+    user = table(spark, d, "conversations").where("role = 'user'")
+    common = F.element_at(F.array(F.lit("and the"), F.lit("that is for the"), F.lit("of this and of that")), (F.col("conv_id") % 7 % 3 + 1).cast("int"))
+    text = F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") < 2), common).otherwise(F.col("text"))
+    return user.select(F.col("conv_id").alias("session"), "turn", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn") * 10).alias("ts"), text.alias("text"))
+
+
+def item_evidence(spark, d):
+    """Evidence of questions: the six benchmark items with most occurrences of their terms."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("content"))
+
+    def found(queries: DataFrame) -> DataFrame:
+        asked_terms = queries.select("query_id", T.search_terms(F.col("query")).alias("terms"))
+        scores = retrieval.term_hits(asked_terms, items).withColumn("rerank_score", F.round(retrieval.TERM_WEIGHT * F.col("tf_hits"), 9))
+        best = retrieval.ranked(scores, "rerank_score", retrieval.EVIDENCE).withColumnRenamed("rank", "place").join(items, "chunk_id")
+        best = best.withColumn("terms", T.search_terms(F.col("content")))
+        decided = retrieval.judge(queries, best, best.where("false"))
+        size = lambda c: F.greatest(F.lit(1), F.floor(F.length(c) / 4))
+        chosen = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"].cast("string")).alias("chunks"), F.sum(size("content")).alias("used"))
+        out = decided.join(queries, "query_id").join(chosen, "query_id", "left")
+        return out.select("query_id", "sufficient", "reason", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"), F.array(F.lit("v1")).alias("versions"), (F.coalesce("used", F.lit(0)) + size("query")).cast("long").alias("tokens"))
+
+    return found
+
+
+#: What a model replies, by the number of the turn: the same expression in Spark and in DuckDB. top: the first chunk's id.
+REPLY = """CASE {k} WHEN 5 THEN 'no json' WHEN 8 THEN NULL ELSE '{{"answer_markdown":"' || CASE {k} WHEN 7 THEN 'شاهد کافی' WHEN 9 THEN 'see https://x.example.com' ELSE 'Yes.' END
+|| '","claims":[{{"text":"t","source_ids":["' || CASE {k} WHEN 6 THEN 'zz' ELSE top END || '"]}}],"outcome":"answered"}}' END"""
+
+
+def replies_by_rule(asked_turns: DataFrame) -> DataFrame:
+    k = asked_turns.withColumn("k", (F.col("session") * 31 + F.col("turn") * 7 + F.col("variant") * 13) % 101).withColumn("top", F.coalesce(F.get("chunks", F.lit(0)), F.lit("-")))
+    return k.select("session", "turn", "variant", F.expr(REPLY.format(k="k % 10")).alias("first"), F.expr(REPLY.format(k="(k % 9 + 2)")).alias("repair"), F.expr("k % 8 < 3").alias("quotable"))
+
+
+@query
+def turn_pipeline(spark, d):
+    """Whole conversations, turn after turn: scope, history, evidence, cache, answers and what they come to."""
+    out = whole_turns.outcomes(user_turns(spark, d), item_evidence(spark, d), replies_by_rule, TURN_WORDS, ttl_seconds=14400, max_input_tokens=500)
+    return out.select("session", "turn", "outcome", "reason", "source", "follow_up", F.col("failure_count").cast("long").alias("failure_count"), F.md5("query").alias("query_hash"))
+
+
 @query
 def request_checks(spark, d):
     t = table(spark, d, "conversations")

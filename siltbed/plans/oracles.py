@@ -181,8 +181,9 @@ cost_estimate = f"""WITH t AS (SELECT conv_id, turn, length(text) > 300 AS large
 SELECT conv_id, turn, round((n * CASE WHEN large THEN 2.5::DOUBLE ELSE 0.15::DOUBLE END + n * 2 * CASE WHEN large THEN 10.0::DOUBLE ELSE 0.6::DOUBLE END) / 1000000, 8) AS cost FROM t"""
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_FENCE = r", '(?i)^```(?:json)?\s*|\s*```$', '', 'g')"
 answer_validate = rf"""WITH r AS (SELECT doc_id AS answer_id, {RAW_ANSWER} AS raw, [substr(md5(text), 1, 4), substr(md5(text), 5, 4)] AS allowed FROM documents),
-f AS (SELECT *, {_STRIP.format("regexp_replace(" + _STRIP.format("raw") + ", '(?i)^```(?:json)?\s*|\s*```$', '', 'g')")} AS t FROM r),
+f AS (SELECT *, {_STRIP.format("regexp_replace(" + _STRIP.format("raw") + _FENCE)} AS t FROM r),
 j AS (SELECT *, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM f),
 p AS (SELECT *, json_extract(j, '$.claims[*]') AS cl, json_extract_string(j, '$.answer_markdown') AS am, CASE WHEN json_type(j, '$.suggestions') = 'ARRAY' THEN json_extract(j, '$.suggestions[*]') ELSE [] END AS su FROM j),
 q AS (SELECT *, coalesce(json_type(j) = 'OBJECT' AND json_type(j, '$.answer_markdown') = 'VARCHAR' AND length(am) BETWEEN 1 AND 20000 AND json_type(j, '$.claims') = 'ARRAY' AND len(cl) BETWEEN 1 AND 30
@@ -227,8 +228,69 @@ o AS (SELECT session, turn, CASE WHEN k % 13 = 0 THEN ['out_of_scope', sr, NULL]
   WHEN poor AND k % 17 = 0 THEN ['support', er, NULL] WHEN poor AND sr = 'domain_unverified' AND k % 2 = 1 THEN ['out_of_scope', sr, NULL] WHEN poor AND k % 5 > 1 THEN ['clarification', er, NULL] WHEN poor THEN ['support', er, NULL]
   WHEN cache = 'hit' THEN ['answered', NULL, 'cache'] WHEN k * 100 > 9000 THEN ['support', 'token_budget_exceeded', NULL] WHEN one = 'valid' THEN ['answered', NULL, 'model']
   WHEN one = 'failed' OR (one NOT IN ('abstained') AND two = 'failed') THEN CASE WHEN fb THEN ['answered', NULL, 'extractive_fallback'] ELSE ['error', 'provider_failed', NULL] END
-  WHEN one <> 'abstained' AND two = 'valid' THEN ['answered', NULL, 'repair'] WHEN fb THEN ['answered', NULL, 'extractive_fallback'] ELSE ['support', 'grounding_failed', NULL] END AS o FROM f)
+  WHEN one <> 'abstained' AND two = 'valid' THEN ['answered', NULL, 'repair'] WHEN fb THEN ['answered', NULL, 'extractive_fallback']
+  WHEN k % 17 = 0 THEN ['support', 'model_abstained', NULL] WHEN k % 5 > 1 THEN ['clarification', 'model_abstained', NULL] ELSE ['support', 'model_abstained', NULL] END AS o FROM f)
 SELECT session, turn, o[1] AS outcome, o[2] AS reason, o[3] AS source FROM o"""
+_TU_WORD = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_\x{{0600}}-\x{{06ff}}]+')"
+
+
+def _turn_round(r):
+    """One judgement of all turns, without the errors of the round before."""
+    drop = f"(SELECT session, turn FROM tf{r - 1} WHERE o[1] = 'error')" if r else "(SELECT 0 AS session, 0 AS turn WHERE false)"
+    state = "CASE WHEN c < 6 THEN c ELSE [5, 7, 9][(c - 6) % 3 + 1] // 2 END"
+    shown = f"FROM tn{r} b WHERE b.session = a.session AND b.kept AND b.c < a.c AND b.c >= a.c - a.users"
+    of = lambda c: f"CASE WHEN follow THEN coalesce(a1.{c}, a0.{c}) ELSE a0.{c} END"
+    return f"""
+tk{r} AS (SELECT td.*, x.session IS NULL AS kept FROM td LEFT JOIN {drop} x ON td.session = x.session AND td.turn = x.turn),
+tm{r} AS (SELECT *, CAST(coalesce(sum(CAST(kept AS INTEGER)) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c FROM tk{r}),
+tn{r} AS (SELECT *, {state} AS users FROM tm{r}),
+th{r} AS (SELECT a.*, (SELECT flatten(list(topics)) {shown}) AS recent, (SELECT arg_max(b.text, b.turn) {shown} AND len(b.terms) >= 5) AS substantive, (SELECT arg_max(b.text, b.turn) {shown} AND NOT b.failed) AS base,
+  (SELECT flatten(list(list_filter(b.terms, lambda e: list_contains(['the','and','of','de'], e)) ORDER BY b.turn DESC)) {shown}) AS found FROM tn{r} a),
+ti{r} AS (SELECT *, {_first('found')} AS extra FROM th{r}),
+tp{r} AS (SELECT *, CASE WHEN c > 0 THEN left(concat_ws(' ', text, left(substantive, 500), nullif(array_to_string(list_filter(extra, lambda e: NOT list_contains(terms, e))[1:4], ' '), '')), 800) ELSE text END AS query,
+  c > 0 AND NOT (len(topics) > 0 AND len(coalesce(recent, [])) > 0 AND len(list_intersect(topics, coalesce(recent, []))) = 0) AND (len(terms) <= 4 OR begun) AS continues,
+  begun AND len(ents) = 0 AS goes_on, intent = 'troubleshoot' OR len(ents) = 0 AS can_help, CASE WHEN failed THEN substr(sha256(coalesce(base, text)), 1, 20) END AS issue_key FROM ti{r}),
+tq{r} AS (SELECT DISTINCT query FROM (SELECT query FROM tp{r} UNION ALL SELECT text FROM tp{r})),
+tr{r} AS (SELECT query, {_first(_raw_terms('query'))} AS terms FROM tq{r}),
+ts{r} AS (SELECT query, item_id, sum(tf) AS hits FROM (SELECT query, unnest(terms) AS term FROM tr{r}) u JOIN tw USING (term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sum(tf) DESC, item_id) <= 6),
+tt{r} AS (SELECT query, arg_min(item_id, (-hits, item_id)) AS top, flatten(list(terms)) AS seen, sum(greatest(1, len(text) // 4)) AS used FROM ts{r} JOIN tb USING (item_id) GROUP BY 1),
+te{r} AS (SELECT tr{r}.query, coalesce(CAST(top AS VARCHAR), '-') AS top, top IS NULL AS none, coalesce(used, 0) + greatest(1, length(tr{r}.query) // 4) AS tokens,
+  len(list_filter(list_intersect(terms, {_ENTITIES}), lambda e: NOT list_contains(coalesce(seen, []), e))) AS missing, round(len(list_intersect(terms, coalesce(seen, []))) / greatest(1, len(terms)), 9) AS coverage FROM tr{r} LEFT JOIN tt{r} USING (query)),
+tv{r} AS (SELECT session, turn, 0 AS variant, text AS query FROM tp{r} UNION ALL SELECT session, turn, 1, query FROM tp{r} WHERE query <> text),
+tx{r} AS (SELECT *, CASE WHEN none THEN 'no_results' WHEN missing > 0 THEN 'missing_entity_coverage' WHEN coverage < 0.35 THEN 'insufficient_query_coverage' ELSE 'sufficient' END AS reason, (session * 31 + turn * 7 + variant * 13) % 101 AS k FROM tv{r} JOIN te{r} USING (query)),
+ty{r} AS (SELECT *, CASE k % 10 WHEN 5 THEN 'invalid' WHEN 8 THEN 'failed' WHEN 7 THEN 'abstained' WHEN 9 THEN 'url' WHEN 6 THEN 'unknown_source' ELSE CASE WHEN none THEN 'unknown_source' ELSE 'valid' END END AS one,
+  CASE k % 9 + 2 WHEN 5 THEN 'invalid' WHEN 8 THEN 'failed' WHEN 7 THEN 'abstained' WHEN 9 THEN 'url' WHEN 6 THEN 'unknown_source' ELSE CASE WHEN none THEN 'unknown_source' ELSE 'valid' END END AS two, k % 8 < 3 AS fb FROM tx{r}),
+tz{r} AS (SELECT p.session, p.turn, {_norm('p.text')} AS key, p.intent, ts, tokens <= 500 AND (one = 'valid' OR (one IN ('invalid', 'unknown_source', 'url') AND two = 'valid')) AS writes,
+  row_number() OVER (PARTITION BY {_norm('p.text')}, p.intent ORDER BY ts, p.session, p.turn) AS i FROM tp{r} p JOIN ty{r} y ON p.session = y.session AND p.turn = y.turn AND variant = 0
+  WHERE c = 0 AND NOT failed AND in_scope AND y.reason = 'sufficient'),
+ca{r} AS (SELECT *, false AS hit, CASE WHEN writes THEN ts END AS since FROM tz{r} WHERE i = 1 UNION ALL
+  SELECT z.*, coalesce(z.ts - ca.since < 14400, false), CASE WHEN z.writes AND NOT coalesce(z.ts - ca.since < 14400, false) THEN z.ts ELSE ca.since END FROM ca{r} ca JOIN tz{r} z ON z.key = ca.key AND z.intent = ca.intent AND z.i = ca.i + 1),
+tj{r} AS (SELECT p.session, p.turn, p.in_scope, p.sr, p.c, p.continues, p.goes_on, p.can_help, p.issue_key, p.text, p.query, coalesce(hit, false) AS hit, row_number() OVER (PARTITION BY p.session ORDER BY p.turn) AS i FROM tp{r} p LEFT JOIN ca{r} ca ON p.session = ca.session AND p.turn = ca.turn),
+tl{r} AS (SELECT session, 0 AS turn, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS prev, CAST(NULL AS VARCHAR) AS issue, 0 AS fails, ['', '', ''] AS o, false AS follow, 0 AS n, '' AS query FROM tj{r} WHERE i = 1 UNION ALL
+  SELECT session, turn, i, CASE WHEN o[1] = 'error' THEN prev WHEN o[1] = 'clarification' THEN 'clarification:' || o[2] ELSE o[1] END, CASE WHEN reports THEN issue_key ELSE issue END, CASE WHEN reports THEN n ELSE fails END, o, follow, n, CASE WHEN follow THEN query ELSE text END FROM (
+  SELECT *, CASE WHEN NOT in_scope THEN ['out_of_scope', sr, NULL] WHEN n >= 2 THEN ['support', 'repeated_failure', NULL] WHEN goes_on AND prev IS NOT DISTINCT FROM 'support' THEN ['support', 'support_continuation', NULL]
+    WHEN reason <> 'sufficient' AND clarified THEN ['support', reason, NULL] WHEN reason <> 'sufficient' AND sr = 'domain_unverified' AND NOT follow THEN ['out_of_scope', sr, NULL]
+    WHEN reason <> 'sufficient' THEN [CASE WHEN can_help THEN 'clarification' ELSE 'support' END, reason, NULL] WHEN hit THEN ['answered', NULL, 'cache'] WHEN tokens > 500 THEN ['support', 'token_budget_exceeded', NULL] WHEN one = 'valid' THEN ['answered', NULL, 'model']
+    WHEN one = 'failed' OR (one <> 'abstained' AND two = 'failed') THEN CASE WHEN fb THEN ['answered', NULL, 'extractive_fallback'] ELSE ['error', 'provider_failed', NULL] END
+    WHEN one <> 'abstained' AND two = 'valid' THEN ['answered', NULL, 'repair'] WHEN fb THEN ['answered', NULL, 'extractive_fallback']
+    WHEN can_help AND NOT clarified THEN ['clarification', 'model_abstained', NULL] ELSE ['support', 'model_abstained', NULL] END AS o FROM (
+  SELECT f.*, {of('reason')} AS reason, {of('tokens')} AS tokens, {of('one')} AS one, {of('two')} AS two, {of('fb')} AS fb FROM (
+  SELECT j.*, l.prev, l.issue, l.fails, coalesce(starts_with(l.prev, 'clarification:'), false) AS clarified, j.c > 0 AND (coalesce(starts_with(l.prev, 'clarification:'), false) OR j.continues) AS follow, j.in_scope AND j.issue_key IS NOT NULL AS reports,
+    CASE WHEN NOT (j.in_scope AND j.issue_key IS NOT NULL) THEN 0 WHEN l.issue IS NOT DISTINCT FROM j.issue_key THEN least(20, l.fails + 1) ELSE 1 END AS n FROM tl{r} l JOIN tj{r} j ON j.session = l.session AND j.i = l.i + 1) f
+  JOIN ty{r} a0 ON a0.session = f.session AND a0.turn = f.turn AND a0.variant = 0 LEFT JOIN ty{r} a1 ON a1.session = f.session AND a1.turn = f.turn AND a1.variant = 1))),
+tf{r} AS MATERIALIZED (SELECT * FROM tl{r} WHERE i > 0)"""
+
+
+turn_pipeline = rf"""WITH RECURSIVE tc AS (SELECT conv_id AS session, turn, conv_id * 60 + turn * 10 AS ts, CASE WHEN conv_id % 3 = 0 AND turn < 2 THEN ['and the', 'that is for the', 'of this and of that'][conv_id % 7 % 3 + 1] ELSE text END AS text FROM conversations WHERE role = 'user'),
+ta AS (SELECT *, {_norm('text')} AS n, replace(lower(text), 'ß', 'ss') AS low, {_raw_terms('text')} AS raw FROM tc),
+tg AS (SELECT *, len(list_filter(['tion', 'and', 'de ', 'deploy', 'postgresql', 'mysql', 'redis', 'dns', 'object storage', 'docker'], lambda m: contains(n, m))) > 0 AS known, CASE WHEN contains(n, 'eren') THEN 'troubleshoot' WHEN contains(n, 'anre') THEN 'compare' END AS word, contains(n, 'er') AS outside, {_first('raw')} AS terms FROM ta),
+td AS MATERIALIZED (SELECT session, turn, ts, text, terms, list_intersect(terms, ['the','and','of','de']) AS topics, list_intersect(terms, ['the','and','of','de']) AS ents, contains(low, 'ste') OR contains(low, 'les') AS failed,
+  starts_with(n, 'the ') OR starts_with(n, 'is ') OR starts_with(n, 'of ') AS begun, known OR NOT outside AS in_scope, CASE WHEN NOT known AND outside THEN 'out_of_scope' ELSE coalesce(word, 'explain') END AS intent,
+  CASE WHEN NOT known AND outside THEN 'explicit_other_topic' WHEN word IS NOT NULL THEN 'intent_keyword' WHEN known THEN 'domain_keyword' ELSE 'domain_unverified' END AS sr FROM tg),
+tb AS MATERIALIZED (SELECT item_id, text, {_raw_terms('text')} AS terms FROM benchmark),
+tw AS MATERIALIZED (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TU_WORD.format(_norm('text'))}) AS term FROM benchmark) GROUP BY 1, 2),
+{",".join(_turn_round(r) for r in range(3))}
+SELECT session, turn, o[1] AS outcome, o[2] AS reason, o[3] AS source, follow AS follow_up, CAST(n AS BIGINT) AS failure_count, md5(query) AS query_hash FROM tf2"""
 request_checks = r"""WITH k AS (SELECT *, conv_id * 3 + turn AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN k % 17 = 0 THEN 'protocol_version' WHEN k % 13 = 0 OR k % 19 = 0 THEN 'session_id' WHEN k % 11 = 0 THEN 'message_id' WHEN k % 23 = 0 OR t = '' THEN 'text'
   WHEN k % 7 = 0 THEN 'surface' WHEN k % 29 = 0 THEN 'locale' WHEN length(t) > 300 THEN 'input_too_long' END AS problem FROM k"""
