@@ -36,7 +36,8 @@ whole sets: first the most frequent partner of each document, then, once these l
 components. For long runs that is: of all documents that met one first document, those outside the largest
 component against the others, guests against guests excepted, after a filter by parity sketches (their difference never exceeds d). They are
 compared once, on however many signatures they met, by longer sketches that are made for them alone, and in pieces of about PIECE_BYTES,
-piece against piece, so no task holds them whole: a family of variants that are not similar to each other costs a comparison of sketches
+piece against piece, so no task holds them whole. First each of them is tried with two of those that sketches do not rule out, then, with the
+components that this joins, whatever still lies between components: a family of variants that are not similar to each other costs a comparison of sketches
 for each two, and candidates only where sketches cannot tell. No copies are expanded into pairs: equal sets are joined by their hash.
 
 A shingle is named by a 64-bit hash; sets are compared by these.
@@ -515,8 +516,24 @@ def _long_sketches(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return chosen.mapInArrow(read, "doc long, band long, n_shingles long, sketch binary").dropDuplicates(["doc", "band"])
 
 
-def _candidates(met: DataFrame, joined: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    """(u, v): pairs of documents of different components that met in long runs and that sketches do not rule out."""
+def _members(met: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lead, band, doc, guest, doc_of) of the documents that met one first document in long runs of a band, on however many signatures; and the runs
+    among these that have more than one component."""
+    band = F.col("a").bitwiseAND(31).alias("band")
+    members = _across(met.where("kind = 1").select("lead", band, F.col("b").alias("doc"), "guest").distinct(), joined, "doc")
+    of_run = members.groupBy("lead", "band", "doc_of").agg(F.count(F.lit(1)).alias("n"))
+    runs = of_run.groupBy("lead", "band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "doc_of")).alias("most")).where("most.n < n")
+    bytes_each = F.array(*[F.lit(long_sketch_bits(b) // 8) for b in range(32)])
+    pieces = lambda n: F.ceil(n * F.get(bytes_each, F.col("band").cast("int")) / PIECE_BYTES).cast("int")
+    runs = cut(runs.select("lead", "band", F.col("most.doc_of").alias("largest"), pieces(F.col("n")).alias("all_pieces"), pieces(F.col("n") - F.col("most.n")).alias("stray_pieces")), "runs")
+    return members.join(broadcast_if(runs, RUNS_TO_BROADCAST), ["lead", "band"]), runs
+
+
+def _candidates(there: DataFrame, sketches: DataFrame, few: bool) -> DataFrame:
+    """(u, v): pairs of documents of different components that met in long runs and that sketches do not rule out.
+
+    few: for each document outside the largest component the nearest one in it and the first one elsewhere, of each piece.
+    """
 
     def compare(batches):
         """Pairs of a piece's documents outside the run's largest component with those of other components."""
@@ -534,7 +551,14 @@ def _candidates(met: DataFrame, joined: DataFrame, rows: DataFrame, n: int) -> D
             for i in np.flatnonzero(stray).tolist():
                 other = rest[(of[rest] != of[i]) & ~(guest[rest] & guest[i]) & ((of[rest] == largest[i]) | (doc[rest] > doc[i]))]
                 apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
-                for j in other[apart <= (size[other] + size[i]) // 7].tolist():
+                near = apart <= (size[other] + size[i]) // 7
+                other, apart = other[near], apart[near]
+                if few and len(other):
+                    main = of[other] == largest[i]
+                    chosen = [other[main][apart[main].argmin()]] if main.any() else []
+                    chosen += [other[~main][doc[other[~main]].argmin()]] if not main.all() else []
+                    other = np.array(chosen)
+                for j in other.tolist():
                     p = (max(doc[i], doc[j]), min(doc[i], doc[j]))
                     if p not in told:
                         told.add(p)
@@ -556,21 +580,11 @@ def _candidates(met: DataFrame, joined: DataFrame, rows: DataFrame, n: int) -> D
         if group:
             yield from pairs_of(group)
 
-    # all documents that met one first document in long runs of one band are compared once, on however many signatures they met
-    band = F.col("a").bitwiseAND(31).alias("band")
-    members = _across(met.where("kind = 1").select("lead", band, F.col("b").alias("doc"), "guest").distinct(), joined, "doc")
-    of_run = members.groupBy("lead", "band", "doc_of").agg(F.count(F.lit(1)).alias("n"))
-    runs = of_run.groupBy("lead", "band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "doc_of")).alias("most")).where("most.n < n")
-    bytes_each = F.array(*[F.lit(long_sketch_bits(b) // 8) for b in range(32)])
-    pieces = lambda n: F.ceil(n * F.get(bytes_each, F.col("band").cast("int")) / PIECE_BYTES).cast("int")
-    runs = cut(runs.select("lead", "band", F.col("most.doc_of").alias("largest"), pieces(F.col("n")).alias("all_pieces"), pieces(F.col("n") - F.col("most.n")).alias("stray_pieces")), "runs")
-    there = members.join(broadcast_if(runs, RUNS_TO_BROADCAST), ["lead", "band"])
     number = lambda n: F.array(F.pmod(F.xxhash64("doc"), n).cast("int"))
     all_of = lambda n: F.sequence(F.lit(0), n - 1)
     grid = lambda stray, i, j: there.select("lead", "band", "doc", "doc_of", "guest", "largest", F.lit(stray).alias("stray"), F.explode(i).alias("i"), j.alias("js")).withColumn("j", F.explode("js")).drop("js")
     strays = grid(True, number(F.col("stray_pieces")), all_of(F.col("all_pieces"))).where("doc_of <> largest")
     dealt = strays.union(grid(False, all_of(F.col("stray_pieces")), number(F.col("all_pieces"))))
-    sketches = _long_sketches(rows, cut(there.select("doc").distinct(), "compared"), n)
     met_there = dealt.join(sketches, ["doc", "band"]).repartition("lead", "band", "i", "j").sortWithinPartitions("lead", "band", "i", "j")
     return met_there.mapInArrow(compare, "u long, v long")
 
@@ -596,10 +610,17 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame, DataF
     pairs = cut(_not_ruled_out(pairs, sets), "pairs")
     earlier = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
     joined = components(cut(_verified(cut(_best(pairs), "best"), rows, n).union(earlier), "links"))
-    between = _across(_across(pairs.select("u", "v"), joined, "u"), joined, "v").where("u_of <> v_of").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    more = _verified(cut(between.union(_candidates(met, joined, rows, n)).distinct(), "candidates"), rows, n)
-    last = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    return summary, _with_roots(last), again
+    both = lambda links: components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
+    there, runs = _members(met, joined)
+    if not runs.isEmpty():
+        sketches = cut(_long_sketches(rows, cut(there.select("doc").distinct(), "compared"), n), "long-sketches")
+        more = cut(_verified(cut(_candidates(there, sketches, True).distinct(), "some-candidates"), rows, n), "some-links")
+        joined = joined if more.isEmpty() else both(more)
+    left = _across(_across(pairs.select("u", "v"), joined, "u"), joined, "v").where("u_of <> v_of").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if not runs.isEmpty():
+        left = left.union(_candidates(_members(met, joined)[0], sketches, False))
+    more = cut(_verified(cut(left.distinct(), "candidates"), rows, n), "last-links")
+    return summary, _with_roots(joined if more.isEmpty() else both(more)), again
 
 
 def link_documents(docs: DataFrame, n: int = 5) -> DataFrame:
