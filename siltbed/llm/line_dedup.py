@@ -12,7 +12,8 @@ brings windows together, is one. So a line goes exactly if it is part of a run o
 `words` words, that also occurs at an earlier place. Each key is reduced to its earliest place before
 it is joined, so a line in every document costs rows in proportion to its occurrences, never pairs. Both
 reductions are map-side combined and written; each is then one side of a plain join whose other side are
-the occurrences, so where one line has very many, adaptive execution deals these to several tasks.
+the occurrences: broadcast if it is small by count, and otherwise, where one line has very many, adaptive execution deals these to several
+tasks. Texts move only if the lines that go are too many to be sent to the scan.
 
 Defined cases: a null text stays null with no lines; blank lines stay; documents with fewer lines than
 a window lose long lines only; a text may become empty, its row stays; a null doc_id ranks first; rows
@@ -25,7 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import WORD, count_words, cut, text_hash
+from siltbed.llm.common import WORD, broadcast_if, count_words, cut, text_hash
+
+#: Sides up to so many rows, by count, are broadcast: fingerprints, first places of windows, and lines that go.
+FINGERPRINTS_TO_BROADCAST, PLACES_TO_BROADCAST, LINES_TO_BROADCAST = 2_000_000, 500_000, 1_000_000
 
 
 def line_hash(line):
@@ -66,17 +70,19 @@ def deleted_lines(docs: DataFrame, lines: int = 3, words: int = 25) -> DataFrame
     """(id, th, gone): indexes of the \\n-split lines that go, for documents that lose any. docs: id, th, text."""
     fps = cut(_fingerprints(docs, lines, words), "fingerprints")
     shared = cut(fps.groupBy("fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("fp"), "shared")
-    spans = fps.join(shared, "fp").select("id", "th", F.explode("spans").alias("w")).select("id", "th", "w.s", "w.wh", "w.wh2", "w.at")
+    spans = fps.join(broadcast_if(shared, FINGERPRINTS_TO_BROADCAST), "fp").select("id", "th", F.explode("spans").alias("w")).select("id", "th", "w.s", "w.wh", "w.wh2", "w.at")
     place = F.struct("id", "th", "s")
     first = cut(spans.groupBy("wh", "wh2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("wh", "wh2", "first"), "first")
-    later = spans.join(first, ["wh", "wh2"]).where(place > F.col("first"))
+    later = spans.join(broadcast_if(first, PLACES_TO_BROADCAST), ["wh", "wh2"]).where(place > F.col("first"))
     return later.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, lines: int = 3, words: int = 25) -> DataFrame:
     """A row for each row of docs: row (its columns as they were), text (what stays), n_lines, n_removed."""
     d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_hash(F.col("text")).alias("th"), F.col("text").alias("text"))
-    gone = deleted_lines(d, lines, words).withColumnRenamed("id", "gone_id").withColumnRenamed("th", "gone_th").hint("shuffle_hash")
+    gone = cut(deleted_lines(d, lines, words).withColumnRenamed("id", "gone_id").withColumnRenamed("th", "gone_th"), "gone")
+    n_gone = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    gone = F.broadcast(gone) if n_gone <= LINES_TO_BROADCAST else gone.hint("shuffle_hash")
     met = d.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
     parts = met.select("row", "text", "gone", F.split("text", "\n").alias("parts"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
