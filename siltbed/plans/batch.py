@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.functions import text as T
-from siltbed.operators import answers, corpus, evaluation, limits, metrics, policy, retrieval, sessions, turns as whole_turns, versions
+from siltbed.operators import answers, corpus, evaluation, limits, machines, metrics, policy, retrieval, sessions, turns as whole_turns, versions
 from siltbed.sources import markdown
 from siltbed.sources.tables import few, table
 
@@ -393,6 +393,72 @@ def circuit_breaker_runs(spark, d):
     return runs.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.max("failures").alias("longest"), F.count_if("opens").alias("opened"))
 
 
+# Machines, each as a batch and, under stream_..., as a stream over the same rows
+
+
+def _calls(events: DataFrame) -> DataFrame:
+    """Events as calls to targets: errors and views fail."""
+    return events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").isin("error", "view").alias("failed"))
+
+
+def _commands(events: DataFrame) -> DataFrame:
+    """Events as commands on a user's message of the day."""
+    command = F.create_map(*[F.lit(x) for x in ("view", "reserve", "click", "reserve", "purchase", "complete", "error", "release", "signup", "complete")])
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select("event_id", "user_id", F.floor(at / (8 * 86_400_000_000)).alias("message"), at.alias("at"), F.coalesce(F.try_element_at(command, F.col("event_type")), F.lit("reserve")).alias("command"))
+
+
+def _session_commands(events: DataFrame) -> DataFrame:
+    command = F.create_map(*[F.lit(x) for x in ("signup", "create", "view", "load", "click", "append", "purchase", "append", "error", "delete")])
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select("event_id", "user_id", at.alias("at"), F.coalesce(F.try_element_at(command, F.col("event_type")), F.lit("create")).alias("command"))
+
+
+def _cache_commands(events: DataFrame) -> DataFrame:
+    """Clicks write a user's answer; others look it up, unless the text is a report of failure or a turn came before; every eleventh no longer stands."""
+    may = answers.cacheable(F.col("event_type"), F.col("event_id") % 5 % 4, 3600, ["error"])
+    command = F.when(F.col("event_type") == "click", "write").when(may, "lookup").otherwise("bypass")
+    return events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), command.alias("command"), (F.col("event_id") % 11 != 0).alias("valid"))
+
+
+def _said(conversations: DataFrame) -> DataFrame:
+    return conversations.select(F.col("conv_id").alias("session"), "turn", "role", "text")
+
+
+BY_TIME = ["at", "event_id"]
+
+
+@query
+def circuit_states(spark, d):
+    out = machines.in_order(_calls(table(spark, d, "events")), ["user_id"], BY_TIME, machines.circuit(3, 6 * 3600))
+    return out.select("event_id", "user_id", "circuit")
+
+
+@query
+def reservations(spark, d):
+    out = machines.in_order(_commands(table(spark, d, "events")), ["user_id", "message"], BY_TIME, machines.reservation(2 * 86400))
+    return out.select("event_id", "command", "result")
+
+
+@query
+def session_states(spark, d):
+    out = machines.in_order(_session_commands(table(spark, d, "events")), ["user_id"], BY_TIME, machines.session(12 * 3600))
+    return out.select("event_id", "command", "result", F.col("turns").cast("long").alias("turns"))
+
+
+@query
+def answer_cache(spark, d):
+    out = machines.in_order(_cache_commands(table(spark, d, "events")), ["user_id"], BY_TIME, machines.answer_cache(86400))
+    return out.select("event_id", "command", "cache_status", "written")
+
+
+@query
+def session_compaction(spark, d):
+    """The state of a session after each of its turns."""
+    out = machines.in_order(_said(table(spark, d, "conversations")), ["session"], ["turn"], machines.compaction(4, 12, 120, 300))
+    return out.select("session", "turn", F.col("kept").cast("long").alias("kept"), F.md5("summary").alias("summary_hash"))
+
+
 @query
 def provider_failover_first_success(spark, d):
     attempts = table(spark, d, "events").select((F.col("event_id") / 5).cast("long").alias("request"), (F.col("event_id") % 5).alias("place"), F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string")).alias("target"), (F.col("event_type") != "error").alias("ok"))
@@ -722,6 +788,51 @@ def _streamed(spark, d, plan) -> DataFrame:
     return live.replayed(plan(events), "complete")
 
 
+def _stream_of(spark, d, name: str) -> DataFrame:
+    from siltbed.streaming import live
+
+    return live.event_stream(spark, f"{d}/{name}.parquet*", spark.read.parquet(f"{d}/{name}.parquet").schema, None)
+
+
+def _run(rows: DataFrame, keys: list[str], order: list[str], machine) -> DataFrame:
+    from siltbed.streaming import live
+
+    return live.replayed(live.running(rows, keys, order, machine), "append")
+
+
+@query
+def stream_circuit(spark, d):
+    return _run(_calls(_stream_of(spark, d, "events")), ["user_id"], BY_TIME, machines.circuit(3, 6 * 3600)).select("event_id", "user_id", "circuit")
+
+
+@query
+def stream_two_level_limit(spark, d):
+    calls = _stream_of(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return _run(calls, ["user_id"], BY_TIME, machines.two_level_limit(1, 2)).select("event_id", "verdict", "retry_after")
+
+
+@query
+def stream_reservations(spark, d):
+    return _run(_commands(_stream_of(spark, d, "events")), ["user_id", "message"], BY_TIME, machines.reservation(2 * 86400)).select("event_id", "command", "result")
+
+
+@query
+def stream_session_states(spark, d):
+    out = _run(_session_commands(_stream_of(spark, d, "events")), ["user_id"], BY_TIME, machines.session(12 * 3600))
+    return out.select("event_id", "command", "result", F.col("turns").cast("long").alias("turns"))
+
+
+@query
+def stream_answer_cache(spark, d):
+    return _run(_cache_commands(_stream_of(spark, d, "events")), ["user_id"], BY_TIME, machines.answer_cache(86400)).select("event_id", "command", "cache_status", "written")
+
+
+@query
+def stream_compaction(spark, d):
+    out = _run(_said(_stream_of(spark, d, "conversations")), ["session"], ["turn"], machines.compaction(4, 12, 120, 300))
+    return out.select("session", "turn", F.col("kept").cast("long").alias("kept"), F.md5("summary").alias("summary_hash"))
+
+
 @query
 def stream_counters(spark, d):
     from siltbed.streaming import live

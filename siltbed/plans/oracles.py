@@ -314,3 +314,56 @@ SELECT answer_id, CAST(place AS BIGINT) AS place, chunk_id, source FROM c JOIN d
 usage_totals = """SELECT event_id // 3 AS request, CAST(sum(length(props)) AS BIGINT) AS input_tokens, CAST(sum(floor(value)) AS BIGINT) AS output_tokens, CAST(sum(CASE WHEN event_id % 2 = 0 THEN event_id % 10 ELSE 0 END) AS BIGINT) AS cached_tokens,
   arg_max(event_type, event_id % 3) FILTER (event_id % 4 > 0) AS provider FROM events GROUP BY 1"""
 reply_order = "SELECT event_id // 16 AS batch, string_agg(event_type, ',' ORDER BY event_id * 5 % 16) AS values FROM events GROUP BY 1"
+
+
+def _machine(rows, key, order, start, state, out, final):
+    """A state machine as a recursion over each key's rows in order. start: first state by name; state and out: expressions over s (state) and r (row)."""
+    names = list(start)
+    return f"""WITH RECURSIVE rows AS ({rows}), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM rows),
+k AS (SELECT DISTINCT {key} FROM rows),
+m AS (SELECT {key}, CAST(0 AS BIGINT) AS i, {", ".join(f"{v} AS {n}" for n, v in start.items())}, {", ".join(f"CAST(NULL AS {t}) AS {n}" for n, (t, _) in out.items())} FROM k UNION ALL
+  SELECT {key}, i, {", ".join(state[n] for n in names)}, {", ".join(x for _, x in out.values())} FROM (SELECT r.*, {", ".join("s." + n for n in names)} FROM m s JOIN r USING ({key}) WHERE r.i = s.i + 1))
+SELECT {final} FROM m JOIN r USING ({key}, i)"""
+
+
+_AT = "epoch_us(ts) AS us"
+_BLOCKED, _PROBE = "opened >= 0 AND us - opened < 21600000000", "opened >= 0 AND us - opened >= 21600000000"
+_N_FAILED = f"(CASE WHEN {_PROBE} THEN 2 ELSE failures END + 1)"
+circuit_states = stream_circuit = _machine(
+    f"SELECT event_id, user_id, {_AT}, event_type IN ('error', 'view') AS failed FROM events", "user_id", "us, event_id", {"failures": "0", "opened": "CAST(-1 AS BIGINT)"},
+    {"failures": f"CASE WHEN {_BLOCKED} THEN failures WHEN NOT failed THEN 0 ELSE {_N_FAILED} END", "opened": f"CASE WHEN {_BLOCKED} THEN opened WHEN failed AND {_N_FAILED} >= 3 THEN us ELSE -1 END"},
+    {"circuit": ("VARCHAR", f"CASE WHEN {_BLOCKED} THEN 'open' WHEN {_PROBE} THEN 'half_open' ELSE 'closed' END")}, "event_id, user_id, circuit",
+)
+stream_two_level_limit = rate_limit_two_level
+_KNOWN = "status <> '' AND us < until"
+reservations = stream_reservations = _machine(
+    f"SELECT event_id, user_id, epoch_us(ts) // 691200000000 AS message, {_AT}, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'release' ELSE 'reserve' END AS command FROM events",
+    "user_id, message", "us, event_id", {"status": "''", "until": "CAST(-1 AS BIGINT)"},
+    {"status": f"CASE command WHEN 'reserve' THEN CASE WHEN {_KNOWN} THEN status ELSE 'in_progress' END WHEN 'complete' THEN CASE WHEN {_KNOWN} THEN 'complete' ELSE status END ELSE '' END",
+     "until": f"CASE WHEN command = 'release' THEN -1 WHEN (command = 'reserve') = ({_KNOWN}) THEN until ELSE us + 172800000000 END"},
+    {"result": ("VARCHAR", f"CASE command WHEN 'reserve' THEN CASE WHEN {_KNOWN} THEN 'duplicate_' || status ELSE 'acquired' END ELSE CASE WHEN {_KNOWN} THEN command || 'd' ELSE 'unknown' END END")}, "event_id, command, result",
+)
+_ALIVE = "turns >= 0 AND us < until"
+session_states = stream_session_states = _machine(
+    f"SELECT event_id, user_id, {_AT}, CASE event_type WHEN 'view' THEN 'load' WHEN 'click' THEN 'append' WHEN 'purchase' THEN 'append' WHEN 'error' THEN 'delete' ELSE 'create' END AS command FROM events",
+    "user_id", "us, event_id", {"turns": "-1", "until": "CAST(-1 AS BIGINT)"},
+    {"turns": f"CASE WHEN command = 'create' THEN 0 WHEN command = 'delete' OR NOT ({_ALIVE}) THEN -1 WHEN command = 'append' THEN turns + 1 ELSE turns END", "until": f"CASE WHEN command = 'create' OR (command <> 'delete' AND {_ALIVE}) THEN us + 43200000000 ELSE -1 END"},
+    {"result": ("VARCHAR", f"CASE WHEN command = 'create' THEN 'created' WHEN NOT ({_ALIVE}) THEN CASE command WHEN 'append' THEN 'unavailable' ELSE 'missing' END WHEN command = 'delete' THEN 'deleted' WHEN command = 'load' THEN 'loaded' ELSE 'appended' END"),
+     "n": ("BIGINT", f"CASE WHEN command = 'create' THEN 0 WHEN command = 'delete' OR NOT ({_ALIVE}) THEN NULL WHEN command = 'append' THEN turns + 1 ELSE turns END")}, "event_id, command, result, n AS turns",
+)
+_FRESH = "written >= 0 AND us - written < 86400000000"
+answer_cache = stream_answer_cache = _machine(
+    f"SELECT event_id, user_id, {_AT}, CASE WHEN event_type = 'click' THEN 'write' WHEN event_id % 5 % 4 = 0 AND event_type <> 'error' THEN 'lookup' ELSE 'bypass' END AS command, event_id % 11 <> 0 AS valid FROM events",
+    "user_id", "us, event_id", {"written": "CAST(-1 AS BIGINT)"}, {"written": "CASE WHEN command = 'write' THEN us ELSE written END"},
+    {"cache_status": ("VARCHAR", f"CASE WHEN command = 'write' THEN 'written' WHEN command = 'bypass' THEN 'bypass' WHEN NOT ({_FRESH}) THEN 'miss' WHEN valid THEN 'hit' ELSE 'invalid' END"),
+     "w": ("BIGINT", f"CASE WHEN command = 'write' THEN us WHEN command = 'lookup' AND {_FRESH} THEN written END")}, "event_id, command, cache_status, w AS written",
+)
+_GROWN = "list_append(kept_turns, {'r': role, 't': text})"
+_FULL = f"len({_GROWN}) > 4"
+_SAID = f"list_transform(list_filter({_GROWN}[:-5], lambda x: x.r = 'user'), lambda x: '- ' || left(x.t, 120))"
+_SUMMARY = f"CASE WHEN {_FULL} THEN right(array_to_string(list_filter(list_concat([summary], {_SAID}), lambda x: x <> ''), chr(10)), 300) ELSE summary END"
+_KEPT = f"CASE WHEN {_FULL} THEN {_GROWN}[-4:] ELSE {_GROWN} END"
+session_compaction = stream_compaction = _machine(
+    "SELECT conv_id AS session, turn, role, text FROM conversations", "session", "turn", {"kept_turns": "CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[])", "summary": "''"}, {"kept_turns": _KEPT, "summary": _SUMMARY},
+    {"kept": ("BIGINT", f"len({_KEPT})"), "summary_hash": ("VARCHAR", f"md5({_SUMMARY})")}, "session, r.turn, kept, summary_hash",
+)

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from siltbed.operators.machines import Machine
 from siltbed.sources.shared import new_dir
 
 
@@ -61,6 +63,34 @@ def first_seen(events: DataFrame, keys: list[str], columns: str) -> DataFrame:
     return events.groupBy(*keys).applyInPandasWithState(mark, f"{columns}, first boolean", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], machine: Machine, late: str | None = None, ts: str = "ts") -> DataFrame:
+    """A machine as a stream: rows with what it adds, its state kept for each key across batches.
+
+    Rows of one batch are stepped through in order, so batches have to follow each other in time. With `late`, a watermark on the column ts, a
+    state that has expired is removed once the watermark has passed its time, in a batch that need not touch its key.
+    """
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(machine.out).fields])
+    timed = late is not None and machine.expires is not None
+
+    def go(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = tuple(state.get) if state.exists else machine.start
+        frame = pd.concat(list(frames)).sort_values(order)
+        out = []
+        for row in frame.to_dict("records"):
+            now, added = machine.step(now, row)
+            out.append((*row.values(), *added))
+        state.update(now)
+        if timed:
+            state.setTimeoutTimestamp(max(machine.expires(now) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=schema.names, dtype=object)
+
+    kind = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return (rows.withWatermark(ts, late) if timed else rows).groupBy(*keys).applyInPandasWithState(go, schema, machine.state, "append", kind)
+
+
 def failure_counts(reports: DataFrame, most: int = 20) -> DataFrame:
     """reports: session, turn, issue_key. Consecutive reports of one issue in each session, across batches."""
 
