@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.functions.text import ENTITIES, WHITE, any_marker, clean_sentence, literal_array, normalize, overlap, redact, search_terms, snippet, strip
+from siltbed.sources.markdown import settled
 
 # Markers of an abstaining answer and of a fact that may be quoted, and the bounds of an answer.
 ABSTENTION = ["در evidence ارائه شده", "در evidence", "شاهد کافی", "اطلاعات کافی", "منبع کافی", "منابع کافی", "هیچ توضیحی درباره", "از روی این منابع", "پاسخ قابل اعتماد کافی"]
@@ -35,10 +36,13 @@ def validated(answers: DataFrame) -> DataFrame:
     at most, and the outcome `answered`, each of its type.
     """
     fenced = strip(F.regexp_replace(strip(F.col("raw")), rf"(?i)^```(?:json)?[{WHITE}]*|[{WHITE}]*```$", ""))
+    read = settled(answers.select("answer_id", "allowed", fenced.alias("said")), "said")
     # as the first of two elements, the text has to be one whole value
-    whole = F.from_json(F.concat(F.lit("["), fenced, F.lit(f',"{END}"]')), "array<string>")
-    alone = F.coalesce((F.size(whole) == 2) & (F.get(whole, F.lit(1)) == END) & F.startswith(fenced, F.lit("{")), F.lit(False))
-    read = answers.withColumn("v", F.when(alone, F.try_parse_json(fenced))).withColumn("a", F.from_json(F.when(alone, fenced), ANSWER, {"mode": "PERMISSIVE"}))
+    whole = F.from_json(F.concat(F.lit("["), F.col("said"), F.lit(f',"{END}"]')), "array<string>")
+    read = settled(read.withColumn("whole", F.when(F.startswith("said", F.lit("{")), whole)), "whole")
+    alone = F.coalesce((F.size("whole") == 2) & (F.get("whole", F.lit(1)) == END), F.lit(False))
+    read = settled(read.select("answer_id", "allowed", F.when(alone, F.col("said")).alias("said")), "said")
+    read = settled(read.withColumn("v", F.try_parse_json("said")).withColumn("a", F.from_json("said", ANSWER, {"mode": "PERMISSIVE"})).drop("said"), "v", "a")
     claims, hints = F.col("a.claims"), F.coalesce("a.suggestions", F.array().cast("array<string>"))
     said = _shape(F.col("v"), "$.claims")
     typed = (
@@ -67,9 +71,10 @@ def validated(answers: DataFrame) -> DataFrame:
         .when(any_marker(text, ABSTENTION), "abstained")
         .otherwise("valid")
     )
-    good = verdict == "valid"
     kept = F.array_distinct(F.filter(F.transform(hints, strip), lambda x: x != ""))
-    return read.select("answer_id", verdict.alias("verdict"), F.when(good, F.array_join(F.array_distinct(cited), ",")).alias("source_ids"), F.when(good, F.array_join(kept, ",")).alias("suggestions"))
+    judged = settled(read.select("answer_id", "a", verdict.alias("verdict")), "verdict")
+    good = F.col("verdict") == "valid"
+    return judged.select("answer_id", "verdict", F.when(good, F.array_join(F.array_distinct(cited), ",")).alias("source_ids"), F.when(good, F.array_join(kept, ",")).alias("suggestions"))
 
 
 def extractive_fallback(queries: DataFrame, evidence: DataFrame, markers: Sequence[str] = QUOTABLE, least: float = 0.35) -> DataFrame:
