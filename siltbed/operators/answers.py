@@ -116,6 +116,47 @@ def decode_events(bodies: DataFrame, key: str, body: str, schema: str) -> DataFr
     return blocks.where(data != "").select(key, "place", F.from_json(data, schema).alias("event"))
 
 
+def stream_parts(events: DataFrame, key: str, broken: str, cut_off: str) -> DataFrame:
+    """(key, place, n, part, value): what a reader is shown of each stream of events, in order.
+
+    events: key, place, and event: a struct of type, response_id, text, sources (array<struct<id, url, title>>), suggestions, reason_code,
+    usage (struct<model_tier, input_tokens>), finish_reason and message; null where a block was no JSON. A text is opened by its first
+    piece and closed by what may follow it; a stream ends at its first end or error, and one that stops before has been cut off. `broken` and
+    `cut_off` are what the reader is told then.
+    """
+    e = lambda c: F.col(f"event.{c}")
+    by_place = W.partitionBy(key).orderBy("place")
+    before = by_place.rowsBetween(W.unboundedPreceding, -1)
+    kind = F.coalesce(e("type"), F.lit("broken"))
+    opens = F.when(kind == "text_delta", True).when(kind.isin("sources", "support", "message_end", "error"), False)
+    ends = kind.isin("message_end", "error", "broken")
+    d = events.select(key, "place", "event", kind.alias("kind"), F.coalesce(F.last(opens, ignorenulls=True).over(before), F.lit(False)).alias("open"), F.coalesce(F.max(ends).over(before), F.lit(False)).alias("over"), F.last(e("response_id"), ignorenulls=True).over(by_place).alias("id"), F.lead("place").over(by_place).isNull().alias("last"), ends.alias("ends"))
+    part = lambda name, value=None: F.struct(F.lit(name).alias("part"), (F.lit(None) if value is None else value).cast("string").alias("value"))
+    when = lambda condition, *parts: F.when(condition, F.array(*parts)).otherwise(F.array().cast("array<struct<part:string,value:string>>"))
+    text_id, closed, done = F.concat(F.lit("text-"), F.coalesce("id", F.lit(""))), lambda c: when(c & F.col("open"), part("text-end", F.concat(F.lit("text-"), F.coalesce("id", F.lit(""))))), part("[DONE]")
+    sources = F.coalesce(e("sources"), F.array().cast("array<struct<id:string,url:string,title:string>>"))
+    finish = F.when(e("finish_reason").isin("stop", "length"), e("finish_reason")).otherwise("other")
+    said = F.coalesce(e("text"), F.lit("")) != ""
+    shown = F.concat(
+        when(kind == "message_start", part("start", e("response_id"))),
+        when((kind == "status") & said, part("data-status", e("text"))),
+        when((kind == "text_delta") & ~F.col("open"), part("text-start", text_id)),
+        when((kind == "text_delta") & said, part("text-delta", e("text"))),
+        closed(kind.isin("sources", "support", "message_end", "error")),
+        F.when(kind == "sources", F.transform(sources, lambda s: F.struct(F.lit("source-url").alias("part"), F.concat_ws(" ", s["id"], s["url"], s["title"]).alias("value")))).otherwise(F.array().cast("array<struct<part:string,value:string>>")),
+        when(kind == "sources", part("data-sourceDetails", F.size(sources))),
+        when(kind == "suggestions", part("data-suggestions", F.array_join(F.coalesce(e("suggestions"), F.array().cast("array<string>")), "|"))),
+        when(kind == "support", part("data-support", F.coalesce(e("reason_code"), F.lit("insufficient_evidence")))),
+        when((kind == "usage") & e("usage").isNotNull(), part("data-usage", F.concat_ws(" ", e("usage.model_tier"), F.coalesce(e("usage.input_tokens"), F.lit(0)).cast("string")))),
+        when(kind == "message_end", part("finish", finish), done),
+        when(kind == "error", part("error", F.coalesce(e("message"), F.lit(cut_off))), done),
+        when(kind == "broken", part("error", F.lit(broken)), done),
+        when(F.col("last") & ~F.col("ends") & (F.coalesce(opens, F.col("open"))), part("text-end", text_id)),
+        when(F.col("last") & ~F.col("ends"), part("error", F.lit(cut_off)), done),
+    )
+    return d.where("not over").select(key, "place", F.posexplode(shown).alias("n", "p")).select(key, "place", "n", "p.part", "p.value")
+
+
 def prompt(question: Column, intent: Column, sources: Column, context: Column) -> Column:
     """sources: array<struct<id, title, content>>."""
     block = lambda s: F.concat(F.lit("<SOURCE id="), s["id"], F.lit(">\n"), s["title"], F.lit("\n"), s["content"], F.lit("\n</SOURCE>"))

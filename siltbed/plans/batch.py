@@ -553,6 +553,25 @@ def sse_parse(spark, d):
     return events.select("stream", F.col("place").cast("long").alias("place"), "event.id", "event.code", "event.type")
 
 
+#: What the events of a stream say, by their number: the same expression in Spark and in DuckDB. Some blocks are cut off, some streams never end.
+STREAM_EVENT = """CASE WHEN event_id % 37 = 5 THEN '{"type":"text_' WHEN event_id % 12 = 0 THEN '{"type":"message_start","response_id":"r' || event_id || '"}' WHEN event_id % 12 = 1 THEN '{"type":"status","text":"' || CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END || '"}'
+WHEN event_id % 12 = 11 AND event_id % 5 <> 0 THEN CASE WHEN event_type = 'error' THEN '{"type":"error"' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ',"message":"failed"' END || '}' ELSE '{"type":"message_end","finish_reason":"' || CASE event_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' ELSE 'policy' END || '"}' END
+WHEN event_type = 'view' THEN '{"type":"sources","sources":[{"id":"s' || event_id || '","url":"https://docs.example.com/' || event_id || '","title":"t"}]}' WHEN event_type = 'signup' THEN '{"type":"suggestions","suggestions":["a","b' || event_id || '"]}'
+WHEN event_type = 'error' THEN '{"type":"support"' || CASE WHEN event_id % 2 = 0 THEN '' ELSE ',"reason_code":"no_results"' END || '}' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN '{"type":"usage","usage":{"model_tier":"small","input_tokens":' || event_id || '}}' WHEN event_type = 'purchase' THEN '{"type":"usage"}'
+ELSE '{"type":"text_delta","text":"' || CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type || event_id END || '"}' END"""
+EVENT = "struct<type:string,response_id:string,text:string,sources:array<struct<id:string,url:string,title:string>>,suggestions:array<string>,reason_code:string,usage:struct<model_tier:string,input_tokens:bigint>,finish_reason:string,message:string>"
+
+
+@query
+def stream_parts(spark, d):
+    """Twelve events to a stream, as the bytes of a body; what a reader is shown of them."""
+    said = table(spark, d, "events").select(F.floor(F.col("event_id") / 12).alias("stream"), "event_id", F.concat(F.lit("event: x\ndata: "), F.expr(STREAM_EVENT), F.lit("\n\n")).alias("block"))
+    bodies = said.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "block"))), lambda x: x["block"]), "").alias("body"))
+    events = answers.decode_events(bodies, "stream", "body", EVENT)
+    out = answers.stream_parts(events, "stream", "not a stream", "cut off")
+    return out.select("stream", F.col("place").cast("long").alias("place"), F.col("n").cast("long").alias("n"), "part", "value")
+
+
 @query
 def source_cards(spark, d):
     chunks = table(spark, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 4 == 0, "http").otherwise("https"), F.lit(f"://{HOST}/"), "source").alias("url"), "source", "lang", "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltbed.plans.batch import PLANTED, RAW_ANSWER
+from siltbed.plans.batch import PLANTED, RAW_ANSWER, STREAM_EVENT
 
 
 def _norm(x):
@@ -316,6 +316,24 @@ usage_totals = """SELECT event_id // 3 AS request, CAST(sum(length(props)) AS BI
 reply_order = "SELECT event_id // 16 AS batch, string_agg(event_type, ',' ORDER BY event_id * 5 % 16) AS values FROM events GROUP BY 1"
 
 
+_OPENED = "CASE WHEN kind = 'text_delta' THEN true WHEN kind IN ('sources', 'support', 'message_end', 'error') THEN false END"
+_JSON = "json_extract_string(j, '$.{0}')"
+stream_parts = f"""WITH e AS (SELECT event_id // 12 AS stream, event_id % 12 AS place, {STREAM_EVENT} AS raw FROM events),
+j AS (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM e),
+k AS (SELECT *, coalesce({_JSON.format('type')}, 'broken') AS kind, coalesce({_JSON.format('text')}, '') AS text FROM j),
+o AS (SELECT *, coalesce(last_value({_OPENED} IGNORE NULLS) OVER b, false) AS open, coalesce(bool_or(kind IN ('message_end', 'error', 'broken')) OVER b, false) AS over, 'text-' || coalesce(last_value({_JSON.format('response_id')} IGNORE NULLS) OVER u, '') AS tid,
+  lead(place) OVER (PARTITION BY stream ORDER BY place) IS NULL AS last, kind IN ('message_end', 'error', 'broken') AS ends FROM k
+  WINDOW b AS (PARTITION BY stream ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY stream ORDER BY place)),
+p AS (SELECT stream, place, list_filter([
+  CASE WHEN kind = 'message_start' THEN ['start', {_JSON.format('response_id')}] END, CASE WHEN kind = 'status' AND text <> '' THEN ['data-status', text] END, CASE WHEN kind = 'text_delta' AND NOT open THEN ['text-start', tid] END, CASE WHEN kind = 'text_delta' AND text <> '' THEN ['text-delta', text] END,
+  CASE WHEN open AND kind IN ('sources', 'support', 'message_end', 'error') THEN ['text-end', tid] END, CASE WHEN kind = 'sources' THEN ['source-url', {_JSON.format('sources[0].id')} || ' ' || {_JSON.format('sources[0].url')} || ' t'] END, CASE WHEN kind = 'sources' THEN ['data-sourceDetails', '1'] END,
+  CASE WHEN kind = 'suggestions' THEN ['data-suggestions', array_to_string(json_extract_string(j, '$.suggestions[*]'), '|')] END, CASE WHEN kind = 'support' THEN ['data-support', coalesce({_JSON.format('reason_code')}, 'insufficient_evidence')] END,
+  CASE WHEN kind = 'usage' AND json_exists(j, '$.usage') THEN ['data-usage', {_JSON.format('usage.model_tier')} || ' ' || {_JSON.format('usage.input_tokens')}] END,
+  CASE WHEN kind = 'message_end' THEN ['finish', CASE WHEN {_JSON.format('finish_reason')} IN ('stop', 'length') THEN {_JSON.format('finish_reason')} ELSE 'other' END] END, CASE WHEN kind = 'error' THEN ['error', coalesce({_JSON.format('message')}, 'cut off')] END, CASE WHEN kind = 'broken' THEN ['error', 'not a stream'] END,
+  CASE WHEN last AND NOT ends AND coalesce({_OPENED}, open) THEN ['text-end', tid] END, CASE WHEN last AND NOT ends THEN ['error', 'cut off'] END, CASE WHEN ends OR last THEN ['[DONE]', NULL] END], lambda x: x IS NOT NULL) AS parts FROM o WHERE NOT over)
+SELECT stream, place, unnest(range(len(parts))) AS n, unnest(parts)[1] AS part, unnest(parts)[2] AS value FROM p"""
+
+
 def _machine(rows, key, order, start, state, out, final):
     """A state machine as a recursion over each key's rows in order. start: first state by name; state and out: expressions over s (state) and r (row)."""
     names = list(start)
