@@ -1,7 +1,7 @@
 """A corpus in versions, as Parquet below one folder of the shared storage.
 
 documents, chunks and embeddings lie in a folder for each version; what happens to versions is a log of small files,
-each of which one write makes visible at once: registered, embedded, activated, deleted. A version's state
+each of which one write makes visible at once: registered, progress, embedded, activated, deleted. A version's state
 follows from the log, so activating one retires the one before in the same write. Embeddings are added in batches,
 keyed by chunk: a batch that comes again adds nothing, and what is pending is an anti join.
 
@@ -11,13 +11,15 @@ One job at a time registers or activates; readers may go on meanwhile.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.functions.vectors import is_valid
-from siltbed.operators.corpus import pending
+from siltbed.operators.corpus import manifest, pending
+from siltbed.sources import markdown
 from siltbed.sources.shared import remove
 from siltbed.sources.tables import few
 
@@ -105,6 +107,45 @@ class Versions:
         fresh.write.mode("append").parquet(f"{self.folder}/embeddings/{version}")
         return self.embeddings(version).count()
 
+    def note_progress(self, version: str) -> int:
+        """Writes how many chunks have an embedding now into the version's stats; returns it."""
+        done = self.embeddings(version).count()
+        stats = self.states().where(F.col("id") == version).select(F.to_json(F.map_concat(F.map_filter(F.from_json("stats", "map<string,bigint>"), lambda k, _: k != "embedded_chunks"), F.create_map(F.lit("embedded_chunks"), F.lit(done).cast("long")))).alias("s"))
+        self._note("progress", version, stats=stats.first().s)
+        return done
+
+    def embed_stream(self, version: str, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
+        """Embeds a stream of chunks (chunk_id, ...) batch by batch, to the end of what there is.
+
+        embed: (chunk_id, ...) -> (chunk_id, embedding). A batch asks only for what the version still lacks and appends it in one write, so one that
+        runs again after a failure adds nothing twice; progress is noted after each.
+        """
+
+        def batch(rows: DataFrame, _: int) -> None:
+            lacking = rows.join(self.pending(version).select("chunk_id"), "chunk_id", "left_semi")
+            if not lacking.isEmpty():
+                self.add_embeddings(version, embed(lacking))
+            self.note_progress(version)
+
+        run = chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    def ingest(self, files: DataFrame, host: str, embed: Callable[[DataFrame], DataFrame], commit: str, model: str, dimensions: int, files_at_once: int = 64) -> str:
+        """From files (path, raw) to the active version, in one call: its id. Failed files refuse it all; a broken run is resumed."""
+        documents, chunks = markdown.ingested(files, host)
+        markdown.refuse_failures(documents)
+        good = documents.where("status = 'ok'")
+        manifest_hash = manifest(good, "path", "content_hash").first().manifest_hash
+        named = chunks.withColumnRenamed("stable_id", "document_id")
+        version, status = self.register(good, named, commit, manifest_hash, model, dimensions)
+        if status == "parsed":
+            path = f"{self.folder}/chunks/{version}"
+            stream = self.spark.readStream.schema(self.chunks(version).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+            self.embed_stream(version, stream, embed, f"{self.folder}/checkpoints/{version}")
+        if status in ("parsed", "embedded"):
+            self.finalize(version, activate=True)
+        return version
+
     def finalize(self, version: str, activate: bool = False) -> None:
         """Marks a version as embedded, and active if asked; refused while a chunk lacks its embedding."""
         missing = pending(self.chunks(version), self.embeddings(version), "chunk_id", "chunk_id").count()
@@ -131,6 +172,20 @@ class Versions:
         return found.withColumn("corpus_version", F.lit(state.id)).withColumn("source_commit", F.lit(state.source_commit))
 
 
+def readiness(versions: DataFrame, chunks: DataFrame, tables: dict[str, DataFrame], wanted: dict[str, list[str]]) -> DataFrame:
+    """(check, ready) for each table that is wanted with its columns, for an active version, and for its chunks having embeddings; then all of it.
+
+    versions: id, status; chunks: version_id, embedding.
+    """
+    spark = versions.sparkSession
+    there = [(f"table {name}", name in tables and set(columns) <= set(tables[name].columns)) for name, columns in wanted.items()]
+    active = versions.where("status = 'active'").select(F.col("id").alias("version_id"))
+    found = active.agg((F.count(F.lit(1)) == 1).alias("ready")).select(F.lit("active version").alias("check"), "ready")
+    embedded = chunks.join(few(active), "version_id", "left_semi").agg(((F.count(F.lit(1)) > 0) & (F.count_if(F.col("embedding").isNull()) == 0)).alias("ready")).select(F.lit("embeddings").alias("check"), "ready")
+    checks = spark.createDataFrame(there, "check string, ready boolean").union(found).union(embedded)
+    return checks.union(checks.agg(F.bool_and("ready").alias("ready")).select(F.lit("all").alias("check"), "ready"))
+
+
 def joined_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks with the title and URL of their document."""
     described = documents.select(F.col("stable_id").alias("document_id"), "title", "canonical_url")

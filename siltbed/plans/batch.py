@@ -393,6 +393,52 @@ def circuit_breaker_runs(spark, d):
     return runs.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.max("failures").alias("longest"), F.count_if("opens").alias("opened"))
 
 
+def document_files(spark, d, planted: bool = False) -> DataFrame:
+    """Documents as Markdown files (path, raw); planted: some with what a parser refuses or skips."""
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 11
+    link = F.concat(F.lit(f"Original link: https://{HOST}/"), n)
+    if planted:
+        link = F.when(k == 1, F.concat(F.lit("Original link: https://other.example.com/"), n)).when(k == 2, F.concat(F.lit(f"Original link: http://{HOST}/"), n)).when(k == 3, "No link").otherwise(link)
+    title = F.concat(F.lit("# Document "), n)
+    title = F.when(k == 4, F.concat(F.lit("## Document "), n)).otherwise(title) if planted else title
+    tail = F.when(k == 6, "\n\n## All links\n- https://x.example.com").otherwise("") if planted else F.lit("")
+    raw = F.concat(link, F.lit("\n"), title, F.lit("\n\n"), F.regexp_replace("text", "#", ""), tail)
+    raw = F.when(k == 5, "").otherwise(raw) if planted else raw
+    return table(spark, d, "documents").select(F.concat("source", F.lit("/"), n, F.lit(".md")).alias("path"), raw.alias("raw"))
+
+
+@query
+def parse_documents(spark, d):
+    out = markdown.parse(document_files(spark, d, True), HOST)
+    return out.select("path", "status", "reason", "canonical_url", "title", F.md5("content").alias("content_hash"))
+
+
+def vectors_by_rule(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", F.array(F.length("chunk_id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+
+
+@query
+def version_lifecycle(spark, d):
+    """All documents from files to the active version: parsed, chunked, registered, embedded as a stream, activated, and read through it."""
+    from siltbed.sources.shared import new_dir
+
+    store = versions.Versions(spark, new_dir(spark, "corpus"))
+    store.ingest(document_files(spark, d), HOST, vectors_by_rule, "c" * 40, "model", 2, files_at_once=4)
+    stats = store.states().where("status = 'active'").select(F.from_json("stats", "map<string,bigint>").alias("s")).select((F.col("s.embedded_chunks") == F.col("s.chunks")).alias("complete"), F.col("s.documents").alias("documents"))
+    read = store.active_chunks().groupBy("canonical_url", "title").agg(F.min("ordinal").cast("long").alias("first"), F.count_if(F.col("embedding").isNull()).alias("lacking"))
+    return read.withColumn("complete", stats.select("complete").scalar()).withColumn("documents", stats.select("documents").scalar())
+
+
+@query
+def readiness(spark, d):
+    """Document sources as versions, of which one is active, with its chunks' embeddings."""
+    chunks = text_chunks_of(spark, d).select(F.col("document_id").alias("version_id"), "embedding")
+    first = table(spark, d, "documents").agg(F.min("source").alias("s"))
+    states = table(spark, d, "documents").select(F.col("source").alias("id")).distinct().withColumn("status", F.when(F.col("id") == first.scalar(), "active").otherwise("indexed"))
+    tables = {name: table(spark, d, name) for name in ("documents", "embeddings")}
+    return versions.readiness(states, chunks, tables, {"documents": ["doc_id", "text"], "embeddings": ["vec_id", "model"], "chunks": ["chunk_id"]})
+
+
 # Machines, each as a batch and, under stream_..., as a stream over the same rows
 
 

@@ -334,6 +334,16 @@ p AS (SELECT stream, place, list_filter([
 SELECT stream, place, unnest(range(len(parts))) AS n, unnest(parts)[1] AS part, unnest(parts)[2] AS value FROM p"""
 
 
+parse_documents = r"""WITH p AS (SELECT doc_id, doc_id % 11 AS k, source || '/' || doc_id || '.md' AS path, '# Document ' || doc_id || chr(10) || chr(10) || replace(text, '#', '') AS body FROM documents),
+s AS (SELECT *, CASE k WHEN 1 THEN 'host not allowed' WHEN 2 THEN 'missing canonical link' WHEN 3 THEN 'missing canonical link' WHEN 4 THEN 'missing level-one title' WHEN 5 THEN 'empty document' END AS reason FROM p)
+SELECT path, CASE WHEN reason IS NULL THEN 'ok' WHEN k = 4 THEN 'skipped' ELSE 'failed' END AS status, reason, CASE k WHEN 1 THEN 'https://other.example.com/' || doc_id WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 5 THEN NULL ELSE 'https://docs.example.com/' || doc_id END AS canonical_url,
+  CASE WHEN k NOT IN (4, 5) THEN 'Document ' || doc_id END AS title, md5(CASE k WHEN 4 THEN '#' || regexp_replace(body, '\s+$', '') WHEN 5 THEN '' ELSE regexp_replace(body, '\s+$', '') END) AS content_hash FROM s"""
+version_lifecycle = "SELECT 'https://docs.example.com/' || doc_id AS canonical_url, 'Document ' || doc_id AS title, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS lacking, true AS complete, count(*) OVER () AS documents FROM documents"
+readiness = """WITH a AS (SELECT vec_id FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE source = (SELECT min(source) FROM documents)),
+e AS (SELECT count(*) > 0 AND count(*) = count(vec_id) AS ready FROM a)
+SELECT * FROM (VALUES ('table documents', true), ('table embeddings', false), ('table chunks', false), ('active version', true), ('all', false)) v("check", ready) UNION ALL SELECT 'embeddings', ready FROM e"""
+
+
 def _machine(rows, key, order, start, state, out, final):
     """A state machine as a recursion over each key's rows in order. start: first state by name; state and out: expressions over s (state) and r (row)."""
     names = list(start)

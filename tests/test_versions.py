@@ -53,3 +53,44 @@ def test_two_versions(spark, tmp_path):
     store.delete(first)
     assert [r.id for r in store.states().collect()] == [second]
     assert store.states().select(F.get_json_object("stats", "$.chunks").alias("n")).first().n == "3"
+
+
+def files(spark, n, broken=False):
+    rows = [(f"a/{k}.md", f"Original link: https://docs.example.com/{k}\n# Title {k}\n\ntext of document {k}") for k in range(n)]
+    return spark.createDataFrame(rows + [("a/z.md", "no link\n# Title")] * broken, "path string, raw string")
+
+
+def test_files_become_the_active_version(spark, tmp_path):
+    store = versions.Versions(spark, f"file://{tmp_path}/corpus")
+    asked = []
+
+    def embed(chunks):
+        asked.append(chunks.count())
+        return chunks.select("chunk_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+
+    with pytest.raises(ValueError, match="a/z.md: missing canonical link"):
+        store.ingest(files(spark, 5, broken=True), "docs.example.com", embed, "a" * 40, "model", 2)
+    assert store.states().count() == 0 and not asked
+    version = store.ingest(files(spark, 5).repartition(5), "docs.example.com", embed, "a" * 40, "model", 2, files_at_once=1)
+    assert store.active_chunks().count() == 5 and sum(asked) == 5
+    state = store.states().first()
+    assert (state.id, state.status) == (version, "active") and '"embedded_chunks":5' in state.stats and '"chunks":5' in state.stats
+    assert store.ingest(files(spark, 5), "docs.example.com", embed, "a" * 40, "model", 2) == version and sum(asked) == 5
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    """The stream's checkpoint is lost: all comes again, and only what is lacking is embedded."""
+    store = versions.Versions(spark, f"file://{tmp_path}/corpus")
+    version, _ = store.register(*corpus(spark, "red", 6), "c" * 40, "m1", "model", 2)
+    store.add_embeddings(version, vectors(spark, ["red0", "red4"]))
+    asked = []
+
+    def embed(chunks):
+        asked.extend(r.chunk_id for r in chunks.collect())
+        return chunks.select("chunk_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+
+    for k in range(2):
+        stream = spark.readStream.schema(store.chunks(version).schema).parquet(f"file://{tmp_path}/corpus/chunks/{version}")
+        store.embed_stream(version, stream, embed, f"file://{tmp_path}/checkpoint{k}")
+    assert sorted(asked) == ["red1", "red2", "red3", "red5"] and store.embeddings(version).count() == 6
+    assert '"embedded_chunks":6' in store.states().first().stats
