@@ -62,3 +62,21 @@ def test_quoting_numbers_as_g(spark):
     values = [0.0, 1.0, 12.5, 123456.0, 1234567.0, 0.0001, 0.00001234, -3.25, 999999.5, 1e20, 0.1 + 0.2, 100000.0, 1e6]
     out = spark.createDataFrame([(v,) for v in values], "v double").select("v", metrics.general(F.col("v")).alias("g")).collect()
     assert [r.g for r in out] == [f"{r.v:g}" for r in out]
+
+
+def test_questions_of_rare_terms(spark):
+    """Questions whose terms few chunks hold: the best by filters are those of all pairs, ties and all."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
+    common = [word() for _ in range(60)]
+    texts = [" ".join(rnd.choice(common) for _ in range(rnd.choice([1, 3, 8, 30, 120]))) for _ in range(400)]
+    chunks = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "chunk_id long, content string")
+    asked = [(k, " ".join(w[:-1] + rnd.choice("xyz") for w in rnd.choices(common, k=rnd.choice([1, 2, 6, 15])))) for k in range(25)]
+    asked += [(100, common[0]), (101, "zzz qqq"), (102, ""), (103, texts[7] + " x")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    columns = ["query_id", "chunk_id", "lexical_score", "rank"]
+    got = sorted(map(tuple, retrieval.lexical_best(queries, chunks, 10).select(columns).collect()))
+    want = sorted(map(tuple, retrieval.ranked(retrieval.lexical_scores(queries, chunks), "lexical_score", 10).select(columns).collect()))
+    assert got == want and len({r[0] for r in got}) > 20
