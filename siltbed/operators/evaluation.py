@@ -56,3 +56,11 @@ def release_report(results: DataFrame, pass_rate: float = 0.9, recall: float = 0
     share = lambda c, where: F.round(F.coalesce(F.avg(F.when(where, c.cast("double"))), F.lit(1.0)), 9)
     out = results.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.col("passed").cast("double")), 9).alias("pass_rate"), share(F.col("passed"), with_urls).alias("source_recall"), share(F.col("reciprocal_rank"), with_urls).alias("mrr"))
     return out.withColumn("released", (F.col("pass_rate") >= pass_rate) & (F.col("source_recall") >= recall) & (F.col("mrr") >= mrr))
+
+
+def json_report(report: Column, **values: Column) -> Column:
+    """A report as JSON, with further values set into it by name; a value of a name that the report has replaces it."""
+    text = F.to_json(report)
+    entries = F.from_json(text, "map<string,string>")
+    more = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value.cast("string"))])
+    return F.to_json(F.map_concat(F.map_filter(entries, lambda k, _: ~k.isin(*values)), more))

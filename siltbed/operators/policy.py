@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.functions.text import ENTITIES, any_marker, literal_array, normalize, search_terms, strip
@@ -46,8 +46,8 @@ def route(query: Column, intent: Column, documents: Column, contradictory: Colum
     return F.when(large, F.struct(F.lit("large").alias("tier"), F.lit("complex_grounded").alias("reason"), F.lit(1200).alias("max_output_tokens"))).otherwise(F.struct(F.lit("small").alias("tier"), F.lit("simple_grounded").alias("reason"), F.lit(700).alias("max_output_tokens")))
 
 
-def clarification_can_help(query: Column, intent: Column) -> Column:
-    return (intent == "troubleshoot") | ~F.arrays_overlap(search_terms(query), literal_array(ENTITIES))
+def clarification_can_help(query: Column, intent: Column, entities: Sequence[str] = ENTITIES) -> Column:
+    return (intent == "troubleshoot") | ~F.arrays_overlap(search_terms(query), literal_array(entities))
 
 
 def estimated_cost(tier: Column, input_tokens: Column, output_tokens: Column, rates: dict[str, tuple[float, float]]) -> Column:
@@ -89,6 +89,19 @@ def turn_outcome(t: dict[str, Column]) -> Column:
     )
 
 
+# Who may speak in a session.
+ROLES = ["user", "assistant"]
+
+
+def role_allowed(role: Column) -> Column:
+    return F.coalesce(role.isin(*ROLES), F.lit(False))
+
+
+def broken(rows: DataFrame, rule: str, condition: Column) -> DataFrame:
+    """(rule, violations): one row."""
+    return rows.agg(F.count_if(condition).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+
+
 # What a request may hold.
 IDENTIFIER = r"^[\p{L}\p{N}_-]+\z"
 SURFACES, LOCALE, PROTOCOL = ["popup", "page"], "fa-IR", "1"

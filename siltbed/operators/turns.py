@@ -62,6 +62,7 @@ def described(turns: DataFrame, words: Words) -> DataFrame:
         F.array_intersect("terms", literal_array(words.topics)).alias("topics"),
         F.array_intersect("terms", literal_array(words.entities)).alias("entities"),
         F.exists(literal_array(words.prefixes), lambda p: F.startswith("plain", p)).alias("begun"),
+        policy.clarification_can_help(F.col("text"), F.col("scope.intent"), words.entities).alias("can_help"),
     )
 
 
@@ -88,7 +89,7 @@ def with_history(said: DataFrame, after: int, most: int, short: int) -> DataFram
         F.when(F.size("recent") > 0, rewritten).otherwise(F.col("text")).alias("query"),
         ((F.col("n_before") > 0) & ~changed & ((F.size("terms") <= short) | F.col("begun"))).alias("continues"),
         (F.col("begun") & (F.size("entities") == 0)).alias("goes_on"),
-        ((F.col("scope.intent") == "troubleshoot") | (F.size("entities") == 0)).alias("can_help"),
+        "can_help",
         F.when(F.col("failed"), F.substring(F.sha2(issue, 256), 1, 20)).alias("issue_key"),
     )
 

@@ -439,6 +439,82 @@ def readiness(spark, d):
     return versions.readiness(states, chunks, tables, {"documents": ["doc_id", "text"], "embeddings": ["vec_id", "model"], "chunks": ["chunk_id"]})
 
 
+@query
+def document_contradictions(spark, d):
+    """Ten documents to a question; each says of its language that something is possible, or, with an even number, that it is not."""
+    said = F.concat(F.lit("feature "), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, " پشتیبانی نمی کند. ").otherwise(" پشتیبانی می کند. "))
+    chunks = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("document_id"), F.concat(said, F.substring("text", 1, 200)).alias("content"))
+    return retrieval.contradictions(chunks)
+
+
+@query
+def extractive_quotes(spark, d):
+    """For each benchmark item the sentence that holds a marker and covers the question best, of the documents whose number goes with the item's."""
+    asked_items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    evidence = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.floor(F.col("doc_id") / 40).cast("int").alias("place"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("title"), F.array("source").alias("heading"), F.col("text").alias("content"))
+    return answers.extractive_fallback(asked_items, evidence, ["and ", "de "], 0.2)
+
+
+@query
+def provider_stream(spark, d):
+    """Ten lines to a provider's stream: pieces, a comment, a line that is cut off, the end, and what comes after it."""
+    n = F.col("event_id") % 10
+    line = F.when(n == 7, "data: [DONE]").when(n == 3, ": ping").when(n == 5, 'data: {"delta":').otherwise(F.concat(F.lit('data: {"delta":"'), "event_type", F.lit('","n":'), F.col("event_id").cast("string"), F.lit("}")))
+    bodies = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 10).alias("stream")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\r\n").alias("body"))
+    events = answers.decode_lines(bodies, "stream", "body", "delta string, n long")
+    return events.where("event.n is not null").select("stream", F.col("place").cast("long").alias("place"), "event.delta", "event.n")
+
+
+@query
+def after_support_flag(spark, d):
+    """Every third assistant turn handed over to support."""
+    said = turns(spark, d).withColumn("outcome", F.when((F.col("role") == "assistant") & ((F.col("session") + F.col("turn")) % 3 == 0), "support").otherwise(F.col("outcome")))
+    return sessions.after_support(said, ["the ", "of ", "is "], ["and"])
+
+
+@query
+def support_summaries(spark, d):
+    """What support is told of each user turn: the redacted question and what was looked at."""
+    user = table(spark, d, "conversations").where("role = 'user'")
+    titles = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("b"), F.col("conv_id").cast("string"), F.lit("b"), F.lit("never")))
+    summary = answers.support_summary(F.concat(F.lit("MY_TOKEN=abc "), F.col("text")), titles, "goal", "seen")
+    return user.select("conv_id", "turn", F.md5(summary).alias("summary_hash"), F.length(summary).cast("long").alias("n"))
+
+
+@query
+def prompts(spark, d):
+    """Each benchmark item as a question over itself."""
+    source = F.array(F.struct(F.col("item_id").cast("string").alias("id"), F.lit("title").alias("title"), F.col("text").alias("content")), F.struct(F.lit("x").alias("id"), F.lit("other").alias("title"), F.lit("more").alias("content")))
+    made = answers.prompt(F.col("text"), F.lit("explain"), source, F.when(F.col("item_id") % 2 == 0, F.col("text")))
+    return table(spark, d, "benchmark").select("item_id", F.md5(made).alias("prompt_hash"), F.length(made).cast("long").alias("n"))
+
+
+@query
+def row_checks(spark, d):
+    """Rows that break a rule: roles that no turn may have, URLs without the wanted beginning."""
+    roles = policy.broken(table(spark, d, "conversations"), "role", ~policy.role_allowed(F.col("role")))
+    return roles.union(policy.broken(table(spark, d, "pages"), "url prefix", ~F.coalesce(F.startswith("url", F.lit("https://")), F.lit(False))))
+
+
+@query
+def report_json(spark, d):
+    """The release report as one JSON text, with the commit set into it."""
+    report = evaluation.release_report(evaluation.case_results(*_cases(spark, d)))
+    return report.select(evaluation.json_report(F.struct(*report.columns), commit=F.lit("c0ffee")).alias("report"))
+
+
+@query
+def golden_set(spark, d):
+    """Benchmark items written as lines of JSON, and read and checked as golden cases."""
+    from siltbed.sources.shared import new_dir
+
+    path = new_dir(spark, "golden")
+    cases = _cases(spark, d)[0].join(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query")), "id")
+    cases.select(F.col("id").cast("string").alias("id"), "query", "expected_in_scope", "expected_urls").write.json(path)
+    out = evaluation.golden_cases(spark, path)
+    return out.select(F.col("id").cast("long").alias("id"), F.md5("query").alias("query_hash"), "expected_in_scope", F.size("expected_urls").cast("long").alias("n_urls"))
+
+
 # Machines, each as a batch and, under stream_..., as a stream over the same rows
 
 

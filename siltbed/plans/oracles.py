@@ -344,6 +344,32 @@ e AS (SELECT count(*) > 0 AND count(*) = count(vec_id) AS ready FROM a)
 SELECT * FROM (VALUES ('table documents', true), ('table embeddings', false), ('table chunks', false), ('active version', true), ('all', false)) v("check", ready) UNION ALL SELECT 'embeddings', ready FROM e"""
 
 
+document_contradictions = """WITH p AS (SELECT doc_id // 10 AS query_id, doc_id, lang FROM documents)
+SELECT DISTINCT n.query_id, n.doc_id AS negative_document, y.doc_id AS positive_document, 1.0::DOUBLE AS share FROM p n JOIN p y ON n.query_id = y.query_id AND n.lang = y.lang AND n.doc_id % 2 = 0 AND y.doc_id % 2 = 1"""
+_SENTENCES = r"string_split(regexp_replace(regexp_replace(text, '([.!؟])\s+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10))"
+_ENT_IN = "list_filter(q, lambda x: list_contains({e}, x))"
+extractive_quotes = rf"""WITH s AS (SELECT doc_id, lang || ' ' || source AS named, unnest({_SENTENCES}) AS raw, unnest(range(len({_SENTENCES}))) AS k FROM documents),
+c AS (SELECT *, trim(ltrim(trim(regexp_replace(raw, '\s+', ' ', 'g')), '>-* ')) AS sentence FROM s),
+f AS (SELECT * FROM c WHERE length(sentence) BETWEEN 1 AND 800 AND (contains({_norm('sentence')}, 'and ') OR contains({_norm('sentence')}, 'de '))),
+t AS (SELECT *, list_concat({_raw_terms('named')}, {_raw_terms('sentence')}) AS terms FROM f),
+b AS (SELECT item_id, {_raw_terms('text')} AS r FROM benchmark), u AS (SELECT item_id, {_first('r')} AS q FROM b),
+m AS (SELECT item_id, doc_id, sentence, k, len(list_intersect(q, terms)) / greatest(1, len(q)) AS o, list_intersect(q, {_ENTITIES}) AS e, terms FROM t JOIN u ON item_id = doc_id % 40),
+g AS (SELECT *, round(o + len(list_intersect(e, terms)) / greatest(1, len(e)), 9) AS score FROM m WHERE o >= 0.2 AND len(list_intersect(e, terms)) = len(e))
+SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, sentence, score FROM g QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id // 40, k) = 1"""
+provider_stream = "SELECT event_id // 10 AS stream, event_id % 10 AS place, event_type AS delta, event_id AS n FROM events WHERE event_id % 10 NOT IN (3, 5) AND event_id % 10 < 7"
+after_support_flag = f"""WITH {_TURNS}, o AS (SELECT *, CASE WHEN role = 'assistant' AND (session + turn) % 3 = 0 THEN 'support' ELSE outcome END AS out2, {_N} AS n, {_raw_terms('text')} AS r FROM t)
+SELECT session, turn, coalesce((SELECT arg_max(b.out2, b.turn) FROM o b WHERE b.session = o.session AND b.turn < o.turn AND b.role = 'assistant') = 'support', false) AND NOT list_contains(r, 'and') AND (starts_with(n, 'the ') OR starts_with(n, 'of ') OR starts_with(n, 'is ')) AS after_support FROM o WHERE role = 'user'"""
+support_summaries = """WITH s AS (SELECT conv_id, turn, 'goal: ' || left('MY_TOKEN=<YOUR_MY_TOKEN> ' || text, 500) || CASE WHEN turn % 3 = 0 THEN '' ELSE chr(10) || 'seen: b، ' || conv_id END AS x FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, md5(x) AS summary_hash, length(x) AS n FROM s"""
+prompts = """WITH p AS (SELECT item_id, '<SOURCE id=' || item_id || '>' || chr(10) || 'title' || chr(10) || text || chr(10) || '</SOURCE>' || chr(10) || '<SOURCE id=x>' || chr(10) || 'other' || chr(10) || 'more' || chr(10) || '</SOURCE>' || chr(10) || chr(10) || 'INTENT: explain' || chr(10) || chr(10)
+  || 'CONTEXT:' || chr(10) || CASE WHEN item_id % 2 = 0 THEN text ELSE '(empty)' END || chr(10) || chr(10) || 'QUESTION:' || chr(10) || text AS x FROM benchmark) SELECT item_id, md5(x) AS prompt_hash, length(x) AS n FROM p"""
+row_checks = "SELECT 'role' AS rule, count(*) FILTER (role NOT IN ('user', 'assistant')) AS violations FROM conversations UNION ALL SELECT 'url prefix', count(*) FILTER (NOT starts_with(url, 'https://')) FROM pages"
+golden_set = f"WITH {_CASES} SELECT id, md5(b.text) AS query_hash, ok AS expected_in_scope, len(e) AS n_urls FROM c JOIN benchmark b ON b.item_id = id"
+
+
+report_json = f"""SELECT '{{"cases":"' || cases || '","pass_rate":"' || pass_rate || '","source_recall":"' || source_recall || '","mrr":"' || mrr || '","released":"' || released || '","commit":"c0ffee"}}' AS report FROM ({release_report})"""
+
+
 def _machine(rows, key, order, start, state, out, final):
     """A state machine as a recursion over each key's rows in order. start: first state by name; state and out: expressions over s (state) and r (row)."""
     names = list(start)
