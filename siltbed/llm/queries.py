@@ -129,7 +129,7 @@ FROM w LEFT JOIN a ON w.doc_id = a.doc_id LEFT JOIN s ON w.doc_id = s.doc_id
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media_columns(documents(spark, sf_dir))
-    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")
+    return media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth", "digest", F.regexp_extract("shard", "[^/]+$", 0).alias("shard"), "offset", "length")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,11 +168,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     )
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' own columns, a row for each copy, locally shuffled by shard.
+def mixed_rows(docs: DataFrame, depth: int = 4, **options) -> DataFrame:
+    """The mix itself: docs' own columns, a row for each copy. A shard is so many consecutive partitions (and so files), locally shuffled.
 
-    A shard's rows are placed by hash, so readers see sources interleaved.
+    Rows go to a partition of their shard by the hash that is their place there, and stand in order of it, so readers see sources interleaved.
     """
-    mixed = mix(docs, keep=docs.columns, **options)
+    mixed = mix(docs, keep=docs.columns, depth=depth, **options)
     copies = mixed.select("row", "place", F.posexplode("shards").alias("copy", "shard"))
-    return copies.repartition("shard", "place").sortWithinPartitions("shard", "place", "copy").select("row.*")
+    shards = 1 << depth
+    parts = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)  # of each shard
+    dealt = copies.repartitionById(shards * parts, (F.col("shard") * parts + F.pmod("place", F.lit(parts))).cast("int"))
+    return dealt.sortWithinPartitions("place", "copy").select("row.*")

@@ -695,6 +695,13 @@ def test_source_mixing(spark, docs):
         assert 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size and len(r.shards) == r.copies and all(0 <= x < 4 for x in r.shards)
         taken[r.source_size] += r.taken
     assert all(abs(taken[size[s]] - target[s]) <= longest / 2 + 1 for s in order)
+    shard_of = {(r.doc_id, r.place): set(r.shards) for r in source_mixing.mix(docs, depth=2).collect()}
+    by_part = source_mixing.mixed_rows(docs, depth=2).select("doc_id", F.spark_partition_id().alias("part")).distinct().collect()
+    assert {r.part for r in by_part} <= set(range(4))
+    held = defaultdict(set)
+    for (doc, _), shards in shard_of.items():
+        held[doc] |= shards
+    assert all(r.part in held[r.doc_id] for r in by_part)  # a partition for each of four shards
     mixed = source_mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
     assert source_mixing.mix(fixtures.empty(spark)).count() == 0
