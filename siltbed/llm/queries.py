@@ -16,7 +16,7 @@ from siltbed.llm.media_columns import media_columns
 from siltbed.llm.packing import pack
 from siltbed.llm.quality_classifier import classify
 from siltbed.llm.quality_rules import score_documents
-from siltbed.llm.secret_scan import ranked_words, scan_secrets
+from siltbed.llm.secret_scan import corpus_words, ranked_words, scan_secrets
 from siltbed.llm.source_mixing import mix
 from siltbed.llm.substring_dedup import dedup_substrings
 from siltbed.llm.url_filter import filter_urls, url_host
@@ -65,7 +65,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(documents(spark, sf_dir), ranked_words(tokenizer_path()))
+    docs = documents(spark, sf_dir)
+    return scan_secrets(docs, ranked_words(tokenizer_path()), also=[corpus_words(docs)])
 
 
 def block_list(pages: DataFrame) -> DataFrame:

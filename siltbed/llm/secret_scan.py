@@ -3,7 +3,8 @@
 Three base kinds are plain patterns. Every value in a credential context, whether or not a base span
 covers it, is priced: the least sum of base-10 logarithms of guesses over all ways to cut the value into
 
-* words of a ranked list, a capital, a swapped sign (leet) and the word's rank each having their price,
+* words of ranked lists (a public vocabulary, and the words of the corpus itself, whatever its languages), a capital, a swapped sign
+  (leet) and the word's rank in the list where it comes first each having their price,
 * years and dates,
 * walks of three keys or more over the keyboard's neighbours or along the alphabet, priced by length and turns,
 * repeats: all whole repetitions, from within the first of them, of a unit of up to UNIT characters, which is
@@ -12,7 +13,8 @@ covers it, is priced: the least sum of base-10 logarithms of guesses over all wa
 
 Words are taken up in order of where they start; a walk is carried along as a state of its own, so it costs
 no loop over its lengths. Work is linear in a value's length. A value that needs 10**cost guesses or more
-is a span of kind `guess`, unless it only refers to a secret (${NAME}, {{name}}, %(name)s).
+is a span of kind `guess`, unless it only refers to a secret (${NAME}, {{name}}, %(name)s), is an expression (a call, an index, a chain
+of attributes), a URL without a password in it, or a placeholder (your-key-here). A word that no list has costs what its letters cost.
 
 Defined cases: a null text is empty; an empty table gives no rows; repeated rows give repeated results; a
 null doc_id is kept; columns beyond doc_id and text are ignored, whatever their names. Offsets are in code
@@ -34,7 +36,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 CONTEXT = r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|(?:api|access|private|client)[_-]?key)["']?[\x20\t]*(?:[:=]|=>)[\x20\t]*["']?([^\s"'`,;<>]{6,})"""
-REFERENCE = r"\$\(?\{?[\w.:-]+\}?\)?|\{\{.*|%\(?\w+\)?s?|\{[\w.]+\}|\*+|\.+"
+REFERENCE = r"\$\(?\{?[\w.:-]+\}?\)?|\{\{.*|%\(?\w+\)?s?|\{[\w.]+\}|\*+|\.+|x+"
+EXPRESSION = r"(?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*(?:\([^()]*\)|\[[^\[\]]*\])(?:\.?\w+|\([^()]*\)|\[[^\[\]]*\])*;?|[a-z_]+(?:\.[a-z_]+)+;?"
+LINK = r"[A-Za-z][A-Za-z0-9+.-]*://[^/@:]*(?::\d+)?(?:/[^@]*)?"
+PLACEHOLDER = r"(?i:(?:your|my|insert|enter|replace|change|put)[-_][a-z]+(?:[-_][a-z]+)*|<[^>]*>?)"
 
 # Words of frequent passwords, most frequent first, and rows of keys.
 COMMON = "password admin welcome login monkey dragon master letmein sunshine princess football baseball shadow qwerty iloveyou superman trustno hello freedom whatever secret test user root guest default changeme summer winter spring autumn love star pass token key server access account company office service system data cloud example sample demo temp public private local host database backup".split()
@@ -58,15 +63,26 @@ def ranked_words(vocabulary: str) -> list[str]:
     return list(dict.fromkeys([*COMMON, *(w for w in whole if WORD_LEAST <= len(w) <= WORD_MOST and w.isascii() and w.isalpha())]))
 
 
+def corpus_words(docs: DataFrame, most: int = 50_000, least: int = 5) -> list[str]:
+    """The words of WORD_LEAST + 1 to WORD_MOST letters that stand most often in the documents, in lower case: counted over all, `most` of them kept.
+
+    One that stands there less than `least` times may be a secret itself and is no word.
+    """
+    letters = F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{{WORD_LEAST + 1},{WORD_MOST}}}(?![\p{{L}}\p{{N}}])"), F.lit(0))
+    times = docs.select(F.explode(letters).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= least)
+    return [r.word for r in times.orderBy(F.desc("times"), "word").limit(most).collect()]
+
+
 class Prices:
-    """guess_cost with its tables made once. words: most frequent first."""
+    """guess_cost with its tables made once. words, and any list in also: most frequent first."""
 
-    def __init__(self, words: Sequence[str] = COMMON):
+    def __init__(self, words: Sequence[str] = COMMON, also: Sequence[Sequence[str]] = ()):
         from math import log10
 
         self.rank: dict[str, float] = {}
-        for k, w in enumerate(words):
-            self.rank.setdefault(w, log10(k + 2))
+        for some in (words, *also):
+            for k, w in enumerate(some):
+                self.rank[w] = min(self.rank.get(w, 99.0), log10(k + 2))
         self.leet = str.maketrans(LEET)
         at = {c: (x, y) for y, row in enumerate(KEYS) for x, c in enumerate(row)}
         ways = {(1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)}
@@ -158,15 +174,15 @@ def guess_cost(value: str, words: Sequence[str] = COMMON) -> float:
     return Prices(words).cost(value)
 
 
-def scan_secrets(docs: DataFrame, words: Sequence[str] = COMMON, cost: float = 10.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, words: Sequence[str] = COMMON, cost: float = 10.0, also: Sequence[Sequence[str]] = ()) -> DataFrame:
     """A row for each document: counts by kind, digest of the base spans, all spans as kind:start:end, and costs.
 
     Spans are in order of start, then of kind (assign, access, hex, guess); end is exclusive. A base
     match is dropped if what counts of it is too short. cost is the least power of ten of guesses
-    for a `guess` span. words is the ranked list, sent to every task: its size does not depend on the
+    for a `guess` span. words and the lists of also are ranked, and sent to every task: their sizes are parameters, whatever the
     data. costs has start:end:price of every value in a credential context, reported or not.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(list(words))
+    sent = docs.sparkSession.sparkContext.broadcast((list(words), [list(x) for x in also]))
 
     def scan(batches):
         import hashlib
@@ -175,8 +191,8 @@ def scan_secrets(docs: DataFrame, words: Sequence[str] = COMMON, cost: float = 1
         import pyarrow as pa
 
         assign, access, digits = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
-        context, reference = re.compile(CONTEXT, re.I | re.A), re.compile(REFERENCE, re.A)
-        prices = Prices(sent.value)
+        context, reference = re.compile(CONTEXT, re.I | re.A), re.compile("|".join((REFERENCE, EXPRESSION, LINK, PLACEHOLDER)), re.A)
+        prices = Prices(*sent.value)
         kinds = [pa.int64()] * 5 + [pa.string()] * 3
         names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans", "costs"]
         for batch in batches:

@@ -539,6 +539,27 @@ def test_guess_cost_is_the_minimum_of_all_segmentations():
             assert prices.cost(v) > 0
 
 
+def test_secret_rates(spark):
+    """Random values are reported, and what is no secret is not: words of the corpus with numbers, references, expressions, links, placeholders."""
+    import random
+    import string
+
+    rnd = random.Random(6)
+    foreign = ["".join(rnd.choice("абвгдежзиклмн") for _ in range(rnd.randint(4, 9))) for _ in range(300)]
+    prose = [(1000 + k, " ".join(rnd.sample(foreign, 200)), "a") for k in range(20)]
+    random_ = ["".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(rnd.randint(10, 24))) for _ in range(200)]
+    plain = [rnd.choice(foreign).title() + str(rnd.randint(1, 99)) for _ in range(60)] + [f"{a}_{b}" for a, b in zip(foreign, foreign[1:])][:60]
+    plain += ["os.environ[KEY]", "response.json().access_token", "https://example.com/auth/callback", "your-api-key-here", "self.token", "get_secret(name)", "config.auth.token", "xxxxxxxxxxxx", "<your token>"]
+    rows = [(k, f"password: {v} end", "a") for k, v in enumerate(random_)] + [(300 + k, f"secret = {v} end", "a") for k, v in enumerate(plain)] + prose
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    words = secret_scan.corpus_words(docs)
+    assert set(foreign) <= set(words) and secret_scan.corpus_words(docs, 5) == words[:5]
+    found = {r.doc_id: r.n_guess for r in secret_scan.scan_secrets(docs, also=[words]).collect()}
+    assert sum(found[k] > 0 for k in range(200)) >= 199
+    assert sum(found[300 + k] > 0 for k in range(len(plain))) <= 2
+    assert secret_scan.corpus_words(fixtures.empty(spark)) == []
+
+
 # 7
 
 
