@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 
 from siltbed.llm.common import broadcast_if, cut
 from siltbed.llm.components import components
-from siltbed.llm.tokens import WordHashes, chunks, runs_of, scramble
+from siltbed.llm.tokens import WordHashes, chunks, heads, run_lengths, runs_of, scramble
 
 SMALL = 2
 IDS_TO_BROADCAST = 2_000_000
@@ -110,9 +110,9 @@ def _by_segment(hashes, salt: int, segments: int):
     import numpy as np
 
     segment = scramble(hashes + np.uint64(salt)) % np.uint64(segments)
-    order = np.argsort(segment, kind="stable")
+    order = np.argsort(segment.astype(np.uint16) if segments <= 1 << 16 else segment, kind="stable")
     segment = segment[order]
-    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    first = heads(segment)
     return scramble(hashes[order]), first, segment[first]
 
 
@@ -130,7 +130,7 @@ def _segment_signatures(parts, first, salt):
     """Of each segment the whole subset's signature, and those with one shingle left out with their segment's index."""
     import numpy as np
 
-    sums, sizes = np.add.reduceat(parts, first), np.diff(np.r_[first, len(parts)])
+    sums, sizes = np.add.reduceat(parts, first), run_lengths(first, len(parts))
     owner = np.repeat(np.arange(len(first)), sizes)
     several = sizes[owner] > 1
     return scramble(sums + salt), scramble((sums[owner] - parts)[several] + salt[owner[several]]), owner[several]
@@ -156,7 +156,7 @@ def signatures(hashes, hot, plan: dict | None = None):
                 order, mode = np.arange(len(first)), np.ones(len(first), np.int64)
             else:
                 order = np.lexsort((segment, rank[kind]))
-                mode = np.minimum(units[kind], np.minimum(np.diff(np.r_[first, len(parts)]), 2))
+                mode = np.minimum(units[kind], np.minimum(run_lengths(first, len(parts)), 2))
             enough = mode.sum() > most
             before = np.empty(len(first), np.int64)
             before[order] = np.cumsum(mode[order]) - mode[order]
@@ -166,7 +166,7 @@ def signatures(hashes, hot, plan: dict | None = None):
         while not enough:
             parts, first, segment = _by_segment(hashes, TOPS[band] * 64 + scheme, max(1, TOPS[band] // 4))
             whole, without, _ = _segment_signatures(parts, first, scramble(segment + np.uint64((TOPS[band] << 20) + (scheme << 50))))
-            enough = 2 * int((np.diff(np.r_[first, len(parts)]) >= 2).sum()) > most
+            enough = 2 * int((run_lengths(first, len(parts)) >= 2).sum()) > most
             mine += [whole, without]
             scheme += 1
         out.append((((np.concatenate(mine) & mask) | np.uint64(band)) << np.uint64(1)) | np.uint64(len(hashes) > TOPS[band]))
@@ -398,7 +398,7 @@ def _plan(some: DataFrame, hot_names: list[int], n: int) -> dict:
                     parts, first, segment = _by_segment(cold, TOPS[band] * 64, segments_of(band))
                     whole, without, owner = _segment_signatures(parts, first, scramble(segment))
                     kind = (segment % np.uint64(CLASSES)).astype(np.int32)
-                    two = np.diff(np.r_[first, len(parts)]) > 1
+                    two = run_lengths(first, len(parts)) > 1
                     for units, sig, of, cases in ((1, whole, kind, np.ones(len(kind), np.int64)), (2, whole[two], kind[two], np.ones(int(two.sum()), np.int64)), (2, without, kind[owner], np.zeros(len(owner), np.int64))):
                         for column, values in zip(columns, (np.full(len(of), band, np.int32), of, np.full(len(of), units, np.int32), sig.view(np.int64), cases)):
                             column.append(values)

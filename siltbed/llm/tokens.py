@@ -10,9 +10,36 @@ def scramble(x):
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     import numpy as np
 
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    if not isinstance(x, np.ndarray):
+        x = np.asarray(x, np.uint64)
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
+
+
+def heads(x):
+    """Where runs of equal values begin in an array that is not empty."""
+    import numpy as np
+
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def run_lengths(first, n: int):
+    """Lengths of runs that begin at `first` in an array of n."""
+    import numpy as np
+
+    out = np.empty(len(first), np.int64)
+    out[:-1] = first[1:]
+    out[-1] = n
+    out -= first
+    return out
 
 
 def runs_of(hashes, n: int):
