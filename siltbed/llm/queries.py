@@ -64,6 +64,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "text", "n_lines", "n_removed")
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+f AS (SELECT doc_id, parts, list_filter(range(1, len(parts) + 1), lambda i: regexp_matches(parts[i], '[^\x20\x09-\x0D]')) AS idx FROM d),
+w AS (SELECT doc_id, unnest(range(1, len(idx) - 1)) AS s, idx, parts, 3 AS n FROM f WHERE len(idx) >= 3
+      UNION ALL SELECT doc_id, s, idx, parts, 1 FROM (SELECT doc_id, unnest(range(1, len(idx) + 1)) AS s, idx, parts FROM f) WHERE len(regexp_extract_all(parts[idx[s]], '[^\x20\x09-\x0D]+')) >= 25),
+k AS (SELECT doc_id, s, n, idx[s:s + n - 1] AS lines, list_transform(idx[s:s + n - 1], lambda i: parts[i]) AS run FROM w),
+m AS (SELECT doc_id, lines, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, s) > 1 AS later FROM k),
+g AS (SELECT doc_id, list_distinct(flatten(list(lines))) AS gone FROM m WHERE later GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN g.gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(g.gone, i)), lambda i: parts[i]), chr(10)) END AS text,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(parts) END AS BIGINT) AS n_lines, CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_removed FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return scan_secrets(docs, ranked_words(tokenizer_path()), also=[corpus_words(docs)])
@@ -142,6 +155,15 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+#: The article of the tables' one template: what these pages hold of character references and elements.
+OP11_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS inner_html FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(inner_html, '</?p>|</?h1>'), lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -168,4 +190,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op4_jaccard_join": OP4_SQL, "op5_line_dedup": OP5_SQL, "op11_html_extraction": OP11_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op12_lexical_search": OP12_SQL}
