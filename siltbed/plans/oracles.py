@@ -243,29 +243,29 @@ def _turn_round(r):
     return f"""
 tk{r} AS (SELECT td.*, x.session IS NULL AS kept FROM td LEFT JOIN {drop} x ON td.session = x.session AND td.turn = x.turn),
 tm{r} AS (SELECT *, CAST(coalesce(sum(CAST(kept AS INTEGER)) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c FROM tk{r}),
-tn{r} AS (SELECT *, {state} AS users FROM tm{r}),
-th{r} AS (SELECT a.*, (SELECT flatten(list(topics)) {shown}) AS recent, (SELECT arg_max(b.text, b.turn) {shown} AND len(b.terms) >= 5) AS substantive, (SELECT arg_max(b.text, b.turn) {shown} AND NOT b.failed) AS base,
+tn{r} AS MATERIALIZED (SELECT *, {state} AS users FROM tm{r}),
+th{r} AS MATERIALIZED (SELECT a.*, (SELECT flatten(list(topics)) {shown}) AS recent, (SELECT arg_max(b.text, b.turn) {shown} AND len(b.terms) >= 5) AS substantive, (SELECT arg_max(b.text, b.turn) {shown} AND NOT b.failed) AS base,
   (SELECT flatten(list(list_filter(b.terms, lambda e: list_contains(['the','and','of','de'], e)) ORDER BY b.turn DESC)) {shown}) AS found FROM tn{r} a),
 ti{r} AS (SELECT *, {_first('found')} AS extra FROM th{r}),
-tp{r} AS (SELECT *, CASE WHEN c > 0 THEN left(concat_ws(' ', text, left(substantive, 500), nullif(array_to_string(list_filter(extra, lambda e: NOT list_contains(terms, e))[1:4], ' '), '')), 800) ELSE text END AS query,
+tp{r} AS MATERIALIZED (SELECT *, CASE WHEN c > 0 THEN left(concat_ws(' ', text, left(substantive, 500), nullif(array_to_string(list_filter(extra, lambda e: NOT list_contains(terms, e))[1:4], ' '), '')), 800) ELSE text END AS query,
   c > 0 AND NOT (len(topics) > 0 AND len(coalesce(recent, [])) > 0 AND len(list_intersect(topics, coalesce(recent, []))) = 0) AND (len(terms) <= 4 OR begun) AS continues,
   begun AND len(ents) = 0 AS goes_on, intent = 'troubleshoot' OR len(ents) = 0 AS can_help, CASE WHEN failed THEN substr(sha256(coalesce(base, text)), 1, 20) END AS issue_key FROM ti{r}),
-tq{r} AS (SELECT DISTINCT query FROM (SELECT query FROM tp{r} UNION ALL SELECT text FROM tp{r})),
-tr{r} AS (SELECT query, {_first(_raw_terms('query'))} AS terms FROM tq{r}),
+tq{r} AS MATERIALIZED (SELECT DISTINCT query FROM (SELECT query FROM tp{r} UNION ALL SELECT text FROM tp{r})),
+tr{r} AS MATERIALIZED (SELECT query, {_first(_raw_terms('query'))} AS terms FROM tq{r}),
 ts{r} AS (SELECT query, item_id, sum(tf) AS hits FROM (SELECT query, unnest(terms) AS term FROM tr{r}) u JOIN tw USING (term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sum(tf) DESC, item_id) <= 6),
-tt{r} AS (SELECT query, arg_min(item_id, (-hits, item_id)) AS top, flatten(list(terms)) AS seen, sum(greatest(1, len(text) // 4)) AS used FROM ts{r} JOIN tb USING (item_id) GROUP BY 1),
-te{r} AS (SELECT tr{r}.query, coalesce(CAST(top AS VARCHAR), '-') AS top, top IS NULL AS none, coalesce(used, 0) + greatest(1, length(tr{r}.query) // 4) AS tokens,
+tt{r} AS MATERIALIZED (SELECT query, arg_min(item_id, (-hits, item_id)) AS top, flatten(list(terms)) AS seen, sum(greatest(1, len(text) // 4)) AS used FROM ts{r} JOIN tb USING (item_id) GROUP BY 1),
+te{r} AS MATERIALIZED (SELECT tr{r}.query, coalesce(CAST(top AS VARCHAR), '-') AS top, top IS NULL AS none, coalesce(used, 0) + greatest(1, length(tr{r}.query) // 4) AS tokens,
   len(list_filter(list_intersect(terms, {_ENTITIES}), lambda e: NOT list_contains(coalesce(seen, []), e))) AS missing, round(len(list_intersect(terms, coalesce(seen, []))) / greatest(1, len(terms)), 9) AS coverage FROM tr{r} LEFT JOIN tt{r} USING (query)),
 tv{r} AS (SELECT session, turn, 0 AS variant, text AS query FROM tp{r} UNION ALL SELECT session, turn, 1, query FROM tp{r} WHERE query <> text),
-tx{r} AS (SELECT *, CASE WHEN none THEN 'no_results' WHEN missing > 0 THEN 'missing_entity_coverage' WHEN coverage < 0.35 THEN 'insufficient_query_coverage' ELSE 'sufficient' END AS reason, (session * 31 + turn * 7 + variant * 13) % 101 AS k FROM tv{r} JOIN te{r} USING (query)),
-ty{r} AS (SELECT *, CASE k % 10 WHEN 5 THEN 'invalid' WHEN 8 THEN 'failed' WHEN 7 THEN 'abstained' WHEN 9 THEN 'url' WHEN 6 THEN 'unknown_source' ELSE CASE WHEN none THEN 'unknown_source' ELSE 'valid' END END AS one,
+tx{r} AS MATERIALIZED (SELECT *, CASE WHEN none THEN 'no_results' WHEN missing > 0 THEN 'missing_entity_coverage' WHEN coverage < 0.35 THEN 'insufficient_query_coverage' ELSE 'sufficient' END AS reason, (session * 31 + turn * 7 + variant * 13) % 101 AS k FROM tv{r} JOIN te{r} USING (query)),
+ty{r} AS MATERIALIZED (SELECT *, CASE k % 10 WHEN 5 THEN 'invalid' WHEN 8 THEN 'failed' WHEN 7 THEN 'abstained' WHEN 9 THEN 'url' WHEN 6 THEN 'unknown_source' ELSE CASE WHEN none THEN 'unknown_source' ELSE 'valid' END END AS one,
   CASE k % 9 + 2 WHEN 5 THEN 'invalid' WHEN 8 THEN 'failed' WHEN 7 THEN 'abstained' WHEN 9 THEN 'url' WHEN 6 THEN 'unknown_source' ELSE CASE WHEN none THEN 'unknown_source' ELSE 'valid' END END AS two, k % 8 < 3 AS fb FROM tx{r}),
-tz{r} AS (SELECT p.session, p.turn, {_norm('p.text')} AS key, p.intent, ts, tokens <= 500 AND (one = 'valid' OR (one IN ('invalid', 'unknown_source', 'url') AND two = 'valid')) AS writes,
+tz{r} AS MATERIALIZED (SELECT p.session, p.turn, {_norm('p.text')} AS key, p.intent, ts, tokens <= 500 AND (one = 'valid' OR (one IN ('invalid', 'unknown_source', 'url') AND two = 'valid')) AS writes,
   row_number() OVER (PARTITION BY {_norm('p.text')}, p.intent ORDER BY ts, p.session, p.turn) AS i FROM tp{r} p JOIN ty{r} y ON p.session = y.session AND p.turn = y.turn AND variant = 0
   WHERE c = 0 AND NOT failed AND in_scope AND y.reason = 'sufficient'),
 ca{r} AS (SELECT *, false AS hit, CASE WHEN writes THEN ts END AS since FROM tz{r} WHERE i = 1 UNION ALL
   SELECT z.*, coalesce(z.ts - ca.since < 14400, false), CASE WHEN z.writes AND NOT coalesce(z.ts - ca.since < 14400, false) THEN z.ts ELSE ca.since END FROM ca{r} ca JOIN tz{r} z ON z.key = ca.key AND z.intent = ca.intent AND z.i = ca.i + 1),
-tj{r} AS (SELECT p.session, p.turn, p.in_scope, p.sr, p.c, p.continues, p.goes_on, p.can_help, p.issue_key, p.text, p.query, coalesce(hit, false) AS hit, row_number() OVER (PARTITION BY p.session ORDER BY p.turn) AS i FROM tp{r} p LEFT JOIN ca{r} ca ON p.session = ca.session AND p.turn = ca.turn),
+tj{r} AS MATERIALIZED (SELECT p.session, p.turn, p.in_scope, p.sr, p.c, p.continues, p.goes_on, p.can_help, p.issue_key, p.text, p.query, coalesce(hit, false) AS hit, row_number() OVER (PARTITION BY p.session ORDER BY p.turn) AS i FROM tp{r} p LEFT JOIN ca{r} ca ON p.session = ca.session AND p.turn = ca.turn),
 tl{r} AS (SELECT session, 0 AS turn, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS prev, CAST(NULL AS VARCHAR) AS issue, 0 AS fails, ['', '', ''] AS o, false AS follow, 0 AS n, '' AS query FROM tj{r} WHERE i = 1 UNION ALL
   SELECT session, turn, i, CASE WHEN o[1] = 'error' THEN prev WHEN o[1] = 'clarification' THEN 'clarification:' || o[2] ELSE o[1] END, CASE WHEN reports THEN issue_key ELSE issue END, CASE WHEN reports THEN n ELSE fails END, o, follow, n, CASE WHEN follow THEN query ELSE text END FROM (
   SELECT *, CASE WHEN NOT in_scope THEN ['out_of_scope', sr, NULL] WHEN n >= 2 THEN ['support', 'repeated_failure', NULL] WHEN goes_on AND prev IS NOT DISTINCT FROM 'support' THEN ['support', 'support_continuation', NULL]
