@@ -217,6 +217,15 @@ def parse_units_inline(spark, d):
     return units.select("path", "k", F.array_join("u.heading_path", " > ").alias("heading"), "u.kind", "u.content", "u.code_language")
 
 
+@query
+def chunk_ranges(spark, d):
+    """Lines of documents as units, those with a hash sign as code: the ranges of lines that groups of 150 tokens hold, with up to 30 of the group before."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    docs = table(spark, d, "documents").select("doc_id", F.transform(lines, lambda x: F.struct(T.token_count(x).alias("n"), F.contains(x, F.lit("#")).alias("code"))).alias("u"))
+    found = docs.select("doc_id", F.posexplode(markdown.group_ranges(150, 30)(F.transform("u", lambda x: x["n"]), F.transform("u", lambda x: x["code"]))).alias("k", "r"))
+    return found.select("doc_id", F.col("k").cast("long").alias("k"), F.col("r.a").cast("long").alias("a"), F.col("r.b").cast("long").alias("b"))
+
+
 @query
 def chunk_documents(spark, d):
     chunks = markdown.chunked(table(spark, d, "documents").select(F.col("doc_id").alias("stable_id"), F.col("text").alias("content")))

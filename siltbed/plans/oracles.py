@@ -370,6 +370,18 @@ golden_set = f"WITH {_CASES} SELECT id, md5(b.text) AS query_hash, ok AS expecte
 report_json = f"""SELECT '{{"cases":"' || cases || '","pass_rate":"' || pass_rate || '","source_recall":"' || source_recall || '","mrr":"' || mrr || '","released":"' || released || '","commit":"c0ffee"}}' AS report FROM ({release_report})"""
 
 
+_NEXT_B = "coalesce(list_filter(range({a} + 1, n), lambda i: upto[i + 2] - upto[{a} + 1] > 150)[1], n)"
+_NEXT_A = """greatest(a, least(b, greatest(least(list_filter(range(0, b + 1), lambda j: upto[b + 1] - upto[j + 1] <= 30)[1], b - 1), coalesce(list_filter(range(0, b + 1), lambda j: upto[b + 2] - upto[j + 1] <= 150)[1], b),
+  coalesce(list_max(list_filter(code, lambda c: c < b)), -1) + 1)))"""
+chunk_ranges = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS x, unnest(range(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))) AS i FROM documents),
+s AS (SELECT doc_id, i, {_TOKEN.format('x')} AS size, contains(x, '#') AS code FROM l),
+w AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM s),
+d AS MATERIALIZED (SELECT doc_id, count(*) AS n, list_concat([0], list(CAST(upto AS BIGINT) ORDER BY i)) AS upto, coalesce(list(i) FILTER (code), []) AS code FROM w GROUP BY doc_id),
+g AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, {_NEXT_B.format(a='0')} AS b FROM d UNION ALL
+  SELECT doc_id, k + 1, a2, {_NEXT_B.format(a='a2')} FROM (SELECT g.doc_id, g.k, d.n, d.upto, {_NEXT_A} AS a2 FROM g JOIN d ON g.doc_id = d.doc_id WHERE g.b < d.n))
+SELECT doc_id, k, a, CAST(b AS BIGINT) AS b FROM g"""
+
+
 def _machine(rows, key, order, start, state, out, final):
     """A state machine as a recursion over each key's rows in order. start: first state by name; state and out: expressions over s (state) and r (row)."""
     names = list(start)

@@ -20,8 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application writes what is not its result."""
+    return f"{shared_dir(spark)}/siltbed-{spark.sparkContext.applicationId}"
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siltbed-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application has written there: call it once results have been written."""
+    remove(spark, scratch_dir(spark))
 
 
 def remove(spark: SparkSession, path: str) -> None:
