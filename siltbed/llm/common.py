@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.sources.shared import remove, shared_dir
+from siltbed.sources.shared import clear_scratch, remove, scratch_dir  # noqa: F401  operators take them from here
 
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -32,16 +32,6 @@ def text_hash(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text)).cast("long")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Where this application's tables are cut."""
-    return f"{shared_dir(spark)}/siltbed-{spark.sparkContext.applicationId}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all that this application has cut: call it once results have been written."""
-    remove(spark, scratch_dir(spark))
-
-
 def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As cut, with the path of what was written, which the caller may remove."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -20,7 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import broadcast_if, shared_dir
+from siltbed.llm.common import broadcast_if
+from siltbed.sources.shared import shared_dir
 
 LINE = 192
 DIGESTS_TO_BROADCAST = 500_000
