@@ -79,21 +79,18 @@ def text_pieces(spark, d):
     return parts.select("doc_id", F.col("k").cast("long").alias("k"), "piece")
 
 
-@query
-def redact_inline(spark, d):
-    return credentials(spark).select("id", T.redact(F.col("text")).alias("safe"), *T.redaction_counts(F.col("text")))
-
-
-def credentials(spark) -> DataFrame:
-    rows = [(1, 'DB_PASSWORD="p"'), (2, "TOKEN=abc"), (3, "Authorization: Bearer abcdefghijkl.mn"), (4, "redis://u:pw@h/0 and MY_API_KEY=x"), (5, "plain text"), (6, None)]
-    return spark.createDataFrame(rows, "id long, text string")
-
-
 #: The same expression in Spark and in DuckDB: credentials behind each document's text, by its number.
 PLANTED = """CASE doc_id % 6 WHEN 0 THEN ' DB_PASSWORD=ab12 MY_TOKEN="x"' WHEN 1 THEN ' authorization: bearer abcdefghijkl.mn' WHEN 2 THEN ' postgres://u:pw' || doc_id || '@h/db'
 WHEN 3 THEN ' data:image/png;base64,' || repeat('A', 1100) WHEN 4 THEN ' API_KEY = short redis://:x@h mysql://a:b@c' ELSE '' END"""
 
 
+@query
+def redact_inline(spark, d):
+    """Each document's text with credentials behind it, made safe, and what was replaced."""
+    text = F.concat("text", F.expr(PLANTED))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.redact(text)).alias("safe_hash"), *T.redaction_counts(text))
+
+
 @query
 def redaction_totals(spark, d):
     planted = F.expr(PLANTED)
@@ -153,10 +150,15 @@ def embedding_batches(spark, d):
 
 @query
 def version_activation(spark, d):
-    before = spark.createDataFrame([("v1", "active", "2026-01-01"), ("v2", "embedded", None), ("v3", "parsed", None)], "id string, status string, activated_at string")
-    chunks = spark.createDataFrame([("v1", [0.5]), ("v2", [0.1]), ("v3", None)], "version_id string, embedding array<double>")
-    done = corpus.activate(before, chunks, "v2", "2026-02-01").withColumn("tried", F.lit("v2"))
-    return done.union(corpus.activate(before, chunks, "v3", "2026-02-01").withColumn("tried", F.lit("v3")))
+    """Languages as versions, the first one active; what becomes of each when English, whose chunks may lack embeddings, and when the last one is tried."""
+    first = table(spark, d, "documents").agg(F.min("lang").alias("l"))
+    before = table(spark, d, "documents").select(F.col("lang").alias("id")).distinct()
+    is_first = F.col("id") == first.scalar()
+    before = before.select("id", F.when(is_first, "active").otherwise("embedded").alias("status"), F.when(is_first, "2026-01-01").alias("activated_at"))
+    chunks = text_chunks_of(spark, d).select(F.col("heading").alias("version_id"), "chunk_id", "embedding")
+    chunks = chunks.where("version_id <> 'es' or embedding is not null").select("version_id", "embedding")  # all that is left of Spanish has one
+    tried = lambda name: corpus.activate(before, chunks, name, "2026-02-01").withColumn("tried", F.lit(name))
+    return tried("en").union(tried("es"))
 
 
 @query
@@ -191,30 +193,20 @@ def url_hosts(spark, d):
 # Markdown
 
 
-def markdown_files(spark) -> DataFrame:
-    link = f"Original link: https://{HOST}/a"
-    rows = [
-        ("a/ok.md", f"﻿{link}\n# Title\n\nBody line\n```python\nx = 1\n```\n## All links\n[z](z)"),
-        ("a-b/host.md", "Original link: https://other.example.org/a\n# T\nx"),
-        ("a/http.md", f"Original link: http://{HOST}/a\n# T\nx"),
-        ("a/nolink.md", "# T\nx"),
-        ("a/notitle.md", f"{link}\n## Sub\nx"),
-        ("a/empty.md", f"{link}\n"),
-    ]
-    return spark.createDataFrame(rows, "path string, raw string")
-
-
 @query
 def parse_document_inline(spark, d):
-    files = markdown_files(spark).withColumn("raw", F.regexp_replace("raw", "^﻿", ""))
-    return markdown.parse(files, HOST).select("path", "status", "reason", "canonical_url", "title", "content")
+    """Documents as they are, behind a link and a title."""
+    out = markdown.parse(document_files(spark, d), HOST)
+    return out.select("path", "status", "reason", "canonical_url", "title", F.md5("content").alias("content_hash"))
 
 
 @query
 def parse_units_inline(spark, d):
-    parsed = markdown.parse(markdown_files(spark).withColumn("raw", F.regexp_replace("raw", "^﻿", "")), HOST).where("status = 'ok'")
-    units = markdown.with_units(parsed).select("path", F.posexplode("units").alias("k", "u"))
-    return units.select("path", "k", F.array_join("u.heading_path", " > ").alias("heading"), "u.kind", "u.content", "u.code_language")
+    """Units by kind of every document behind a heading and before a section of code, without its hash signs and fences."""
+    text = F.regexp_replace("text", "[#`~]", "")
+    content = F.concat(F.lit("# Title\n\n"), text, F.lit("\n\n## Code\n\n```py\nx = 1\n```"))
+    units = markdown.with_units(table(spark, d, "documents").select("doc_id", content.alias("content"))).select("doc_id", F.explode("units").alias("u"))
+    return units.groupBy("doc_id", F.col("u.kind").alias("kind"), F.array_join("u.heading_path", " > ").alias("heading"), "u.code_language").agg(F.count(F.lit(1)).alias("units"))
 
 
 @query
@@ -298,19 +290,6 @@ def evidence_decision(spark, d):
     return retrieval.judge(q, chosen, disputed)
 
 
-@query
-def contradiction_pairs(spark, d):
-    rows = [
-        (1, "a", "افزونه pgvector روی postgres پشتیبانی نمی کند."),
-        (1, "b", "افزونه pgvector روی postgres پشتیبانی می کند."),
-        (2, "a", "redis cluster امکان ندارد. redis cluster امکان دارد."),
-        (3, "a", "mysql backup مجاز نیست"),
-        (3, "b", "docker registry مجاز است"),
-    ]
-    chunks = spark.createDataFrame(rows, "query_id long, document_id string, content string")
-    return retrieval.contradictions(chunks).drop("n", "p")
-
-
 # Policy and conversations
 
 
@@ -448,12 +427,22 @@ def readiness(spark, d):
     return versions.readiness(states, chunks, tables, {"documents": ["doc_id", "text"], "embeddings": ["vec_id", "model"], "chunks": ["chunk_id"]})
 
 
+def contradicting(spark, d, size: int) -> DataFrame:
+    said = F.concat(F.lit("feature "), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, " پشتیبانی نمی کند. ").otherwise(" پشتیبانی می کند. "))
+    chunks = table(spark, d, "documents").select(F.floor(F.col("doc_id") / size).alias("query_id"), F.col("doc_id").alias("document_id"), F.concat(said, F.substring("text", 1, 200)).alias("content"))
+    return retrieval.contradictions(chunks)
+
+
 @query
 def document_contradictions(spark, d):
     """Ten documents to a question; each says of its language that something is possible, or, with an even number, that it is not."""
-    said = F.concat(F.lit("feature "), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, " پشتیبانی نمی کند. ").otherwise(" پشتیبانی می کند. "))
-    chunks = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("document_id"), F.concat(said, F.substring("text", 1, 200)).alias("content"))
-    return retrieval.contradictions(chunks)
+    return contradicting(spark, d, 10)
+
+
+@query
+def contradiction_pairs(spark, d):
+    """The same with four documents to a question."""
+    return contradicting(spark, d, 4)
 
 
 @query
@@ -658,9 +647,11 @@ CASE doc_id % 23 WHEN 1 THEN '```json' || chr(10) WHEN 2 THEN '```' || chr(10) W
 
 @query
 def extractive_fallback(spark, d):
-    questions = spark.createDataFrame([(1, "pgvector hnsw روی postgres"), (2, "redis cluster"), (3, "mysql backup")], "query_id long, query string")
-    evidence = spark.createDataFrame([(1, 1, "c1", "Postgres", ["a"], "سلام. افزونه pgvector از hnsw پشتیبانی نمی کند. پایان"), (1, 2, "c2", "Other", [], "hnsw امکان ندارد."), (2, 1, "c3", "Redis", [], "بدون نشانه."), (3, 1, "c4", "Guide", ["MySQL", "Backup"], "این کار امکان ندارد.")], "query_id long, place int, chunk_id string, title string, heading array<string>, content string")
-    return answers.extractive_fallback(questions, evidence)
+    """Each document's own best sentence on its first 300 characters, if it holds a marker."""
+    docs = table(spark, d, "documents")
+    asked_of = docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 300).alias("query"))
+    evidence = docs.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("place"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit("").alias("title"), F.array().cast("array<string>").alias("heading"), F.col("text").alias("content"))
+    return answers.extractive_fallback(asked_of, evidence, ["the ", "der "], 0.3).withColumn("sentence", F.md5("sentence"))
 
 
 @query

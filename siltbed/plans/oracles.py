@@ -40,12 +40,13 @@ term_frequency = rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all({_norm
 SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM w GROUP BY term"""
 text_pieces = "WITH p AS (SELECT doc_id, text, unnest(range(0, length(text), 120)) AS pos FROM documents) SELECT doc_id, pos // 120 AS k, substring(text, pos + 1, 120) AS piece FROM p"
 
-_CRED = """(VALUES (1, 'DB_PASSWORD="p"'), (2, 'TOKEN=abc'), (3, 'Authorization: Bearer abcdefghijkl.mn'), (4, 'redis://u:pw@h/0 and MY_API_KEY=x'), (5, 'plain text'), (6, NULL)) v(id, text)"""
 _ENV = r"""(\b([A-Z][A-Z0-9_]*(?:PASSWORD|PASS|TOKEN|SECRET|API_KEY))\s*=\s*["'']?)([^\s"'']+)(["'']?)"""
 _BEARER = r"(?i)(\b(?:Authorization:\s*)?Bearer\s+)([A-Za-z0-9._~-]{12,})"
 _DSN = r"(?i)(\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:/@]+:)([^\s@/]+)(@)"
 _DATA = r"(?i)data:(?:image|audio|video)/[a-z0-9.+-]+;base64,[a-z0-9+/=_-]{1000}[a-z0-9+/=_-]{24}"
 
+_DATA_URL = r"(?i)(data:(?:image|audio|video)/[a-z0-9.+-]+;base64,)[a-z0-9+/=_-]{1000}[a-z0-9+/=_-]{24}[a-z0-9+/=_-]*"
+
 
 def _redacted(source, key):
     return f"""r1 AS (SELECT *, regexp_replace(text, '{_ENV}', '\\1<YOUR_\\2>\\4', 'g') AS t1 FROM {source}),
@@ -55,7 +56,7 @@ r AS (SELECT {key}, t3 AS safe, CAST(len(regexp_extract_all(text, '{_ENV}')) AS
   CAST(len(regexp_extract_all(t2, '{_DSN}')) AS INTEGER) AS connection_password, CAST(len(regexp_extract_all(t3, '{_DATA}')) AS INTEGER) AS embedded_data_url FROM r3)"""
 
 
-redact_inline = f"WITH {_redacted(_CRED, 'id')} SELECT CAST(id AS BIGINT) AS id, safe, environment_value, bearer_token, connection_password, embedded_data_url FROM r"
+redact_inline = f"WITH {_redacted(f'(SELECT doc_id, text || {PLANTED} AS text FROM documents)', 'doc_id')} SELECT doc_id, md5(regexp_replace(safe, '{_DATA_URL}', '\\1<REDACTED_EMBEDDED_ASSET>', 'g')) AS safe_hash, environment_value, bearer_token, connection_password, embedded_data_url FROM r"
 redaction_totals = f"WITH {_redacted(f'(SELECT lang, text || {PLANTED} AS text FROM documents)', 'lang')} SELECT lang, CAST(sum(environment_value) AS BIGINT) AS environment_value, CAST(sum(bearer_token) AS BIGINT) AS bearer_token, CAST(sum(connection_password) AS BIGINT) AS connection_password, CAST(sum(embedded_data_url) AS BIGINT) AS embedded_data_url FROM r GROUP BY lang"
 embedding_input_text = "SELECT doc_id, sha256(concat_ws(chr(10), CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END, lang, text)) AS input_hash FROM documents"
 
@@ -66,8 +67,11 @@ snapshot_report = "SELECT count(*) AS discovered, count(*) FILTER (length(text)
 pending_embeddings = "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"
 embedding_validation = "SELECT vec_id FROM embeddings WHERE len(CASE WHEN vec_id % 7 = 0 THEN embedding[1:63] ELSE embedding END) <> 64 OR len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0"
 embedding_batches = "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 16 AS place FROM documents"
-version_activation = """SELECT * FROM (VALUES ('v1', 'indexed', NULL, NULL, 'v2'), ('v2', 'active', '2026-02-01', NULL, 'v2'), ('v3', 'parsed', NULL, NULL, 'v2'),
- ('v1', 'active', '2026-01-01', 'missing embeddings', 'v3'), ('v2', 'embedded', NULL, 'missing embeddings', 'v3'), ('v3', 'parsed', NULL, 'missing embeddings', 'v3')) v(id, status, activated_at, refused, tried)"""
+version_activation = """WITH v AS (SELECT DISTINCT lang AS id, lang = (SELECT min(lang) FROM documents) AS first FROM documents),
+c AS (SELECT lang, bool_or(vec_id IS NULL AND lang <> 'es') AS lacks FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1),
+t AS (SELECT tried, coalesce((SELECT lacks FROM c WHERE lang = tried), false) AS refused FROM (VALUES ('en'), ('es')) x(tried))
+SELECT id, CASE WHEN NOT refused AND id = tried THEN 'active' WHEN first AND refused THEN 'active' WHEN first THEN 'indexed' ELSE 'embedded' END AS status,
+  CASE WHEN NOT refused AND id = tried THEN '2026-02-01' WHEN refused AND first THEN '2026-01-01' END AS activated_at, CASE WHEN refused THEN 'missing embeddings' END AS refused, tried FROM v, t"""
 constraint_violations = """SELECT 'duplicate document' AS rule, count(*) AS violations FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'duplicate content', count(*) FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
@@ -76,11 +80,6 @@ UNION ALL SELECT 'not positive', count(*) FROM documents WHERE length(text) <= 0
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
 url_allowlist = f"SELECT page_id, lower({_HOST}) AS host, starts_with(url, 'https:') AND lower({_HOST}) = 'ththre.example.com' AS allowed FROM pages"
 url_hosts = f"SELECT lower({_HOST}) AS host, count(*) AS pages, count(*) FILTER (starts_with(url, 'https:')) AS secure FROM pages GROUP BY 1"
-parse_document_inline = """SELECT * FROM (VALUES ('a/ok.md', 'ok', NULL, 'https://docs.example.com/a', 'Title', '# Title' || chr(10) || chr(10) || 'Body line' || chr(10) || '```python' || chr(10) || 'x = 1' || chr(10) || '```'),
- ('a-b/host.md', 'failed', 'host not allowed', 'https://other.example.org/a', 'T', '# T' || chr(10) || 'x'), ('a/http.md', 'failed', 'missing canonical link', NULL, 'T', '# T' || chr(10) || 'x'),
- ('a/nolink.md', 'failed', 'missing canonical link', NULL, NULL, 'x'), ('a/notitle.md', 'skipped', 'missing level-one title', 'https://docs.example.com/a', NULL, '## Sub' || chr(10) || 'x'),
- ('a/empty.md', 'skipped', 'missing level-one title', 'https://docs.example.com/a', NULL, '')) v(path, status, reason, canonical_url, title, content)"""
-
 _LEX = f"""q AS (SELECT item_id AS query_id, text, {_norm('text')} AS n, {_raw_terms('text')} AS r FROM benchmark),
 qq AS (SELECT query_id, {_first('r')} AS terms, {_grams("CASE WHEN len(r) > 0 THEN array_to_string(" + _first('r') + ", ' ') ELSE n END")} AS grams FROM q),
 c AS (SELECT doc_id AS chunk_id, {_norm('text')} AS n FROM documents),
@@ -124,7 +123,6 @@ em AS (SELECT qq.query_id, top, round(len(list_intersect(qq.terms, coalesce(eg.t
   len(list_intersect(qq.terms, {_ENTITIES})) - len(list_intersect(list_intersect(qq.terms, {_ENTITIES}), coalesce(eg.terms, []))) AS missing FROM qq LEFT JOIN eg USING (query_id)),
 ej AS (SELECT *, CASE WHEN top IS NULL THEN 'no_results' WHEN top < 0.025 THEN 'low_relevance' WHEN missing > 0 THEN 'missing_entity_coverage' WHEN query_coverage < 0.35 THEN 'insufficient_query_coverage' ELSE 'sufficient' END AS reason FROM em)
 SELECT query_id, reason, reason = 'sufficient' AS sufficient, query_coverage FROM ej"""
-contradiction_pairs = "SELECT CAST(1 AS BIGINT) AS query_id, 'a' AS negative_document, 'b' AS positive_document, 1.0::DOUBLE AS share"
 
 _N = _norm("text")
 _SCOPE = f"""sc AS (SELECT *, {_N} AS n FROM conversations WHERE role = 'user'),
@@ -194,8 +192,6 @@ q AS (SELECT *, coalesce(json_type(j) = 'OBJECT' AND json_type(j, '$.answer_mark
 v AS (SELECT *, CASE WHEN NOT well THEN 'invalid' WHEN len(list_filter(cited, lambda x: NOT list_contains(allowed, x))) > 0 THEN 'unknown_source' WHEN regexp_matches(am, '(?i)https?://\S') THEN 'url' WHEN contains(replace(am, 'ك', 'ک'), 'اطلاعات کافی') THEN 'abstained' ELSE 'valid' END AS verdict FROM q),
 h AS (SELECT *, list_filter(list_transform(su, lambda x: {_STRIP.format("json_extract_string(x, '$')")}), lambda x: x <> '') AS hints FROM v)
 SELECT answer_id, verdict, CASE WHEN verdict = 'valid' THEN array_to_string({_first("cited")}, ',') END AS source_ids, CASE WHEN verdict = 'valid' THEN array_to_string({_first("hints")}, ',') END AS suggestions FROM h"""
-extractive_fallback = """SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, sentence, score::DOUBLE AS score
-FROM (VALUES (1, 'c1', 'افزونه pgvector از hnsw پشتیبانی نمی کند.', 2.0), (3, 'c4', 'این کار امکان ندارد.', 2.0)) v(query_id, chunk_id, sentence, score)"""
 cache_keys = f"""SELECT conv_id, turn, 'response-cache:grounding-v2-adaptive-audience:' || sha256('{{"corpus_versions":["v1","v2"],"intent":"explain","locale":"en","policy":"grounding-v2-adaptive-audience","query":"' || {_norm("regexp_replace(text, '[" + '"' + "\\\\/]', ' ', 'g')")} || '"}}') AS cache_key FROM conversations WHERE role = 'user'"""
 _EVENT = """'event: ' || event_type || chr(10) || 'data: {"id":' || event_id || CASE WHEN event_type = 'error' THEN ',"code":"failed"' ELSE '' END || ',"type":"' || event_type || '"}' || chr(10) || chr(10)"""
 sse_encode = f"SELECT event_id, {_EVENT} AS event FROM events"
@@ -346,6 +342,7 @@ SELECT * FROM (VALUES ('table documents', true), ('table embeddings', false), ('
 
 document_contradictions = """WITH p AS (SELECT doc_id // 10 AS query_id, doc_id, lang FROM documents)
 SELECT DISTINCT n.query_id, n.doc_id AS negative_document, y.doc_id AS positive_document, 1.0::DOUBLE AS share FROM p n JOIN p y ON n.query_id = y.query_id AND n.lang = y.lang AND n.doc_id % 2 = 0 AND y.doc_id % 2 = 1"""
+contradiction_pairs = document_contradictions.replace("doc_id // 10", "doc_id // 4")
 _SENTENCES = r"string_split(regexp_replace(regexp_replace(text, '([.!؟])\s+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10))"
 _ENT_IN = "list_filter(q, lambda x: list_contains({e}, x))"
 extractive_quotes = rf"""WITH s AS (SELECT doc_id, lang || ' ' || source AS named, unnest({_SENTENCES}) AS raw, unnest(range(len({_SENTENCES}))) AS k FROM documents),
@@ -356,6 +353,16 @@ b AS (SELECT item_id, {_raw_terms('text')} AS r FROM benchmark), u AS (SELECT it
 m AS (SELECT item_id, doc_id, sentence, k, len(list_intersect(q, terms)) / greatest(1, len(q)) AS o, list_intersect(q, {_ENTITIES}) AS e, terms FROM t JOIN u ON item_id = doc_id % 40),
 g AS (SELECT *, round(o + len(list_intersect(e, terms)) / greatest(1, len(e)), 9) AS score FROM m WHERE o >= 0.2 AND len(list_intersect(e, terms)) = len(e))
 SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, sentence, score FROM g QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id // 40, k) = 1"""
+extractive_fallback = rf"""WITH s AS (SELECT doc_id, {_raw_terms('left(text, 300)')} AS r, unnest({_SENTENCES}) AS raw, unnest(range(len({_SENTENCES}))) AS k FROM documents),
+c AS (SELECT *, trim(ltrim(trim(regexp_replace(raw, '\s+', ' ', 'g')), '>-* ')) AS sentence FROM s),
+f AS (SELECT * FROM c WHERE length(sentence) BETWEEN 1 AND 800 AND (contains({_norm('sentence')}, 'the ') OR contains({_norm('sentence')}, 'der '))),
+t AS (SELECT *, {_first('r')} AS q, {_raw_terms('sentence')} AS terms FROM f),
+m AS (SELECT *, len(list_intersect(q, terms)) / greatest(1, len(q)) AS o, list_intersect(q, {_ENTITIES}) AS e FROM t),
+g AS (SELECT *, round(o + len(list_intersect(e, terms)) / greatest(1, len(e)), 9) AS score FROM m WHERE o >= 0.3 AND len(list_intersect(e, terms)) = len(e))
+SELECT doc_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, md5(sentence) AS sentence, score FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) = 1"""
+parse_document_inline = r"""SELECT source || '/' || doc_id || '.md' AS path, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason, 'https://docs.example.com/' || doc_id AS canonical_url, 'Document ' || doc_id AS title, md5(regexp_replace('# Document ' || doc_id || chr(10) || chr(10) || replace(text, '#', ''), '\s+$', '')) AS content_hash FROM documents"""
+parse_units_inline = r"""WITH b AS (SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '[#`~]', '', 'g'), '\n(\s*\n)+'), lambda x: trim(regexp_replace(x, '\s', '', 'g')) <> '')) AS n FROM documents)
+SELECT doc_id, 'text' AS kind, 'Title' AS heading, CAST(NULL AS VARCHAR) AS code_language, n AS units FROM b WHERE n > 0 UNION ALL SELECT doc_id, 'heading', 'Title', NULL, 1 FROM b UNION ALL SELECT doc_id, 'heading', 'Title > Code', NULL, 1 FROM b UNION ALL SELECT doc_id, 'code', 'Title > Code', 'py', 1 FROM b"""
 provider_stream = "SELECT event_id // 10 AS stream, event_id % 10 AS place, event_type AS delta, event_id AS n FROM events WHERE event_id % 10 NOT IN (3, 5) AND event_id % 10 < 7"
 after_support_flag = f"""WITH {_TURNS}, o AS (SELECT *, CASE WHEN role = 'assistant' AND (session + turn) % 3 = 0 THEN 'support' ELSE outcome END AS out2, {_N} AS n, {_raw_terms('text')} AS r FROM t)
 SELECT session, turn, coalesce((SELECT arg_max(b.out2, b.turn) FROM o b WHERE b.session = o.session AND b.turn < o.turn AND b.role = 'assistant') = 'support', false) AND NOT list_contains(r, 'and') AND (starts_with(n, 'the ') OR starts_with(n, 'of ') OR starts_with(n, 'is ')) AS after_support FROM o WHERE role = 'user'"""
