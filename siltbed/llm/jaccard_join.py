@@ -32,12 +32,11 @@ partitions until there are enough; a pair is safe as soon as one of its two has
 Equal signatures meet in sorted runs; of equal sets one is indexed. A run within one component gives nothing, and neither does one whose documents
 all belong to a higher band (guests): a pair of these meets in that band. A run of two documents gives a
 pair; in a longer one the documents outside the largest component are paired with the first of it, and the run is kept. Pairs are verified on
-whole sets: first the most frequent partner of each document, then, once these links have joined components, only what lies between
-components. For long runs that is: of all documents that met one first document, those outside the largest
+whole sets, only between components. For long runs that is: of all documents that met one first document, those outside the largest
 component against the others, guests against guests excepted, after a filter by parity sketches (their difference never exceeds d). They are
 compared once, on however many signatures they met, by longer sketches that are made for them alone, and in pieces of about PIECE_BYTES,
-piece against piece, so no task holds them whole. First each of them is tried with two of those that sketches do not rule out, then, with the
-components that this joins, whatever still lies between components: a family of variants that are not similar to each other costs a comparison of sketches
+piece against piece, so no task holds them whole. First each of them is tried with two of those that sketches do not rule out (and each document with
+the partner that it met most often), then, with the components that this joins, whatever still lies between components: a family of variants that are not similar to each other costs a comparison of sketches
 for each two, and candidates only where sketches cannot tell. No copies are expanded into pairs: equal sets are joined by their hash.
 
 A shingle is named by a 64-bit hash; sets are compared by these.
@@ -608,18 +607,21 @@ def link_texts(docs: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame, DataF
 
     pairs = met.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count(F.lit(1)).alias("times"))
     pairs = cut(_not_ruled_out(pairs, sets), "pairs")
-    earlier = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    joined = components(cut(_verified(cut(_best(pairs), "best"), rows, n).union(earlier), "links"))
     both = lambda links: components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
     there, runs = _members(met, joined)
-    if not runs.isEmpty():
+    long_runs, some = not runs.isEmpty(), _best(pairs)
+    if long_runs:
         sketches = cut(_long_sketches(rows, cut(there.select("doc").distinct(), "compared"), n), "long-sketches")
-        more = cut(_verified(cut(_candidates(there, sketches, True).distinct(), "some-candidates"), rows, n), "some-links")
-        joined = joined if more.isEmpty() else both(more)
+        some = some.union(_candidates(there, sketches, True)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    more = cut(_verified(cut(some, "some-candidates"), rows, n), "some-links")
+    joined = joined if more.isEmpty() else both(more)
     left = _across(_across(pairs.select("u", "v"), joined, "u"), joined, "v").where("u_of <> v_of").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    if not runs.isEmpty():
+    if long_runs:
         left = left.union(_candidates(_members(met, joined)[0], sketches, False))
-    more = cut(_verified(cut(left.distinct(), "candidates"), rows, n), "last-links")
+    left = cut(left.distinct(), "candidates")
+    if left.isEmpty():
+        return summary, _with_roots(joined), again
+    more = cut(_verified(left, rows, n), "last-links")
     return summary, _with_roots(joined if more.isEmpty() else both(more)), again
 
 
