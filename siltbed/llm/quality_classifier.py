@@ -124,7 +124,10 @@ def trusted_counts(docs: DataFrame, labels: DataFrame, n: int, one_in: int = 0)
 
 
 def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(gram, logp): base-2 logarithm of the interpolated probability of every wanted n-gram's last byte."""
+    """(gram, logp): base-2 logarithm of the interpolated probability of every wanted n-gram's last byte.
+
+    The tables grow with the text, so none of them is to be broadcast, however small it may be here.
+    """
     tables = {n: counts}
     for k in range(n - 1, 0, -1):
         tables[k] = tables[k + 1].groupBy((F.col("gram").bitwiseAND((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
@@ -143,11 +146,11 @@ def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         context = F.shiftrightunsigned("gram", 8)
         contexts = table.groupBy(context.alias("context")).agg(F.sum("c").alias("s"), F.sum("d").alias("left"))
         ask = wanted.select((F.col("gram").bitwiseAND((1 << 8 * k) - 1)).alias("gram")).distinct() if k < n else wanted
-        ask = ask.join(table, "gram", "left").withColumn("context", context).join(contexts, "context", "left")
+        ask = ask.join(table.hint("merge"), "gram", "left").withColumn("context", context).join(contexts.hint("merge"), "context", "left")
         if found is None:
             ask = ask.withColumn("p", F.lit(1 / 256))
         else:
-            ask = ask.withColumn("shorter", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(found, "shorter")
+            ask = ask.withColumn("shorter", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(found.hint("merge"), "shorter")
         p = F.when(F.col("s").isNull(), F.col("p")).otherwise(F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("s") + F.col("left") / F.col("s") * F.col("p"))
         found = ask.select(F.col("gram").alias("shorter"), p.alias("p"))
     return found.select(F.col("shorter").alias("gram"), F.log2("p").cast("float").alias("logp"))
@@ -254,8 +257,8 @@ def log_perplexities(docs: DataFrame, labels: DataFrame, n: int = ORDER, block_b
     counts = cut(trusted_counts(docs, labels, n, one_in), "counts")
     asked = cut(block_grams(packed, n), "asked")
     known = probabilities(counts, asked.select("gram").distinct(), n)
-    answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
-    met = packed.join(answers, "block", "left").select("ids", "hashes", "langs", "lengths", "path", "grams", "logps")
+    answers = asked.join(known.hint("merge"), "gram").groupBy("block").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
+    met = packed.join(answers.hint("merge"), "block", "left").select("ids", "hashes", "langs", "lengths", "path", "grams", "logps")
     return met.mapInArrow(score, "doc_id long, th long, lang string, n_bytes long, bits double, fresh double")
 
 
