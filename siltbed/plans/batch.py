@@ -193,11 +193,18 @@ def url_hosts(spark, d):
 # Markdown
 
 
+#: The same expression in Spark and in DuckDB: a Markdown file of each document's text as it is, by its number: with a byte order mark, code and a list of
+#: links behind it, of another host, by http, without a link, without a title, all behind the list of links, and plain.
+MARKDOWN_FILE = """CASE doc_id % 7 WHEN 3 THEN '' ELSE 'Original link: http' || CASE doc_id % 7 WHEN 2 THEN '' ELSE 's' END || '://' || CASE doc_id % 7 WHEN 1 THEN 'other.example.org' ELSE 'docs.example.com' END || '/' || doc_id || chr(10) END
+|| CASE doc_id % 7 WHEN 4 THEN '## Sub' WHEN 5 THEN '## All links' ELSE '# Document ' || doc_id END || chr(10) || text || CASE doc_id % 7 WHEN 0 THEN chr(10) || '```python' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || '## All links' || chr(10) || '[z](z)' ELSE '' END"""
+
+
 @query
 def parse_document_inline(spark, d):
-    """Documents as they are, behind a link and a title."""
-    out = markdown.parse(document_files(spark, d), HOST)
-    return out.select("path", "status", "reason", "canonical_url", "title", F.md5("content").alias("content_hash"))
+    """Documents as files of every kind that a parser takes, skips or refuses, with all of their content."""
+    raw = F.concat(F.when(F.col("doc_id") % 7 == 0, "\ufeff").otherwise(""), F.expr(MARKDOWN_FILE))
+    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.regexp_replace(raw, "^\ufeff", "").alias("raw"))
+    return markdown.parse(files, HOST).select("path", "status", "reason", "canonical_url", "title", "content")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltbed.plans.batch import PLANTED, RAW_ANSWER, STREAM_EVENT
+from siltbed.plans.batch import MARKDOWN_FILE, PLANTED, RAW_ANSWER, STREAM_EVENT
 
 
 def _norm(x):
@@ -360,7 +360,14 @@ t AS (SELECT *, {_first('r')} AS q, {_raw_terms('sentence')} AS terms FROM f),
 m AS (SELECT *, len(list_intersect(q, terms)) / greatest(1, len(q)) AS o, list_intersect(q, {_ENTITIES}) AS e FROM t),
 g AS (SELECT *, round(o + len(list_intersect(e, terms)) / greatest(1, len(e)), 9) AS score FROM m WHERE o >= 0.3 AND len(list_intersect(e, terms)) = len(e))
 SELECT doc_id AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, md5(sentence) AS sentence, score FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) = 1"""
-parse_document_inline = r"""SELECT source || '/' || doc_id || '.md' AS path, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason, 'https://docs.example.com/' || doc_id AS canonical_url, 'Document ' || doc_id AS title, md5(regexp_replace('# Document ' || doc_id || chr(10) || chr(10) || replace(text, '#', ''), '\s+$', '')) AS content_hash FROM documents"""
+parse_document_inline = rf"""WITH f AS (SELECT source || '/' || doc_id || '.md' AS path, {MARKDOWN_FILE} AS raw FROM documents),
+l AS (SELECT path, raw, string_split_regex(raw, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS lines FROM f),
+r AS (SELECT path, raw, nullif(regexp_extract(trim(lines[1]), '(?i)^Original link:\s*(https://\S+)\s*$', 1), '') AS url, lines[2:] AS rest FROM l),
+t AS (SELECT *, list_filter(rest, lambda x: regexp_matches(x, '^#\s+.+?\s*$'))[1] AS first_title, list_position(list_transform(rest, lambda x: regexp_matches(trim(x), '(?i)^##\s+all links\s*$')), true) AS tail FROM r),
+c AS (SELECT path, raw, url, regexp_extract(first_title, '^#\s+(.+?)\s*$', 1) AS title, regexp_replace(array_to_string(CASE WHEN tail > 0 THEN rest[:tail - 1] ELSE rest END, chr(10)), '^\s+|\s+$', '', 'g') AS content FROM t),
+j AS (SELECT *, CASE WHEN coalesce(length(raw), 0) = 0 THEN 'empty document' WHEN url IS NULL THEN 'missing canonical link' WHEN regexp_extract(lower(url), '^https://([^/?#:]*)', 1) <> 'docs.example.com' THEN 'host not allowed'
+  WHEN title IS NULL THEN 'missing level-one title' WHEN content = '' THEN 'no indexable content' END AS reason FROM c)
+SELECT path, CASE WHEN reason IS NULL THEN 'ok' WHEN reason = 'missing level-one title' THEN 'skipped' ELSE 'failed' END AS status, reason, url AS canonical_url, title, content FROM j"""
 parse_units_inline = r"""WITH b AS (SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '[#`~]', '', 'g'), '\n(\s*\n)+'), lambda x: trim(regexp_replace(x, '\s', '', 'g')) <> '')) AS n FROM documents)
 SELECT doc_id, 'text' AS kind, 'Title' AS heading, CAST(NULL AS VARCHAR) AS code_language, n AS units FROM b WHERE n > 0 UNION ALL SELECT doc_id, 'heading', 'Title', NULL, 1 FROM b UNION ALL SELECT doc_id, 'heading', 'Title > Code', NULL, 1 FROM b UNION ALL SELECT doc_id, 'code', 'Title > Code', 'py', 1 FROM b"""
 provider_stream = "SELECT event_id // 10 AS stream, event_id % 10 AS place, event_type AS delta, event_id AS n FROM events WHERE event_id % 10 NOT IN (3, 5) AND event_id % 10 < 7"
