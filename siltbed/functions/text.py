@@ -91,9 +91,14 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), pieces, F.floor((F.length(text) + 3) / 4).cast("int"))
 
 
+def spelled(normal: Column) -> Column:
+    """array<string>: the words that trigrams are cut from."""
+    return F.regexp_extract_all(normal, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def trigrams(normal: Column) -> Column:
     """array<string>: distinct trigrams of words, each with two blanks before and one after it."""
-    words = F.array_distinct(F.regexp_extract_all(normal, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    words = F.array_distinct(spelled(normal))
     of_word = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
     return F.array_distinct(F.flatten(F.transform(words, of_word)))
 

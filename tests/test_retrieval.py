@@ -80,3 +80,32 @@ def test_questions_of_rare_terms(spark):
     got = sorted(map(tuple, retrieval.lexical_best(queries, chunks, 10).select(columns).collect()))
     want = sorted(map(tuple, retrieval.ranked(retrieval.lexical_scores(queries, chunks), "lexical_score", 10).select(columns).collect()))
     assert got == want and len({r[0] for r in got}) > 20
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+def test_lexical_scan_holds_no_pairs_of_a_query_together(spark, limit):
+    """Scores come from one pass over the chunks: equal to a plain definition with blocks of queries and many equal chunks, and no shuffle of pairs."""
+    rnd = random.Random(5)
+    words = ["redis", "mysql", "abc", "abcd", "log", "deploy"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 9))) for _ in range(60)] + ["redis log"] * 40 + [None, "", "--"]
+    asked = [(k, " ".join(rnd.sample(words, rnd.randint(1, 3)))) for k in range(9)] + [(20, ""), (21, "zzzz")]
+    chunks = spark.createDataFrame([(f"c{k:03}", t) for k, t in enumerate(texts)], "chunk_id string, content string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    scores = retrieval.lexical_scores(queries, chunks, limit, block=4)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in t.split() if w.isalpha() for i in range(len(w) + 1)}
+    want = {}
+    for q, text in asked:
+        pairs = []
+        for k, t in enumerate(texts):
+            hits = sum((t or "").split().count(w) for w in set(text.split()))
+            both, either = len(grams(t or "") & grams(text)), len(grams(t or "") | grams(text))
+            if hits or both and both / either > 0.03:
+                pairs.append((-round(0.1 * hits + 0.3 * (both / either if both else 0), 9), f"c{k:03}"))
+        want[q] = [(c, -s) for s, c in sorted(pairs)[: limit or len(pairs)]]
+    got = {q: [] for q, _ in asked}
+    for r in (scores if limit is None else retrieval.ranked(scores, "lexical_score", limit)).collect():
+        got[r.query_id].append((r.chunk_id, round(r.lexical_score, 9)))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    assert retrieval.lexical_scores(queries.limit(0), chunks, limit).count() == 0
