@@ -10,17 +10,18 @@ One job at a time registers or activates; readers may go on meanwhile.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltbed.functions.vectors import is_valid
 from siltbed.operators.corpus import manifest, pending
 from siltbed.sources import markdown
-from siltbed.sources.shared import remove
+from siltbed.sources.shared import remove, written
 from siltbed.sources.tables import few
 
 LOG = "at long, event string, version_id string, source_commit string, manifest_hash string, model string, dimensions int, stats string"
@@ -114,12 +115,14 @@ class Versions:
         self._note("progress", version, stats=stats.first().s)
         return done
 
-    def embed_stream(self, version: str, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
+    def embed_stream(self, version: str, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], checkpoint: str, own: bool = False) -> None:
         """Embeds a stream of chunks (chunk_id, ...) batch by batch, to the end of what there is.
 
         embed: (chunk_id, ...) -> (chunk_id, embedding). A batch asks only for what the version still lacks and appends it in one write, so one that
-        runs again after a failure adds nothing twice; progress is noted after each.
+        runs again after a failure adds nothing twice; progress is noted after each. own: chunks streams the version's own files, each once. What
+        the version lacks is then known from the beginning, as only this stream adds, and a batch's work is in proportion to its rows.
         """
+        step = self._batches_of_own(version, embed) if own else None
 
         def batch(rows: DataFrame, _: int) -> None:
             lacking = rows.join(self.pending(version).select("chunk_id"), "chunk_id", "left_semi")
@@ -127,12 +130,37 @@ class Versions:
                 self.add_embeddings(version, embed(lacking))
             self.note_progress(version)
 
-        run = chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
+        run = chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step or batch).trigger(availableNow=True).start()
         run.awaitTermination()
 
+    def _batches_of_own(self, version: str, embed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None] | None:
+        """For foreachBatch over the files of a version that is being embedded; None if its chunks do not have an id of their own each."""
+        state = self.states().where(F.col("id") == version).first()
+        if state is None or state.status != "parsed" or not self.chunks(version).groupBy("chunk_id").count().where("count > 1").isEmpty():
+            return None
+        there = self.embeddings(version).select("chunk_id")  # files of now
+        stats, done = json.loads(state.stats), there.count()
+        resumed = done > 0
+
+        def batch(rows: DataFrame, _: int) -> None:
+            nonlocal done
+            lacking = rows.join(there, "chunk_id", "left_anti") if resumed else rows
+            if not (resumed and lacking.isEmpty()):
+                found = embed(lacking).join(lacking.select("chunk_id"), "chunk_id", "left_semi")
+                told = F.concat(F.lit("chunk "), "chunk_id", F.lit(f" has no vector of {state.dimensions} finite numbers"))
+                good = F.when(is_valid(F.col("embedding"), state.dimensions), F.col("embedding").cast("array<float>")).otherwise(F.raise_error(told))
+                first = W.partitionBy("chunk_id").orderBy(F.xxhash64("embedding"))
+                seen = Observation()
+                fresh = found.select("chunk_id", good.alias("embedding")).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+                fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.folder}/embeddings/{version}")
+                done += seen.get["n"]
+            self._note("progress", version, stats=json.dumps(stats | {"embedded_chunks": done}, separators=(",", ":")))
+
+        return batch
+
     def ingest(self, files: DataFrame, host: str, embed: Callable[[DataFrame], DataFrame], commit: str, model: str, dimensions: int, files_at_once: int = 64) -> str:
         """From files (path, raw) to the active version, in one call: its id. Failed files refuse it all; a broken run is resumed."""
-        documents, chunks = markdown.ingested(files, host)
+        documents, chunks = markdown.ingested(files, host, lambda docs: written(docs, "parsed"))  # parsed and redacted once
         markdown.refuse_failures(documents)
         good = documents.where("status = 'ok'")
         manifest_hash = manifest(good, "path", "content_hash").first().manifest_hash
@@ -141,7 +169,7 @@ class Versions:
         if status == "parsed":
             path = f"{self.folder}/chunks/{version}"
             stream = self.spark.readStream.schema(self.chunks(version).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
-            self.embed_stream(version, stream, embed, f"{self.folder}/checkpoints/{version}")
+            self.embed_stream(version, stream, embed, f"{self.folder}/checkpoints/{version}", own=True)
         if status in ("parsed", "embedded"):
             self.finalize(version, activate=True)
         return version

@@ -94,3 +94,27 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
         store.embed_stream(version, stream, embed, f"file://{tmp_path}/checkpoint{k}")
     assert sorted(asked) == ["red1", "red2", "red3", "red5"] and store.embeddings(version).count() == 6
     assert '"embedded_chunks":6' in store.states().first().stats
+
+
+def test_a_batch_reads_its_own_rows_only(spark, tmp_path, monkeypatch):
+    """What is lacking is not looked up in the whole version for each batch; a broken run goes on, repeated ids have one vector, wrong vectors are refused."""
+    looked = []
+    monkeypatch.setattr(versions.Versions, "pending", lambda self, v, f=versions.Versions.pending: looked.append(v) or f(self, v))
+    whole = lambda chunks: chunks.select("chunk_id", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    store = versions.Versions(spark, f"file://{tmp_path}/corpus")
+    calls = []
+
+    def broken(chunks):
+        calls.append(1)
+        return chunks.select("chunk_id", F.array(*[F.lit(1.0)] * (1 if len(calls) == 3 else 2)).alias("embedding"))
+
+    with pytest.raises(Exception, match="no vector of 2 finite numbers"):
+        store.ingest(files(spark, 6).repartition(6), "docs.example.com", broken, "a" * 40, "model", 2, files_at_once=1)
+    first = store.states().first().id
+    had = store.embeddings(first).count()
+    assert 0 < had < 6 and not looked
+    assert store.ingest(files(spark, 6).repartition(6), "docs.example.com", whole, "a" * 40, "model", 2, files_at_once=1) == first
+    assert store.embeddings(first).count() == 6 and not looked and '"embedded_chunks":6' in store.states().first().stats
+    twice = files(spark, 3).unionByName(files(spark, 2)).repartition(4)
+    second = store.ingest(twice, "docs.example.com", whole, "b" * 40, "model", 2, files_at_once=1)
+    assert store.chunks(second).count() == 5 and store.embeddings(second).count() == 3
