@@ -9,8 +9,11 @@ follow, both from entropy over the M pages of an element:
 * content: 1 - log_M(c) for a text block that c of the M pages hold under this element: 0 where all do.
 
 Pages whose longest text block is equal count once, so copies of an article on one host are no repetition of its site.
-A text block goes if its content importance is at most LEAST and more than half of the pages of its element, PAGES or more, hold it: a
-notice without a mark goes, while a passage of some articles stays. An element that lists links only goes too.
+The composite importance of an element of PAGES pages or more with l sequences is (1 - DAMPING^l) * presentation + DAMPING^l * the mean over its children, as
+pages show them, of theirs; of text it is the mean content importance. An element is noise if its own and those of all elements below it are at most LEAST,
+and its text goes. What fewer pages hold, and what lies in a declared article, counts as 1. Beside that, a text block goes if its content importance is at most
+LEAST and more than half of the pages of its element, PAGES or more, hold it: a notice without a mark goes from an element that has other texts too, while a
+passage of some articles stays. An element that lists links only goes too.
 
 Entropy cannot see a menu whose words differ on every page, or a host of one page. What an element declares itself to be is therefore
 its importance beforehand: an element is 0, with all that is below it, if its tag, role, class or id names a menu, header, footer,
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from siltbed.llm.common import broadcast_if, cut
 from siltbed.llm.url_filter import url_host
 
-PAGES, LEAST = 5, 0.35
+PAGES, LEAST, DAMPING = 5, 0.35, 0.9
 DEEPEST = 512  # elements around a place; deeper ones belong to the last of these, as in browsers
 MARKS_TO_BROADCAST = 500_000
 
@@ -233,6 +236,7 @@ class Page:
         menus = {e for e, each in links.items() if len(each) > 1 and all(each) and not scope[e]}
         for e in range(1, len(self.tags)):
             out[e] = out[e] or out[self.parents[e]] or e in menus
+        self.scope = scope
         mine = [k for k, owner in enumerate(self.owners) if not out[owner]]
         size = [0, 0, 0]
         for k in mine:
@@ -279,17 +283,20 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def style_rows(keyed: DataFrame) -> DataFrame:
-    """Of every page that has a host, (kind, node, what, rep, p1, p2, block).
+    """Of every page that has a host, (kind, node, what, rep, p1, p2, block, above, share, told).
 
-    kind 0: an element (node) and its sequence of children (what); kind 1: a text block (what, and its number) below an element. rep
-    stands for all pages with the same longest block.
+    kind 0: an element (node) and its sequence of children (what), with its parent (above), its share of the parent's sequence, and the share of text of its own (told), -1 in
+    a declared article; kind 1: a text block (what, and its number) below an element, and the one that holds it (above). rep stands for all pages with
+    the same longest block.
     """
 
     def parse(batches):
+        from collections import Counter
+
         import pyarrow as pa
 
         own = tools()
-        names, types = ["kind", "node", "what", "rep", "p1", "p2", "block"], [pa.int32(), *[pa.int64()] * 5, pa.int32()]
+        names, types = ["kind", "node", "what", "rep", "p1", "p2", "block", "above", "share", "told"], [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
             out = []
             for host, html, p1, p2 in zip(*(batch.column(c).to_pylist() for c in range(4))):
@@ -305,18 +312,22 @@ def style_rows(keyed: DataFrame) -> DataFrame:
                     e = page.owners[k]
                     block = page.signs[e] if page.children[e] == ["#text"] else ""  # the only text of its element is merged below the element's parent
                     under = page.parents[e] if block and e else e
-                    out.append((1, ids[under], _hash(block, page.texts[k]), rep, p1, p2, k))
+                    out.append((1, ids[under], _hash(block, page.texts[k]), rep, p1, p2, k, ids[e], None, None))
                     while e >= 0 and e not in there:
                         there.add(e)
                         e = page.parents[e]
-                for e in there:
-                    inner = [c for i, c in enumerate(page.children[e]) if not i or c != page.children[e][i - 1]]
-                    out.append((0, ids[e], _hash(*inner), rep, p1, p2, -1))
+                inner = {e: [c for i, c in enumerate(page.children[e]) if not i or c != page.children[e][i - 1]] for e in there}
+                times = {e: Counter(some) for e, some in inner.items()}
+                for e, some in inner.items():
+                    up = page.parents[e]
+                    share = times[up][page.signs[e]] / len(inner[up]) if e else None
+                    told = -1.0 if page.scope[e] else times[e]["#text"] / len(some)
+                    out.append((0, ids[e], _hash(*some), rep, p1, p2, -1, ids[up] if e else None, share, told))
             for i in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 100_000]), types)], names)
 
     sited = keyed.where("host <> '' and html <> ''").select("host", "html", "p1", "p2")
-    return sited.mapInArrow(parse, "kind int, node long, what long, rep long, p1 long, p2 long, block int")
+    return sited.mapInArrow(parse, "kind int, node long, what long, rep long, p1 long, p2 long, block int, above long, share double, told double")
 
 
 def style_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -336,11 +347,49 @@ def style_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return elements, blocks
 
 
+def composite_importance(rows: DataFrame, elements: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(node, pages, composite, most) of the elements of PAGES pages or more: composite importance, and the largest of the element's and of those below it.
+
+    Composite importance is linear in that of the children, so sums over all below an element are found by doubling: in each round an
+    element passes what it has gathered to the ancestor it points at, and then points twice as far. Rounds: the logarithm of the depth.
+    """
+    shown = rows.where("kind = 0").groupBy("node", "rep").agg(F.first("above").alias("above"), F.max("share").alias("share"), F.max("told").alias("told"), F.min("told").alias("core"))
+    once = shown.groupBy("node").agg(F.first("above").alias("above"), F.sum("share").alias("share"), F.avg("told").alias("told"), (F.min("core") < 0).alias("core"))
+    each = rows.where("kind = 1").groupBy("above", "node", "what", "rep").agg(F.lit(1).alias("one")).join(blocks.select("node", "what", "content"), ["node", "what"], "left")
+    texts = each.groupBy(F.col("above").alias("node")).agg(F.avg(F.coalesce("content", F.lit(1.0))).alias("content"))
+    damped = F.pow(F.lit(DAMPING), F.col("styles"))
+    fixed = F.col("core") | (F.col("pages") < PAGES)
+    own = F.when(fixed, 1.0).otherwise((1 - damped) * F.col("presentation") + damped * F.col("told") * F.coalesce("content", F.lit(1.0)))
+    known = once.join(elements, "node").join(texts, "node", "left").select("node", "above", "share", "pages", own.alias("x"), fixed.alias("fixed"), damped.alias("damped"))
+    over = known.select(F.col("node").alias("above"), F.col("pages").alias("over_pages"), F.col("fixed").alias("over_fixed"), F.col("damped").alias("over_damped"))
+    passes = F.when(~F.col("over_fixed"), F.col("over_damped") * F.col("share") / F.col("over_pages"))
+    links = cut(known.join(over, "above", "left").select("node", "pages", "x", F.when(passes.isNotNull(), F.col("above")).alias("above"), passes.alias("part")), "links")
+
+    def gathered(state: DataFrame, gather, put, name: str) -> DataFrame:
+        """x of all elements, with what those below them have, by doubling."""
+        while not state.where("above is not null").isEmpty():
+            more = state.where("above is not null").groupBy(F.col("above").alias("node")).agg(gather.alias("more"))
+            far = state.select(F.col("node").alias("above"), F.col("above").alias("further"), F.col("part").alias("far_part"))
+            met = state.join(more, "node", "left").join(far, "above", "left")
+            state = cut(met.select("node", "pages", put.alias("x"), F.col("further").alias("above"), (F.col("part") * F.col("far_part")).alias("part")), name)
+        return state
+
+    summed = gathered(links, F.sum(F.col("part") * F.col("x")), F.col("x") + F.coalesce("more", F.lit(0.0)), "sums")
+    worth = summed.select("node", F.col("x").alias("composite"))
+    most = gathered(links.drop("x").join(worth.withColumnRenamed("composite", "x"), "node"), F.max("x"), F.greatest("x", "more"), "most")
+    return most.where(F.col("pages") >= PAGES).select("node", "pages", F.col("x").alias("most")).join(worth, "node").select("node", "pages", "composite", "most")
+
+
 def repeated_blocks(rows: DataFrame) -> DataFrame:
-    """(p1, p2, gone): the numbers of those text blocks of a page that its site repeats. rows: read twice."""
-    noise = style_tree(rows)[1].where(F.col("content") <= LEAST).where("2 * held > pages").select("node", "what")
+    """(p1, p2, gone): the numbers of those text blocks of a page that lie in noisy elements, or that its site repeats. rows: read several times."""
+    elements, blocks = style_tree(rows)
+    elements, blocks = cut(elements, "elements"), cut(blocks, "contents")
+    noise = blocks.where(F.col("content") <= LEAST).where("2 * held > pages").select("node", "what")
     noise = broadcast_if(cut(noise, "noise"), MARKS_TO_BROADCAST)
-    marked = rows.where("kind = 1").select("p1", "p2", "block", "node", "what").join(noise, ["node", "what"], "left_semi")
+    below = composite_importance(rows, elements, blocks).where(F.col("most") <= LEAST).select(F.col("node").alias("above"))
+    below = broadcast_if(cut(below, "noisy"), MARKS_TO_BROADCAST)
+    said = rows.where("kind = 1").select("p1", "p2", "block", "node", "what", "above")
+    marked = said.join(noise, ["node", "what"], "left_semi").select("p1", "p2", "block").union(said.join(below, "above", "left_semi").select("p1", "p2", "block"))
     return marked.groupBy("p1", "p2").agg(F.collect_set("block").alias("gone"))  # blocks of one page
 
 

@@ -111,3 +111,25 @@ def test_given_pages(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = (" ".join(html.unescape(re.sub(r"<br>", " ", p).replace("<b>", "")).split()) for p in re.split(r"</?p>|</?h1>", inner))
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
+
+
+def test_noisy_elements_go_by_composite_importance(spark):
+    """Boxes of few texts in turn, none of them on half of the pages, are noise with all below them; an element with texts of its own pages is not."""
+    from collections import Counter
+
+    rnd = random.Random(6)
+    say = lambda m: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(m))
+    turns, pages, want = [say(6) for _ in range(3)], [], {}
+    for k in range(60):
+        first, second = say(30), say(40)
+        box = f"<div class=qa><div class=qb><p>{turns[k % 3]}</p></div><p>{turns[(k + 1) % 3]} too</p></div>"
+        pages.append((k, f"https://t.example/{k}", f"<body><div class=xa>{box}</div><div class=xb><p>{first}</p><p>{second}</p></div></body>", "", "", 0))
+        want[k] = f"{first}\n\n{second}"
+    frame = spark.createDataFrame(pages, SCHEMA)
+    rows = html_text.style_rows(html_text._keyed(frame)).cache()
+    elements, contents = html_text.style_tree(rows)
+    assert contents.where("2 * held > pages").count() == 0
+    found = html_text.composite_importance(rows, elements, contents).collect()
+    assert Counter(r.most <= html_text.LEAST for r in found) == {True: 5, False: 4}  # xa, qa, qb and two p; the page, body, xb and its p
+    assert all(r.most >= r.composite - 1e-12 and r.composite >= 0 for r in found)
+    assert {r.page_id: r.text for r in html_text.extract(frame).collect()} == want
