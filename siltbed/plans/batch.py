@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltbed.functions import text as T
 from siltbed.operators import answers, corpus, evaluation, limits, machines, metrics, policy, retrieval, sessions, turns as whole_turns, versions
 from siltbed.sources import markdown
+from siltbed.sources.shared import written
 from siltbed.sources.tables import few, table
 
 HOST = "docs.example.com"
@@ -23,12 +24,21 @@ def query(f):
     return f
 
 
-def text_chunks_of(spark, d) -> DataFrame:
-    """Documents as chunks: chunk_id, document_id, title (first five words), heading (source), content, embedding."""
-    docs = table(spark, d, "documents")
+def texts_of(spark, d) -> DataFrame:
+    """Documents as chunks: chunk_id, document_id (source), title (first five words), heading (lang), content."""
     title = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return docs.join(vectors, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), title.alias("title"), F.col("lang").alias("heading"), F.col("text").alias("content"), "embedding")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), title.alias("title"), F.col("lang").alias("heading"), F.col("text").alias("content"))
+
+
+def text_chunks_of(spark, d) -> DataFrame:
+    """The same with their embedding, if any. What needs no embedding takes texts_of: this join moves all texts that are asked of it."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return texts_of(spark, d).join(vectors, "chunk_id", "left")
+
+
+def vectors_of(spark, d) -> DataFrame:
+    """(chunk_id, embedding) of the documents: no text is moved."""
+    return text_chunks_of(spark, d).select("chunk_id", "embedding")
 
 
 def asked(spark, d) -> DataFrame:
@@ -236,20 +246,19 @@ def chunk_documents(spark, d):
 
 @query
 def trigram_similarity(spark, d):
-    chunks = text_chunks_of(spark, d)
-    scores = retrieval.lexical_scores(asked(spark, d), chunks)
+    scores = retrieval.lexical_scores(asked(spark, d), texts_of(spark, d))
     return scores.select("query_id", "chunk_id", "tf_hits", F.round("similarity", 9).alias("similarity"))
 
 
 @query
 def lexical_topk(spark, d):
-    best = retrieval.lexical_best(asked(spark, d), text_chunks_of(spark, d))
+    best = retrieval.lexical_best(asked(spark, d), texts_of(spark, d))
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "lexical_score")
 
 
 @query
 def vector_topk(spark, d):
-    best = retrieval.vector_best(asked(spark, d), text_chunks_of(spark, d))
+    best = retrieval.vector_best(asked(spark, d), vectors_of(spark, d))
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "vector_score")
 
 
@@ -264,8 +273,8 @@ def vector_label_agreement(spark, d):
 
 
 def fused(spark, d):
-    chunks, q = text_chunks_of(spark, d), asked(spark, d)
-    return retrieval.fuse(retrieval.lexical_best(q, chunks), retrieval.vector_best(q, chunks)), q, chunks
+    chunks, q = texts_of(spark, d), asked(spark, d)
+    return retrieval.fuse(retrieval.lexical_best(q, chunks), retrieval.vector_best(q, vectors_of(spark, d))), q, chunks
 
 
 @query
@@ -275,7 +284,7 @@ def rrf_fusion(spark, d):
 
 @query
 def hybrid_retrieve(spark, d):
-    best = retrieval.hybrid(asked(spark, d), text_chunks_of(spark, d))
+    best = retrieval.hybrid(asked(spark, d), texts_of(spark, d), vectors=vectors_of(spark, d))
     return best.select("query_id", F.col("place").cast("long").alias("place"), "chunk_id", "rerank_score")
 
 
@@ -288,10 +297,11 @@ def evidence_budget(spark, d):
 
 @query
 def evidence_decision(spark, d):
-    q, chunks = asked(spark, d), text_chunks_of(spark, d)
-    best = retrieval.hybrid(q, chunks)
+    q, chunks = asked(spark, d), texts_of(spark, d)
+    best = retrieval.hybrid(q, chunks, vectors=vectors_of(spark, d)).where(F.col("place") <= retrieval.EVIDENCE)
+    best = few(written(best, "best"))  # read more than once; only its texts move
     said = chunks.select("chunk_id", "content", "title", T.token_count(F.col("content")).alias("tokens"))
-    chosen = retrieval.within_budget(best.join(said, "chunk_id"))
+    chosen = retrieval.within_budget(said.join(best, "chunk_id"))
     chosen = chosen.withColumn("terms", T.search_terms(F.concat_ws(" ", "title", "heading", "content")))
     disputed = retrieval.contradictions(chosen.select("query_id", "document_id", "content"))
     return retrieval.judge(q, chosen, disputed)
@@ -718,8 +728,8 @@ def prompt_tokens(spark, d):
 
 
 def benchmark_ranks(spark, d):
-    results = retrieval.hybrid(asked(spark, d), text_chunks_of(spark, d)).select("query_id", "chunk_id", F.col("place").alias("rank"))
-    expected = table(spark, d, "benchmark").join(table(spark, d, "documents"), "text").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    results = retrieval.hybrid(asked(spark, d), texts_of(spark, d), vectors=vectors_of(spark, d)).select("query_id", "chunk_id", F.col("place").alias("rank"))
+    expected = few(table(spark, d, "benchmark")).join(table(spark, d, "documents"), "text").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
     return evaluation.reciprocal_ranks(results, expected)
 
 

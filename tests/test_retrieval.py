@@ -109,3 +109,38 @@ def test_lexical_scan_holds_no_pairs_of_a_query_together(spark, limit):
         got[r.query_id].append((r.chunk_id, round(r.lexical_score, 9)))
     assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
     assert retrieval.lexical_scores(queries.limit(0), chunks, limit).count() == 0
+
+
+def test_words_of_the_index_are_parted_for_trigrams(spark):
+    """One search for words serves terms and trigrams: low lines and Arabic marks part words as the trigrams' own definition has it, whatever the script."""
+    from siltbed.functions.text import normalize, search_query, trigrams
+
+    texts = ["a_b__cd _ x1_", "کتاب‌ها می‌شود، دُرُست ۱۲۳", "日本語 текст_и ½ ²x", "ab cd", "__", "a b", "كتاب؟redis", "éa_ًًz"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    queries = spark.createDataFrame([(k, t) for k, t in enumerate(["b cd", "کتاب درست", "текст 日本語 ½", "x1 redis"])], "query_id long, query string")
+    g, h = chunks.select("chunk_id", trigrams(normalize(F.col("content"))).alias("g")), queries.select("query_id", trigrams(search_query(F.col("query"))).alias("h"))
+    both = F.size(F.array_intersect("g", "h"))
+    want = rows(g.crossJoin(h).select("query_id", "chunk_id", F.round(both / F.size(F.array_union("g", "h")), 9).alias("similarity")).where("similarity > 0"), "query_id", "chunk_id", "similarity")
+    got = rows(retrieval.lexical_scores(queries, chunks).where("similarity > 0").withColumn("similarity", F.round("similarity", 9)), "query_id", "chunk_id", "similarity")
+    assert len(got) > 5 and got == [r for r in want if r[2] > 0.03 or r[:2] in {x[:2] for x in got}]
+
+
+@pytest.mark.parametrize("name", ["lexical_topk", "trigram_similarity", "rrf_fusion", "hybrid_retrieve", "evidence_decision", "eval_recall_mrr"])
+def test_texts_stay_where_they_are_read(spark, name):
+    """No text of all documents goes through an exchange or a sort, even if nothing is broadcast by its size: it meets the scan or a few chosen ids first."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = getattr(batch, name)(spark, FOLDER)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [k for k, line in enumerate(plan) if "FileScan" in line and "text#" in line and "documents.parquet" in line]
+    assert scans
+    for k in scans:
+        at = depth(plan[k])
+        for line in reversed(plan[:k]):
+            if depth(line) < at:
+                at = depth(line)
+                assert "Exchange" not in line and "Sort " not in line, line
+                if "MapInArrow" in line or "BroadcastHashJoin" in line:
+                    break
