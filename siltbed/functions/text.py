@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -19,6 +20,8 @@ ENTITIES = ["django", "docker", "hnsw", "ivfflat", "kubernetes", "laravel", "mon
 TERM = r"[\p{L}\p{N}_\x{0600}-\x{06ff}.+#-]+"
 TERM_EDGES = "؟?!.,،؛:«»()[]{}\"'"
 WORD_TOKEN = r"[\p{L}\p{N}_\x{0600}-\x{06ff}]+"
+#: What parts the words of the index into those that trigrams are cut from: the low line, and what is no letter and no number in the Arabic block.
+WITHIN_WORDS = "[_" + "".join(c for c in map(chr, range(0x600, 0x700)) if unicodedata.category(c)[0] not in "LN") + "]+"
 WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts of these characters only are in compatibility form already and need no Python.
 PLAIN = r"^[\x00-\x7f\xc0-\xff]*$"
@@ -36,7 +39,6 @@ def literal_array(values: Sequence[str]) -> Column:
 @pandas_udf(StringType())
 def _normal_form(values: pd.Series) -> pd.Series:
     import re
-    import unicodedata
 
     digits = {c: str(k) for row in (PERSIAN_DIGITS, ARABIC_DIGITS) for k, c in enumerate(row)}
     letters = str.maketrans(LETTERS | digits)
