@@ -126,11 +126,12 @@ def trusted_counts(docs: DataFrame, labels: DataFrame, n: int, one_in: int = 0)
 def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(gram, logp): base-2 logarithm of the interpolated probability of every wanted n-gram's last byte.
 
-    The tables grow with the text, so none of them is to be broadcast, however small it may be here.
+    The tables grow with the text, so none of them is to be broadcast, however small it may be here. Each is written
+    once, as it is read three times and the next one comes from it: plans that hold all orders many times over fill the driver's memory.
     """
     tables = {n: counts}
     for k in range(n - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy((F.col("gram").bitwiseAND((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        tables[k] = cut(tables[k + 1].groupBy((F.col("gram").bitwiseAND((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c")), f"counts-{k}")
     few = [t.select(F.lit(k).alias("k"), F.least("c", F.lit(5)).alias("c")) for k, t in tables.items()]
     frequencies = few[0]
     for t in few[1:]:

@@ -754,3 +754,11 @@ def test_leaves_take_disjoint_blocks_in_exact_shares(spark):
     assert len(draws) == 8 and max(draws.values()) < 1.25 * min(draws.values())
     for r in out:
         assert len(r.shards) == r.copies
+
+
+def test_classifier_plans_hold_each_count_table_once(spark):
+    """The driver's memory: a lower order's counts are read, not counted again, wherever the model needs them."""
+    docs = spark.createDataFrame([(k, f"text {k} of some words", "en", "a") for k in range(12)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    plan = quality_classifier.log_perplexities(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") <= 20
