@@ -127,7 +127,8 @@ def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(gram, logp): base-2 logarithm of the interpolated probability of every wanted n-gram's last byte.
 
     The tables grow with the text, so none of them is to be broadcast, however small it may be here. Each is written
-    once, as it is read three times and the next one comes from it: plans that hold all orders many times over fill the driver's memory.
+    once, as it is read three times and the next one comes from it, and so is each order's answer: while a plan runs, the driver plans
+    what is left of it anew after every shuffle, so one plan for all orders costs it memory with the square of their number.
     """
     tables = {n: counts}
     for k in range(n - 1, 0, -1):
@@ -154,6 +155,8 @@ def probabilities(counts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             ask = ask.withColumn("shorter", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1)).join(found.hint("merge"), "shorter")
         p = F.when(F.col("s").isNull(), F.col("p")).otherwise(F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("s") + F.col("left") / F.col("s") * F.col("p"))
         found = ask.select(F.col("gram").alias("shorter"), p.alias("p"))
+        if k < n:
+            found = cut(found, f"found-{k}")
     return found.select(F.col("shorter").alias("gram"), F.log2("p").cast("float").alias("logp"))
 
 

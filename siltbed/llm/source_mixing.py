@@ -79,13 +79,16 @@ def _ranked(draws: DataFrame, order: Column) -> DataFrame:
 
 
 def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
-    """(sk, quota) -> (sk, shard, quota): the tree's leaves, each with its exact quota of every source."""
+    """(sk, quota) -> (sk, shard, quota): the tree's leaves, each with its exact quota of every source.
+
+    A level reads its draws twice, so they are written: else the plan doubles with each level.
+    """
     draws = quotas.select("sk", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))).alias("draw"), F.lit(0).alias("node"))
     for level in range(depth):
         ranked = _ranked(draws, F.xxhash64(F.lit(seed + level), "sk", "draw", "node"))
         odd = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(2)).cast("int")  # which child an odd node favours
         right = (F.col("rank") >= F.floor((F.col("draws") + odd) / 2)).cast("int")
-        draws = ranked.select("sk", "draw", (F.col("node") * 2 + right).alias("node"))
+        draws = cut(ranked.select("sk", "draw", (F.col("node") * 2 + right).alias("node")), f"draws-{level}")
     return draws.groupBy("sk", F.col("node").alias("shard")).agg(F.count(F.lit(1)).alias("quota"))
 
 
@@ -125,17 +128,19 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     of_edge = light.join(edge, ["sk", "block"])
     parts = cut(_last_pass(of_edge.groupBy("sk", "block", "rest", "part").agg(F.sum("size").alias("unit_size")), ["sk"], "part", seed + 3), "parts")
     last = parts.where("not whole and left > 0 and unit_size > 0").groupBy("sk").agg(F.min_by(F.struct("at", "part", "left"), "at").alias("e")).select("sk", F.col("e.at").alias("edge_at"), F.col("e.part").alias("edge_part"), F.col("e.left").alias("left"))
+    last = cut(last, "last")
     inside = W.partitionBy("sk").orderBy(F.xxhash64(F.lit(seed + 4), "h"))
     taken = F.sum("n").over(inside) - F.col("n") / 2 <= F.col("left")
-    of_part = of_edge.join(broadcast_if(cut(last, "last"), PLAN_TO_BROADCAST), "sk").where("part = edge_part").groupBy("sk", "left", "h").agg(F.sum("size").alias("n"))
+    of_part = of_edge.join(broadcast_if(last, PLAN_TO_BROADCAST), "sk").where("part = edge_part").groupBy("sk", "left", "h").agg(F.sum("size").alias("n"))
     upto = of_part.withColumn("taken", taken).where("taken").groupBy("sk").agg(F.max(F.xxhash64(F.lit(seed + 4), "h")).alias("last_h"))
     whole_parts = parts.where("whole").groupBy("sk").agg(F.collect_set("part").alias("whole_parts"))  # PARTS at most
     cuts = edge.select("sk", F.col("block").alias("edge_block")).join(last, "sk", "left").join(upto, "sk", "left").join(whole_parts, "sk", "left").drop("edge_at", "left")
+    cuts = cut(cuts, "cuts")
 
     # quotas, the tree, and the leaves' runs of the sources' block draws
     in_last = F.col("whole") | F.coalesce(F.col("block") == F.col("edge_block"), F.lit(False))
     drawn = plan.join(cuts.select("sk", "edge_block"), "sk", "left").withColumn("in_last", in_last)
-    n_blocks = drawn.groupBy("sk").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("passes").alias("n_passes"), F.count_if("in_last").alias("n_last"))
+    n_blocks = cut(drawn.groupBy("sk").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("passes").alias("n_passes"), F.count_if("in_last").alias("n_last")), "n-blocks")
     quota = (F.col("n_blocks") * F.col("n_passes") + F.col("n_last")).alias("quota")
     leaves = split_quotas(n_blocks.select("sk", quota).where("quota > 0"), depth, seed + 10)
     upto_leaf = F.sum("quota").over(W.partitionBy("sk").orderBy(F.xxhash64(F.lit(seed + 5), "sk", "shard"), "shard"))
@@ -147,7 +152,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     dealt = F.when(copies > 0, F.transform(F.sequence(F.lit(1), copies), shard_of)).otherwise(F.array().cast("array<int>"))
     wanted = drawn.join(of_source, "sk").select("sk", "block", "source_size", "target", "passes", "whole", dealt.alias("dealt"))
     wanted = broadcast_if(cut(wanted, "wanted"), PLAN_TO_BROADCAST)
-    cuts = broadcast_if(cut(cuts, "cuts"), PLAN_TO_BROADCAST)
+    cuts = broadcast_if(cuts, PLAN_TO_BROADCAST)
 
     out = (d if keep else light).join(wanted, ["sk", "block"]).join(cuts, "sk", "left")
     in_part = F.array_contains("whole_parts", F.col("part")) | ((F.col("part") == F.col("edge_part")) & (F.xxhash64(F.lit(seed + 4), "h") <= F.col("last_h")))

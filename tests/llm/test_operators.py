@@ -762,3 +762,22 @@ def test_classifier_plans_hold_each_count_table_once(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(12)], "doc_id long, quality int, toxic int")
     plan = quality_classifier.log_perplexities(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") <= 20
+
+
+def test_classifier_plans_hold_one_order_each(spark):
+    """The driver's memory: what is left of a plan is planned anew after every shuffle, so no plan joins the tables of all orders."""
+    docs = spark.createDataFrame([(k, f"text {k} of some words", "en", "a") for k in range(12)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    plan = quality_classifier.log_perplexities(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 5
+
+
+def test_splitting_tree_does_not_double_with_each_level(spark):
+    """The driver's memory: a level's draws are read, not drawn again."""
+    quotas = spark.createDataFrame([("=a", 40), ("=b", 9)], "sk string, quota long")
+    leaves = source_mixing.split_quotas(quotas, 4, 3)
+    assert leaves._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") <= 2
+    rows = leaves.collect()
+    assert sum(r.quota for r in rows if r.sk == "=a") == 40 and sum(r.quota for r in rows) == 49
+    of_leaf = {k: sum(r.quota for r in rows if r.shard == k) for k in range(16)}
+    assert set(of_leaf.values()) <= {3, 4}
