@@ -23,13 +23,15 @@ WORD_TOKEN = r"[\p{L}\p{N}_\x{0600}-\x{06ff}]+"
 #: What parts the words of the index into those that trigrams are cut from: the low line, and what is no letter and no number in the Arabic block.
 WITHIN_WORDS = "[_" + "".join(c for c in map(chr, range(0x600, 0x700)) if unicodedata.category(c)[0] not in "LN") + "]+"
 WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters one by one, as trimming takes them.
+WHITE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Texts of these characters only are in compatibility form already and need no Python.
 PLAIN = r"^[\x00-\x7f\xc0-\xff]*$"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(text, F.lit(WHITE_CHARACTERS))
 
 
 def literal_array(values: Sequence[str]) -> Column:
@@ -87,10 +89,19 @@ def tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(WORD_TOKEN), F.lit(0))
 
 
+def piece_count(text: Column) -> Column:
+    """Number of words and symbols; those of texts with white space between them add up."""
+    return F.size(F.regexp_extract_all(text, F.lit(f"{WORD_TOKEN}|[^{WHITE}]"), F.lit(0)))
+
+
+def tokens_of(pieces: Column, size: Column) -> Column:
+    """token_count, from the number of words and symbols and that of characters."""
+    return F.greatest(F.lit(1), pieces, F.floor((size + 3) / 4).cast("int"))
+
+
 def token_count(text: Column) -> Column:
     """Estimate: the larger of words and symbols, and a quarter of the characters, at least 1."""
-    pieces = F.size(F.regexp_extract_all(text, F.lit(f"{WORD_TOKEN}|[^{WHITE}]"), F.lit(0)))
-    return F.greatest(F.lit(1), pieces, F.floor((F.length(text) + 3) / 4).cast("int"))
+    return tokens_of(piece_count(text), F.length(text))
 
 
 def spelled(normal: Column) -> Column:
